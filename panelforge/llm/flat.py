@@ -123,6 +123,8 @@ def order_of(keys: np.ndarray) -> np.ndarray:
     if n < 2:
         return np.arange(n)
     bits = int(n - 1).bit_length()
+    if int(keys.max()).bit_length() + bits <= 64:  # the whole key fits above the index
+        return (np.sort(keys << U64(bits) | np.arange(n, dtype=U64)) & U64((1 << bits) - 1)).astype(np.int64)
     packed = np.sort((keys >> U64(bits) << U64(bits)) | np.arange(n, dtype=U64))
     order = (packed & U64((1 << bits) - 1)).astype(np.int64)
     high = packed >> U64(bits)

@@ -94,7 +94,7 @@ def rank_by_doubling(names: np.ndarray) -> np.ndarray:
     while len(tied):
         after = tied + k
         nxt = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
-        by = order_of((rank[tied].astype(U64) << U64(32)) | nxt.astype(U64))
+        by = order_of((rank[tied].astype(U64) << U64(int(n).bit_length())) | nxt.astype(U64))
         items, own, nx = tied[by], rank[tied][by], nxt[by]
         fresh = np.ones(len(items), bool)
         fresh[1:] = (own[1:] != own[:-1]) | (nx[1:] != nx[:-1])
