@@ -5,19 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship, table
-from . import substring_dedup, suffix_dedup
+from . import embedding_dedup, simhash, substring_dedup, suffix_dedup
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(ship(spark), sf_dir, "documents"))
 
 
+def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(ship(spark), sf_dir, "documents"))
+
+
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(ship(spark), sf_dir, "embeddings"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(ship(spark), sf_dir, "documents"))
 
 
 QUERIES = {
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
+    "op4_simhash_dedup": op4_simhash_dedup,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLES: dict[str, str] = {}
