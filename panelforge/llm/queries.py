@@ -5,13 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship, table
-from . import embedding_dedup, simhash, substring_dedup, suffix_dedup
+from . import embedding_dedup, pieces, simhash, substring_dedup, suffix_dedup, token_counts
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(ship(spark), sf_dir, "documents"))
 
 
+def tokenizer_path(name: str) -> str:
+    """Where an installed public tokenizer file lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(ship(spark), sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(ship(spark), sf_dir, "documents"))
 
@@ -20,14 +31,20 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(ship(spark), sf_dir, "embeddings"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(ship(spark), sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(ship(spark), sf_dir, "documents"))
 
 
 QUERIES = {
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_simhash_dedup": op4_simhash_dedup,
     "op5_embedding_dedup": op5_embedding_dedup,
+    "op6_token_counts": op6_token_counts,
     "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLES: dict[str, str] = {}
