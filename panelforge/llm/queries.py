@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship, table
-from . import embedding_dedup, pieces, simhash, substring_dedup, suffix_dedup, token_counts
+from . import decontaminate, embedding_dedup, language_id, main_text, pieces, simhash, substring_dedup, suffix_dedup, token_counts, toxicity
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(ship(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,16 +39,34 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(ship(spark), sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(ship(spark), sf_dir, "documents")
+    return language_id.predict(docs, language_id.train(docs))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(ship(spark), sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.main_texts(table(ship(spark), sf_dir, "pages"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(ship(spark), sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_simhash_dedup": op4_simhash_dedup,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_token_counts": op6_token_counts,
+    "op7_language_id": op7_language_id,
+    "op8_toxicity": op8_toxicity,
+    "op9_html_extraction": op9_html_extraction,
     "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLES: dict[str, str] = {}
