@@ -88,7 +88,7 @@ def invariant_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def adjusted_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Backward and forward adjustment with a factor that stands in for corporate actions."""
     p = panels.event_bars(spark, sf_dir).withColumn("f", 1 + COL("volume") % 3)
-    last = F.last("f").over(w.BY.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    last = F.last("f").over(w.by_symbol().rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     return p.select("symbol", day(), F.month("date").cast("long").alias("month"), r6(COL("close") * COL("f") / last, "forward_close"), r6(COL("close") * COL("f"), "backward_close"))
 
 
@@ -97,7 +97,7 @@ def action_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cumulative product of share ratios, as a running sum of logarithms."""
     p = panels.event_bars(spark, sf_dir)
     g = F.when(F.dayofmonth("date") % 7 == 0, 1 + (COL("volume") % 5) / 100.0).otherwise(1.0)
-    return p.select("symbol", day(), r6(F.exp(F.sum(F.ln(g)).over(w.BY.rowsBetween(W.unboundedPreceding, 0))), "factor", 8))
+    return p.select("symbol", day(), r6(F.exp(F.sum(F.ln(g)).over(w.by_symbol().rowsBetween(W.unboundedPreceding, 0))), "factor", 8))
 
 
 # ---- windows and features --------------------------------------------------------------------------------------
@@ -137,7 +137,7 @@ def distance_to_high(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def smooth_momentum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rolling regression of log prices on the row number; the slope is scaled down here since shipped values swing far."""
-    p = panels.nation_flow(spark, sf_dir).select("symbol", "date", F.ln("close").alias("y"), F.row_number().over(w.BY).alias("x"))
+    p = panels.nation_flow(spark, sf_dir).select("symbol", "date", F.ln("close").alias("y"), F.row_number().over(w.by_symbol()).alias("x"))
     slope, r2 = F.regr_slope("y", "x").over(w.rows(20)), F.regr_r2("y", "x").over(w.rows(20))
     return p.select("symbol", day(), (F.round(w.full((F.exp(252 * slope / 100) - 1) * F.greatest(r2, F.lit(0.0)), COL("y"), 20), 5) + 0.0).alias("score"))
 

@@ -6,12 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BY = W.partitionBy("symbol").orderBy("date")
+
+def by_symbol():
+    return W.partitionBy("symbol").orderBy("date")
 
 
 def rows(w: int, ago: int = 0):
     """A frame of ``w`` rows that ends ``ago`` rows before the current one."""
-    return BY.rowsBetween(-(w - 1) - ago, -ago)
+    return by_symbol().rowsBetween(-(w - 1) - ago, -ago)
 
 
 def full(value: Column, x: Column, w: int, ago: int = 0, least: int | None = None) -> Column:
@@ -20,7 +22,7 @@ def full(value: Column, x: Column, w: int, ago: int = 0, least: int | None = Non
 
 
 def lag(x: Column, n: int = 1) -> Column:
-    return F.lag(x, n).over(BY)
+    return F.lag(x, n).over(by_symbol())
 
 
 def log_return(x: Column, n: int = 1) -> Column:
@@ -45,7 +47,7 @@ def median(x: Column, w: int, least: int | None = None) -> Column:
 
 
 def forward_fill(x: Column) -> Column:
-    return F.last(x, ignorenulls=True).over(BY.rowsBetween(W.unboundedPreceding, 0))
+    return F.last(x, ignorenulls=True).over(by_symbol().rowsBetween(W.unboundedPreceding, 0))
 
 
 def distance_to_high(close: Column, w: int = 60) -> Column:
@@ -57,7 +59,7 @@ def distance_to_high(close: Column, w: int = 60) -> Column:
 
 def with_stage(panel, w: int = 200, back: int = 20):
     """Adds ``stage``: 2 above a rising average, 3 above one that does not rise, 4 below one that does not rise, 1 below a rising one."""
-    ma = panel.withColumn("_ma", mean(F.col("close"), w)).withColumn("_old", F.lag("_ma", back).over(BY))
+    ma = panel.withColumn("_ma", mean(F.col("close"), w)).withColumn("_old", F.lag("_ma", back).over(by_symbol()))
     above, rising = F.col("close") > F.col("_ma"), F.col("_ma") > F.col("_old")
     value = F.when(above & rising, 2).when(above & ~rising, 3).when(~above & ~rising, 4).otherwise(1)
     return ma.withColumn("stage", F.when(F.col("_ma").isNotNull() & F.col("_old").isNotNull() & F.col("close").isNotNull(), value)).drop("_ma", "_old")
@@ -75,7 +77,7 @@ def swing(x: Column, side: int, high: bool) -> Column:
     """The pivot ``side`` rows ago where it is the extreme of its 2 side + 1 rows; known only now."""
     frame = rows(2 * side + 1)
     edge = F.max(x).over(frame) if high else F.min(x).over(frame)
-    mid = F.lag(x, side).over(BY)
+    mid = F.lag(x, side).over(by_symbol())
     return F.when((F.count(F.lit(1)).over(frame) == 2 * side + 1) & (mid == edge), mid)
 
 
@@ -99,7 +101,7 @@ def rank_pct(x: Column, by) -> Column:
 
 def run_number(x: Column):
     """The number of the current row within its run of equal signs, through the difference of two row numbers."""
-    return F.row_number().over(BY) - F.row_number().over(W.partitionBy("symbol", x).orderBy("date"))
+    return F.row_number().over(by_symbol()) - F.row_number().over(W.partitionBy("symbol", x).orderBy("date"))
 
 
 def fractional_weights(d: float, threshold: float = 1e-5) -> list[float]:
