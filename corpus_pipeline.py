@@ -32,10 +32,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = suffix_dedup.remove_repeats(docs, with_text=True).select("doc_id", F.col("text").alias("kept"), "n_removed")
+    kept = suffix_dedup.remove_repeats(docs, with_text=True).select("doc_id", F.col("text").alias("_kept_text"), F.col("n_removed").alias("_cut_bytes"))
     joined = docs.where("doc_id is not null").join(kept.where("doc_id is not null"), "doc_id")
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    columns = [text.alias(c) if c == "text" else F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    text = F.when(F.col("_cut_bytes") > 0, F.col("_kept_text")).otherwise(F.col("text"))
+    columns = [text.alias(c) if c == "text" else F.when(F.col("_cut_bytes") > 0, F.length("_kept_text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return joined.select(*columns).union(docs.where("doc_id is null"))
 
 

@@ -36,7 +36,7 @@ def letters(text: str | None) -> bytes:
 def grams(line: bytes) -> np.ndarray:
     """Numbers of the 3- and 4-grams of bytes."""
     b = np.frombuffer(line, np.uint8).astype(np.uint32)
-    if len(b) < 4:
+    if len(b) < 3:
         return np.zeros(0, np.uint32)
     three = b[:-2] | b[1:-1] << 8 | b[2:] << 16
     return np.concatenate((three, three[:-1] | b[3:] << 24))

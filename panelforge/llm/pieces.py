@@ -73,7 +73,7 @@ class Transducer(dict):
             n = len(segment)
             best, back = [0.0] + [float("inf")] * n, [(0, -1)] * (n + 1)
             arcs: dict[int, list] = {}
-            for at, (token, size) in self.program.auto.iter(segment):
+            for at, (token, size, _) in self.program.auto.iter(segment):
                 arcs.setdefault(at + 1, []).append((size, token, self.weight[token]))
             worst = max(self.weight.values()) + 10
             for i in range(1, n + 1):

@@ -1,9 +1,10 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
-Tokens are lower-case words.  Their log-odds between toxic and as many other documents have Dirichlet priors (half a
-count, and more in proportion to the sample).  A token counts by its distinct left neighbours, not by occurrences, so
-that a thousand copies of one text weigh as one: a 64-bit mask of hashed neighbours for each class, merged by or and
-read by linear counting.  Tokens whose z-score is below ``Z`` or log-odds below ``ODDS`` weigh as the common drift, which is negative.  A linear scan (Ruzzo and Tompa, 1999) finds all maximal scoring segments of a text, each a passage
+Tokens are lower-case words and their first 4, 5 and 6 letters, so that inflected forms share evidence; a word weighs as
+its heaviest token.  Their log-odds between toxic and as many other documents have Dirichlet priors (half a
+count, and more in proportion to the sample).  A token counts by its distinct left neighbours or distinct texts,
+whichever are fewer, not by occurrences, so that neither a thousand copies nor one long text weigh as many: 64-bit masks
+of hashed neighbours and texts for each class, merged by or and read by linear counting.  Tokens whose z-score is below ``Z`` or log-odds below ``ODDS`` weigh as the common drift, which is negative.  A linear scan (Ruzzo and Tompa, 1999) finds all maximal scoring segments of a text, each a passage
 (first and last word, score).  Scores become extreme values: lambda solves sum p e^(lambda s) = 1 under the other
 documents, a segment of score S among n words has the normalised score lambda S - ln n, and it is significant above
 ``SIGNIFICANT``.  Their maximum and sum are calibrated on the training rows by a logistic curve.
@@ -26,11 +27,34 @@ from pyspark.sql import functions as F
 
 from .sampling import bounded, bucket_of
 
-SAMPLE, Z, PRIOR, DRIFT, SIGNIFICANT, TOKENS, ODDS = 20_000, 2.2, 500.0, 0.05, 0.0, 50_000, 2.0
+SAMPLE, Z, PRIOR, DRIFT, SIGNIFICANT, TOKENS, ODDS = 20_000, 1.9, 500.0, 0.05, 0.0, 50_000, 2.0
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 WORD = re.compile(r"\w+")
 
 
+def forms(word: str) -> list[str]:
+    """The tokens of a word: itself and its beginnings."""
+    return [word, *(word[:k] + "*" for k in (4, 5, 6) if len(word) > k)]
+
+
+class Weights(dict):
+    """Weights of words, from those of their tokens; a bounded table."""
+
+    def __init__(self, tokens: dict[str, float]):
+        self.tokens = tokens
+
+    def __missing__(self, word: str) -> float:
+        if len(self) > 500_000:
+            self.clear()
+        got = max(self.tokens.get(t, 0.0) for t in forms(word))
+        if len(word) < 64:
+            self[word] = got
+        return got
+
+    def __reduce__(self):
+        return Weights, (self.tokens,)
+
+
 def segments(scores: np.ndarray, drift: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first, last, score) of a text whose words score ``-drift`` but where ``scores`` is positive; linear in the number of positive words."""
     at = np.flatnonzero(scores > 0)
@@ -56,13 +80,12 @@ def segments(scores: np.ndarray, drift: float) -> list[tuple[int, int, float]]:
 
 class Scorer:
     def __init__(self, weights: dict[str, float], rate: float, drift: float = DRIFT, curve=(0.0, 0.0, 0.0)):
-        self.weights, self.rate, self.drift, self.curve = weights, rate, drift, curve
+        self.weights, self.rate, self.drift, self.curve = Weights(weights), rate, drift, curve
 
     def passages(self, text: str | None) -> list[tuple[int, int, float]]:
         """Significant passages: first word, last word, normalised score."""
         words = WORD.findall((text or "").lower())
-        get = self.weights.get
-        s = np.array([get(w, 0.0) for w in words])
+        s = np.fromiter(map(self.weights.__getitem__, words), float, len(words))
         n = math.log(max(2, len(words)))
         return [(a, z, x) for a, z, x in ((a, z, self.rate * s - n) for a, z, s in segments(s, self.drift)) if x > SIGNIFICANT]
 
@@ -103,22 +126,26 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
 
     def count(batches):
         for batch in batches:
-            masks: tuple[dict, dict] = ({}, {})
+            masks: tuple[dict, ...] = ({}, {}, {}, {})  # neighbours and texts of other, then of toxic documents
             for y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own, before = masks[y > 0], ""
+                near, own, before, text = masks[2 * (y > 0)], masks[2 * (y > 0) + 1], "", 1 << (crc32(t.encode()) & 63)
                 for w in WORD.findall(t.lower()):
-                    own[w] = own.get(w, 0) | 1 << (crc32(before.encode()) & 63)
+                    bit = 1 << (crc32(before.encode()) & 63)
+                    for token in forms(w):
+                        near[token] = near.get(token, 0) | bit
+                        own[token] = own.get(token, 0) | text
                     before = w
-            words = sorted(masks[0].keys() | masks[1].keys())
+            words = sorted(masks[0].keys() | masks[2].keys())
             if words:
-                cols = [np.array([m.get(w, 0) for w in words], np.uint64).view(np.int64) for m in (masks[1], masks[0])]
-                yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(cols[0]), pa.array(cols[1])], ["word", "m1", "m0"])
+                cols = [np.array([m.get(w, 0) for w in words], np.uint64).view(np.int64) for m in masks]
+                yield pa.RecordBatch.from_arrays([pa.array(words), *map(pa.array, cols)], ["word", "b0", "t0", "b1", "t1"])
 
     distinct = lambda m: -64 * F.log1p(-F.least(F.bit_count(m), F.lit(63.5)) / 64)  # noqa: E731  linear counting
     from .components import written
 
     pairs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(even), "id")
-    counts = written(pairs.select("y", "text").mapInArrow(count, "word string, m1 long, m0 long").groupBy("word").agg(F.bit_or("m1").alias("m1"), F.bit_or("m0").alias("m0")).select("word", distinct(F.col("m1")).alias("n1"), distinct(F.col("m0")).alias("n0")))
+    merged = pairs.select("y", "text").mapInArrow(count, "word string, b0 long, t0 long, b1 long, t1 long").groupBy("word").agg(*(F.bit_or(c).alias(c) for c in ("b0", "t0", "b1", "t1")))
+    counts = written(merged.select("word", *(F.least(distinct(F.col("b" + y)), distinct(F.col("t" + y))).alias("n" + y) for y in "01")))
     total = counts.agg(F.sum("n1"), F.sum("n0")).first()
     t1, t0 = float(total[0] or 0), float(total[1] or 0)
     if not t1 or not t0:
