@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .bpe import Merger, PrefixProgram
 
 MARK = "▁"
-KEPT_WORDS, KEPT_SEGMENTS = 800_000, 500_000
+KEPT_WORDS, KEPT_SEGMENTS = 500_000, 300_000
 SCHEMA = "doc_id long, n_pieces long, ids array<int>, round_trip boolean"
 
 

@@ -44,7 +44,7 @@ class Weights(dict):
         self.tokens = tokens
 
     def __missing__(self, word: str) -> float:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         got = max(self.tokens.get(t, 0.0) for t in forms(word))
         if len(word) < 64:
