@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import stats
-from .operators import joins, labels, paths
+from .operators import folds, joins, labels, paths
 from .operators import windows as w
 from .plans import panels
 from .session import ship, table
@@ -314,11 +314,11 @@ def entropy_sampler(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _spans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     bars = panels.event_bars(spark, sf_dir)
-    e = bars.where(F.dayofmonth("date") % 3 == 1).select(F.concat_ws("|", "symbol", F.date_format("date", "yyyyMMdd")).alias("event_id"), "symbol", COL("date").alias("event_start"), F.date_add("date", 4).alias("t1"))
+    e = bars.select(F.concat_ws("|", "symbol", F.date_format("date", "yyyyMMdd")).alias("event_id"), "symbol", COL("date").alias("event_start"), F.date_add("date", 4).alias("t1"))
     return e, bars
 
 
-_SPANS = "sp AS (SELECT symbol || '|' || strftime(date, '%Y%m%d') AS event_id, symbol, date AS event_start, date + 4 AS t1 FROM ev WHERE day(date) % 3 = 1)"
+_SPANS = "sp AS (SELECT symbol || '|' || strftime(date, '%Y%m%d') AS event_id, symbol, date AS event_start, date + 4 AS t1 FROM ev)"
 _BARRIER = """path AS (SELECT e.*, b.date, b.close, first_value(b.close) OVER (PARTITION BY e.event_id ORDER BY b.date) AS entry FROM e JOIN ev b ON b.symbol = e.symbol AND b.date BETWEEN e.event_start AND e.t1),
  rr AS (SELECT *, (close / entry - 1) * coalesce(side, 1) AS r FROM path),
  agg AS (SELECT event_id, symbol, event_start, t1, target, side, min(date) FILTER (r >= {pt} * target) AS up, min(date) FILTER (r <= -{sl} * target) AS down, count(*) AS n FROM rr GROUP BY ALL),
@@ -327,7 +327,7 @@ _BARRIER = """path AS (SELECT e.*, b.date, b.close, first_value(b.close) OVER (P
 
 
 @query(
-    f"WITH {EV}, e AS (SELECT symbol || '|' || strftime(date, '%Y%m%d') AS event_id, symbol, date AS event_start, date + 4 AS t1, 0.3 AS target, CAST(NULL AS DOUBLE) AS side FROM ev WHERE day(date) % 3 = 1), {_BARRIER.format(pt=2, sl=1)} SELECT event_id, CAST(touch AS VARCHAR) AS touch_date, kind AS touch_type, CASE WHEN kind <> 'no_data' THEN round(ret, 6) END AS ret, CASE kind WHEN 'upper' THEN 1 WHEN 'lower' THEN -1 ELSE 0 END AS bin FROM lab"
+    f"WITH {EV}, e AS (SELECT symbol || '|' || strftime(date, '%Y%m%d') AS event_id, symbol, date AS event_start, date + 4 AS t1, 0.3 AS target, CAST(NULL AS DOUBLE) AS side FROM ev), {_BARRIER.format(pt=2, sl=1)} SELECT event_id, CAST(touch AS VARCHAR) AS touch_date, kind AS touch_type, CASE WHEN kind <> 'no_data' THEN round(ret, 6) END AS ret, CASE kind WHEN 'upper' THEN 1 WHEN 'lower' THEN -1 ELSE 0 END AS bin FROM lab"
 )
 def triple_barrier(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, bars = _spans(spark, sf_dir)
@@ -352,10 +352,10 @@ def momentum_barrier_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.groupBy("touch_type").agg(F.count("*").alias("n"), F.round(F.avg("ret"), 6).alias("mean_ret"))
 
 
-@query(f"WITH {EV}, c AS (SELECT date, row_number() OVER (ORDER BY date) AS seq FROM (SELECT DISTINCT date FROM ev WHERE day(date) % 5 <> 0)) SELECT CAST(d.date AS VARCHAR) AS date, CAST((SELECT c.date FROM c WHERE c.seq = (SELECT count(*) FROM c WHERE c.date <= d.date) + 2) AS VARCHAR) AS entry FROM (SELECT DISTINCT date FROM ev) d")
+@query(f"WITH {EV}, c AS (SELECT date, row_number() OVER (ORDER BY date) AS seq FROM (SELECT DISTINCT date FROM ev WHERE isodow(date) < 6)) SELECT CAST(d.date AS VARCHAR) AS date, CAST((SELECT c.date FROM c WHERE c.seq = (SELECT count(*) FROM c WHERE c.date <= d.date) + 2) AS VARCHAR) AS entry FROM (SELECT DISTINCT date FROM ev) d")
 def next_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = panels.event_bars(spark, sf_dir).select("date").distinct()
-    got = joins.sessions_after(days, days.where(F.dayofmonth("date") % 5 != 0), "date", 2, "entry")
+    got = joins.sessions_after(days, days.where(F.weekday("date") < 5), "date", 2, "entry")
     return got.select(day(), F.date_format("entry", "yyyy-MM-dd").alias("entry"))
 
 
@@ -388,7 +388,7 @@ def decay_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {EV}, {_SPANS}, b AS (SELECT *, row_number() OVER (ORDER BY event_start, event_id) - 1 AS i, count(*) OVER () AS n FROM sp), f AS (SELECT *, CASE WHEN i < (n // 4 + 1) * (n % 4) THEN i // (n // 4 + 1) ELSE n % 4 + (i - (n // 4 + 1) * (n % 4)) // (n // 4) END AS fold FROM b), s AS (SELECT fold, min(event_start) AS lo, max(t1) AS hi, any_value(n) AS n FROM f GROUP BY 1), r AS (SELECT s.*, coalesce((SELECT min(i) FROM f WHERE f.event_start > s.hi), s.n) AS rgt FROM s) SELECT CAST(r.fold AS INTEGER) AS fold, f.event_id, CASE WHEN f.fold = r.fold THEN 'test' ELSE 'train' END AS part FROM r, f WHERE f.fold = r.fold OR f.t1 < r.lo OR f.i >= r.rgt + floor(r.n * 0.02)"
 )
 def purged_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labels.purged_folds(_spans(spark, sf_dir)[0], 4, 0.02)
+    return folds.purged_folds(_spans(spark, sf_dir)[0], 4, 0.02)
 
 
 # ---- evaluation, allocation, sizing ----------------------------------------------------------------------------
@@ -417,10 +417,10 @@ def drawdown_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("symbol", r6("hwm", "hwm", 4), day("start"), r6("drawdown", "drawdown"), r6("tuw", "tuw"))
 
 
-@query("WITH m AS (SELECT c_mktsegment AS symbol, date_trunc('month', o_orderdate) AS mo, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 50 = 0 GROUP BY 1, 2), b AS (SELECT symbol, CAST(min(mo) AS DATE) AS lo, CAST(max(mo) AS DATE) AS hi FROM m GROUP BY 1), g AS (SELECT symbol, unnest(generate_series(lo, hi, INTERVAL 1 MONTH)) AS mo FROM b), f AS (SELECT g.symbol, coalesce(n, 0) AS n FROM g LEFT JOIN m ON m.symbol = g.symbol AND m.mo = g.mo) SELECT symbol, round((sum(n * n) / (sum(n) * sum(n)) - 1.0 / count(*)) / (1 - 1.0 / count(*)), 8) AS hhi FROM f GROUP BY 1 HAVING count(*) > 2")
+@query("WITH m AS (SELECT c_mktsegment AS symbol, date_trunc('month', o_orderdate) AS mo, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2), b AS (SELECT symbol, CAST(min(mo) AS DATE) AS lo, CAST(max(mo) AS DATE) AS hi FROM m GROUP BY 1), g AS (SELECT symbol, unnest(generate_series(lo, hi, INTERVAL 1 MONTH)) AS mo FROM b), f AS (SELECT g.symbol, coalesce(n, 0) AS n FROM g LEFT JOIN m ON m.symbol = g.symbol AND m.mo = g.mo) SELECT symbol, round((sum(n * n) / (sum(n) * sum(n)) - 1.0 / count(*)) / (1 - 1.0 / count(*)), 8) AS hhi FROM f GROUP BY 1 HAVING count(*) > 2")
 def bets_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Concentration of bets over months; months without bets count as zero."""
-    o, c = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0"), table(spark, sf_dir, "customer")
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     m = o.join(c, o["o_custkey"] == c["c_custkey"]).groupBy(COL("c_mktsegment").alias("symbol"), F.trunc("o_orderdate", "month").alias("mo")).agg(F.count("*").alias("n"))
     g = m.groupBy("symbol").agg(F.min("mo").alias("lo"), F.max("mo").alias("hi")).select("symbol", F.explode(F.expr("sequence(lo, hi, interval 1 month)")).alias("mo"))
     f = g.join(m, ["symbol", "mo"], "left").select("symbol", F.coalesce("n", F.lit(0)).cast("double").alias("r"))
@@ -450,15 +450,18 @@ def hierarchical_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {EV}, s AS (SELECT symbol, date AS a, CASE WHEN day(date) % 7 = 0 THEN NULL ELSE date + 3 END AS z, (volume % 11 - 5) / 5.0 AS g FROM ev WHERE day(date) % 2 = 0), t AS (SELECT DISTINCT symbol, a AS t FROM s UNION SELECT symbol, z FROM s WHERE z IS NOT NULL) SELECT t.symbol, CAST(t.t AS VARCHAR) AS date, round(coalesce(avg(g), 0), 6) AS signal FROM t LEFT JOIN s ON s.symbol = t.symbol AND s.a <= t.t AND (s.z IS NULL OR t.t < s.z) GROUP BY 1, 2"
+    f"WITH {EV}, s AS (SELECT symbol, date AS a, CASE WHEN day(date) % 7 = 0 THEN NULL ELSE date + 3 END AS z, (volume % 11 - 5) / 5.0 AS g FROM ev), t AS (SELECT DISTINCT symbol, a AS t FROM s UNION SELECT symbol, z FROM s WHERE z IS NOT NULL) SELECT t.symbol, CAST(t.t AS VARCHAR) AS date, round(coalesce(avg(g), 0), 6) + 0e0 AS signal FROM t LEFT JOIN s ON s.symbol = t.symbol AND s.a <= t.t AND (s.z IS NULL OR t.t < s.z) GROUP BY 1, 2"
 )
 def active_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = panels.event_bars(spark, sf_dir).where(F.dayofmonth("date") % 2 == 0)
+    p = panels.event_bars(spark, sf_dir)
     s = p.select("symbol", COL("date").alias("start"), F.when(F.dayofmonth("date") % 7 != 0, F.date_add("date", 3)).alias("t1"), ((COL("volume") % 11 - 5) / 5.0).alias("signal"))
-    return stats.active_signals(s).select("symbol", day("t"), F.round(COL("signal") + 0.0, 6).alias("signal"))
+    return stats.active_signals(s).select("symbol", day("t"), (F.round("signal", 6) + 0.0).alias("signal"))
 
 
 @query(f"WITH {EV} SELECT symbol, CAST(date AS VARCHAR) AS date, round(greatest(-1, least(1, round_even((close / vwap - 1) / 0.25, 0) * 0.25)), 6) AS size, CAST(trunc((vwap - close) / sqrt(100 + (vwap - close) * (vwap - close)) * 50) AS INTEGER) AS position FROM ev WHERE vwap > 0")
 def position_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = panels.event_bars(spark, sf_dir).where("vwap > 0")
     return p.select("symbol", day(), r6(stats.discretise(COL("close") / COL("vwap") - 1, 0.25), "size"), stats.target_position(F.lit(100.0), COL("vwap"), COL("close"), 50).alias("position"))
+
+
+from .queries import evaluation, gating, storage  # noqa: E402,F401

@@ -7,6 +7,7 @@ from itertools import combinations
 from statistics import NormalDist
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -146,3 +147,67 @@ def active_signals(signals: DataFrame) -> DataFrame:
 def bet_size(p: float, prediction: float, classes: int = 2) -> float:
     p = min(max(p, 1e-6), 1 - 1e-6)
     return prediction * (2 * _NORMAL.cdf((p - 1 / classes) / math.sqrt(p * (1 - p))) - 1)
+
+
+def _normal_cdf():
+    @F.pandas_udf("double")
+    def cdf(z: pd.Series) -> pd.Series:
+        return z.map(lambda x: _NORMAL.cdf(x) if x == x else math.nan)
+
+    return cdf
+
+
+def deflate(m: DataFrame) -> DataFrame:
+    """Adds ``psr`` and ``dsr`` to moments (n, sharpe, skew, kurt) with the trials and variance of the search; NaN where undefined."""
+
+    @F.pandas_udf("struct<psr double, dsr double>")
+    def both(n: pd.Series, s: pd.Series, skew: pd.Series, kurt: pd.Series, trials: pd.Series, var: pd.Series) -> pd.DataFrame:
+        rows = zip(n, s, skew, kurt, trials, var)
+        return pd.DataFrame([(probabilistic_sharpe(a, b, c, d), probabilistic_sharpe(a, b, c, d, expected_max_sharpe(t, v))) for a, b, c, d, t, v in rows], columns=["psr", "dsr"])
+
+    return m.withColumn("_p", both("n", "sharpe", "skew", "kurt", "trials", "var")).select(*m.columns, "_p.psr", "_p.dsr")
+
+
+def overfit_table(returns: DataFrame, chunks: int) -> DataFrame:
+    """(trials, chunks, pbo) of returns (symbol, date, r): symbols are trials, sessions on which all have a return are rows.
+
+    Rows are summed by chunk and trial first; the driver combines chunks x trials numbers.
+    """
+    names = returns.select("symbol").distinct().count()
+    days = returns.groupBy("date").agg(F.count("r").alias("k")).where(F.col("k") == names).select("date")
+    total = days.count()
+    size = max(total // chunks, 1)
+    numbered = days.withColumn("i", F.row_number().over(W.orderBy("date")) - 1).withColumn("chunk", F.least(F.floor(F.col("i") / size), F.lit(chunks - 1)))
+    m = returns.join(numbered, "date").groupBy("chunk", "symbol").agg(F.sum("r").alias("s"), F.count("r").alias("n")).toPandas()
+    if total < chunks or names < 2:
+        value = math.nan
+    else:
+        value = overfit_probability(m.pivot(index="chunk", columns="symbol", values="s").to_numpy(), m.groupby("chunk")["n"].max().sort_index().to_numpy())
+    return returns.sparkSession.createDataFrame([(names, chunks, value)], "trials long, chunks long, pbo double")
+
+
+def implied_precision(down: Column, up: Column, freq: Column, target: Column) -> Column:
+    """The least share of wins at which bets reach a Sharpe ratio: the larger root of a quadratic."""
+    gap = up - down
+    a, b, c = (freq + target * target) * gap * gap, (2 * freq * down - target * target * gap) * gap, freq * down * down
+    return (-b + F.sqrt(b * b - 4 * a * c)) / (2 * a)
+
+
+def implied_frequency(down: Column, up: Column, p: Column, target: Column) -> Column:
+    gap = up - down
+    return target * target * gap * gap * p * (1 - p) / ((gap * p + down) * (gap * p + down))
+
+
+def failure_probability(bets: DataFrame, freq: float, target: float) -> DataFrame:
+    """Adds ``failure`` to bets (up, down, p).  The scale is p(1 - p) itself, not its root, as the survey asks for."""
+    need = implied_precision(F.col("down"), F.col("up"), F.lit(freq), F.lit(target))
+    return bets.withColumn("failure", _normal_cdf()((need - F.col("p")) / F.nullif(F.col("p") * (1 - F.col("p")), F.lit(0.0))))
+
+
+def classification_scores(scored: DataFrame, by: list[str]) -> DataFrame:
+    """Weighted accuracy, precision, recall, F1 and negative log loss of rows (y, yhat boolean, prob of y, weight), in one pass."""
+    w, y, g = F.col("weight"), F.col("y"), F.col("yhat")
+    tp, fp, fn = (F.sum(F.when(t, w).otherwise(0)) for t in (y & g, ~y & g, y & ~g))
+    p = F.least(F.greatest(F.when(y, F.col("prob")).otherwise(1 - F.col("prob")), F.lit(1e-15)), F.lit(1 - 1e-15))
+    ratio = lambda a, b: F.coalesce(a / F.nullif(b.cast("double"), F.lit(0.0)), F.lit(0.0))
+    return scored.groupBy(*by).agg(ratio(F.sum(F.when(y == g, w).otherwise(0)), F.sum(w)).alias("accuracy"), ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"), (F.sum(w * F.ln(p)) / F.sum(w)).alias("neg_log_loss"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.ordering import running_sum
+
 
 def triple_barrier(events: DataFrame, bars: DataFrame, pt: float, sl: float) -> DataFrame:
     """Labels of events (event_id, symbol, event_start, t1, target, side) over bars (symbol, date, close).
@@ -50,10 +52,9 @@ def uniqueness(spans: DataFrame, bars: DataFrame) -> DataFrame:
 
 
 def time_decay(weighted: DataFrame, last: float = 1.0) -> DataFrame:
-    """Adds ``decay``: linear in cumulative uniqueness in event order, 1 at the newest.  The order is global, so the running sum is one task over one row an event; it is taken per partition first where events are many."""
-    w = W.orderBy("event_start", "event_id")
+    """Adds ``decay``: linear in cumulative uniqueness in event order, 1 at the newest."""
     total = weighted.agg(F.sum("uniqueness").alias("_all"))
-    cum = weighted.withColumn("_cum", F.sum("uniqueness").over(w.rowsBetween(W.unboundedPreceding, 0))).join(F.broadcast(total))
+    cum = running_sum(weighted, "event_start", ["event_id"], "uniqueness", "_cum").join(F.broadcast(total))
     slope = (1 - last) / F.col("_all") if last >= 0 else 1 / ((last + 1) * F.col("_all"))
     return cum.withColumn("decay", F.greatest(F.lit(0.0), 1 - slope * F.col("_all") + slope * F.col("_cum"))).drop("_cum", "_all")
 
@@ -62,23 +63,3 @@ def normalise(weighted: DataFrame, column: str) -> DataFrame:
     """Weights that sum to the number of rows, where their sum is above zero."""
     total = weighted.agg(F.sum(column).alias("_s"), F.count("*").alias("_n"))
     return weighted.join(F.broadcast(total)).withColumn(column, F.when(F.col("_s") > 0, F.col(column) * F.col("_n") / F.col("_s")).otherwise(F.col(column))).drop("_s", "_n")
-
-
-def purged_folds(labels: DataFrame, k: int = 5, embargo: float = 0.0) -> DataFrame:
-    """(fold, event_id, part): test rows of k equal chunks in time order and the train rows whose spans do not touch them.
-
-    The chunk's span is k rows; a row is train on the left if it ends before the span begins and on the right if it starts
-    after the last end, less the embargo.
-    """
-    w = W.orderBy("event_start", "event_id")
-    n = labels.agg(F.count("*").alias("n"))
-    base = labels.withColumn("i", F.row_number().over(w) - 1).join(F.broadcast(n))
-    small, extra = F.floor(F.col("n") / k), F.col("n") % k
-    cut = (small + 1) * extra
-    base = base.withColumn("fold", F.when(F.col("i") < cut, F.floor(F.col("i") / (small + 1))).otherwise(extra + F.floor((F.col("i") - cut) / F.greatest(small, F.lit(1)))).cast("int"))
-    span = base.groupBy("fold").agg(F.min("event_start").alias("lo"), F.max("t1").alias("hi"), F.max("n").alias("_n")).withColumnRenamed("fold", "f")
-    after = base.select(F.col("event_start").alias("s2"), "i")
-    first = span.join(after, F.col("s2") > F.col("hi"), "left").groupBy("f", "lo", "hi", "_n").agg(F.coalesce(F.min("i"), F.max("_n")).alias("right"))
-    pairs = base.join(F.broadcast(first))
-    part = F.when(F.col("fold") == F.col("f"), "test").when((F.col("t1") < F.col("lo")) | (F.col("i") >= F.col("right") + F.floor(F.col("_n") * embargo)), "train")
-    return pairs.select(F.col("f").alias("fold"), "event_id", part.alias("part")).where("part is not null")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelforge.functions import stats
-from panelforge.operators import joins, labels, paths, windows
+from panelforge.operators import folds, joins, labels, paths, windows
 
 D0 = dt.date(2024, 1, 1)
 
@@ -82,7 +82,7 @@ def test_sessions_after(spark):
 
 def test_purge_leaves_no_overlap(spark):
     e = event(spark, *((str(i), "A", day(i), day(i + 2), 1.0, None) for i in range(8)))
-    rows = labels.purged_folds(e, 4).collect()
+    rows = folds.purged_folds(e, 4).collect()
     spans = {str(i): (i, i + 2) for i in range(8)}
     for fold in range(4):
         test = [spans[r["event_id"]] for r in rows if r["fold"] == fold and r["part"] == "test"]
