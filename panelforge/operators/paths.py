@@ -150,3 +150,77 @@ def hysteresis(panel: DataFrame, column: str, hold: int = 3) -> DataFrame:
         return p[["symbol", "date"]].assign(held=out)
 
     return _by_symbol(panel, [column], run, "symbol string, date date, held long")
+
+
+def structure(panel: DataFrame, side: int = 3) -> DataFrame:
+    """(symbol, date, direction, breaks, reversal, swing_high, swing_low, age): market structure from confirmed swings.
+
+    Higher highs with higher lows set direction 1, lower ones with lower ones -1.  A close that newly passes the last swing in
+    the direction is a break; one that newly passes the opposite swing is a reversal and ends the direction.
+    """
+
+    def run(p):
+        n, c = len(p), p["close"].to_numpy(float)
+        span = 2 * side + 1
+        marks = {}
+        for key, how in (("high", "max"), ("low", "min")):
+            x = p[key]
+            mid = x.shift(side)
+            edge = getattr(x.rolling(span, min_periods=1), how)()
+            marks[key] = mid.where((mid == edge) & (np.arange(n) >= 2 * side)).to_numpy(float)
+        rows = []
+        tops, bottoms = [np.nan, np.nan], [np.nan, np.nan]
+        way = breaks = 0
+        seen = None
+        for i in range(n):
+            for mark, past in ((marks["high"][i], tops), (marks["low"][i], bottoms)):
+                if mark == mark:
+                    past[:] = [past[1], mark]
+                    seen = i
+            rise = (np.sign(tops[1] - tops[0]), np.sign(bottoms[1] - bottoms[0]))
+            if rise[0] == rise[1] and rise[0] in (1, -1) and way != rise[0]:
+                way, breaks = int(rise[0]), 0
+            reversal = 0
+            if way and tops[1] == tops[1] and bottoms[1] == bottoms[1] and c[i] == c[i]:
+                ahead, behind = (tops[1], bottoms[1]) if way == 1 else (bottoms[1], tops[1])
+                before = c[i - 1] if i else np.nan
+                if way * (c[i] - ahead) > 0 and not way * (before - ahead) > 0:
+                    breaks += 1
+                elif way * (c[i] - behind) < 0 and not way * (before - behind) < 0:
+                    way, breaks, reversal = 0, 0, 1
+            rows.append((way, breaks, reversal, tops[1], bottoms[1], np.nan if seen is None else i - seen))
+        out = pd.DataFrame(rows, columns=["direction", "breaks", "reversal", "swing_high", "swing_low", "age"])
+        return pd.concat([p[["symbol", "date"]], out], axis=1)
+
+    return _by_symbol(panel, ["high", "low", "close"], run, "symbol string, date date, direction long, breaks long, reversal long, swing_high double, swing_low double, age double")
+
+
+def ranges(panel: DataFrame, least: int = 10, most: int = 40) -> DataFrame:
+    """(symbol, date, ok, edge, width): boxes of the rows whose ``direction`` is 0; null elsewhere.
+
+    ``width`` is the box over the average true range, ``edge`` the third in which the close stands, ``ok`` 1 where the stay is
+    at least ``least`` rows long, moved half of its path or less, and closes inside.
+    """
+
+    def run(p):
+        n, a = len(p), _atr(p, 14)
+        h, l, c, d = (p[k].to_numpy(float) for k in ("high", "low", "close", "direction"))
+        out, stay = np.full((n, 3), np.nan), -1
+        for i in range(n):
+            stay = stay + 1 if d[i] == 0 else -1
+            if stay < 0:
+                continue
+            box = slice(i - min(stay + 1, most) + 1, i + 1)
+            top, bottom = np.nanmax(h[box]), np.nanmin(l[box])
+            path = np.nansum(np.abs(np.diff(c[box])))
+            straight = (abs(c[i] - c[box][0]) / path if path > 1e-12 else 0.0) if stay else np.nan
+            size = top - bottom
+            if size > 0 and a[i] > 0:
+                out[i, 2] = size / a[i]
+            if size > 1e-12 and np.isfinite(c[i]):
+                third = 3 * (c[i] - bottom) / size
+                out[i, 1] = 1.0 if third >= 2 else -1.0 if third <= 1 else 0.0
+            out[i, 0] = float(stay >= least and straight <= 0.5 and bottom <= c[i] <= top)
+        return p[["symbol", "date"]].assign(ok=out[:, 0], edge=out[:, 1], width=out[:, 2])
+
+    return _by_symbol(panel, ["high", "low", "close", "direction"], run, "symbol string, date date, ok double, edge double, width double")

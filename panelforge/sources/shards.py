@@ -1,7 +1,7 @@
-"""A store of time series in month shards: ``{root}/{kind}/{version}/symbol=S/ym=YYYY-MM`` Parquet.
+"""A store of time series in month shards: ``{root}/{kind}/{version}/ym=YYYY-MM/b=B`` Parquet, b a hash bucket of the symbol.
 
-Readers prune on symbol and month; a write merges the shards it touches and replaces only those, keeping the last row of a
-key.  The months present are listed by the partition columns alone.  Everything is a DataFrame operation on a path that
+Readers prune on months by folder and on symbols by the statistics of sorted files; a write merges the shards it touches and replaces only those, keeping the last row of a
+key.  Everything is a DataFrame operation on a path that
 Spark reads, so the root may be any file system that Spark knows.
 """
 
@@ -34,16 +34,15 @@ def _month(c: str):
 
 
 class ShardStore:
-    """Time series by (symbol, month).  ``time`` is the order column, ``key`` what identifies a row."""
+    """Time series by month and bucket of symbols.  ``time`` is the order column, ``key`` what identifies a row; give more ``buckets`` where a month outgrows a task."""
 
-    def __init__(self, spark: SparkSession, root: str, kind: str, version: str = "v1", time: str = "date", key: tuple[str, ...] = ("symbol", "date")):
-        self.spark, self.time, self.key = spark, time, list(key)
+    def __init__(self, spark: SparkSession, root: str, kind: str, version: str = "v1", time: str = "date", key: tuple[str, ...] = ("symbol", "date"), buckets: int = 1):
+        self.spark, self.time, self.key, self.buckets = spark, time, list(key), buckets
         self.path = f"{root}/{safe_segment(kind)}/{safe_segment(version)}"
 
     def _all(self) -> DataFrame | None:
         try:
-            # symbols and months are text, whatever they look like
-            return self.spark.read.option("basePath", self.path).parquet(self.path).withColumns({"symbol": F.col("symbol").cast("string"), "ym": F.col("ym").cast("string")})
+            return self.spark.read.option("basePath", self.path).parquet(self.path).withColumn("ym", F.col("ym").cast("string"))
         except AnalysisException as e:
             if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
                 return None
@@ -54,16 +53,16 @@ class ShardStore:
 
         The merged shards are written aside first, since a job cannot overwrite what it reads; then only they are replaced.
         """
-        fresh = rows.withColumn("ym", _month(self.time)).withColumn("_age", F.lit(1))
+        fresh = rows.withColumn("ym", _month(self.time)).withColumn("b", F.pmod(F.xxhash64("symbol"), F.lit(self.buckets)).cast("int")).withColumn("_age", F.lit(1))
         held = self._all()
         if held is not None:
-            touched = fresh.select("symbol", "ym").distinct()
-            fresh = fresh.unionByName(held.join(touched, ["symbol", "ym"], "left_semi").withColumn("_age", F.lit(0)), allowMissingColumns=True)
+            touched = fresh.select("ym", "b").distinct()
+            fresh = fresh.unionByName(held.join(touched, ["ym", "b"], "left_semi").withColumn("_age", F.lit(0)), allowMissingColumns=True)
         merged = keep_last(fresh, self.key, [F.desc("_age")]).drop("_age")
         aside = f"{self.path}.aside-{uuid.uuid4().hex}"
         merged.write.parquet(aside)
-        out = self.spark.read.parquet(aside).repartition("symbol", "ym").sortWithinPartitions("symbol", "ym", self.time)
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("symbol", "ym").parquet(self.path)
+        out = self.spark.read.parquet(aside).repartition("ym", "b").sortWithinPartitions("ym", "b", "symbol", self.time)
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ym", "b").parquet(self.path)
         _remove(self.spark, aside)
 
     def get(self, symbols: list[str] | None, start: str, end: str) -> DataFrame | None:
@@ -73,7 +72,7 @@ class ShardStore:
             return None
         upto = F.date_add(F.to_date(F.lit(end)), 1) if len(end) == 10 else F.lit(end).cast("timestamp_ntz") + F.expr("interval 1 microsecond")
         got = held.where((F.col("ym") >= start[:7]) & (F.col("ym") <= end[:7]) & (F.col(self.time) >= F.lit(start)) & (F.col(self.time) < upto))
-        return (got.where(F.col("symbol").isin(symbols)) if symbols is not None else got).drop("ym")
+        return (got.where(F.col("symbol").isin(symbols)) if symbols is not None else got).drop("ym", "b")
 
     def missing(self, symbols: DataFrame, start: str, end: str) -> DataFrame:
         """(symbol, ym): months of the range that no shard holds, for a table of symbols."""
@@ -83,9 +82,15 @@ class ShardStore:
         return want if held is None else want.join(held.select("symbol", "ym").distinct(), ["symbol", "ym"], "left_anti")
 
     def invalidate(self, symbols: list[str] | None = None) -> None:
-        """Drops all shards, or those of some symbols."""
-        for s in [None] if symbols is None else symbols:
-            _remove(self.spark, self.path if s is None else f"{self.path}/symbol={s}")
+        """Drops everything, or the rows of some symbols, whose shards are written anew without them."""
+        held = self._all()
+        if symbols is None or held is None:
+            return _remove(self.spark, self.path)
+        aside = f"{self.path}.aside-{uuid.uuid4().hex}"
+        held.where(~F.col("symbol").isin(symbols)).write.parquet(aside)
+        _remove(self.spark, self.path)
+        self.spark.read.parquet(aside).repartition("ym", "b").sortWithinPartitions("ym", "b", "symbol", self.time).write.partitionBy("ym", "b").parquet(self.path)
+        _remove(self.spark, aside)
 
     def read_through(self, symbols: DataFrame, start: str, end: str, fetch) -> DataFrame | None:
         """Rows of the range, after ``fetch(missing)``, a DataFrame of (symbol, ym), has supplied what no shard holds."""
