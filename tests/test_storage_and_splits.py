@@ -1,10 +1,13 @@
 """Stores, gates, schema checks and splits on small literal inputs."""
 
 import datetime as dt
+import math
+from statistics import NormalDist
 
 import numpy as np
 import pytest
 
+from panelforge.functions import stats
 from panelforge.operators import bootstrap, folds, gates, paths, validation
 from panelforge.sources import synthetic
 from panelforge.sources.registry import TrialRegistry
@@ -93,3 +96,25 @@ def test_ranges_need_a_long_crooked_stay(spark):
     p = spark.createDataFrame(rows, "symbol string, date date, high double, low double, close double, direction long")
     got = [r["ok"] for r in paths.ranges(p).orderBy("date").collect()]
     assert got == [0.0] * 10 + [1.0] * 6 + [None]
+
+
+def test_deflated_sharpe_against_its_formula(spark):
+    n, s, skew, kurt, trials, var = 250, 0.1, -0.3, 4.0, 10, 0.02
+    row = stats.deflate(spark.createDataFrame([(n, s, skew, kurt, trials, var)], "n long, sharpe double, skew double, kurt double, trials long, var double")).first()
+    cdf, quantile = NormalDist().cdf, NormalDist().inv_cdf
+    scale = math.sqrt((n - 1) / (1 - skew * s + (kurt - 1) / 4 * s * s))
+    most = math.sqrt(var) * ((1 - 0.5772156649) * quantile(0.9) + 0.5772156649 * quantile(1 - 1 / (10 * math.e)))
+    assert row["psr"] == pytest.approx(cdf(s * scale)) and row["dsr"] == pytest.approx(cdf((s - most) * scale))
+
+
+def test_failure_probability_scales_by_the_variance(spark):
+    row = stats.failure_probability(spark.createDataFrame([(0.01, -0.01, 0.6)], "up double, down double, p double"), 52.0, 2.0).first()
+    # with payoffs of one size, (2p - 1)^2 * 52 = 4 * 4p(1 - p), whose larger root is this
+    need = 0.5 * (1 + math.sqrt(1 - 52 / 56))
+    assert row["failure"] == pytest.approx(NormalDist().cdf((need - 0.6) / 0.24))
+
+
+def test_overfit_table_finds_a_trial_that_is_always_best(spark):
+    rows = [(f"T{k}", D0 + dt.timedelta(days=i), 0.001 * k + 0.0001 * (i % 3)) for i in range(32) for k in range(5)]
+    got = stats.overfit_table(spark.createDataFrame(rows, "symbol string, date date, r double"), 8).first()
+    assert (got["trials"], got["chunks"], got["pbo"]) == (5, 8, 0.0)
