@@ -1,6 +1,7 @@
 """A corpus pipeline of five stages, each written as Parquet and read again as the next one's input.
 
-toxicity: predicted documents go.  simhash_near_dedup: of each component the row of the smallest doc_id stays.
+toxicity: predicted documents go.  simhash_near_dedup: of each component the row of the smallest doc_id stays; the stage
+keeps its name but links by exact Jaccard similarity of 5-word shingles >= 0.8, which op4's 3 bits of 3-word ones miss.
 suffix_array_dedup: repeated byte strings are cut out of the texts (rows stay, also where nothing is left).
 benchmark_decontamination: documents in which an item occurs go.  sentencepiece: the rest becomes ids.
 
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import decontaminate, pieces, simhash, suffix_dedup, toxicity
+from panelforge.llm import decontaminate, pieces, shingle_dedup, suffix_dedup, toxicity
 from panelforge.llm.queries import tokenizer_path
 from panelforge.session import shared_dir, ship, table
 
@@ -25,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = simhash.near_duplicates(docs.where("doc_id is not null"))
+    groups = shingle_dedup.near_duplicates(docs.where("doc_id is not null"))
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
     same = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
     return same.join(first, "doc_id", "left_semi").select(*docs.columns).union(docs.where("doc_id is null"))
