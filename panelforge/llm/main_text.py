@@ -10,7 +10,9 @@ among menus, headers, footers, side bars, notices, adverts, forms and comments i
 has no labels; it never reads the input.
 
 Defined cases: null and empty html give the empty text, as do pages without a block judged to be article.  A tag or
-comment left open at the end of the page ends there; text before it stays.  ``br`` is white space.
+comment left open at the end of the page ends there; text before it stays.  ``br`` is white space.  A quote opens a value
+only after ``=``; where none closes it, the tag ends at its next ``>``.  ``</`` before anything but a letter is a comment up
+to the next ``>``.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from .boosting import Trees
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
 SAMPLE = 400
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(>?)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|=(?!\s*[\"'])|[^=>])*)(>?)", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 SIGNS = re.compile(r"[a-z]+")
 #: Fixed values of HTML: elements without an end, elements whose content is no text, and inline elements.
@@ -77,15 +79,23 @@ def parse(page: str) -> list[Node]:
             break
         m = TOKEN.match(page, begin)
         if m is None:
-            text(at, begin + 1) if not page[begin + 1 : begin + 2].isalpha() and page[begin + 1 : begin + 2] != "/" else text(at, begin)
-            at = begin + 1 if not page[begin + 1 : begin + 2].isalpha() and page[begin + 1 : begin + 2] != "/" else size
+            if page.startswith("</", begin):  # no letter follows: a comment up to the next ">"
+                text(at, begin)
+                at = page.find(">", begin) + 1 or size
+            else:
+                text(at, begin + 1)
+                at = begin + 1
             continue
         text(at, begin)
         at = m.end()
         if m[2] is None:
             continue
-        if not m[4]:  # cut off inside the tag
-            break
+        signs = m[3]
+        if not m[4]:  # a value whose quote is never closed: the tag ends at its next ">"
+            at = page.find(">", m.end()) + 1
+            if not at:  # cut off inside the tag
+                break
+            signs = page[m.start(3) : at - 1]
         tag = m[2].lower()
         if m[1]:
             if tag == "a":
@@ -101,7 +111,7 @@ def parse(page: str) -> list[Node]:
                     break
             continue
         if tag in RAW:
-            if not m[3].endswith("/"):
+            if not signs.endswith("/"):
                 end = re.compile(f"</{tag}\\b[^>]*>", re.I).search(page, at) if tag != "head" else None
                 if tag != "head":
                     at = end.end() if end else size
@@ -135,8 +145,8 @@ def parse(page: str) -> list[Node]:
                     del stack[i:]
                     break
         tokens = frozenset()
-        if m[3]:
-            tokens = frozenset(t for name, value in ATTRIBUTE.findall(m[3]) if name.lower() in ("class", "id", "role", "itemprop") for t in SIGNS.findall(value.lower()))
+        if signs:
+            tokens = frozenset(t for name, value in ATTRIBUTE.findall(signs) if name.lower() in ("class", "id", "role", "itemprop") for t in SIGNS.findall(value.lower()))
         node = Node(tag, tokens, stack[-1])
         stack[-1].children.append(node)
         stack[-1].items.append(node)

@@ -7,7 +7,7 @@ import pytest
 
 pytest.importorskip("panelforge.llm.queries")
 
-from panelforge.llm import shingle_dedup  # noqa: E402
+from panelforge.llm import main_text, shingle_dedup  # noqa: E402
 
 DIR = "/root/testdata/sf0.001"
 
@@ -55,3 +55,14 @@ def test_pipeline_drops_near_copies_of_similarity_08(spark):
     want = _jaccard_labels([(r["doc_id"], r["text"]) for r in docs.collect()])
     got = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, DIR).collect()}
     assert got == {i for i, x in want.items() if i == x} and not got & {145, 177}
+
+
+@pytest.mark.parametrize("odd", ["</>", "</ p>", "</3 you>", '<p class="a"">', "<p class='a''>", '<p class="a" ">', '<p title="never closed>'])
+def test_malformed_markup_keeps_the_rest_of_the_page(odd):
+    tail = "The rest of the story goes on for a while here, with words enough."
+    page = f"<article><h1>Title</h1><p>Before it, some words of the story.</p>{odd}<p>{tail}</p><p>And an end of the story that is told.</p></article>"
+    for p in (page, page.replace("<p>And", "<p class=b>And")):
+        texts = ["".join(i for i in x.items if isinstance(i, str)) for x in main_text.parse(p)]
+        assert tail in texts and "And an end of the story that is told." in texts
+    if "never" not in odd:  # a later quote must not swallow what lies between
+        assert tail in [t for x in main_text.parse(page.replace("<p>And", '<p class="b">And')) for t in x.items if isinstance(t, str)]
