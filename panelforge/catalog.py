@@ -142,6 +142,23 @@ def smooth_momentum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("symbol", day(), (F.round(w.full((F.exp(252 * slope / 100) - 1) * F.greatest(r2, F.lit(0.0)), COL("y"), 20), 5) + 0.0).alias("score"))
 
 
+def _smooth_momentum(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    p = panels.nation_flow(spark, sf_dir).withColumn("x", F.row_number().over(w.by_symbol()))
+    return p.select("symbol", day(), r6(w.smooth_momentum(COL("close"), COL("x"), n), "score"))
+
+
+@query()
+def smooth_momentum_60(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reference's shorter window, on the slope itself."""
+    return _smooth_momentum(spark, sf_dir, 60)
+
+
+@query()
+def smooth_momentum_90(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reference's longer window, on the slope itself."""
+    return _smooth_momentum(spark, sf_dir, 90)
+
+
 @query(
     f"WITH {EV}, n AS (SELECT symbol, date, ln(close) - lag(ln(close)) OVER (PARTITION BY symbol ORDER BY date) AS r, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i FROM ev WHERE close > 0), p AS (SELECT a.symbol, a.date, count(b.r) AS c, sum(pow(1 - 2.0 / 21, a.i - b.i)) FILTER (b.r IS NOT NULL) AS w, sum(pow(1 - 2.0 / 21, 2 * (a.i - b.i))) FILTER (b.r IS NOT NULL) AS w2, sum(pow(1 - 2.0 / 21, a.i - b.i) * b.r) AS s, sum(pow(1 - 2.0 / 21, a.i - b.i) * b.r * b.r) AS q FROM n a JOIN n b ON a.symbol = b.symbol AND b.i <= a.i GROUP BY 1, 2) SELECT symbol, CAST(date AS VARCHAR) AS date, CASE WHEN c >= 10 THEN round(sqrt((q / w - (s / w) * (s / w)) * w * w / (w * w - w2)), 6) END AS ewm_vol FROM p"
 )
@@ -174,7 +191,7 @@ def swings_and_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("symbol", day(), r6(w.swing(COL("high"), 2, True), "swing_high"), r6(w.swing(COL("low"), 2, False), "swing_low"), gap.alias("gap"))
 
 
-_FFD = w.fractional_weights(0.4, 1e-2)
+_FFD = w.fractional_weights(0.4)
 
 
 @query(

@@ -60,8 +60,8 @@ def deflated_sharpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def overfit_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The probability of overfitting over eight chunks of sessions; what leaves the cluster is a row for each chunk and trial."""
-    return stats.overfit_table(_returns(spark, sf_dir), 8)
+    """The probability of overfitting over sixteen chunks of sessions; what leaves the cluster is a row for each chunk and trial."""
+    return stats.overfit_table(_returns(spark, sf_dir), 16)
 
 
 @query(f"WITH {SEG}, {_R}, a AS (SELECT symbol, avg(r) FILTER (r > 0) AS up, avg(r) FILTER (r <= 0) AS down, avg(CASE WHEN r > 0 THEN 1.0 ELSE 0 END) AS p FROM rt WHERE r IS NOT NULL GROUP BY 1), c AS (SELECT *, (52 + 4.0) * (up - down) * (up - down) AS qa, (2 * 52 * down - 4.0 * (up - down)) * (up - down) AS qb, 52 * down * down AS qc FROM a), d AS (SELECT *, (-qb + sqrt(qb * qb - 4 * qa * qc)) / (2 * qa) AS need FROM c) SELECT symbol, round(p, 6) AS precision, round(need, 6) AS implied_precision, round(4.0 * power(up - down, 2) * p * (1 - p) / power((up - down) * p + down, 2), 4) AS implied_freq FROM d")
