@@ -12,7 +12,7 @@ has no labels; it never reads the input.
 Defined cases: null and empty html give the empty text, as do pages without a block judged to be article.  A tag or
 comment left open at the end of the page ends there; text before it stays.  ``br`` is white space.  A quote opens a value
 only after ``=``; where none closes it, the tag ends at its next ``>``.  ``</`` before anything but a letter is a comment up
-to the next ``>``.
+to the next ``>``.  A run of text directly in the body is an implied block, scored and decoded like any other.
 """
 
 from __future__ import annotations
@@ -63,11 +63,22 @@ def parse(page: str) -> list[Node]:
     """The block elements in page order; the first is the root.  Text pieces carry whether they are link text."""
     root = Node("body", frozenset(), None)
     nodes, stack, at, size, link = [root], [root], 0, len(page), 0
+    bare = None  # the implied block of the present run of text directly in the body
 
     def text(a: int, b: int) -> None:
+        nonlocal bare
         if b > a:
             raw = page[a:b]
             top = stack[-1]
+            if top is root:
+                if bare is None:
+                    if not raw.strip():
+                        return
+                    bare = Node("#text", frozenset(), root)
+                    root.children.append(bare)
+                    root.items.append(bare)
+                    nodes.append(bare)
+                top = bare
             top.items.append(html.unescape(raw) if "&" in raw else raw)
             if link:
                 top.links += len(raw.strip())
@@ -122,13 +133,14 @@ def parse(page: str) -> list[Node]:
         if tag == "a":
             link = 1
         if tag in INLINE:
-            if tag == "br":
-                stack[-1].items.append(" ")
+            if tag == "br" and (len(stack) > 1 or bare):
+                (stack[-1] if len(stack) > 1 else bare).items.append(" ")
             continue
         if tag in ("html", "body"):
             continue
         if tag in VOID:
             stack[-1].items.append(None)  # ends a block of text
+            bare = bare if len(stack) > 1 else None
             continue
         if tag in CLOSES_P:
             for i in range(len(stack) - 1, 0, -1):
@@ -147,6 +159,7 @@ def parse(page: str) -> list[Node]:
         tokens = frozenset()
         if signs:
             tokens = frozenset(t for name, value in ATTRIBUTE.findall(signs) if name.lower() in ("class", "id", "role", "itemprop") for t in SIGNS.findall(value.lower()))
+        bare = None
         node = Node(tag, tokens, stack[-1])
         stack[-1].children.append(node)
         stack[-1].items.append(node)
@@ -308,6 +321,12 @@ def compose(rng: random.Random) -> tuple[str, set[str]]:
     body = f"<{tag}{mark(True)}{name}>{article()}</{tag}>" if rng.random() > 0.02 else ""
     if rng.random() < 0.4:
         body = f"<div{mark(True)} class=\"{rng.choice(['content', 'main', 'wrap', 'page'])}\">{junk() if rng.random() < 0.3 else ''}{body}{junk() if rng.random() < 0.5 else ''}</div>"
+    if rng.random() < 0.2:  # an old page, or one whose article ends too early
+        loose = "<hr>".join(f'<!--{mark(True)}-->' + rng.choice(["<br><br>", "<br>", " "]).join(prose(4, 120) for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 3)))
+        body = body + "</div>" * 3 + "<hr>" + loose + "<hr>" if rng.random() < 0.3 else "<hr>" + loose + "<hr>"
+    if rng.random() < 0.2:
+        loose = " | ".join(f'<a href="/{i}">{prose(1, 3)}</a>' for i in range(rng.randint(2, 7))) if rng.random() < 0.6 else f"&copy; {prose(1, 6)}"
+        body = f"<hr><!--{mark(False)}-->{loose}<hr>{body}" if rng.random() < 0.5 else f"{body}<hr><!--{mark(False)}-->{loose}<hr>"
     head = f"<header{mark(False)}>{lorem(1, 5, False, 'p')}<nav{mark(False)}>{links(4)}</nav></header>" if rng.random() < 0.4 else f"<nav{mark(False)}>{links(rng.randint(3, 8))}</nav>" if rng.random() < 0.8 else ""
     before = "".join(junk() for _ in range(rng.randint(0, 2)))
     after = "".join(junk() for _ in range(rng.randint(0, 3)))

@@ -66,3 +66,14 @@ def test_malformed_markup_keeps_the_rest_of_the_page(odd):
         assert tail in texts and "And an end of the story that is told." in texts
     if "never" not in odd:  # a later quote must not swallow what lies between
         assert tail in [t for x in main_text.parse(page.replace("<p>And", '<p class="b">And')) for t in x.items if isinstance(t, str)]
+
+
+def test_text_directly_in_the_body_is_a_block():
+    trees = main_text.fitted()
+    story = "The old story begins here, and it goes on for a good while. There is more of it, told in plain words, line after line."
+    more = "Then a second part follows, as long as the first one was. It has words enough to be read, and it ends in the way that stories do."
+    assert main_text.extract(f"{story}<br><br>{more}", trees) == f"{story} {more}"
+    assert main_text.extract(f"<html><body>{story}<br>{more} <b>Bold</b> end.</body></html>", trees) == f"{story} {more} Bold end."
+    page = f'<nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></nav><div class="content"><h1>Title</h1><p>{story}</p></div></div>{more}<footer>&copy; me</footer>'
+    got = main_text.extract(page, trees)
+    assert story in got and more in got and "Home" not in got and "me" not in got.split()
