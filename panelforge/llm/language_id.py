@@ -1,18 +1,20 @@
 """Language identification by bit-sliced Bloom filters of character n-grams.
 
 Each language has a set of its most frequent n-grams (3 and 4 bytes of letters, word edges included), the same number
-for all.  The sets share one table of cells whose bits are languages: the cells of an n-gram's hashes, and-ed, return
-all languages that contain it in one look-up.  Per language the hits are counted over the text, corrected for the
+for all.  The sets share one table of cells whose bits are languages (a row of cells for every 64 of them): the cells of
+an n-gram's hashes, and-ed, return all languages that contain it in one look-up.  Per language the hits are counted over the text, corrected for the
 filter's false positives, and the highest rate decides.
 
 Learned from at most ``sample`` documents with a language whose crc32(doc_id) mod 3 is not 1.  Defined cases: null
-texts and texts without letters are ``und`` with score 0; with no training rows all are ``und``.  A null doc_id is
+texts and texts without letters (Unicode category L) are ``und`` with score 0; with no training rows all are ``und``.  A null doc_id is
 held out by nothing and trains nothing.  Equal rates go to the language first in the alphabet.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +25,20 @@ from pyspark.sql import functions as F
 from .flat import U64, mix
 from .sampling import bounded, bucket_of
 
-SAMPLE, GRAMS, CELLS, LANGUAGES = 8_192, 6_000, 1 << 18, 64
+SAMPLE, GRAMS, CELLS = 8_192, 6_000, 1 << 18
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
-_OTHER = re.compile(r"[\W\d_]+")
+
+
+@lru_cache(maxsize=1)
+def _other() -> re.Pattern:
+    """Runs of anything but letters: ``\\w`` also has numerals that are no digits, such as fractions and circled numbers."""
+    numerals = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
+    return re.compile(rf"[\W\d_{numerals}]+")
 
 
 def letters(text: str | None) -> bytes:
     """Lower-case letters with single spaces between and around words."""
-    return (" " + _OTHER.sub(" ", (text or "").lower()).strip() + " ").encode("utf-8", "replace")
+    return (" " + _other().sub(" ", (text or "").lower()).strip() + " ").encode("utf-8", "replace")
 
 
 def grams(line: bytes) -> np.ndarray:
@@ -50,14 +58,17 @@ def cells(g: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Filters:
+    """``table`` has a row of ``n`` cells for every 64 languages."""
+
     def __init__(self, sets: dict[str, np.ndarray], n: int = CELLS):
         self.names = sorted(sets)
         self.n = n
-        self.table = np.zeros(n, np.uint64)
+        self.table = np.zeros((-(-len(self.names) // 64), n), np.uint64)
         for i, name in enumerate(self.names):
             for c in cells(sets[name], n):
-                self.table[c] |= U64(1 << i)
-        self.false = np.array([float((self.table >> U64(i) & U64(1)).mean()) ** 3 for i in range(len(self.names))])
+                self.table[i // 64, c] |= U64(1 << i % 64)
+        full = [float((self.table[i // 64] >> U64(i % 64) & U64(1)).mean()) for i in range(len(self.names))]
+        self.false = np.array(full) ** 3
 
     def rates(self, line: bytes) -> np.ndarray | None:
         g = grams(line)
@@ -66,8 +77,9 @@ class Filters:
         hits = np.zeros(len(self.names))
         for s in range(0, len(g), 1 << 20):
             a, b, c = cells(g[s : s + (1 << 20)], self.n)
-            found = self.table[a] & self.table[b] & self.table[c]
-            hits += [np.count_nonzero(found & U64(1 << i)) for i in range(len(self.names))]
+            for w, row in enumerate(self.table):
+                found = row[a] & row[b] & row[c]
+                hits[64 * w : 64 * w + 64] += [np.count_nonzero(found & U64(1 << i)) for i in range(min(64, len(self.names) - 64 * w))]
         return np.clip((hits / len(g) - self.false) / (1 - self.false), 0, 1)
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -96,8 +108,6 @@ def train(docs: DataFrame, sample: int = SAMPLE, top: int = GRAMS, id_col: str =
     sets: dict[str, list] = {}
     for r in best.select("lang", "g").collect():  # bounded: ``top`` for each language
         sets.setdefault(r[0], []).append(r[1])
-    if len(sets) > LANGUAGES:
-        raise ValueError(f"{len(sets)} languages; a cell has {LANGUAGES} bits")
     return Filters({k: np.array(v, np.uint32) for k, v in sets.items()})
 
 
