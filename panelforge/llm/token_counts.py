@@ -1,7 +1,8 @@
 """Exact token counts of whole texts, and of every prefix, without re-encoding.
 
 A text is normalised and cut into words as its tokenizer's file says (NFC, white space, lower case; letters, single
-digits, other signs, English clitics; bytes as symbols; a marker at word ends).  A prefix program (bpe.py) then gives
+digits, other signs, English clitics; bytes as symbols; a marker at word ends), with the library's own tables of cases
+and classes, as Unicode versions differ in them.  A prefix program (bpe.py) then gives
 the exact count of each prefix of each word, and so of the text: questions of truncation and budget are look-ups.
 Counts of words are kept per worker in a bounded table.
 
@@ -13,11 +14,9 @@ from __future__ import annotations
 
 import json
 import re
-import unicodedata
 from functools import lru_cache
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,11 +24,12 @@ from .bpe import Merger, PrefixProgram
 
 LIMIT = 2048
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
-#: Fixed value: the word pattern of the tokenizer's file, with white space spelled as the Unicode property.
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
-#: The same over texts of ASCII and Latin-1 letters alone, for the faster matcher.
+#: Texts of ASCII and Latin-1 letters alone, whose classes and cases no Unicode version changed.
 PLAIN_TEXT = r"[\x00-\x1b\x20-\x7e\xa1\xa7\xa9\xab\xae\xb7\xbb\xbf-\xff]*"
-PLAIN_WORDS = r"'(?:[stmd]|re|ve|ll)|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\s]+"
+#: Fixed value: the word pattern of the tokenizer's file, over plain texts; other texts are matched by stand-ins of their characters.
+PLAIN_WORDS = r"'(?:[stmd]|re|ve|ll)|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\t-\r ]+"
+#: Stand-ins: a letter that begins no clitic, a digit, a sign, white space.
+LETTER, NUMBER, SIGN, SPACE = "a", "1", "!", " "
 KEPT_WORDS = 1_000_000
 
 
@@ -45,20 +45,38 @@ def byte_symbols() -> list[str]:
     return out
 
 
+class StandIns(dict):
+    """A stand-in of the same class for each code point beyond ASCII, as the library's own word pattern sees it; for str.translate."""
+
+    def __init__(self, library):
+        super().__init__({i: chr(i) for i in range(128)})
+        self.split = library.pre_tokenizer.pre_tokenize_str
+
+    def __missing__(self, code: int) -> str:
+        cuts = [span for _, span in self.split("a" + chr(code) + ".")]
+        got = {((0, 2), (2, 3)): LETTER, ((0, 1), (1, 2), (2, 3)): NUMBER, ((0, 1), (1, 3)): SIGN, ((0, 1), (2, 3)): SPACE}[tuple(cuts)]
+        self[code] = got
+        return got
+
+
 class Counter(dict):
     """Counts of words, found by the prefix program when first asked for."""
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        library = Tokenizer.from_file(path)
+        self.normalize = library.normalizer.normalize_str
+        self.stand_ins = StandIns(library)
         model, end = spec["model"], spec["model"]["end_of_word_suffix"] or ""
         ranks = {tuple(m) if isinstance(m, list) else tuple(m.split(" ")): i for i, m in enumerate(model["merges"])}
         vocab = model["vocab"]
         inner = {k: v for k, v in vocab.items() if not (end and k.endswith(end))}
         final = {k: v for k, v in vocab.items() if end and k.endswith(end)} if end else None
         self.program = PrefixProgram(inner, Merger(lambda a, b: ranks.get((a, b))), end, final)
-        self.specials = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"])) if spec["added_tokens"] else None
-        self.words = regex.compile(WORDS)
+        self.specials = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"])) if spec["added_tokens"] else None
         self.plain, self.plain_words = re.compile(PLAIN_TEXT), re.compile(PLAIN_WORDS)
         self.symbols = byte_symbols()
 
@@ -74,10 +92,15 @@ class Counter(dict):
             self[word] = n
         return n
 
-    @staticmethod
-    def normal(text: str) -> str:
-        text = unicodedata.normalize("NFC", text)
-        return "".join(c.lower() for c in text) if "Σ" in text else text.lower()  # a final sigma is no case of its own here
+    def normal(self, text: str) -> str:
+        """NFC, white space as spaces, lower case: by the library's own tables where the text is not plain."""
+        return text.lower() if self.plain.fullmatch(text) else self.normalize(text)
+
+    def words(self, text: str) -> list[str]:
+        """The words of a normal text."""
+        if self.plain.fullmatch(text):
+            return self.plain_words.findall(text)
+        return [text[m.start() : m.end()] for m in self.plain_words.finditer(text.translate(self.stand_ins))]
 
     def parts(self, text: str):
         """(normal text, number of special tokens after it)."""
@@ -91,15 +114,16 @@ class Counter(dict):
         yield self.normal(text[at:]), 0
 
     def count(self, text: str | None) -> int:
-        return sum(sum(map(self.__getitem__, (self.plain_words if self.plain.fullmatch(part) else self.words).findall(part))) + special for part, special in self.parts(text or ""))
+        return sum(sum(map(self.__getitem__, self.words(part))) + special for part, special in self.parts(text or ""))
 
     def prefix_counts(self, text: str) -> list[int]:
         """The token count of each prefix ``text[:i]`` of a text that is already normal and holds no special token, i from 0."""
         out, total, at = [0], 0, 0
-        for m in self.words.finditer(text):
+        for m in self.plain_words.finditer(text.translate(self.stand_ins)):
             out += [total] * (m.start() - at)
-            own, used = self.program.counts(self.mapped(m.group())), 0
-            for c in m.group():
+            word = text[m.start() : m.end()]
+            own, used = self.program.counts(self.mapped(word)), 0
+            for c in word:
                 used += len(c.encode())
                 out.append(total + own[used])
             total += own[-1]
