@@ -74,15 +74,17 @@ def sliding_argmin(values: np.ndarray, w: int) -> np.ndarray:
     n = len(values) - w + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    # van Herk: least value of prefixes and suffixes of blocks of w; ties go to the left by packing the index
-    size = -(-len(values) // w) * w
-    bits = max(28, int(size - 1).bit_length())  # fixed, so that equal windows of any two buffers choose alike
-    packed = np.full(size, np.iinfo(np.uint64).max, U64)
-    packed[: len(values)] = (values >> U64(bits) << U64(bits)) | np.arange(len(values), dtype=U64)
-    blocks = packed.reshape(-1, w)
-    left = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    right = np.minimum.accumulate(blocks, axis=1).ravel()
-    return (np.minimum(left[:n], right[w - 1 : w - 1 + n]) & U64((1 << bits) - 1)).astype(np.int64)
+    size = -(-len(values) // w) * w  # van Herk: least values of the prefixes and suffixes of blocks of w
+    padded = np.full(size, np.iinfo(values.dtype).max, values.dtype)
+    padded[: len(values)] = values
+    blocks, at = padded.reshape(-1, w), np.arange(size).reshape(-1, w)
+    left = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1]
+    right = np.minimum.accumulate(blocks, axis=1)
+    first = np.minimum.accumulate(np.where(blocks == left, at, size)[:, ::-1], axis=1)[:, ::-1].ravel()
+    fresh = np.ones(blocks.shape, bool)
+    fresh[:, 1:] = blocks[:, 1:] < right[:, :-1]
+    last = np.maximum.accumulate(np.where(fresh, at, 0), axis=1).ravel()
+    return np.where(left.ravel()[:n] <= right.ravel()[w - 1 : w - 1 + n], first[:n], last[w - 1 : w - 1 + n])
 
 
 def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,16 +153,3 @@ def covered(starts: np.ndarray, length: int, n: int) -> np.ndarray:
     edge = np.bincount(starts, minlength=n + length + 1).astype(np.int32)
     np.subtract.at(edge, starts + length, 1) if len(starts) < 64 else edge.__isub__(np.bincount(starts + length, minlength=len(edge)).astype(np.int32)[: len(edge)])
     return np.cumsum(edge)[:n] > 0
-
-
-def pieces(lengths: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Cut a list of documents into runs of about ``most`` bytes; one longer document is a run of its own."""
-    out, a, size = [], 0, 0
-    for i, n in enumerate(lengths.tolist()):
-        if size and size + n > most:
-            out.append((a, i))
-            a, size = i, 0
-        size += n
-    if a < len(lengths):
-        out.append((a, len(lengths)))
-    return out

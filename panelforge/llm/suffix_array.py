@@ -1,17 +1,16 @@
 """Suffix arrays by induced sorting, in numpy, and permuted longest common prefixes.
 
-The scan of induced sorting visits a bucket (one first symbol) at a time; what a bucket induces into itself forms
-further waves.  So a step is a few array operations for each bucket and wave instead of one for each suffix.
+Induction goes through the buckets of first symbols in chunks.  A chunk is a run of symbols none of which is induced
+from another symbol of the chunk, so all of its suffixes of the type in question are in place but for those induced
+within a run of one symbol; these are laid out at once from the lengths of the runs.  A chunk is then a few array
+operations, for small alphabets and for the large ones of reduced texts alike.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-from .flat import inverse, order_of, powers
-
-U64 = np.uint64
-_BASE = U64(0x9E3779B97F4A7C15)
+from .flat import U64, order_of
 
 
 def classify(t: np.ndarray) -> np.ndarray:
@@ -27,87 +26,102 @@ def classify(t: np.ndarray) -> np.ndarray:
 
 def _place(sa: np.ndarray, edge: np.ndarray, symbols: np.ndarray, items: np.ndarray, down: bool) -> None:
     """Append items to their buckets, at heads upwards or at tails downwards."""
-    order = np.argsort(symbols, kind="stable")
-    s = symbols[order].astype(np.int64)
-    count = np.bincount(s, minlength=len(edge))
-    rank = np.arange(len(s)) - (np.cumsum(count) - count)[s]
-    if down:
-        sa[edge[s] - 1 - rank] = items[order]
-        edge -= count
-    else:
-        sa[edge[s] + rank] = items[order]
-        edge += count
+    if not len(items):
+        return
+    order = np.argsort(symbols, kind="stable") if symbols.dtype == np.uint16 else order_of(symbols.astype(U64))
+    s = symbols[order]
+    start = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+    count = np.diff(np.append(start, len(s)))
+    rank = np.arange(len(s)) - np.repeat(start, count)
+    own = s[start].astype(np.int64)
+    base = np.repeat(edge[own], count)
+    sa[base - 1 - rank if down else base + rank] = items[order]
+    edge[own] += -count if down else count
+
+
+def _chunks(present: np.ndarray, bound: np.ndarray, down: bool) -> list[tuple[int, int]]:
+    """Runs of the symbols present (first and last index, in the order of the pass) without dependence inside."""
+    symbols, limit = present.tolist(), bound[present].tolist()
+    turn = range(len(symbols) - 1, -1, -1) if down else range(len(symbols))
+    out, first = [], None
+    for i in turn:
+        if first is None:
+            first = last = i
+        elif (limit[i] <= symbols[first]) if down else (limit[i] >= symbols[first]):
+            out.append((first, last))
+            first = i
+        last = i
+    if first is not None:
+        out.append((first, last))
+    return out
+
+
+def _runs(items: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """What items induce inside their runs of one symbol: all items a place back, then all two places back, and so on."""
+    r = left[items]
+    items, r = items[r > 0], r[r > 0]
+    if not len(items):
+        return items
+    k = np.arange(r.sum()) - np.repeat(np.cumsum(r) - r, r) + 1
+    return (np.repeat(items, r) - k)[np.argsort(k, kind="stable")]
 
 
 def induce(t: np.ndarray, is_s: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
-    """All suffixes, from leftmost-smaller ones in order."""
+    """All suffixes, from leftmost-smaller ones in order (by their first symbol at least)."""
     n = len(t)
     size = np.bincount(t, minlength=sigma)
     begin = np.cumsum(size) - size
-    larger = np.bincount(t[~is_s], minlength=sigma)
-    sa = np.full(n, -1, np.int64)
-    first = t[lms]
-    cut = np.searchsorted(first, np.arange(sigma + 1)) if len(lms) else np.zeros(sigma + 1, np.int64)
+    present = np.flatnonzero(size)
+    at = np.arange(n, dtype=np.int32)
+    new = np.ones(n, bool)
+    new[1:] = t[1:] != t[:-1]
+    left = at - np.maximum.accumulate(np.where(new, at, 0))  # equal symbols to the left
+    sa = np.full(n, -1, np.int32)
+    tail = begin + size
+    _place(sa, tail, t[lms[::-1]], lms[::-1], True)
+
+    step = np.flatnonzero(new[1:])  # places whose successor begins with another symbol
+    larger = np.full(sigma, -1, np.int64)
+    x = step[~is_s[step]]
+    np.maximum.at(larger, t[x], t[x + 1].astype(np.int64))
+    smaller = np.full(sigma, sigma, np.int64)
+    x = step[is_s[step]]
+    np.minimum.at(smaller, t[x], t[x + 1].astype(np.int64))
+
     head = begin.copy()
     sa[head[t[n - 1]]] = n - 1
     head[t[n - 1]] += 1
-
-    def step(items: np.ndarray, want_s: bool, edge: np.ndarray, down: bool) -> None:
-        before = items[items > 0] - 1
-        before = before[is_s[before] == want_s]
-        if len(before):
-            _place(sa, edge, t[before], before, down)
-
-    for c in np.flatnonzero(size).tolist():
-        done = begin[c]
-        while done < head[c]:
-            now = head[c]
-            wave = sa[done:now].copy()
-            done = now
-            step(wave, False, head, False)
-        if cut[c] < cut[c + 1]:
-            step(lms[cut[c] : cut[c + 1]], False, head, False)
+    for a, z in _chunks(present, larger, False):
+        part = sa[begin[present[a]] : begin[present[z]] + size[present[z]]]
+        have = part[part >= 0]
+        extra = _runs(have[~is_s[have]], left)
+        _place(sa, head, t[extra], extra, False)
+        before = part[part > 0] - 1
+        before = before[~is_s[before] & new[before + 1]]
+        _place(sa, head, t[before], before, False)
+    sa[is_s[sa] & (sa >= 0)] = -1
     tail = begin + size
-    for c in np.flatnonzero(size)[::-1].tolist():
-        done = begin[c] + size[c]
-        while done > tail[c]:
-            now = tail[c]
-            wave = sa[now:done][::-1].copy()
-            done = now
-            step(wave, True, tail, True)
-        if larger[c]:
-            step(sa[begin[c] : begin[c] + larger[c]][::-1].copy(), True, tail, True)
+    for z, a in _chunks(present, smaller, True):
+        part = sa[begin[present[a]] : begin[present[z]] + size[present[z]]][::-1]
+        have = part[part >= 0]
+        extra = _runs(have[is_s[have]], left)
+        _place(sa, tail, t[extra], extra, True)
+        before = part[part > 0] - 1
+        before = before[is_s[before] & new[before + 1]]
+        _place(sa, tail, t[before], before, True)
     return sa
 
 
-def rank_by_doubling(names: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of a text over a large alphabet; only ties are sorted again."""
-    n = len(names)
-    order = order_of(names.astype(U64))
-    new = np.ones(n, bool)
-    new[1:] = names[order][1:] != names[order][:-1]
-    start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    rank = np.empty(n, np.int64)
-    rank[order] = start
-    k = 1
-    tied = order[~(new & np.append(new[1:], True))]
-    while len(tied):
-        after = tied + k
-        nxt = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
-        by = order_of((rank[tied].astype(U64) << U64(int(n).bit_length())) | nxt.astype(U64))
-        items, own, nx = tied[by], rank[tied][by], nxt[by]
-        fresh = np.ones(len(items), bool)
-        fresh[1:] = (own[1:] != own[:-1]) | (nx[1:] != nx[:-1])
-        group = np.ones(len(items), bool)
-        group[1:] = own[1:] != own[:-1]
-        at = np.arange(len(items))
-        base = np.maximum.accumulate(np.where(group, at, 0))
-        value = own + np.maximum.accumulate(np.where(fresh, at, 0)) - base
-        rank[items] = value
-        tied = items[~(fresh & np.append(fresh[1:], True))]
-        k *= 2
-    out = np.empty(n, np.int64)
-    out[rank] = np.arange(n)
+def _alike(t: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether the stretches of ``length`` symbols from a and from b are equal, by comparison."""
+    out = np.ones(len(a), bool)
+    live, k = np.arange(len(a)), 0
+    while len(live):
+        live = live[length[live] > k]
+        differ = t[a[live] + k] != t[b[live] + k]
+        out[live[differ]] = False
+        live = live[~differ]
+        k += 1
     return out
 
 
@@ -115,40 +129,30 @@ def suffix_array(t: np.ndarray, sigma: int | None = None) -> np.ndarray:
     """The suffix array of a text of small non-negative symbols."""
     n = len(t)
     if n < 2:
-        return np.arange(n)
+        return np.arange(n, dtype=np.int32)
     sigma = sigma or int(t.max()) + 1
     is_s = classify(t)
-    lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
+    lms = (np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1).astype(np.int32)
     if len(lms) > 1:
-        # sort leftmost-smaller substrings: a first induction from them in the order of their first symbol alone
+        # sort leftmost-smaller substrings: an induction from them in the order of their first symbol alone
         by_symbol = lms[np.argsort(t[lms], kind="stable")]
         sa = induce(t, is_s, by_symbol, sigma)
         is_lms = np.zeros(n, bool)
         is_lms[lms] = True
         srt = sa[is_lms[sa]]
-        # name them: equal length and equal content get one name
-        length = np.empty(n, np.int64)
-        length[lms] = np.append(lms[1:], n - 1) - lms + 1
-        with np.errstate(over="ignore"):
-            total = np.zeros(n + 1, U64)
-            np.add.accumulate((t.astype(U64) + U64(1)) * powers(_BASE, n), out=total[1:])
-            back = powers(inverse(_BASE), n)
-            value = (total[srt + length[srt]] - total[srt]) * back[srt]
+        # name them: equal ones get one name; the last one touches the end of the text and equals no other
+        length = np.zeros(n, np.int32)
+        length[lms[:-1]] = np.diff(lms) + 1
+        own, prev = length[srt[1:]], length[srt[:-1]]
+        maybe = np.flatnonzero((own == prev) & (own > 0))
         differ = np.ones(len(srt), bool)
-        differ[1:] = (value[1:] != value[:-1]) | (length[srt][1:] != length[srt][:-1])
-        if srt[0] == lms[-1] or True:  # the last one touches the end of the text and equals no other
-            last = np.flatnonzero(srt == lms[-1])[0]
-            differ[last] = True
-            if last + 1 < len(srt):
-                differ[last + 1] = True
-        name = np.empty(n, np.int64)
-        name[srt] = np.cumsum(differ) - 1
+        differ[1 + maybe] = ~_alike(t, srt[maybe], srt[maybe + 1], own[maybe])
         if differ.all():
             lms = srt
         else:
-            reduced = name[lms]
-            small = int(reduced.max()) < 1024
-            lms = lms[suffix_array(reduced) if small else rank_by_doubling(reduced)]
+            name = np.empty(n, np.int32)
+            name[srt] = np.cumsum(differ) - 1
+            lms = lms[suffix_array(name[lms])]
     return induce(t, is_s, lms, sigma)
 
 
@@ -159,13 +163,13 @@ def permuted_lcp(data: np.ndarray, sa: np.ndarray) -> np.ndarray:
     other one is its left neighbour's less one.
     """
     n = len(sa)
-    phi = np.full(n, -1, np.int64)
+    phi = np.full(n, -1, np.int32)
     phi[sa[1:]] = sa[:-1]
-    at = np.arange(n)
+    at = np.arange(n, dtype=np.int32)
     same = (at > 0) & (phi > 0)
     same[same] = data[at[same] - 1] == data[phi[same] - 1]
     open_ = np.flatnonzero(~same & (phi >= 0))
-    value = np.zeros(n, np.int64)
+    value = np.zeros(n, np.int32)
     wide = np.concatenate((data, np.zeros(16, np.uint8)))
     words = np.lib.stride_tricks.as_strided(wide.view(np.uint8), (n + 8, 8), (1, 1))
     a, b, k = open_, phi[open_], 0
@@ -175,7 +179,7 @@ def permuted_lcp(data: np.ndarray, sa: np.ndarray) -> np.ndarray:
         low = x & (~x + U64(1))  # lowest set bit: the first differing byte on a little-endian machine
         got = np.where(x == 0, 8, np.bitwise_count(low - U64(1)).astype(np.int64) >> 3)
         got = np.minimum(got, np.maximum(room, 0))
-        value[a] += got
+        value[a] += got.astype(np.int32)
         go = got == 8
         a, b = a[go], b[go]
         k += 8

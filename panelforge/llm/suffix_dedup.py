@@ -3,24 +3,29 @@
 Removed is each byte covered by an ``n``-byte string of a document that also starts earlier: in a document with a
 smaller id, or earlier in the same one.  Passes over bucketed documents (see buckets.py):
 
-1. anchors: the least q-gram hash of each n-byte window.  Equal windows have equal anchors at equal places, so a
-   window whose anchor counts once in the whole corpus occurs once; shards count anchors in sparse sketches that
-   never underestimate;
-2. segments: the windows of one anchor, for anchors that count two or more, as fingerprints.  A segment equal to an
-   earlier one is settled; of the others only the first of each kind stays, and only where one anchor has several
-   kinds do their bytes matter;
-3. those bytes go to the shard of their anchor, which builds suffix arrays by induced sorting (suffix_array.py):
-   places of neighbours whose permuted common prefix is ``n`` or more hold the same window, and the earliest stays;
+1. anchors: the leftmost least q-gram hash of each n-byte window.  Equal windows have equal anchors at equal places, so a
+   window whose anchor counts once in the whole corpus occurs once; shards count anchors in a sketch that never
+   underestimates;
+2. segments: the windows of one anchor's place, for anchors that count two or more.  A bucket builds suffix arrays by induced
+   sorting (suffix_array.py) over those segments whose anchor it holds twice: places of neighbours whose permuted common
+   prefix is ``n`` or more hold the same window, and the earliest stays.  What stays goes, with its bytes, to the shard
+   of its anchor;
+3. shards do the same with the segments of all buckets, up a tree of groups, so that no group hears an anchor from more
+   than a bounded number of buckets;
 4. buckets cover the bytes of the windows that lost and hash the rest.
 
-Defined cases: null and empty texts have no bytes and no spans.  Rows that share a doc_id are in one bucket; among
-them the order of their texts decides, so repeated rows lose to the first.  A null doc_id comes last.  Extra columns
-are ignored; an empty table gives an empty result.
+Every removed window comes out of a suffix array: anchors only say which segments need one, and segments with the same
+bytes are one entry of its text with all their places, so that a thousand copies are sorted once.
+
+Defined cases: null and empty texts have no bytes and no spans.  Rows that share a doc_id count as one document: earlier
+is the smaller start, and windows alike in both share their fate.  So do rows without a doc_id, which come last.  Extra
+columns are ignored; an empty table gives an empty result.  Rows equal in both doc_id and text share a bucket.
 """
 
 from __future__ import annotations
 
 import hashlib
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -33,23 +38,24 @@ from .suffix_array import permuted_lcp, suffix_array
 U64 = np.uint64
 LENGTH, GRAM = 100, 20
 #: Bytes in one suffix array; more only where one anchor has more.
-ARRAY_BYTES = 1 << 20
+ARRAY_BYTES = 1 << 21
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-_SEGMENT = np.dtype([("h", "<u8"), ("print", "<u8"), ("key", "<i8"), ("at", "<u4"), ("windows", "<u4")])
+#: A segment: its anchor, the document's id, its start in the document and in the bucket, and its windows.
+_SEGMENT = np.dtype([("h", "<u8"), ("key", "<i8"), ("off", "<u4"), ("at", "<u4"), ("windows", "<u4")])
+#: Kinds of messages: segments with their bytes, and windows that lost (starts and lengths of runs).
+BYTES, LOST = 0, 1
 
 
-def _segments(bucket: B.Bucket, n: int, q: int) -> tuple[np.ndarray, ...]:
-    """Of each anchor: its hash, first window that it serves, number of windows, document."""
-    out = []
+def _segments(bucket: B.Bucket, n: int, q: int) -> np.ndarray:
+    out = [np.zeros(0, _SEGMENT)]
     for a, z, at, data in bucket.runs():
         if len(data) < n:
             continue
         grams = flat.gram_hashes(data, q)
         least = flat.sliding_argmin(grams, n - q + 1)
         offset = bucket.offset[a : z + 1] - at
-        start = np.arange(len(least))
         doc = np.repeat(np.arange(z - a), np.diff(offset))[: len(least)]
-        inside = start + n <= offset[doc + 1]
+        inside = np.arange(len(least)) + n <= offset[doc + 1]
         new = np.ones(len(least), bool)
         new[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
         first = np.flatnonzero(new & inside)
@@ -57,176 +63,182 @@ def _segments(bucket: B.Bucket, n: int, q: int) -> tuple[np.ndarray, ...]:
         # windows of one anchor: up to the next anchor or the last window inside the document
         end = np.append(edge[1:], len(least))[np.searchsorted(edge, first)]
         end = np.minimum(end, offset[doc[first] + 1] - n + 1)
-        out.append((grams[least[first]], first + at, end - first, doc[first] + a))
-    if not out:
-        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return tuple(np.concatenate(x) for x in zip(*out))
+        rows = np.empty(len(first), _SEGMENT)
+        rows["h"], rows["key"], rows["off"], rows["at"], rows["windows"] = grams[least[first]], bucket.key[doc[first] + a], first - offset[doc[first]], first + at, end - first
+        out.append(rows)
+    return np.concatenate(out)
 
 
-def _prints(bucket: B.Bucket, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range; ranges ascend and each lies in one document."""
-    out = np.zeros(len(start), U64)
-    for a, z, at, data in bucket.runs():
-        x, y = np.searchsorted(start, [at, at + len(data)])
-        if x < y:
-            with np.errstate(over="ignore"):
-                total = np.zeros(len(data) + 1, U64)
-                np.add.accumulate(flat.CODES_B[data] * flat.powers(flat.BASE_B, len(data)), out=total[1:])
-                back = flat.powers(flat.inverse(flat.BASE_B), len(data) + 1)
-                s = start[x:y] - at
-                out[x:y] = flat.mix((total[s + length[x:y]] - total[s]) * back[s] + length[x:y].astype(U64))
-    return out
-
-
-def _shard(h: np.ndarray, shards: int) -> np.ndarray:
-    return ((h >> U64(34)) % U64(shards)).astype(np.int64)
-
-
-def _lost(b: int, s: int, at: np.ndarray, windows: np.ndarray) -> tuple[int, int, int, bytes]:
-    return s, b, 1, np.stack([at, windows]).astype(np.uint32).tobytes()
-
-
-def _kinds(h: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """An order by (h, print), stable, and where an h and a kind begin in it."""
-    order = flat.order_of(h)
-    a, p = h[order], prints[order]
-    if np.any((a[1:] == a[:-1]) & (p[1:] != p[:-1])):
-        order = np.lexsort((np.arange(len(h)), prints, h))
-        a, p = h[order], prints[order]
-    new_h = np.ones(len(a), bool)
-    new_h[1:] = a[1:] != a[:-1]
-    new = new_h.copy()
-    new[1:] |= p[1:] != p[:-1]
-    return order, new_h, new
-
-
-def _repeats(rows: list, n: int) -> list:
-    """Windows of segments that occur in an earlier place: (row, offset of the window), by suffix arrays.  rows: (anchor, key, bucket, at, windows, bytes), ordered by anchor."""
-    out, a = [], 0
-    while a < len(rows):
-        z, size = a, 0
-        while z < len(rows) and (size < ARRAY_BYTES or rows[z][0] == rows[z - 1][0]):
-            size += len(rows[z][5]) + 1
-            z += 1
-        part = rows[a:z]
-        data = np.frombuffer(b"\xff".join(r[5] for r in part) + b"\xff", np.uint8)
-        length = np.array([len(r[5]) for r in part])
-        begin = np.cumsum(length + 1) - length - 1
-        t = data.astype(np.uint16) + 1
-        t[begin + length] = 0
-        sa = suffix_array(t, 257)
-        lcp = permuted_lcp(data, sa)
-        seg = np.repeat(np.arange(len(part)), length + 1)
-        room = (begin + length)[seg] - np.arange(len(t))
-        before = np.concatenate(([0], room[sa[:-1]]))
-        alike = np.minimum(np.minimum(lcp[sa], room[sa]), before) >= n
-        group = np.cumsum(~alike)
-        mine = np.flatnonzero(alike | np.append(alike[1:], False))
-        place, group = sa[mine], group[mine]
-        s = seg[place]
-        off = place - begin[s]
-        key, at = np.array([r[1] for r in part])[s], np.array([r[3] for r in part])[s] + off
-        order = np.lexsort((at, key, group))
-        late = np.ones(len(order), bool)
-        late[np.flatnonzero(np.diff(group[order], prepend=-1))] = False
-        lost = order[late]
-        out += list(zip((s[lost] + a).tolist(), off[lost].tolist()))
+def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... for each run of ``count`` numbers."""
+    return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+
+def _kinds(rows: np.ndarray, place: np.ndarray, data: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Segments with the same bytes are one kind.  Returns an order of the segments by anchor, kind and rank (document's id, start), where kinds begin in it, and where anchors do."""
+    view, length = memoryview(data), rows["windows"].astype(np.int64) + n - 1
+    digest = np.frombuffer(b"".join([blake2b(view[x:y], digest_size=16).digest() for x, y in zip(place.tolist(), (place + length).tolist())]), np.uint64).reshape(-1, 2)
+    order = np.lexsort((rows["off"], rows["key"], digest[:, 1], digest[:, 0], rows["h"]))
+    h, d = rows["h"][order], digest[order]
+    anchor = np.ones(len(order), bool)
+    anchor[1:] = h[1:] != h[:-1]
+    kind = anchor.copy()
+    kind[1:] |= (d[1:] != d[:-1]).any(axis=1)
+    return order, kind, anchor
+
+
+def _classes(part: np.ndarray, place: np.ndarray, data: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of the segments ``part`` in the order of their suffix array, and where a window begins that differs from the one before."""
+    windows = part["windows"].astype(np.int64)
+    length = windows + n - 1
+    head = np.cumsum(length + 1) - length - 1
+    text = np.full(int((length + 1).sum()), 255, np.uint8)
+    inner = _ranges(head, length)
+    text[inner] = data[_ranges(place, length)]
+    t = np.zeros(len(text), np.uint16)
+    t[inner] = text[inner].astype(np.uint16) + 1
+    sa = suffix_array(t, 257)
+    lcp = permuted_lcp(text, sa)
+    room = np.repeat((head + length).astype(np.int32), length + 1) - np.arange(len(t), dtype=np.int32)
+    here = room[sa]
+    alike = np.minimum(np.minimum(lcp[sa], here), np.concatenate(([0], here[:-1]))) >= n
+    mine = np.flatnonzero(here >= n)  # suffixes that begin a window; suffixes without one lie between classes
+    number = np.full(len(t), -1, np.int64)
+    number[_ranges(head, windows)] = np.arange(windows.sum())
+    return number[sa[mine]], ~alike[mine]
+
+
+def _late(rows: np.ndarray, place: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
+    """Of each window of the segments, in their order, whether an equal window starts earlier; ``place``: where a segment's bytes begin in ``data``.
+
+    The suffix arrays hold each kind of segment once; a class of equal windows takes its earliest start from all
+    segments of its kinds.
+    """
+    windows = rows["windows"].astype(np.int64)
+    first = np.cumsum(windows) - windows
+    late = np.zeros(int(windows.sum()), bool)
+    h, count = np.unique(rows["h"], return_counts=True)
+    many = np.flatnonzero(count[np.searchsorted(h, rows["h"])] > 1)  # an anchor met once cannot repeat
+    if not len(many):
+        return late
+    own, place = rows[many], place[many]
+    order, kind, anchor = _kinds(own, place, data, n)
+    lead = order[kind]  # of each kind its earliest segment
+    whose = np.empty(len(own), np.int64)
+    whose[order] = np.cumsum(kind) - 1
+    size = np.cumsum(own["windows"][lead] + np.int64(n))
+    begin = np.append(np.flatnonzero(anchor[kind]), len(lead))  # kinds of an anchor
+    end = np.concatenate(([0], size))[begin]  # bytes before each anchor, and in all
+    width = own["windows"][lead].astype(np.int64)
+    window = np.cumsum(width) - width  # windows of kinds, end to end
+    key, start = np.zeros(int(width.sum()), np.int64), np.zeros(int(width.sum()), np.int64)
+    a = 0
+    while a < len(begin) - 1:
+        z = max(a + 1, int(np.searchsorted(end, end[a] + ARRAY_BYTES, "right")) - 1)
+        x, y = begin[a], begin[z]
         a = z
-    return out
+        part = own[lead[x:y]]
+        which, new = _classes(part, place[lead[x:y]], data, n)
+        k = np.repeat(part["key"], width[x:y])[which]
+        at = (np.repeat(part["off"], width[x:y]).astype(np.int64) + _ranges(np.zeros(y - x, np.int64), width[x:y]))[which]
+        opens = np.flatnonzero(new)
+        least = np.minimum.reduceat(k, opens)
+        group = np.cumsum(new) - 1
+        soonest = np.minimum.reduceat(np.where(k == least[group], at, np.iinfo(np.int64).max), opens)
+        key[window[x] + which], start[window[x] + which] = least[group], soonest[group]
+    w = windows[many]
+    at = _ranges(window[whose], w)
+    mine, here = np.repeat(own["key"], w), _ranges(own["off"].astype(np.int64), w)
+    late[_ranges(first[many], w)] = (mine > key[at]) | ((mine == key[at]) & (here > start[at]))
+    return late
+
+
+def _cut(rows: np.ndarray, late: np.ndarray, want: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of windows that are late or not: as segments of their own, and the segment that each comes from."""
+    windows = rows["windows"].astype(np.int64)
+    seg = np.repeat(np.arange(len(rows)), windows)
+    off = np.arange(len(seg)) - np.repeat(np.cumsum(windows) - windows, windows)
+    mine = late == want
+    opens = mine.copy()
+    opens[1:] &= ~mine[:-1] | (seg[1:] != seg[:-1])
+    start = np.flatnonzero(opens)
+    count = np.diff(np.append(start, len(seg))) if not len(start) else np.add.reduceat(mine & (seg == seg[start][np.cumsum(opens) - 1]), start, dtype=np.int64)
+    out = rows[seg[start]].copy()
+    out["off"] += off[start].astype(np.uint32)
+    out["at"] += off[start].astype(np.uint32)
+    out["windows"] = count
+    return out, seg[start]
 
 
-def remove_repeats(docs: DataFrame, n: int = LENGTH, q: int = GRAM, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = B.BUCKET_BYTES, with_text: bool = False) -> DataFrame:
+def _lost(s: int, b: int, rows: np.ndarray, late: np.ndarray) -> list:
+    runs, _ = _cut(rows, late, True)
+    return [(s, b, LOST, np.stack([runs["at"], runs["windows"]]).astype(np.uint32).tobytes())] if len(runs) else []
+
+
+def _bytes(b: int, rows: np.ndarray, place: np.ndarray, data: np.ndarray, n: int, shards: int | None, s: int = 0) -> list:
+    """Segments with their bytes, to their shards (or all to one)."""
+    if not len(rows):
+        return []
+    shard = ((rows["h"] >> U64(34)) % U64(shards)).astype(np.int64) if shards else np.full(len(rows), s)
+    order = np.argsort(shard, kind="stable")
+    rows, place, shard = rows[order], place[order], shard[order]
+    length = rows["windows"].astype(np.int64) + n - 1
+    body = data[_ranges(place, length)]
+    edge, at = np.flatnonzero(np.diff(shard, prepend=-1)).tolist() + [len(rows)], np.concatenate(([0], np.cumsum(length)))
+    return [(int(shard[x]), b, BYTES, np.uint32(y - x).tobytes() + rows[x:y].tobytes() + body[at[x] : at[y]].tobytes()) for x, y in zip(edge, edge[1:])]
+
+
+def remove_repeats(docs: DataFrame, n: int = LENGTH, q: int = GRAM, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = B.BUCKET_BYTES, with_text: bool = False, fan: int = B.FAN) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each document, and the kept text if asked for (broken characters at cuts left out)."""
-    count = B.bucket_count(docs, bucket_bytes)
+    count = B.bucket_count(docs, bucket_bytes, text_col)
     shards = max(32, count // 2)
     dealt = B.bucketed(docs, count, id_col, text_col)
 
     def anchors(b: int, bucket: B.Bucket) -> list:
-        return B.sketch_messages(b, *B.sketch_of(_segments(bucket, n, q)[0], shards))
+        return B.sketch_messages(b, _segments(bucket, n, q)["h"], shards)
 
     def segments(b: int, bucket: B.Bucket, told: list) -> list:
-        h, at, windows, doc = _segments(bucket, n, q)
-        if not len(h):
-            return []
-        cell = B.cell_keys(h, shards)
-        order = flat.order_of(cell)
-        step = np.diff(cell[order], prepend=cell[order[:1]] + U64(1)) != 0
-        again = B.repeated_keys(cell[order][step], told)
-        keep = np.sort(order[again[np.cumsum(step) - 1]])
-        h, at, windows, key = h[keep], at[keep], windows[keep], bucket.key[doc[keep]]
-        if not len(h):
+        rows = _segments(bucket, n, q)
+        rows = rows[B.suspects(rows["h"], shards, told)]
+        if not len(rows):
             return []
-        prints = _prints(bucket, at, windows + n - 1)
-        order, _, new = _kinds(h, prints)
-        late = order[~new]
-        out = [_lost(b, b % shards, at[late], windows[late])] if len(late) else []
-        first = order[new]
-        rows = np.empty(len(first), _SEGMENT)
-        for name, x in (("h", h), ("print", prints), ("key", key), ("at", at), ("windows", windows)):
-            rows[name] = x[first]
-        shard = _shard(rows["h"], shards)
-        by = np.argsort(shard, kind="stable")
-        rows, shard = rows[by], shard[by]
-        edge = np.flatnonzero(np.diff(shard, prepend=-1)).tolist() + [len(shard)]
-        return out + [(int(shard[x]), b, 0, rows[x:y].tobytes()) for x, y in zip(edge, edge[1:])]
-
-    def compare(s: int, told: list) -> list:
-        out = [(s, b, 1, body) for _, b, kind, body in told if kind]
-        parts = [(b, np.frombuffer(body, _SEGMENT)) for _, b, kind, body in told if not kind]
-        if not parts:
-            return out
-        rows = np.concatenate([p for _, p in parts])
-        home = np.repeat([b for b, _ in parts], [len(p) for _, p in parts])
-        # earliest first, so that the stable order below puts it at the head of its kind
-        early = np.lexsort((rows["at"], rows["key"]))
-        rows, home = rows[early], home[early]
-        order, new_h, new = _kinds(rows["h"], rows["print"])
-        anchor = np.cumsum(new_h) - 1
-        several = np.bincount(anchor[new]) > 1
-        state = np.zeros(len(rows), np.int8)
-        state[order[~new]] = 1
-        state[order[new & several[anchor]]] = 2
-        for kind in (1, 2):
-            idx = np.flatnonzero(state == kind)
-            idx = idx[np.argsort(home[idx], kind="stable")]
-            edge = np.flatnonzero(np.diff(home[idx], prepend=-1)).tolist() + [len(idx)]
-            for x, y in zip(edge, edge[1:]):
-                part = rows[idx[x:y]]
-                b = int(home[idx[x]])
-                out.append(_lost(b, s, part["at"], part["windows"]) if kind == 1 else (s, b, 2, np.sort(part, order="at").tobytes()))
-        return out
-
-    def contents(b: int, bucket: B.Bucket, told: list) -> list:
-        out = [(s, b, 1, body) for s, _, kind, body in told if kind == 1]
-        raw = memoryview(bucket.data)
-        for s, _, kind, body in told:
-            if kind == 2:
-                rows = np.frombuffer(body, _SEGMENT)
-                out.append((s, b, 2, body + b"".join([raw[x : x + w + n - 1] for x, w in zip(rows["at"].tolist(), rows["windows"].tolist())])))
-                out[-1] = (s, b, 2, np.uint32(len(rows)).tobytes() + out[-1][3])
-        return out
+        late = _late(rows, rows["at"].astype(np.int64), bucket.data, n)
+        stay, _ = _cut(rows, late, False)
+        return _lost(b % shards, b, rows, late) + _bytes(b, stay, stay["at"].astype(np.int64), bucket.data, n, shards)
 
-    def arrays(s: int, told: list) -> list:
-        out = [(s, b, 1, body) for _, b, kind, body in told if kind == 1]
-        rows = []
+    def arrays(s: int, told: list, root: bool) -> list:
+        out = [(s, b, LOST, body) for _, b, kind, body in told if kind == LOST]
+        rows, home, place, data, total = [], [], [], [], 0
         for _, b, kind, body in told:
-            if kind == 2:
+            if kind == BYTES:
                 m = int(np.frombuffer(body, np.uint32, 1)[0])
-                head = np.frombuffer(body, _SEGMENT, m, 4)
-                p = 4 + head.nbytes
-                for h, _, key, at, w in head.tolist():
-                    rows.append((h, key, b, at, w, body[p : p + w + n - 1]))
-                    p += w + n - 1
-        rows.sort(key=lambda r: r[0])
-        lost: dict[int, list] = {}
-        for i, off in _repeats(rows, n):
-            lost.setdefault(rows[i][2], []).append(rows[i][3] + off)
-        return out + [_lost(b, s, np.array(at), np.ones(len(at), np.int64)) for b, at in lost.items()]
+                part = np.frombuffer(body, _SEGMENT, m, 4)
+                length = part["windows"].astype(np.int64) + n - 1
+                raw = np.frombuffer(body, np.uint8, offset=4 + part.nbytes)
+                rows.append(part)
+                home.append(np.full(m, b))
+                place.append(np.cumsum(length) - length + total)
+                data.append(raw)
+                total += len(raw)
+        if not rows:
+            return out
+        rows, home, place, data = map(np.concatenate, (rows, home, place, data))
+        late = _late(rows, place, data, n)
+        edge = np.flatnonzero(np.diff(home, prepend=-1)).tolist() + [len(home)]
+        window = np.concatenate(([0], np.cumsum(rows["windows"], dtype=np.int64)))
+        for x, y in zip(edge, edge[1:]):
+            b, mine = int(home[x]), late[window[x] : window[y]]
+            out += _lost(s, b, rows[x:y], mine)
+            if not root:
+                stay, whose = _cut(rows[x:y], mine, False)
+                moved = stay["off"].astype(np.int64) - rows["off"][x:y][whose]
+                out += _bytes(b, stay, place[x:y][whose] + moved, data, n, None, s)
+        return out
 
     def last(bucket: B.Bucket, told: list) -> pa.Table:
         edge = np.zeros(len(bucket.data) + n + 1, np.int32)
         for _, _, kind, body in told:
-            if kind == 1:
+            if kind == LOST:
                 at, w = np.frombuffer(body, np.uint32).reshape(2, -1).astype(np.int64)
                 np.add.at(edge, at, 1)
                 np.subtract.at(edge, at + w + n - 1, 1)
@@ -250,6 +262,5 @@ def remove_repeats(docs: DataFrame, n: int = LENGTH, q: int = GRAM, id_col: str
         return pa.table(cols | ({"text": pa.array(texts, pa.string())} if with_text else {}))
 
     often = B.answer(B.ask(dealt, anchors), B.merge_sketches)
-    wanted = B.answer(B.ask(dealt, segments, often), compare)
-    lost = B.answer(B.ask(dealt, contents, wanted), arrays)
+    lost = B.climb(B.ask(dealt, segments, often), count, arrays, fan)
     return B.finish(dealt, lost, last, SCHEMA + (", text string" if with_text else ""))
