@@ -44,9 +44,6 @@ class PrefixProgram:
         for k, v in inner.items():
             self.text[v] = k
         self.longest = max(map(len, self.final), default=1)
-        self.reach: dict[str, int] = {}
-        for k in inner:
-            self.reach[k[:2]] = max(self.reach.get(k[:2], 1), len(k))
         self.bare = {k[: len(k) - len(end)] for k in self.final}
         self.auto = ahocorasick.Automaton()
         for k, v in inner.items():
@@ -118,44 +115,3 @@ class PrefixProgram:
     def count(self, word: str) -> int:
         last, count = self.inner_pass(word)
         return self.final_count(word, len(word), last, count)
-
-    def path(self, word: str) -> list[int]:
-        """The tokens of a word without end marker, -1 for a symbol that no token covers.
-
-        Depth first over the lattice, longest arc first: arcs between incompatible tokens weigh infinity and one path
-        is finite, so the first that reaches the end is the shortest.  A prefix has one encoding, so a place that led
-        nowhere once is dead.
-        """
-        n, inner, pairs, stride, reach = len(word), self.inner, self.pairs, self.size, self.reach
-        if len(pairs) > 2_000_000:
-            pairs.clear()
-        out: list[int] = []
-        ends = [0]
-        dead: set[int] = set()
-        i, before, most = 0, -1, n
-        while i < n:
-            found = False
-            for size in range(min(reach.get(word[i : i + 2], 1), n - i, most), 0, -1):
-                token = inner.get(word[i : i + size], -1)
-                if token < 0 and size > 1 or i + size in dead:
-                    continue
-                if token >= 0:
-                    key = before * stride + stride + token
-                    ok = pairs.get(key)
-                    if ok is None:
-                        ok = pairs[key] = self.compatible(before, self.text[token], False)
-                    if not ok:
-                        continue
-                out.append(token)
-                i += size
-                ends.append(i)
-                before, most, found = token, n, True
-                break
-            if not found:  # back: try a shorter arc from the place before
-                dead.add(i)
-                token = out.pop()
-                ends.pop()
-                most = i - ends[-1] - 1
-                i = ends[-1]
-                before = out[-1] if out else -1
-        return out

@@ -1,9 +1,10 @@
 """Near-duplicate embeddings by product quantisation with an exact cosine rerank.
 
 The index: coarse lists (k-means over unit vectors) and residual codes of subspaces, fitted on a bounded sample
-(``sample`` distinct vectors, those of the least id hash), filled with every vector.  A query visits each list whose
+(``sample`` distinct vectors, those of the least hash), filled with every vector.  Lists are the root of the number of
+vectors, as far as the sample has ``PER_CENTRE`` vectors for each; beyond that lists grow, in blocks.  A query visits each list whose
 cell can hold a link: a vector within distance t of the query cannot lie in a cell whose bisecting plane is farther
-than t.  Inside a list, table-lookup distances less the code's own error are a lower bound of the true distance, so
+than t.  A list's queries are dealt by list as well as by label, so a member meets only those that probe its list.  Inside a list, table-lookup distances less the code's own error are a lower bound of the true distance, so
 the shortlist loses no link; exact cosines in double precision decide.  Recall is therefore 1 but for rounding.
 
 Equal vectors are one entry with a multiplicity.  Lists are cut into blocks of members and of queries, so that a
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from .components import components, local_labels, written
 
 COSINE = 0.93
-SAMPLE, PER_LIST, BLOCK, LISTS = 16_384, 8_192, 8_192, 1_024
+SAMPLE, BLOCK, PER_CENTRE = 65_536, 8_192, 8
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 0) -> np.ndarray:
@@ -56,7 +57,7 @@ class Index:
         self.books = [_kmeans(rest[:, p], 256, seed=seed + 1 + i) for i, p in enumerate(self.parts)]
 
     def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        far = ((x[:, None, :] - self.centres[None]) ** 2).sum(-1) if len(x) * self.centres.size < 1 << 24 else np.maximum((x * x).sum(1)[:, None] - 2 * x @ self.centres.T + (self.centres**2).sum(1), 0)
+        far = np.maximum((x * x).sum(1)[:, None] - 2 * x @ self.centres.T + (self.centres**2).sum(1), 0)
         return far.argmin(1), far
 
     def encode(self, x: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,11 +70,18 @@ class Index:
             error += ((rest[:, p] - book[codes[:, i]]) ** 2).sum(1)
         return codes, np.sqrt(error)
 
-    def probes(self, own: np.ndarray, far: np.ndarray, reach: float) -> np.ndarray:
-        """Lists whose cell comes within ``reach`` of each query."""
-        apart = np.sqrt(np.maximum(((self.centres[:, None] - self.centres[None]) ** 2).sum(-1), 0))[own]
-        lead = far - far[np.arange(len(own)), own][:, None]
-        return lead <= 2 * apart * reach + 1e-9
+    def probes(self, own: np.ndarray, far: np.ndarray, reach: float) -> list[np.ndarray]:
+        """Lists whose cell comes within ``reach`` of each query: a bisecting plane lies (far - nearest) / (2 * distance of the centres) away."""
+        norm = (self.centres**2).sum(1)
+        out = []
+        step = max(1, (1 << 22) // len(self.centres))
+        for i in range(0, len(own), step):
+            mine = own[i : i + step]
+            apart = np.sqrt(np.maximum(norm[mine][:, None] - 2 * self.centres[mine] @ self.centres.T + norm, 0))
+            lead = far[i : i + step] - far[np.arange(i, i + len(mine)), mine][:, None]
+            row, which = np.nonzero(lead <= 2 * apart * reach + 1e-6)
+            out += np.split(which.astype(np.int32), np.searchsorted(row, np.arange(1, len(mine))))
+        return out
 
     def distances(self, x: np.ndarray, which: int, codes: np.ndarray) -> np.ndarray:
         """Asymmetric distances of queries to the coded members of one list."""
@@ -127,20 +135,22 @@ def _search(table: pa.Table, index: Index, which: int, cosine: float) -> pa.Tabl
     return pa.table({"u": pa.array(names[hit], pa.int64()), "v": pa.array(names[label[hit]], pa.int64()), "links": pa.array(count[hit], pa.int64())})
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPLE, per_list: int = PER_LIST, block: int = BLOCK, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for each row."""
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPLE, lists: int | None = None, block: int = BLOCK, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
+    """(vec_id, n_links, component_id, kept) for each row.  lists: coarse lists, the root of the number of distinct vectors unless given."""
     emb = F.transform(F.col(vec_col), lambda v: v.cast("double") + F.lit(0.0))
     fine = F.col("label").isNotNull() & F.col("emb").isNotNull() & F.forall("emb", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("emb", lambda v: v != 0)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), emb.alias("emb")).withColumn("fine", F.coalesce(fine, F.lit(False)))
-    rows = rows.withColumn("vid", F.when(F.col("fine"), F.xxhash64("label", "emb")))
-    distinct = written(rows.where("fine").groupBy("vid").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("emb").alias("emb")).withColumn("dim", F.size("emb")))
+    for name, seed in (("h1", 1), ("h2", 2)):  # 128 bits stand for a vector and its label
+        rows = rows.withColumn(name, F.when(F.col("fine"), F.xxhash64(F.lit(seed), "label", "emb")))
+    merged = rows.where("fine").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("emb").alias("emb"))
+    distinct = written(merged.withColumn("dim", F.size("emb")).withColumn("vid", F.monotonically_increasing_id()))  # numbered once: the table is read back
     spark = vectors.sparkSession
     total = {r["dim"]: r["n"] for r in distinct.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n")).collect()}  # a row for each length of vector
     indexes = {}
     for dim, n in total.items():
-        got = distinct.where(F.col("dim") == dim).orderBy(F.xxhash64("vid"), "vid").select("emb").limit(sample).toArrow()
-        indexes[dim] = Index(_vectors(got.column("emb")), int(min(LISTS, max(1, -(-n // per_list)))))
-    held = spark.sparkContext.broadcast(indexes)  # bounded: LISTS centres and 16 x 256 codes for each length
+        got = distinct.where(F.col("dim") == dim).orderBy("h1", "h2").select("emb").limit(sample).toArrow()
+        indexes[dim] = Index(_vectors(got.column("emb")), lists or max(1, min(round(n**0.5), sample // PER_CENTRE)))
+    held = spark.sparkContext.broadcast(indexes)  # bounded: at most sample / PER_CENTRE centres and 16 x 256 codes for each length
     reach = float(np.sqrt(2 - 2 * cosine))
 
     def encode(batches):
@@ -153,21 +163,23 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SA
                 own, far = index.assign(x)
                 codes, error = index.encode(x, own)
                 probe = index.probes(own, far, reach)
-                yield pa.RecordBatch.from_arrays([part.column("vid"), part.column("copies"), part.column("label"), part.column("dim"), part.column("emb"), pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array([np.flatnonzero(p).astype(np.int32) for p in probe], pa.list_(pa.int32()))], ["vid", "copies", "label", "dim", "emb", "list", "codes", "error", "probes"])
+                yield pa.RecordBatch.from_arrays([part.column("vid"), part.column("copies"), part.column("label"), part.column("dim"), part.column("emb"), pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(probe, pa.list_(pa.int32()))], ["vid", "copies", "label", "dim", "emb", "list", "codes", "error", "probes"])
 
     kind = dict(distinct.dtypes)["label"]
     coded = written(distinct.select("vid", "copies", "label", "dim", "emb").mapInArrow(encode, f"vid long, copies long, label {kind}, dim int, emb array<double>, list int, codes binary, error double, probes array<int>"))
     cell = ["label", "dim", "list"]
-    lists = coded.groupBy(*cell).agg(F.ceil(F.count("*") / block).cast("int").alias("nm"))
-    labels = coded.groupBy("label", "dim").agg(F.ceil(F.count("*") / block).cast("int").alias("nq"))
+    blocks = lambda c: F.ceil(F.count("*") / block).cast("int").alias(c)
     salt = lambda n: F.pmod(F.xxhash64("vid"), F.col(n)).cast("int")
-    cols = ["label", "dim", "list", "mb", "qb", "side", "vid", "copies", "emb", "codes", "error"]
-    members = coded.join(lists, cell).join(labels, ["label", "dim"]).withColumn("mb", salt("nm")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("nq") - 1))).withColumn("side", F.lit(1)).select(*cols)
-    queries = coded.withColumn("list", F.explode("probes")).join(lists, cell).join(labels, ["label", "dim"]).withColumn("qb", salt("nq")).withColumn("mb", F.explode(F.sequence(F.lit(0), F.col("nm") - 1))).withColumn("side", F.lit(0)).select(*cols)
-    found = written(members.union(queries).groupBy("label", "dim", "list", "mb", "qb").applyInArrow(lambda key, t: _search(t, held.value[key[1].as_py()], key[2].as_py(), cosine), "u long, v long, links long"))
+    asked = coded.withColumn("list", F.explode("probes"))
+    # blocks of members and of queries of each cell; a cell without members is asked by nobody
+    cells = written(coded.groupBy(*cell).agg(blocks("nm")).join(asked.groupBy(*cell).agg(blocks("nq")), cell))
+    cols = [*cell, "mb", "qb", "side", "vid", "copies", "emb", "codes", "error"]
+    members = coded.join(cells, cell).withColumn("mb", salt("nm")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("nq") - 1))).withColumn("side", F.lit(1)).select(*cols)
+    queries = asked.join(cells, cell).withColumn("qb", salt("nq")).withColumn("mb", F.explode(F.sequence(F.lit(0), F.col("nm") - 1))).withColumn("side", F.lit(0)).select(*cols)
+    found = written(members.union(queries).groupBy(*cell, "mb", "qb").applyInArrow(lambda key, t: _search(t, held.value[key[1].as_py()], key[2].as_py(), cosine), "u long, v long, links long"))
     comp = components(found.select("u", "v"))
     links = found.groupBy("u").agg(F.sum("links").alias("links")).withColumnRenamed("u", "vid")
-    roots = distinct.select("vid", "rep", "copies").join(comp, F.col("vid") == F.col("vertex"), "left").withColumn("root", F.coalesce("component", "vid"))
-    named = roots.join(roots.groupBy("root").agg(F.min("rep").alias("least")), "root").join(links, "vid", "left").select("vid", "least", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n"))
-    out = rows.select("vec_id", "vid").join(named, "vid", "left")
+    roots = distinct.select("h1", "h2", "vid", "rep", "copies").join(comp, F.col("vid") == F.col("vertex"), "left").withColumn("root", F.coalesce("component", "vid"))
+    named = roots.join(roots.groupBy("root").agg(F.min("rep").alias("least")), "root").join(links, "vid", "left").select("h1", "h2", "least", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n"))
+    out = rows.select("vec_id", "h1", "h2").join(named, ["h1", "h2"], "left")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("least", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -1,7 +1,7 @@
 """Encoding and decoding with sentence pieces, as a weighted transducer.
 
-The transducer is the composition of a normaliser (spaces to the mark U+2581, a mark in front), the pieces and a byte
-fallback for symbols that no piece covers.  A text composed with it is a lattice whose tropical shortest path is the
+Normaliser, pieces and byte fallback (for symbols that no piece covers) are compiled from the model's file.  A
+normalised text composed with pieces and fallback is a lattice, and its shortest path in the tropical semiring is the
 encoding.  Pieces of a unigram model weigh their negative score.  Merged pieces (BPE) are not a sum of weights: there
 the acceptor has a state for each piece, an arc weighs zero where its two pieces are compatible and infinity else, and
 exactly one path is finite (see bpe.py).  No piece has a mark after another symbol, so the lattice falls apart at
@@ -13,7 +13,9 @@ to a space, as in the library.  Rows are independent.
 
 from __future__ import annotations
 
+import math
 import re
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -28,66 +30,158 @@ KEPT_WORDS, KEPT_SEGMENTS = 500_000, 300_000
 SCHEMA = "doc_id long, n_pieces long, ids array<int>, round_trip boolean"
 
 
+def _fields(body: bytes):
+    """(number, value) of the fields of a protocol-buffer message."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = body[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(body):
+        tag = varint()
+        kind = tag & 7
+        if kind == 0:
+            yield tag >> 3, varint()
+        else:
+            size = {1: 8, 5: 4}.get(kind) or varint()
+            yield tag >> 3, body[at : at + size]
+            at += size
+
+
+def _replacements(table: bytes) -> dict[str, str]:
+    """The rules of a model's table of replacements: a double-array trie of sources, then the targets, each ended by a zero byte."""
+    if len(table) < 4:
+        return {}
+    size = int.from_bytes(table[:4], "little")
+    units, targets = np.frombuffer(table, "<u4", size // 4, 4).tolist(), table[4 + size :]
+    out, work = {}, [(0, b"")]
+    while work:
+        node, source = work.pop()
+        unit = units[node]
+        base = node ^ ((unit >> 10) << ((unit & 1 << 9) >> 6))
+        if unit >> 8 & 1:
+            begin = units[base] & 0x7FFFFFFF
+            out[source.decode("utf-8", "replace")] = targets[begin : targets.index(b"\0", begin)].decode()
+        for c in range(1, 256):
+            if (base ^ c) < len(units) and units[base ^ c] & 0x800000FF == c:
+                work.append((base ^ c, source + bytes([c])))
+    return out
+
+
+class Normaliser:
+    """The normaliser of a model as its file states it: replacements, longest first, white space, a mark in front."""
+
+    def __init__(self, spec: bytes):
+        own = dict(_fields(spec))
+        self.prefix, self.squeeze, self.escape = (bool(own.get(k, 1)) for k in (3, 4, 5))
+        self.rules = _replacements(own.get(2, b""))
+        self.source = re.compile("|".join(re.escape(k) for k in sorted(self.rules, key=len, reverse=True))) if self.rules else None
+
+    def __call__(self, text: str) -> str:
+        if self.source:
+            text = self.source.sub(lambda m: self.rules[m[0]], text)
+        if self.squeeze:
+            text = re.sub(" +", " ", text.strip(" "))
+        if self.prefix and text:
+            text = " " + text
+        return text.replace(" ", MARK) if self.escape else text
+
+
 class Transducer(dict):
-    """Segments to the bytes of their ids (32-bit)."""
+    """Segments to the bytes of their ids (32-bit).
 
-    def __init__(self, path: str, kind: str = "bpe"):
-        import sentencepiece
+    kind: the model's own unless given; "unigram" weighs each piece by its negative score, "bpe" each pair of pieces.
+    """
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        n = model.get_piece_size()
-        name = [model.id_to_piece(i) for i in range(n)]
-        plain = [i for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
-        byte = {int(name[i][3:5], 16): i for i in range(n) if model.is_byte(i)}
-        self.kind, self.unknown = kind, model.unk_id()
+    def __init__(self, path: str, kind: str | None = None):
+        with open(path, "rb") as f:
+            model = list(_fields(f.read()))
+        pieces = [dict(_fields(body)) for number, body in model if number == 1]
+        trainer = dict(_fields(next(body for number, body in model if number == 2)))
+        self.normalise = Normaliser(next((body for number, body in model if number == 3), b""))
+        self.kind = kind or ("bpe" if trainer.get(3, 1) == 2 else "unigram")
+        name = [p[1].decode() for p in pieces]
+        type_ = [p.get(3, 1) for p in pieces]  # fixed values: 1 normal, 2 unknown, 3 control, 4 given by the user, 5 unused, 6 byte
+        plain = [i for i, t in enumerate(type_) if t in (1, 4)]
+        byte = {int(name[i][3:5], 16): i for i, t in enumerate(type_) if t == 6}
+        self.unknown = type_.index(2)
         self.inner = {name[i]: i for i in plain}
-        self.weight = {i: -model.get_score(i) for i in plain}
+        self.weight = {i: -struct.unpack("<f", pieces[i].get(2, bytes(4)))[0] for i in plain}
         self.bytes_of = [byte.get(b, self.unknown) for b in range(256)]
         self.fallback = len(byte) == 256
-        self.output = [b""] * n
+        self.worst = max(self.weight.values(), default=0.0) + 10
+        self.output = [b""] * len(name)
         for i in plain:
             self.output[i] = name[i].replace(MARK, " ").encode()
         for b, i in byte.items():
             self.output[i] = bytes([b])
         rank = {p: self.weight[i] for p, i in self.inner.items()}
         self.program = PrefixProgram(self.inner, Merger(lambda a, b: rank.get(a + b)))
+        self.single = {p for p in self.inner if len(p) == 1}
         #: Neighbouring symbols inside pieces: between any others no path crosses.
         self.bonds = {p[i : i + 2] for p in self.inner for i in range(len(p) - 1)}
         self.apart = not any(b[1] == MARK != b[0] for b in self.bonds)
-        self.lines = self.apart and not any("\n" in p for p in self.inner)
+        self.lines = self.apart and not any("\n" in p for p in self.inner) and self.normalise.prefix and not self.normalise.squeeze and not self.normalise.rules
         self.cut = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+", re.S) if self.apart else re.compile(".+", re.S)
         self.segments: dict[str, bytes] = {}
 
-    def normalise(self, text: str) -> str:
-        return MARK + text.replace(" ", MARK) if text else ""
+    def compose(self, segment: str) -> list[list[tuple[int, int]]]:
+        """The arcs of a segment composed with pieces and fallback, by the place where they end: (length, piece), piece -1 for a symbol that none covers."""
+        arcs: list[list[tuple[int, int]]] = [[] for _ in range(len(segment) + 1)]
+        for at, (token, size, _) in self.program.auto.iter(segment):
+            arcs[at + 1].append((size, token))
+        for i, symbol in enumerate(segment, 1):
+            if symbol not in self.single:
+                arcs[i].append((1, -1))
+        return arcs
+
+    def weigh(self, before: int, token: int) -> float:
+        """The weight of an arc after the piece ``before`` (-1: the start, or a symbol without a piece)."""
+        if self.kind == "unigram":
+            return self.weight[token] if token >= 0 else self.worst
+        if token < 0:
+            return 0.0
+        pairs = self.program.pairs
+        ok = pairs.get((before, token))
+        if ok is None:
+            if len(pairs) > 2_000_000:
+                pairs.clear()
+            ok = pairs[before, token] = self.program.compatible(before, self.program.text[token], False)
+        return 0.0 if ok else math.inf
+
+    def shortest_path(self, segment: str) -> tuple[float, list[tuple[int, str]]]:
+        """The tropical shortest path of the composition: its weight, and its pieces with the symbols they stand for.
+
+        States are places, and for merged pieces the last piece too; there only one state of a place has a finite
+        distance, as a prefix has one encoding, so a place holds one distance in either case.
+        """
+        n = len(segment)
+        distance, last, back = [0.0] + [math.inf] * n, [-1] * (n + 1), [0] * (n + 1)
+        for i, arcs in enumerate(self.compose(segment)):
+            for size, token in arcs:
+                d = distance[i - size]
+                if d < distance[i]:
+                    d += self.weigh(last[i - size], token)
+                    if d < distance[i]:
+                        distance[i], last[i], back[i] = d, token, size
+        steps, i = [], n
+        while i:
+            steps.append((last[i], segment[i - back[i] : i]))
+            i -= back[i]
+        return distance[n], steps[::-1]
 
     def lattice_path(self, segment: str) -> list[int]:
-        """The shortest path through the lattice of a segment."""
-        if self.kind == "bpe":
-            steps, at = [], 0
-            for token in self.program.path(segment):
-                size = len(self.program.text[token]) if token >= 0 else 1
-                steps.append((token, segment[at : at + size] if token < 0 else ""))
-                at += size
-        else:
-            n = len(segment)
-            best, back = [0.0] + [float("inf")] * n, [(0, -1)] * (n + 1)
-            arcs: dict[int, list] = {}
-            for at, (token, size, _) in self.program.auto.iter(segment):
-                arcs.setdefault(at + 1, []).append((size, token, self.weight[token]))
-            worst = max(self.weight.values()) + 10
-            for i in range(1, n + 1):
-                for size, token, w in [*arcs.get(i, ()), *([(1, -1, worst)] if all(a[0] > 1 for a in arcs.get(i, ())) else [])]:
-                    if best[i - size] + w < best[i]:
-                        best[i], back[i] = best[i - size] + w, (size, token)
-            steps, i = [], n
-            while i:
-                size, token = back[i]
-                steps.append((token, segment[i - size : i]))
-                i -= size
-            steps.reverse()
+        """The ids of a segment."""
         out: list[int] = []
-        for token, symbol in steps:
+        for token, symbol in self.shortest_path(segment)[1]:
             if token >= 0:
                 out.append(token)
             elif self.fallback:
@@ -133,15 +227,15 @@ class Transducer(dict):
 
     def decode(self, ids) -> str:
         out = b"".join(map(self.output.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids)).decode("utf-8", "replace")
-        return out[1:] if out.startswith(" ") else out
+        return out[1:] if self.normalise.prefix and out.startswith(" ") else out
 
 
 @lru_cache(maxsize=4)
-def transducer(path: str, kind: str = "bpe") -> Transducer:
+def transducer(path: str, kind: str | None = None) -> Transducer:
     return Transducer(path, kind)
 
 
-def encode(docs: DataFrame, path: str, kind: str = "bpe", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, kind: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_pieces, ids, round_trip): round_trip says that the ids decode to the text, but for marks in it."""
 
     def run(batches):
@@ -157,7 +251,7 @@ def encode(docs: DataFrame, path: str, kind: str = "bpe", id_col: str = "doc_id"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
 
 
-def decode(encoded: DataFrame, path: str, kind: str = "bpe") -> DataFrame:
+def decode(encoded: DataFrame, path: str, kind: str | None = None) -> DataFrame:
     """(doc_id, text) from ids; null ids decode to the empty string."""
 
     def run(batches):

@@ -1,13 +1,14 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
 Tokens are lower-case words and their first 4, 5 and 6 letters, so that inflected forms share evidence; a word weighs as
-its heaviest token.  Their log-odds between toxic and as many other documents have Dirichlet priors (half a
-count, and more in proportion to the sample).  A token counts by its distinct left neighbours or distinct texts,
-whichever are fewer, not by occurrences, so that neither a thousand copies nor one long text weigh as many: 64-bit masks
-of hashed neighbours and texts for each class, merged by or and read by linear counting.  Tokens whose z-score is below ``Z`` or log-odds below ``ODDS`` weigh as the common drift, which is negative.  A linear scan (Ruzzo and Tompa, 1999) finds all maximal scoring segments of a text, each a passage
-(first and last word, score).  Scores become extreme values: lambda solves sum p e^(lambda s) = 1 under the other
-documents, a segment of score S among n words has the normalised score lambda S - ln n, and it is significant above
-``SIGNIFICANT``.  Their maximum and sum are calibrated on the training rows by a logistic curve.
+its heaviest token.  A token counts once for each different text that has it, so that neither a thousand copies nor one
+long text weigh as many.  Its log-odds between toxic and other texts have Dirichlet priors (half a count, and more in
+proportion to the sample).  Tokens whose z-score or log-odds fall below thresholds weigh as the common drift, which is
+negative.  A linear scan (Ruzzo and Tompa, 1999) finds all maximal scoring segments of a text, each a passage (first and
+last word, score).  Scores become extreme values: lambda solves sum p e^(lambda s) = 1 under the other documents, a
+segment of score S among n words has the normalised score lambda S - ln n, and it is significant above ``SIGNIFICANT``.
+Their maximum and sum are calibrated by a logistic curve.  The z-threshold and the curve are chosen inside the training
+rows: ``FOLDS`` folds of different texts, each measured with the weights of the others; the least log-loss decides.
 
 Learned from at most ``sample`` labelled rows whose crc32(doc_id) mod 5 is not 0.  Defined cases: null and empty texts
 score as texts without any segment; with no toxic training rows every score is 0.  Conflicting labels of one doc_id
@@ -18,7 +19,6 @@ from __future__ import annotations
 
 import math
 import re
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 
 from .sampling import bounded, bucket_of
 
-SAMPLE, Z, PRIOR, DRIFT, SIGNIFICANT, TOKENS, ODDS = 20_000, 1.9, 500.0, 0.05, 0.0, 50_000, 2.0
+SAMPLE, PRIOR, DRIFT, SIGNIFICANT, ODDS = 20_000, 500.0, 0.05, 0.0, 2.0
+#: Thresholds of the z-score, one of which the folds of the training rows choose, and those folds.
+Z, FOLDS = (1.5, 2.0, 2.5, 3.0, 4.0), 3
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 WORD = re.compile(r"\w+")
 
@@ -113,65 +115,67 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     return tuple(map(float, w))
 
 
+def _scorer(words: list[str], n1: np.ndarray, n0: np.ndarray, z: float) -> Scorer:
+    """Weights and the scale of extreme values, from the tokens' counts in toxic and other texts."""
+    t1, t0 = float(n1.sum()), float(n0.sum())
+    prior = 0.5 + PRIOR * (n1 + n0) / max(1.0, t1 + t0)
+    a, b = n1 + prior, n0 + prior
+    odds = np.log(a / (t1 + PRIOR + 0.5 * len(words) - a)) - np.log(b / (t0 + PRIOR + 0.5 * len(words) - b))
+    keep = np.flatnonzero((odds / np.sqrt(1 / a + 1 / b) >= z) & (odds >= ODDS) & (n1 > 2))
+    s, p = odds[keep], b[keep] / (t0 + PRIOR + 0.5 * len(words))
+    lo, hi = 1e-3, 20.0
+    for _ in range(60):  # the root of a convex function above 0
+        mid = (lo + hi) / 2
+        over = len(s) == 0 or (p * np.exp(mid * s)).sum() + (1 - p.sum()) * math.exp(-mid * DRIFT) > 1
+        lo, hi = (lo, mid) if over else (mid, hi)
+    return Scorer({words[i]: float(x) for i, x in zip(keep.tolist(), s)}, hi)
+
+
+def _loss(x: np.ndarray, y: np.ndarray, w: tuple[float, ...]) -> float:
+    p = np.clip(1 / (1 + np.exp(-np.clip(w[0] + x @ np.array(w[1:]), -30, 30))), 1e-9, 1 - 1e-9)
+    return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Scorer:
+    from .components import written
+
     known = labels.select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("y")).where(F.col("y").isNotNull() & F.col("id").isNotNull()).groupBy("id").agg(F.max("y").alias("y"))
     known = bounded(known.where(bucket_of("id", 5) != 0), "id", sample)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(known), "id")  # at most ``sample`` rows
-
-    toxic = known.where("y > 0").count()
-    if not toxic:
-        return Scorer({}, 1.0, curve=(-30.0, 0.0, 0.0))
-    others = bounded(known.where("y <= 0"), "id", toxic, seed=11)
-    even = known.where("y > 0").union(others)
+    pairs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(known), "id")  # at most ``sample`` ids
+    rows = pairs.groupBy("id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+    texts = written(rows.groupBy("text").agg(F.max("y").alias("y")).withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int")))
 
     def count(batches):
         for batch in batches:
-            masks: tuple[dict, ...] = ({}, {}, {}, {})  # neighbours and texts of other, then of toxic documents
-            for y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                near, own, before, text = masks[2 * (y > 0)], masks[2 * (y > 0) + 1], "", 1 << (crc32(t.encode()) & 63)
-                for w in WORD.findall(t.lower()):
-                    bit = 1 << (crc32(before.encode()) & 63)
-                    for token in forms(w):
-                        near[token] = near.get(token, 0) | bit
-                        own[token] = own.get(token, 0) | text
-                    before = w
-            words = sorted(masks[0].keys() | masks[2].keys())
-            if words:
-                cols = [np.array([m.get(w, 0) for w in words], np.uint64).view(np.int64) for m in masks]
-                yield pa.RecordBatch.from_arrays([pa.array(words), *map(pa.array, cols)], ["word", "b0", "t0", "b1", "t1"])
-
-    distinct = lambda m: -64 * F.log1p(-F.least(F.bit_count(m), F.lit(63.5)) / 64)  # noqa: E731  linear counting
-    from .components import written
-
-    pairs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(even), "id")
-    merged = pairs.select("y", "text").mapInArrow(count, "word string, b0 long, t0 long, b1 long, t1 long").groupBy("word").agg(*(F.bit_or(c).alias(c) for c in ("b0", "t0", "b1", "t1")))
-    counts = written(merged.select("word", *(F.least(distinct(F.col("b" + y)), distinct(F.col("t" + y))).alias("n" + y) for y in "01")))
-    total = counts.agg(F.sum("n1"), F.sum("n0")).first()
-    t1, t0 = float(total[0] or 0), float(total[1] or 0)
-    if not t1 or not t0:
-        return Scorer({}, 1.0, curve=(-30.0 if t0 or not t1 else 30.0, 0.0, 0.0))
-    prior = 0.5 + PRIOR * (F.col("n1") + F.col("n0")) / (t1 + t0)
-    a, b = F.col("n1") + prior, F.col("n0") + prior
-    odds = F.log(a / (t1 + PRIOR - a)) - F.log(b / (t0 + PRIOR - b))
-    best = counts.where("n1 > 2").select("word", odds.alias("s"), (odds / F.sqrt(1 / a + 1 / b)).alias("z"), (b / (t0 + PRIOR)).alias("p")).where((F.col("z") >= Z) & (F.col("s") >= ODDS)).orderBy(F.desc("z"), "word").limit(TOKENS).collect()
-    weights = {r["word"]: float(r["s"]) for r in best}
-    s, p = np.array([r["s"] for r in best]), np.array([r["p"] for r in best])
-    lo, hi = 1e-3, 20.0
-    for _ in range(60):  # the root of a convex function above 0
-        mid = (lo + hi) / 2
-        with np.errstate(over="ignore"):
-            over = (p * np.exp(mid * s)).sum() + (1 - p.sum()) * math.exp(-mid * DRIFT) > 1 if len(s) else True
-        lo, hi = (lo, mid) if over else (mid, hi)
-    scorer = Scorer(weights, hi)
-    held = docs.sparkSession.sparkContext.broadcast(scorer)
+            held: dict[tuple[str, int], int] = {}
+            for y, fold, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                column = 2 * fold + (y > 0)
+                for token in {t for w in set(WORD.findall(text.lower())) for t in forms(w)}:
+                    held[token, column] = held.get((token, column), 0) + 1
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in held]), pa.array([k[1] for k in held], pa.int32()), pa.array(held.values(), pa.int64())], ["word", "c", "n"])
+
+    counted = texts.select("y", "fold", "text").mapInArrow(count, "word string, c int, n long").groupBy("word").agg(*(F.sum(F.when(F.col("c") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in range(2 * FOLDS)))
+    table = counted.orderBy("word").toArrow()  # the vocabulary of a bounded number of texts
+    words = table["word"].to_pylist()
+    n = np.stack([table[f"n{c}"].to_numpy() for c in range(2 * FOLDS)]).astype(float) if words else np.zeros((2 * FOLDS, 0))
+    if not n[1::2].sum() or not n[::2].sum():
+        return Scorer({}, 1.0, curve=(30.0 if n[1::2].sum() else -30.0, 0.0, 0.0))
+    trial = [[_scorer(words, n[1::2].sum(0) - n[2 * f + 1], n[::2].sum(0) - n[2 * f], z) for z in Z] for f in range(FOLDS)]
+    held = docs.sparkSession.sparkContext.broadcast(trial)
 
     def measure(batches):
         for batch in batches:
-            f = [held.value.features(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in f], pa.float64()), pa.array([x[1] for x in f], pa.float64())], ["y", "a", "b"])
-
-    got = np.array([tuple(r) for r in rows.select("y", "text").mapInArrow(measure, "y int, a double, b double").collect()])  # at most ``sample`` rows of numbers
-    scorer.curve = _logistic(got[:, 1:], (got[:, 0] > 0).astype(float))
+            f = [[x for scorer in held.value[fold] for x in scorer.features(t)] for fold, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f, pa.list_(pa.float64()))], ["y", "x"])
+
+    got = texts.select("y", "fold", "text").mapInArrow(measure, "y int, x array<double>").toArrow()  # at most ``sample`` rows of numbers
+    y = (got["y"].to_numpy() > 0).astype(float)
+    x = np.array(got["x"].to_pylist(), float).reshape(len(y), len(Z), 2)
+    curves = [_logistic(x[:, i], y) for i in range(len(Z))]
+    best = min(range(len(Z)), key=lambda i: _loss(x[:, i], y, curves[i]))
+    scorer = _scorer(words, n[1::2].sum(0), n[::2].sum(0), Z[best])
+    scorer.curve = curves[best]
     return scorer
 
 
