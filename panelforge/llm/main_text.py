@@ -1,7 +1,7 @@
 """Main text of web pages by boosted trees over DOM nodes and hierarchical decoding.
 
 A tolerant parser builds the tree of block elements; the trees (boosting.py) give each the log-odds of being part of
-the article, from its tag, attribute tokens, depth, subtree density of text and links, place among its siblings and
+the article, from its tag, the learned weights of its and its ancestors' attribute tokens, depth, subtree density of text and links, place among its siblings and
 what its ancestors are.  Decoding is a dynamic program over the tree: a node kept or dropped, everything below a
 dropped node dropped, the sum of log-odds largest; so no kept block hangs below a dropped ancestor.
 
@@ -22,6 +22,7 @@ import random
 import re
 from functools import lru_cache
 from math import log1p
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -31,21 +32,24 @@ from pyspark.sql import functions as F
 from .boosting import Trees
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
-SAMPLE = 400
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|=(?!\s*[\"'])|[^=>])*)(>?)", re.S)
+SAMPLE = 800
+TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|=(?!\s*[\"'])|[^=>])*)(>?)", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 SIGNS = re.compile(r"[a-z]+")
+HEAD_END = re.compile(r"</head\b[^>]*>|(?=<(?:body|article|main|div|p|h1|header|nav)\b)", re.I)
 #: Fixed values of HTML: elements without an end, elements whose content is no text, and inline elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object canvas audio video head".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+CODE = frozenset("script style".split())
+RAW = frozenset("noscript template textarea title iframe svg canvas audio video".split())
+INLINE = frozenset("math mi mn mo ms mtext mrow msup msub mfrac object a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "option": ("select",)}
 TAGS = ("article", "main", "section", "div", "p", "h1", "h2", "h3", "h4", "ul", "ol", "li", "table", "td", "blockquote", "pre", "nav", "header", "footer", "aside", "form", "figure", "body", "button", "dl")
-#: Name parts that authors of pages use for articles and for what surrounds them.
-GOOD = frozenset("article main content post entry body story text".split())
-BAD = frozenset("nav menu header footer sidebar side aside ad ads advert advertisement banner promo sponsor sponsored cookie consent notice popup modal related share social subscribe newsletter widget breadcrumb breadcrumbs comment comments reply disqus form search login pagination toolbar tags meta".split())
+#: Names that authors of pages give to articles and to what surrounds them; only the training pages are made with them.
+GOOD = "article main content post entry body story text page blog news detail".split()
+BAD = "nav menu header footer sidebar side aside ad ads advert advertisement banner promo sponsor sponsored cookie consent notice popup modal related share social subscribe newsletter widget breadcrumb breadcrumbs comment comments reply disqus form search login pagination toolbar tags meta".split()
+NAME_BITS = 12
 
 
 class Node:
@@ -121,15 +125,18 @@ def parse(page: str) -> list[Node]:
                     link = 0
                     break
             continue
-        if tag in RAW:
-            if not signs.endswith("/"):
-                end = re.compile(f"</{tag}\\b[^>]*>", re.I).search(page, at) if tag != "head" else None
-                if tag != "head":
-                    at = end.end() if end else size
-            if tag == "head":
-                end = re.compile(r"</head\b[^>]*>|(?=<body\b)", re.I).search(page, at)
-                at = end.end() if end else at
+        if tag == "head":
+            end = HEAD_END.search(page, at)
+            at = end.end() if end else at
             continue
+        if tag in CODE or tag in RAW:
+            if not signs.endswith("/"):
+                end = re.compile(f"</{tag}\\b[^>]*>|<{tag}\\b" if tag in RAW else f"</{tag}\\b[^>]*>", re.I).search(page, at)
+                if end and end[0][1] == "/":
+                    at = end.end()
+                elif tag in CODE:  # code up to the end of the page
+                    at = size
+            continue  # never closed, or opened again first: the tag alone
         if tag == "a":
             link = 1
         if tag in INLINE:
@@ -168,8 +175,23 @@ def parse(page: str) -> list[Node]:
     return nodes
 
 
-def measure(nodes: list[Node]) -> np.ndarray:
-    """A row of features for each node."""
+def slots(name: str) -> set[int]:
+    """Slots of an attribute token: itself and its first four letters."""
+    return {crc32(part.encode()) & ((1 << NAME_BITS) - 1) for part in (name, name[:4] + "*")}
+
+
+def name_weights(tokens: list[frozenset], own: np.ndarray) -> np.ndarray:
+    """Log-odds of the article for each slot of attribute tokens, from labelled nodes; 0 for slots never met."""
+    count = np.zeros((2, 1 << NAME_BITS))
+    for names, y in zip(tokens, own.astype(int).tolist()):
+        for slot in {x for t in names for x in slots(t)}:
+            count[y, slot] += 1
+    total = count.sum(axis=1, keepdims=True) + 1
+    return np.where(count.sum(axis=0) > 1, np.log((count[1] + 0.5) / total[1]) - np.log((count[0] + 0.5) / total[0]), 0.0)
+
+
+def measure(nodes: list[Node], names: np.ndarray) -> np.ndarray:
+    """A row of features for each node; ``names``: what attribute tokens weigh."""
     for x in reversed(nodes):
         own = "".join(i for i in x.items if isinstance(i, str))
         x.chars += len(own)
@@ -197,14 +219,15 @@ def measure(nodes: list[Node]) -> np.ndarray:
     above: dict[int, tuple] = {}
     rows = np.zeros((len(nodes), 23 + len(TAGS)))
     for r, x in enumerate(nodes):
-        good, bad = len(x.tokens & GOOD), len(x.tokens & BAD)
-        up = above.get(id(x.parent), (0, 0, 0, 0, 0.0))
-        mine = (up[0] or x.tag in ("article", "main"), up[1] or good > 0, up[2] or bad > 0, up[3] or x.tag in ("nav", "header", "footer", "aside", "form"), 0.0)
+        told = [names[k] for t in x.tokens for k in slots(t)]
+        good, bad = max(told, default=0.0), min(told, default=0.0)
+        up = above.get(id(x.parent), (0, 0.0, 0.0, 0))
+        mine = (up[0] or x.tag in ("article", "main"), max(up[1], good), min(up[2], bad), up[3] or x.tag in ("nav", "header", "footer", "aside", "form"))
         above[id(x)] = mine
         spot = place.get(id(x), (0.5, 1.0, 1))
         density = x.links / max(1, x.chars)
         parent = x.parent or x
-        rows[r, :23] = (x.depth, log1p(x.chars), log1p(x.words), density, x.marks / max(1, x.words), x.n, x.chars / x.n, x.blocks, x.chars / total, len(x.children), *spot, good, bad, *map(float, mine[:4]), parent.links / max(1, parent.chars), log1p(parent.chars), x.chars / max(1, x.words), x.chars / max(1, parent.chars))
+        rows[r, :23] = (x.depth, log1p(x.chars), log1p(x.words), density, x.marks / max(1, x.words), x.n, x.chars / x.n, x.blocks, x.chars / total, len(x.children), *spot, good, bad, *map(float, mine), parent.links / max(1, parent.chars), log1p(parent.chars), x.chars / max(1, x.words), x.chars / max(1, parent.chars))
         if x.tag in TAGS:
             rows[r, 23 + TAGS.index(x.tag)] = 1
     return rows
@@ -271,7 +294,7 @@ def compose(rng: random.Random) -> tuple[str, set[str]]:
     def named(good: bool, words) -> str:
         return rng.choice(["", f' class="{rng.choice(words)}"', f' id="{rng.choice(words)}"', f' class="{rng.choice(words)} box{rng.randint(1, 9)}"'])
 
-    bad_words = sorted(BAD)
+    bad_words = BAD
     lorem = lambda lo, hi, own, tag="p": f"<{tag}{mark(own)}>{prose(lo, hi)}</{tag}>"
     links = lambda n, own=False: f"<ul{mark(own)}>" + "".join(f'<li{mark(own)}><a href="/{i}">{prose(1, 3)}</a></li>' for i in range(n)) + "</ul>"
 
@@ -317,7 +340,7 @@ def compose(rng: random.Random) -> tuple[str, set[str]]:
         return "".join(parts)
 
     tag = rng.choice(["article", "article", "main", "div", "section"])
-    name = "" if tag in ("article", "main") and rng.random() < 0.6 else f" class=\"{rng.choice(sorted(GOOD))}\""
+    name = "" if tag in ("article", "main") and rng.random() < 0.6 else f" class=\"{rng.choice(GOOD)}\""
     body = f"<{tag}{mark(True)}{name}>{article()}</{tag}>" if rng.random() > 0.02 else ""
     if rng.random() < 0.4:
         body = f"<div{mark(True)} class=\"{rng.choice(['content', 'main', 'wrap', 'page'])}\">{junk() if rng.random() < 0.3 else ''}{body}{junk() if rng.random() < 0.5 else ''}</div>"
@@ -334,27 +357,37 @@ def compose(rng: random.Random) -> tuple[str, set[str]]:
     return f"<html><head><title>t</title></head><body>{head}{before}{body}{after}{foot}</body></html>", set()
 
 
+class Model:
+    """Attribute tokens' weights and the trees."""
+
+    def __init__(self, names: np.ndarray, trees: Trees):
+        self.names, self.trees = names, trees
+
+    def odds(self, pages: list[list[Node]]) -> np.ndarray:
+        rows = [measure(nodes, self.names) for nodes in pages if nodes]
+        return self.trees.score(np.concatenate(rows)) if rows else np.zeros(0)
+
+
 @lru_cache(maxsize=1)
-def fitted(sample: int = SAMPLE, seed: int = 5) -> Trees:
-    """The classifier of this module; the same for every run."""
+def fitted(sample: int = SAMPLE, seed: int = 5) -> Model:
+    """The classifier of this module; the same for every run.  Names are weighed on one half of the pages, trees are fitted on the other with names so weighed."""
     rng = random.Random(seed)
-    rows, own = [], []
+    pages, own = [], []
     for _ in range(sample):
         page, _ = compose(rng)
-        truth = [int(x) for x in re.findall(r'data-own="(\d)"', page)]
-        nodes = parse(page)
-        rows.append(measure(nodes)[1:])
-        own += truth
-    return Trees().fit(np.concatenate(rows), np.array(own, float))
+        own.append(np.array([int(x) for x in re.findall(r'data-own="(\d)"', page)], float))
+        pages.append(parse(page))
+    half = sample // 2
+    names = name_weights([x.tokens for nodes in pages[:half] for x in nodes[1:]], np.concatenate(own[:half]))
+    rows = [measure(nodes, names)[1:] for nodes in pages[half:]]
+    return Model(names, Trees().fit(np.concatenate(rows), np.concatenate(own[half:])))
 
 
-def extract_all(pages: list[str | None], trees: Trees) -> list[str]:
+def extract_all(pages: list[str | None], model: Model) -> list[str]:
     """The main text of each page; nodes of all pages are scored together."""
     parsed = [parse(p) if p else [] for p in pages]
     parsed = [nodes if len(nodes) > 1 else [] for nodes in parsed]
-    rows = [measure(nodes) for nodes in parsed if nodes]
-    odds = trees.score(np.concatenate(rows)) if rows else np.zeros(0)
-    out, at = [], 0
+    odds, out, at = model.odds(parsed), [], 0
     for nodes in parsed:
         kept = decode(nodes, odds[at : at + len(nodes)])
         at += len(nodes)
@@ -362,8 +395,8 @@ def extract_all(pages: list[str | None], trees: Trees) -> list[str]:
     return out
 
 
-def extract(page: str | None, trees: Trees) -> str:
-    return extract_all([page], trees)[0]
+def extract(page: str | None, model: Model) -> str:
+    return extract_all([page], model)[0]
 
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
