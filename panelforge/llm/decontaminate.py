@@ -5,7 +5,7 @@ where some stretch of it is within an edit budget of ``rate * m``.  By the q-gra
 ``m - q + 1 - k q`` q-grams with the item, on diagonals that k insertions and deletions cannot leave; so shared q-grams
 are counted in overlapping diagonal bands, bands that reach the bound are retained, and a banded alignment decides.
 ``rate`` and ``q`` keep the bound above zero for every item of at least ``q (1 + rate) / (1 - rate q)`` characters;
-shorter items (but not empty ones) are searched for exactly.
+shorter items (but not empty ones) are searched for exactly, as whole words.
 
 Items are read into tasks in blocks of at most ``BLOCK_BYTES`` of text, one pass over the documents a block, so what is
 broadcast has a bound whatever the size of the benchmark.
@@ -98,7 +98,7 @@ class Items:
     def __init__(self, rows: list[tuple[int | None, str]], rate: float = RATE, q: int = GRAM):
         self.q, self.rate = q, rate
         texts = [(i, normalise(t)) for i, t in rows]
-        self.short = [(i, t) for i, t in texts if t and self.bound(len(t)) < 1]
+        self.short = [(i, f" {t} ") for i, t in texts if t and self.bound(len(t)) < 1]  # as whole words
         texts = [(i, t) for i, t in texts if t and self.bound(len(t)) >= 1]
         self.ids = [i for i, _ in texts]
         self.codes = [_codes(t) for _, t in texts]
@@ -130,7 +130,11 @@ class Items:
         return out
 
     def _find(self, lines: list[str], first: int) -> list[tuple]:
-        out = [(first + r, i, line.find(t), line.find(t) + len(t), 0, 0) for r, line in enumerate(lines) for i, t in self.short if t in line]
+        out = []
+        if self.short:
+            for r, line in enumerate(lines):
+                inside = f" {line} "
+                out += [(first + r, i, inside.index(t), inside.index(t) + len(t) - 2, 0, 0) for i, t in self.short if t in inside]
         codes = _codes("\0".join(lines))
         grams = _grams(codes, self.q)
         if not len(grams) or not len(self.known):
