@@ -34,20 +34,22 @@ def bucket_count(docs: DataFrame, per: int = BUCKET_BYTES, text_col: str = "text
     return int(min(max(64, -(-size // per)), 2**30))
 
 
-def bucketed(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(b, doc_id, text): null texts as empty ones.  Rows that share an id, or have none, are dealt by their texts too."""
+def bucketed(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """(b, doc_id, text) and a column that names the row, if asked for: null texts as empty ones.  Rows that share an id, or have none, are dealt by their texts too."""
     key, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.pmod(F.xxhash64(key, text), F.lit(n)).cast("int").alias("b"), key.alias("doc_id"), text.alias("text"))
+    own = [F.col(row_col).alias("row")] if row_col else []
+    return docs.select(F.pmod(F.xxhash64(key, text), F.lit(n)).cast("int").alias("b"), key.alias("doc_id"), text.alias("text"), *own)
 
 
 class Bucket:
     """The documents of a bucket in the order of (doc_id, text), nulls last, with their bytes end to end."""
 
     def __init__(self, table: pa.Table):
-        table = table.select(["doc_id", "text"])
+        table = table.select([c for c in ("doc_id", "text", "row") if c in table.column_names])
         order = pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("text", "ascending")], null_placement="at_end")
         table = table.take(order)
         self.ids = table.column("doc_id")
+        self.rows = table.column("row") if "row" in table.column_names else None
         self.n = table.num_rows
         text = table.column("text").combine_chunks() if self.n else pa.array([], pa.string())
         if isinstance(text, pa.ChunkedArray):

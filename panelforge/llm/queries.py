@@ -69,4 +69,56 @@ QUERIES = {
     "op9_html_extraction": op9_html_extraction,
     "op10_substring_dedup": op10_substring_dedup,
 }
-ORACLES: dict[str, str] = {}
+#: SQL over whole tables; the other queries have none and are tested against brute force, the tokenizers' libraries or held-out rows.
+ORACLES: dict[str, str] = {
+    "op2_suffix_array_dedup": r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+p AS (SELECT doc_id, x, unnest(generate_series(1, length(x) // 2 - 99)) AS i FROM d WHERE length(x) >= 200),
+k AS (SELECT doc_id, i, md5(substr(x, 2 * i - 1, 200)) AS h FROM p),
+late AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS r FROM k) WHERE r > 1
+),
+runs AS (
+  SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run
+  FROM (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS fresh FROM late)
+),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 99 AS z FROM runs GROUP BY doc_id, run),
+told AS (SELECT doc_id, sum(z - a + 1) AS n, count(*) AS spans, list(z ORDER BY a) AS ends, list(a ORDER BY a) AS starts FROM spans GROUP BY doc_id)
+SELECT d.doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN n IS NULL THEN x ELSE array_to_string(list_transform(generate_series(1, len(starts) + 1),
+    lambda j: substr(x, 2 * (CASE WHEN j = 1 THEN 0 ELSE ends[j - 1] END) + 1, 2 * (CASE WHEN j > len(starts) THEN length(x) // 2 + 1 ELSE starts[j] END - 1 - CASE WHEN j = 1 THEN 0 ELSE ends[j - 1] END))), '') END)) AS kept_sha256
+FROM d LEFT JOIN told t ON d.doc_id = t.doc_id
+""",
+    "op5_embedding_dedup": r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda e: e::DOUBLE) AS x FROM embeddings
+), u AS (
+  SELECT vec_id, label, x, sqrt(list_dot_product(x, x)) AS norm FROM v
+  WHERE label IS NOT NULL AND x IS NOT NULL AND len(list_filter(x, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(x, lambda e: e <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_dot_product(a.x, b.x) / (a.norm * b.norm) >= 0.93
+), reach AS (
+  SELECT a AS v, a AS root FROM links UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.v
+), comp AS (SELECT v, min(root) AS component FROM reach GROUP BY v),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(c.component, e.vec_id)::BIGINT AS component_id, coalesce(c.component, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN comp c ON c.v = e.vec_id
+""",
+    "op10_substring_dedup": r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+), p AS (
+  SELECT doc_id, words, unnest(generate_series(1, len(words) - 12)) AS i FROM w WHERE len(words) >= 13
+), k AS (SELECT doc_id, i, md5(array_to_string(words[i : i + 12], ' ')) AS h FROM p),
+late AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) AS first FROM k) WHERE doc_id > first),
+gone AS (SELECT DISTINCT doc_id, i + unnest(generate_series(0, 12)) AS i FROM late),
+each AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w),
+kept AS (
+  SELECT e.doc_id, string_agg(e.word, ' ' ORDER BY e.i) AS text, count(*) AS n
+  FROM each e ANTI JOIN gone g ON e.doc_id = g.doc_id AND e.i = g.i GROUP BY e.doc_id
+)
+SELECT w.doc_id, len(w.words)::BIGINT AS n_words, (len(w.words) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept k ON w.doc_id = k.doc_id
+""",
+}

@@ -8,7 +8,8 @@ a row and compares it with all rows not reached yet, so near copies of one row c
 
 Defined cases: null and empty texts and texts without words have the empty set and are copies of each other; texts
 shorter than a shingle have one shingle of all their words.  Repeated rows keep their number; extra columns are
-ignored; an empty table gives an empty result.  One candidate component is one task.
+ignored; an empty table gives an empty result.  A component of more than ``BLOCK`` rows is dealt by pairs of blocks, so a
+task holds a bounded number of sets; links of all pairs are joined by components again.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 SEED, BANDS, ROWS = 42, 32, 4
 #: Slots of the map of candidate ids that is broadcast (8 MB); a row that only shares a slot is read and left out.
 SLOTS = 1 << 26
+#: Rows of a candidate component in one block; a larger component is searched by pairs of blocks.
+BLOCK = 4_096
 _RNG = np.random.default_rng(SEED)
 _XOR = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=U64)
 _ODD = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=U64) * U64(2) + U64(1)
@@ -128,7 +131,7 @@ def _slots(members: DataFrame) -> np.ndarray:
     return out
 
 
-def near_duplicates(docs: DataFrame, k: int = SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """(doc_id, component_id) for each row: component_id is the smallest doc_id reachable by links."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = written(_signed(docs, k))
@@ -136,7 +139,9 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, similarity: float = SIMIL
     dealt = distinct.select("key", F.explode("bands").alias("band"))
     least = dealt.groupBy("band").agg(F.min("key").alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", "hub")
     near = written(components(dealt.join(least, "band").select(F.col("key").alias("u"), F.col("hub").alias("v")))).withColumnRenamed("vertex", "key")
-    members = distinct.join(near, "key").where("rep is not null").select(F.col("rep").alias("doc_id"), "key", "component")
+    blocks = near.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
+    split = near.join(blocks, "component").withColumn("own", F.pmod(F.xxhash64("key"), F.col("nb")).cast("int")).select("key", "component", "nb", "own")
+    members = distinct.select("key", "rep").where("rep is not null").join(split, "key").select(F.col("rep").alias("doc_id"), "key", "component", "nb", "own")
     held = docs.sparkSession.sparkContext.broadcast(_slots(members))
 
     def sets(batches):
@@ -146,16 +151,18 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, similarity: float = SIMIL
             go = (held.value[s >> 6] >> (s & 63).astype(U64) & U64(1)).astype(bool)
             batch = batch.filter(pa.array(go))
             own = [shingles(t.as_py(), k) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_key(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], ["doc_id", "key", "own"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_key(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], ["doc_id", "key", "body"])
 
     def search(t: pa.Table) -> pa.Table:
         key = t["key"].to_numpy()
         key, first = np.unique(key, return_index=True)
-        label = linked([np.frombuffer(t["own"][i].as_buffer(), U64) for i in first.tolist()], similarity)
+        label = linked([np.frombuffer(t["body"][i].as_buffer(), U64) for i in first.tolist()], similarity)
         return pa.table({"key": pa.array(key), "link": pa.array(key[label])})
 
-    found = docs.mapInArrow(sets, "doc_id long, key long, own binary").join(members, ["doc_id", "key"])
-    links = found.groupBy("component").applyInArrow(search, "key long, link long")
-    named = written(distinct.select("key", "rep").join(links, "key", "left").select("key", "rep", F.coalesce("link", "key").alias("link")))
+    found = docs.mapInArrow(sets, "doc_id long, key long, body binary").join(members, ["doc_id", "key"])
+    dealt = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    grouped = dealt.groupBy("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    links = components(grouped.applyInArrow(search, "key long, link long").where("key <> link"), "key", "link")
+    named = written(distinct.select("key", "rep").join(links.withColumnRenamed("vertex", "key"), "key", "left").select("key", "rep", F.coalesce("component", "key").alias("link")))
     first = named.groupBy("link").agg(F.min("rep").alias("component_id"))
     return signed.select("doc_id", "key").join(named.join(first, "link").select("key", "component_id"), "key").select("doc_id", "component_id")

@@ -26,17 +26,32 @@ def classify(t: np.ndarray) -> np.ndarray:
 
 def _place(sa: np.ndarray, edge: np.ndarray, symbols: np.ndarray, items: np.ndarray, down: bool) -> None:
     """Append items to their buckets, at heads upwards or at tails downwards."""
-    if not len(items):
+    n = len(items)
+    if not n:
         return
-    order = np.argsort(symbols, kind="stable") if symbols.dtype == np.uint16 else order_of(symbols.astype(U64))
+    order = np.argsort(symbols, kind="stable") if n < 4096 or symbols.dtype == np.uint16 else order_of(symbols.astype(U64))
     s = symbols[order]
-    start = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-    count = np.diff(np.append(start, len(s)))
-    rank = np.arange(len(s)) - np.repeat(start, count)
-    own = s[start].astype(np.int64)
-    base = np.repeat(edge[own], count)
-    sa[base - 1 - rank if down else base + rank] = items[order]
-    edge[own] += -count if down else count
+    start = np.flatnonzero(s[1:] != s[:-1]) + 1
+    if not len(start):  # one bucket
+        at = int(edge[s[0]])
+        if down:
+            sa[at - n : at] = items[::-1]
+        else:
+            sa[at : at + n] = items
+        edge[s[0]] += -n if down else n
+        return
+    start = np.concatenate(([0], start))
+    count = np.empty(len(start), np.int64)
+    count[:-1] = start[1:] - start[:-1]
+    count[-1] = n - start[-1]
+    own = s[start]
+    if down:
+        place = np.repeat(edge[own] - 1 + start, count) - np.arange(n)
+        edge[own] -= count
+    else:
+        place = np.repeat(edge[own] - start, count) + np.arange(n)
+        edge[own] += count
+    sa[place] = items[order]
 
 
 def _chunks(present: np.ndarray, bound: np.ndarray, down: bool) -> list[tuple[int, int]]:
@@ -88,14 +103,16 @@ def induce(t: np.ndarray, is_s: np.ndarray, lms: np.ndarray, sigma: int) -> np.n
     x = step[is_s[step]]
     np.minimum.at(smaller, t[x], t[x + 1].astype(np.int64))
 
+    runs = np.concatenate(([0], np.cumsum(np.bincount(t[left > 0], minlength=sigma)[present] > 0))).tolist()  # symbols with runs, up to each
     head = begin.copy()
     sa[head[t[n - 1]]] = n - 1
     head[t[n - 1]] += 1
     for a, z in _chunks(present, larger, False):
         part = sa[begin[present[a]] : begin[present[z]] + size[present[z]]]
-        have = part[part >= 0]
-        extra = _runs(have[~is_s[have]], left)
-        _place(sa, head, t[extra], extra, False)
+        if runs[z + 1] > runs[a]:
+            have = part[part >= 0]
+            extra = _runs(have[~is_s[have]], left)
+            _place(sa, head, t[extra], extra, False)
         before = part[part > 0] - 1
         before = before[~is_s[before] & new[before + 1]]
         _place(sa, head, t[before], before, False)
@@ -103,9 +120,10 @@ def induce(t: np.ndarray, is_s: np.ndarray, lms: np.ndarray, sigma: int) -> np.n
     tail = begin + size
     for z, a in _chunks(present, smaller, True):
         part = sa[begin[present[a]] : begin[present[z]] + size[present[z]]][::-1]
-        have = part[part >= 0]
-        extra = _runs(have[is_s[have]], left)
-        _place(sa, tail, t[extra], extra, True)
+        if runs[z + 1] > runs[a]:
+            have = part[part >= 0]
+            extra = _runs(have[is_s[have]], left)
+            _place(sa, tail, t[extra], extra, True)
         before = part[part > 0] - 1
         before = before[is_s[before] & new[before + 1]]
         _place(sa, tail, t[before], before, True)

@@ -38,7 +38,7 @@ from .suffix_array import permuted_lcp, suffix_array
 U64 = np.uint64
 LENGTH, GRAM = 100, 20
 #: Bytes in one suffix array; more only where one anchor has more.
-ARRAY_BYTES = 1 << 21
+ARRAY_BYTES = 1 << 22
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 #: A segment: its anchor, the document's id, its start in the document and in the bucket, and its windows.
 _SEGMENT = np.dtype([("h", "<u8"), ("key", "<i8"), ("off", "<u4"), ("at", "<u4"), ("windows", "<u4")])
@@ -188,11 +188,11 @@ def _bytes(b: int, rows: np.ndarray, place: np.ndarray, data: np.ndarray, n: int
     return [(int(shard[x]), b, BYTES, np.uint32(y - x).tobytes() + rows[x:y].tobytes() + body[at[x] : at[y]].tobytes()) for x, y in zip(edge, edge[1:])]
 
 
-def remove_repeats(docs: DataFrame, n: int = LENGTH, q: int = GRAM, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = B.BUCKET_BYTES, with_text: bool = False, fan: int = B.FAN) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each document, and the kept text if asked for (broken characters at cuts left out)."""
+def remove_repeats(docs: DataFrame, n: int = LENGTH, q: int = GRAM, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = B.BUCKET_BYTES, with_text: bool = False, row_col: str | None = None, fan: int = B.FAN) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each document, and the kept text (broken characters at cuts left out) and the row's name, as ``row``, if asked for."""
     count = B.bucket_count(docs, bucket_bytes, text_col)
     shards = max(32, count // 2)
-    dealt = B.bucketed(docs, count, id_col, text_col)
+    dealt = B.bucketed(docs, count, id_col, text_col, row_col)
 
     def anchors(b: int, bucket: B.Bucket) -> list:
         return B.sketch_messages(b, _segments(bucket, n, q)["h"], shards)
@@ -259,8 +259,8 @@ def remove_repeats(docs: DataFrame, n: int = LENGTH, q: int = GRAM, id_col: str
             if with_text:
                 texts.append(kept.decode("utf-8", "ignore" if r else "replace"))
         cols = {"doc_id": bucket.ids.cast(pa.int64()), "n_bytes": pa.array(hi - lo, pa.int64()), "n_removed": pa.array(total[hi] - total[lo], pa.int64()), "n_spans": pa.array(runs[hi] - runs[lo], pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
-        return pa.table(cols | ({"text": pa.array(texts, pa.string())} if with_text else {}))
+        return pa.table(cols | ({"text": pa.array(texts, pa.string())} if with_text else {}) | ({"row": bucket.rows} if row_col else {}))
 
     often = B.answer(B.ask(dealt, anchors), B.merge_sketches)
     lost = B.climb(B.ask(dealt, segments, often), count, arrays, fan)
-    return B.finish(dealt, lost, last, SCHEMA + (", text string" if with_text else ""))
+    return B.finish(dealt, lost, last, SCHEMA + (", text string" if with_text else "") + (f", row {dict(dealt.dtypes)['row']}" if row_col else ""))

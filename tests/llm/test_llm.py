@@ -128,7 +128,7 @@ def test_embedding_links(spark):
     rows = [(i, (base[i % 30] + rng.normal(size=8) * 0.15 * (i % 3)).astype(np.float32).tolist(), i % 2) for i in range(150)]
     rows += [(200, rows[0][1], 0), (201, None, 0), (202, [0.0] * 8, 0), (203, [float("nan")] * 8, 0), (204, rows[0][1], None), (205, [1.0, 2.0], 0), (206, [None] * 8, 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
-    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(df, per_list=8, block=16).collect()}
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(df, lists=20, block=16).collect()}
     ok = [r for r in rows if r[0] < 201]
     x = np.array([r[1] for r in ok], float)
     x /= np.sqrt((x * x).sum(1))[:, None]
@@ -243,7 +243,7 @@ def test_toxicity_held_out(spark):
     scorer = toxicity.train(docs, labels)
     got = toxicity.score(docs, scorer).join(labels, "doc_id").where("held_out and toxic is not null")
     row = got.agg(F.avg((F.col("toxic") == F.col("predicted")).cast("int")), F.sum(F.expr("int(toxic = 1 and predicted = 1)")), F.sum("toxic")).first()
-    assert row[0] > 0.97 and row[1] >= 0.8 * row[2]
+    assert row[0] > 0.97 and row[1] >= 0.85 * row[2]
     odd = toxicity.score(frame(spark, [(1, None), (2, "")]), scorer).collect()
     assert all(0 <= r["score"] < 0.5 for r in odd)
     none = toxicity.train(docs, labels.where("toxic = 0"))
@@ -277,7 +277,7 @@ def test_main_text_held_out_nodes():
     for _ in range(60):
         page, _ = main_text.compose(rng)
         nodes = main_text.parse(page)
-        kept = main_text.decode(nodes, trees.score(main_text.measure(nodes)))[1:]
+        kept = main_text.decode(nodes, trees.odds([nodes]))[1:]
         truth = [x == "1" for x in re.findall(r'data-own="(\d)"', page)]
         right += sum(a == b for a, b in zip(kept, truth))
         total += len(truth)
@@ -319,8 +319,14 @@ def test_pipeline(spark):
     scorer = toxicity.train(docs, labels)
     rows = {i: t for i, t in rows.items() if scorer.score(t) < 0.5}
     ids = sorted(rows)
-    fps = np.array([simhash.fingerprint(rows[i]) for i in ids], np.uint64)
+    fps = np.array([simhash.fingerprint(rows[i], 5) for i in ids], np.uint64)
     near, label = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3, np.array(ids)
+    sets = []
+    for i in ids:
+        w = (rows[i] or "").encode().lower().split()
+        n = min(5, len(w))
+        sets.append({b" ".join(w[a : a + n]) for a in range(len(w) - n + 1)} if w else set())
+    near |= np.array([[len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets])
     for _ in range(20):
         label = np.where(near, label[None, :], 10**9).min(axis=1)
     ids = [i for i, x in zip(ids, label.tolist()) if i == x]
