@@ -1,12 +1,14 @@
 """A corpus pipeline of five stages, each written as Parquet and read again as the next one's input.
 
-toxicity: predicted documents go.  simhash_near_dedup: of each component the row of the smallest doc_id stays; the stage
-keeps its name but links by exact Jaccard similarity of 5-word shingles >= 0.8, which op4's 3 bits of 3-word ones miss.
+toxicity: predicted documents go.  simhash_near_dedup: of each component the row of the smallest doc_id stays; links are
+those of SimHash over 5-word shingles and all pairs of an exact 5-word Jaccard similarity >= 0.8, most of which lie beyond
+a radius that can be searched (0.8 is 10 of 64 bits on average, up to 19).
 suffix_array_dedup: repeated byte strings are cut out of the texts (rows stay, also where nothing is left).
 benchmark_decontamination: documents in which an item occurs go.  sentencepiece: the rest becomes ids.
 
-Defined cases are those of the operators.  Rows without a doc_id have no identity to deduplicate by and stay; of rows
-that repeat a doc_id the near-dedup keeps one.
+Defined cases are those of the operators.  The middle stages know a row by a hash of all its columns, so rows without a
+doc_id or with a repeated one are decided each by its own text; of a group of near copies the row of the smallest doc_id
+stays (those without one last), and of rows that are equal in all columns one.
 """
 
 from __future__ import annotations
@@ -14,35 +16,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import decontaminate, pieces, shingle_dedup, suffix_dedup, toxicity
+from panelforge.llm import decontaminate, pieces, shingle_dedup, simhash, suffix_dedup, toxicity
+from panelforge.llm.components import components
 from panelforge.llm.queries import tokenizer_path
-from panelforge.session import shared_dir, ship, table
+from panelforge.session import remove_dir, shared_dir, ship, table
+
+ROW = "_row_key"
+SHINGLE = 5
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    return docs.withColumn(ROW, F.xxhash64(*docs.columns))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Trained on the labelled documents of the corpus; filters its own input."""
-    scorer = toxicity.train(table(ship(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    scorer = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return toxicity.flag_rows(docs, scorer)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = shingle_dedup.near_duplicates(docs.where("doc_id is not null"))
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    same = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return same.join(first, "doc_id", "left_semi").select(*docs.columns).union(docs.where("doc_id is null"))
+    """SimHash of 5-word shingles links what lies within its radius; the rest of the links of similarity 0.8 or more, for which that radius is too tight, come from the shingle sets themselves."""
+    rows = _named(docs)
+    near = simhash.near_duplicates(rows, k=SHINGLE, id_col=ROW), shingle_dedup.near_duplicates(rows, k=SHINGLE, id_col=ROW)
+    edges = [g.where("doc_id <> component_id").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v")) for g in near]
+    groups = components(edges[0].union(edges[1])).withColumnRenamed("vertex", ROW)
+    ranked = rows.select(ROW, "doc_id").join(groups, ROW, "left").withColumn("component", F.coalesce("component", ROW))
+    first = ranked.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("first"))
+    return rows.dropDuplicates([ROW]).join(first.select(F.col(f"first.{ROW}").alias(ROW)), ROW, "left_semi").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = suffix_dedup.remove_repeats(docs, with_text=True).select("doc_id", F.col("text").alias("_kept_text"), F.col("n_removed").alias("_cut_bytes"))
-    joined = docs.where("doc_id is not null").join(kept.where("doc_id is not null"), "doc_id")
-    text = F.when(F.col("_cut_bytes") > 0, F.col("_kept_text")).otherwise(F.col("text"))
-    columns = [text.alias(c) if c == "text" else F.when(F.col("_cut_bytes") > 0, F.length("_kept_text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return joined.select(*columns).union(docs.where("doc_id is null"))
+    rows = _named(docs)
+    kept = suffix_dedup.remove_repeats(rows, with_text=True, row_col=ROW).where("n_removed > 0").select(F.col("row").alias(ROW), F.col("text").alias("_kept_text")).dropDuplicates([ROW])
+    joined = rows.join(kept, ROW, "left")
+    cut = F.col("_kept_text").isNotNull()
+    own = {"text": F.when(cut, F.col("_kept_text")).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        own["n_chars"] = F.when(cut, F.length("_kept_text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars"))
+    return joined.select(*(own.get(c, F.col(c)).alias(c) for c in docs.columns))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    leaks = decontaminate.find_leaks(docs, table(ship(spark), sf_dir, "benchmark")).where("doc_id is not null").select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    rows = _named(docs)
+    leaks = decontaminate.find_leaks(rows, table(spark, sf_dir, "benchmark"), id_col=ROW).select(F.col("doc_id").alias(ROW)).distinct()
+    return rows.join(leaks, ROW, "left_anti").select(*docs.columns)
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,12 +80,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over the documents."""
+    """The rows of the last stage over the documents.  Each stage's table goes once the next one is written; the last stays for the result to be read from."""
     import uuid
 
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder, before = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove_dir(spark, before)
+        before = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
