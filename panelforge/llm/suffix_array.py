@@ -81,51 +81,65 @@ def _runs(items: np.ndarray, left: np.ndarray) -> np.ndarray:
     return (np.repeat(items, r) - k)[np.argsort(k, kind="stable")]
 
 
-def induce(t: np.ndarray, is_s: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
+class _Layout:
+    """What both inductions of a text need: buckets of first symbols, chunks of each pass, runs of equal symbols, and which places each pass induces."""
+
+    def __init__(self, t: np.ndarray, sigma: int):
+        n = len(t)
+        self.t, self.is_s = t, classify(t)
+        self.size = np.bincount(t, minlength=sigma)
+        self.begin = np.cumsum(self.size) - self.size
+        self.present = np.flatnonzero(self.size)
+        at = np.arange(n, dtype=np.int32)
+        new = np.ones(n, bool)
+        new[1:] = t[1:] != t[:-1]
+        self.left = at - np.maximum.accumulate(np.where(new, at, np.int32(0)))  # equal symbols to the left
+        #: 1 for larger and 2 for smaller places whose successor begins with another symbol; two zeros for places before the text.
+        self.turn = np.zeros(n + 2, np.uint8)
+        self.turn[: n - 1] = np.where(new[1:], 1 + self.is_s[:-1], 0)
+        self.runs = np.concatenate(([0], np.cumsum(np.bincount(t[self.left > 0], minlength=sigma)[self.present] > 0))).tolist()  # symbols with runs, up to each
+        larger, smaller = np.full(sigma, -1, np.int64), np.full(sigma, sigma, np.int64)
+        x = np.flatnonzero(self.turn[:n] == 1)
+        np.maximum.at(larger, t[x], t[x + 1].astype(np.int64))
+        x = np.flatnonzero(self.turn[:n] == 2)
+        np.minimum.at(smaller, t[x], t[x + 1].astype(np.int64))
+        self.up, self.down = _chunks(self.present, larger, False), _chunks(self.present, smaller, True)
+        end = self.begin + self.size
+        self.low, self.high = self.begin[self.present].tolist(), end[self.present].tolist()
+
+    def leftmost(self) -> np.ndarray:
+        """Smaller places after larger ones."""
+        return (np.flatnonzero(self.is_s[1:] & ~self.is_s[:-1]) + 1).astype(np.int32)
+
+
+def induce(own: _Layout, lms: np.ndarray) -> np.ndarray:
     """All suffixes, from leftmost-smaller ones in order (by their first symbol at least)."""
+    t, is_s, turn = own.t, own.is_s, own.turn
     n = len(t)
-    size = np.bincount(t, minlength=sigma)
-    begin = np.cumsum(size) - size
-    present = np.flatnonzero(size)
-    at = np.arange(n, dtype=np.int32)
-    new = np.ones(n, bool)
-    new[1:] = t[1:] != t[:-1]
-    left = at - np.maximum.accumulate(np.where(new, at, 0))  # equal symbols to the left
     sa = np.full(n, -1, np.int32)
-    tail = begin + size
-    _place(sa, tail, t[lms[::-1]], lms[::-1], True)
-
-    step = np.flatnonzero(new[1:])  # places whose successor begins with another symbol
-    larger = np.full(sigma, -1, np.int64)
-    x = step[~is_s[step]]
-    np.maximum.at(larger, t[x], t[x + 1].astype(np.int64))
-    smaller = np.full(sigma, sigma, np.int64)
-    x = step[is_s[step]]
-    np.minimum.at(smaller, t[x], t[x + 1].astype(np.int64))
-
-    runs = np.concatenate(([0], np.cumsum(np.bincount(t[left > 0], minlength=sigma)[present] > 0))).tolist()  # symbols with runs, up to each
-    head = begin.copy()
+    _place(sa, own.begin + own.size, t[lms[::-1]], lms[::-1], True)
+    head = own.begin.copy()
     sa[head[t[n - 1]]] = n - 1
     head[t[n - 1]] += 1
-    for a, z in _chunks(present, larger, False):
-        part = sa[begin[present[a]] : begin[present[z]] + size[present[z]]]
-        if runs[z + 1] > runs[a]:
+    for a, z in own.up:
+        part = sa[own.low[a] : own.high[z]]
+        if own.runs[z + 1] > own.runs[a]:
             have = part[part >= 0]
-            extra = _runs(have[~is_s[have]], left)
+            extra = _runs(have[~is_s[have]], own.left)
             _place(sa, head, t[extra], extra, False)
-        before = part[part > 0] - 1
-        before = before[~is_s[before] & new[before + 1]]
+        before = part - 1
+        before = before[turn[before] == 1]
         _place(sa, head, t[before], before, False)
     sa[is_s[sa] & (sa >= 0)] = -1
-    tail = begin + size
-    for z, a in _chunks(present, smaller, True):
-        part = sa[begin[present[a]] : begin[present[z]] + size[present[z]]][::-1]
-        if runs[z + 1] > runs[a]:
+    tail = own.begin + own.size
+    for z, a in own.down:
+        part = sa[own.low[a] : own.high[z]][::-1]
+        if own.runs[z + 1] > own.runs[a]:
             have = part[part >= 0]
-            extra = _runs(have[is_s[have]], left)
+            extra = _runs(have[is_s[have]], own.left)
             _place(sa, tail, t[extra], extra, True)
-        before = part[part > 0] - 1
-        before = before[is_s[before] & new[before + 1]]
+        before = part - 1
+        before = before[turn[before] == 2]
         _place(sa, tail, t[before], before, True)
     return sa
 
@@ -149,29 +163,29 @@ def suffix_array(t: np.ndarray, sigma: int | None = None) -> np.ndarray:
     if n < 2:
         return np.arange(n, dtype=np.int32)
     sigma = sigma or int(t.max()) + 1
-    is_s = classify(t)
-    lms = (np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1).astype(np.int32)
+    own = _Layout(t, sigma)
+    lms = own.leftmost()
     if len(lms) > 1:
         # sort leftmost-smaller substrings: an induction from them in the order of their first symbol alone
         by_symbol = lms[np.argsort(t[lms], kind="stable")]
-        sa = induce(t, is_s, by_symbol, sigma)
+        sa = induce(own, by_symbol)
         is_lms = np.zeros(n, bool)
         is_lms[lms] = True
         srt = sa[is_lms[sa]]
         # name them: equal ones get one name; the last one touches the end of the text and equals no other
         length = np.zeros(n, np.int32)
         length[lms[:-1]] = np.diff(lms) + 1
-        own, prev = length[srt[1:]], length[srt[:-1]]
-        maybe = np.flatnonzero((own == prev) & (own > 0))
+        mine, prev = length[srt[1:]], length[srt[:-1]]
+        maybe = np.flatnonzero((mine == prev) & (mine > 0))
         differ = np.ones(len(srt), bool)
-        differ[1 + maybe] = ~_alike(t, srt[maybe], srt[maybe + 1], own[maybe])
+        differ[1 + maybe] = ~_alike(t, srt[maybe], srt[maybe + 1], mine[maybe])
         if differ.all():
             lms = srt
         else:
             name = np.empty(n, np.int32)
             name[srt] = np.cumsum(differ) - 1
             lms = lms[suffix_array(name[lms])]
-    return induce(t, is_s, lms, sigma)
+    return induce(own, lms)
 
 
 def permuted_lcp(data: np.ndarray, sa: np.ndarray) -> np.ndarray:
