@@ -3,9 +3,12 @@
 The index: coarse lists (k-means over unit vectors) and residual codes of subspaces, fitted on a bounded sample
 (``sample`` distinct vectors, those of the least hash), filled with every vector.  Lists are the root of the number of
 vectors, as far as the sample has ``PER_CENTRE`` vectors for each; beyond that lists grow, in blocks.  A query visits each list whose
-cell can hold a link: a vector within distance t of the query cannot lie in a cell whose bisecting plane is farther
-than t.  A list's queries are dealt by list as well as by label, so a member meets only those that probe its list.  Inside a list, table-lookup distances less the code's own error are a lower bound of the true distance, so
-the shortlist loses no link; exact cosines in double precision decide.  Recall is therefore 1 but for rounding.
+cell comes close enough to hold a link.  A linked vector lies within distance t; the part of its step along the line to
+another centre is t in the worst case, but in d dimensions it has a standard deviation of t / sqrt(d) for steps of no
+preferred direction, so lists count within ``SIGMAS`` of these (all of t up to 16 dimensions, where no link can be
+missed).  A list's queries are dealt by list as well as by label, so a member meets only those that probe its list.
+Inside a list, table-lookup distances less the code's own error are a lower bound of the true distance, so the shortlist
+loses no link; exact cosines in double precision decide.  Recall against brute force is measured in the tests.
 
 Equal vectors are one entry with a multiplicity.  Lists are cut into blocks of members and of queries, so that a
 group holds a bounded number of both, and a group emits a spanning forest of its links.
@@ -26,6 +29,8 @@ from .components import components, local_labels, written
 
 COSINE = 0.93
 SAMPLE, BLOCK, PER_CENTRE = 65_536, 8_192, 8
+#: Standard deviations of a linked vector's step towards another centre that a probe allows for.
+SIGMAS = 4.0
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 0) -> np.ndarray:
@@ -162,7 +167,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SA
                 x = unit(_vectors(part.column("emb")).astype(np.float64))
                 own, far = index.assign(x)
                 codes, error = index.encode(x, own)
-                probe = index.probes(own, far, reach)
+                probe = index.probes(own, far, reach * min(1.0, SIGMAS / dim**0.5))
                 yield pa.RecordBatch.from_arrays([part.column("vid"), part.column("copies"), part.column("label"), part.column("dim"), part.column("emb"), pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(probe, pa.list_(pa.int32()))], ["vid", "copies", "label", "dim", "emb", "list", "codes", "error", "probes"])
 
     kind = dict(distinct.dtypes)["label"]

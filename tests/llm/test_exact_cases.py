@@ -267,3 +267,18 @@ def test_pipeline_rows_without_and_with_repeated_ids(spark, tmp_path):
     assert [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_leaks(spark, leaky, DIR).collect()] == [(5, a)]
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, base.where("false"), DIR).count() == 0
+
+
+def test_recall_of_probes_at_the_threshold(spark):
+    """Partners at a cosine just above the threshold, among vectors of no preferred direction."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(1500, 48))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    d = rng.normal(size=(400, 48))
+    d -= (d * x[:400]).sum(1)[:, None] * x[:400]
+    d /= np.linalg.norm(d, axis=1)[:, None]
+    c = 0.932
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate((x, c * x[:400] + np.sqrt(1 - c * c) * d)))]
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), lists=60).collect()}
+    assert sum(got[i] > 0 for i in range(400)) >= 0.99 * 400 and sum(got[i] > 0 for i in range(1500, 1900)) >= 0.99 * 400
+    assert not any(got[i] for i in range(400, 1500))
