@@ -176,12 +176,6 @@ def average_true_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("symbol", day(), clean("atr", 6), clean("velocity", 5))
 
 
-@query()
-def supertrend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = paths.supertrend(panels.event_bars(ship(spark), sf_dir), 5, 1.0)
-    return p.select("symbol", day(), "direction", r6("line", "line"), "age")
-
-
 @query(
     f"WITH {EV} SELECT symbol, CAST(date AS VARCHAR) AS date, CASE WHEN count(*) {past(5)} = 5 AND lag(high, 2) OVER (PARTITION BY symbol ORDER BY date) = max(high) {past(5)} THEN round(lag(high, 2) OVER (PARTITION BY symbol ORDER BY date), 6) END AS swing_high, CASE WHEN count(*) {past(5)} = 5 AND lag(low, 2) OVER (PARTITION BY symbol ORDER BY date) = min(low) {past(5)} THEN round(lag(low, 2) OVER (PARTITION BY symbol ORDER BY date), 6) END AS swing_low, CASE WHEN lag(high, 2) OVER (PARTITION BY symbol ORDER BY date) < low THEN 1 WHEN lag(low, 2) OVER (PARTITION BY symbol ORDER BY date) > high THEN -1 ELSE 0 END AS gap FROM ev"
 )
@@ -292,13 +286,6 @@ def members_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.valid_at(i, F.lit("1997-06-01").cast("date"), "a", "z").select(COL("o_custkey").alias("symbol")).distinct()
 
 
-@query(f"WITH {NAT}, u AS (SELECT symbol, date, amount, row_number() OVER (PARTITION BY date ORDER BY amount DESC, symbol) <= 5 AS member FROM nat) SELECT symbol, CAST(date AS VARCHAR) AS date, round(amount / nullif(sum(amount) OVER (PARTITION BY date), 0), 8) AS weight FROM u WHERE member")
-def universe_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Members that pass a mask, with weights that sum to one again."""
-    u = panels.nation_flow(spark, sf_dir).where(F.lit(True)).withColumn("r", w.rank_first(COL("amount"), ["date"])).where("r <= 5")
-    return u.select("symbol", day(), r6(COL("amount") / F.nullif(F.sum("amount").over(W.partitionBy("date")), F.lit(0.0)), "weight", 8))
-
-
 # ---- samplers and labels ---------------------------------------------------------------------------------------
 
 
@@ -319,11 +306,6 @@ def cusum_sampler(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.cusum_events(panels.event_bars(ship(spark), sf_dir), 0.5).select("symbol", day())
 
 
-@query()
-def breakout_sampler(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paths.breakouts(panels.segment_prices(ship(spark), sf_dir), 20, 5).select("symbol", day())
-
-
 @query()
 def entropy_sampler(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.entropy_events(panels.segment_prices(ship(spark), sf_dir)).select("symbol", day())
@@ -481,4 +463,4 @@ def position_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("symbol", day(), r6(stats.discretise(COL("close") / COL("vwap") - 1, 0.25), "size"), stats.target_position(F.lit(100.0), COL("vwap"), COL("close"), 50).alias("position"))
 
 
-from .queries import evaluation, gating, storage, trends  # noqa: E402,F401
+from .queries import evaluation, gating, market, research, storage, trends  # noqa: E402,F401

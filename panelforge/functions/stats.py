@@ -135,6 +135,37 @@ def target_position(w: Column, forecast: Column, market: Column, most: int) -> C
     return (sigmoid_size(w, forecast - market) * most).cast("int")
 
 
+def inverse_price(w: Column, forecast: Column, m: Column) -> Column:
+    """The market price at which the sigmoid size is ``m``."""
+    return forecast - m * F.sqrt(w / (1 - m * m))
+
+
+def calibrate(x: Column, m: Column) -> Column:
+    """The width at which a price gap ``x`` gives the size ``m``."""
+    return x * x * (1 / (m * m) - 1)
+
+
+def limit_price(target: Column, current: Column, forecast: Column, w: Column, most: int) -> Column:
+    """The mean of the inverse prices of the positions on the way, over the size of the change; positions at the maximum are left out of the sum but not of the divisor.  Null where nothing changes."""
+    change = target - current
+    first, last = F.abs(current + F.signum(change)).cast("int"), F.abs(target).cast("int")
+    way = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+    inside = F.filter(way, lambda j: F.abs(j) < most)
+    total = F.aggregate(inside, F.lit(0.0), lambda s, j: s + inverse_price(w, forecast, j / most))
+    return F.when(change != 0, total / F.abs(change))
+
+
+def signed_hhi(returns: DataFrame, by: list[str], positive: bool, r: str = "r") -> DataFrame:
+    """Concentration of the returns of one sign."""
+    return hhi(returns.where(F.col(r) >= 0 if positive else F.col(r) < 0), by, r)
+
+
+def bet_sizes(p: Column, prediction: Column, classes: int = 2, side: Column | None = None) -> Column:
+    """Size of a bet from the probability of its prediction, times its side."""
+    p = F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))
+    return (2 * _normal_cdf()((p - 1 / classes) / F.sqrt(p * (1 - p))) - 1) * prediction * (F.lit(1.0) if side is None else side)
+
+
 def active_signals(signals: DataFrame) -> DataFrame:
     """(symbol, t, signal): at each start or end the mean of the signals that hold, by a sweep; none is 0."""
     on = signals.select("symbol", F.col("start").alias("t"), F.col("signal").alias("s"), F.lit(1).alias("n"))

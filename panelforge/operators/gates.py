@@ -73,3 +73,52 @@ def relative_strength(panel: DataFrame, benchmark: DataFrame | None = None, wind
         scored = scored.join(benchmark.select("date", base.alias("_b")), "date", "left").select(*KEYS, (F.col("score") - F.col("_b")).alias("score"))
     n = F.count("score").over(W.partitionBy("date"))
     return scored.withColumn("ok", sure(w.rank_first(F.col("score"), ["date"]) <= F.greatest(F.lit(1.0), n * share)))
+
+
+def ranked(scored: DataFrame, top: int | None = None, share: float | None = None, ascending: bool = False, eligible: Column | None = None) -> DataFrame:
+    """(symbol, date, ok) of (symbol, date, score): the best ``top``, or the best share (one at least), of each date's eligible scores; ties go to the first symbol."""
+    if (top is None) == (share is None):
+        raise ValueError("give one of top and share")
+    rows = scored if eligible is None else scored.withColumn("score", F.when(eligible, F.col("score")))
+    most = F.lit(top) if top is not None else F.greatest(F.lit(1.0), F.count("score").over(W.partitionBy("date")) * share)
+    return rows.select(*KEYS, sure(w.rank_first(F.col("score"), ["date"], not ascending) <= most).alias("ok"))
+
+
+def near_high(close: Column, window: int = 60, most: float = 0.25) -> Column:
+    """Closes that are at most a share below the rolling high."""
+    return sure(w.distance_to_high(close, window) >= -most)
+
+
+def in_stage(panel: DataFrame, stage: int = 2, window: int = 200, back: int = 20) -> DataFrame:
+    return w.with_stage(panel, window, back).select(*KEYS, sure(F.col("stage") == stage).alias("ok"))
+
+
+def spread(days: DataFrame, panel: DataFrame) -> DataFrame:
+    """A flag of dates (date, ok) for every row of a panel; absent is false."""
+    return panel.select(*KEYS).join(days.select("date", "ok"), "date", "left").select(*KEYS, sure(F.col("ok")).alias("ok"))
+
+
+def breadth(panel: DataFrame, least: float = 0.45, index: DataFrame | None = None, above: int | None = None, in_stage_2: bool = False, net_limits: float | None = None) -> DataFrame:
+    """(date, ok): enough symbols rise, the index (date, close) is above its mean over ``above`` sessions and in stage 2 if asked for, and limit-ups less limit-downs reach a share of the symbols.
+
+    An index is one row a session, so its windows are one small task.
+    """
+    moved = panel.withColumn("_d", F.col("close") - w.lag(F.col("close")))
+    share = F.count_if(F.col("_d") > 0) / F.nullif(F.count("_d"), F.lit(0))
+    aggs = [share.alias("_rise")]
+    if net_limits is not None:
+        aggs.append(((F.count_if("is_limit_up") - F.count_if("is_limit_down")) / F.count("*")).alias("_net"))
+    days = moved.groupBy("date").agg(*aggs)
+    ok = sure(F.col("_rise") >= least)
+    if net_limits is not None:
+        ok = ok & sure(F.col("_net") >= net_limits)
+    if index is not None:
+        one = index.select(F.lit("index").alias("symbol"), "date", F.col("close").alias("_c"))
+        if above:
+            one = one.withColumn("_above", sure(F.col("_c") > w.mean(F.col("_c"), above)))
+            ok = ok & sure(F.col("_above"))
+        if in_stage_2:
+            one = one.withColumn("_ma", w.mean(F.col("_c"), 200)).withColumn("_stage", w.stage(F.col("_c"), F.col("_ma"))).drop("_ma")
+            ok = ok & sure(F.col("_stage") == 2)
+        days = days.join(one.drop("symbol", "_c"), "date", "left")
+    return days.select("date", ok.alias("ok"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans import sessions
+
 
 def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, values: list[str], skip_null: bool = True) -> DataFrame:
     """For each row of ``left`` the latest values of ``right`` at or before its time.
@@ -49,6 +51,4 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def sessions_after(events: DataFrame, calendar: DataFrame, date: str, n: int, out: str) -> DataFrame:
     """The n-th session after a date; a date that is no session first moves to the next one, which counts as the first step."""
-    stops = calendar.groupBy().agg(F.array_sort(F.collect_list("date")).alias("_days"))  # one row: the calendar
-    place = F.expr(f"size(filter(_days, d -> d <= {date}))")
-    return events.join(F.broadcast(stops)).withColumn(out, F.get("_days", place + (n - 1))).drop("_days")
+    return sessions.step(events, calendar, date, n, out)

@@ -45,31 +45,85 @@ def atr(panel: DataFrame, window: int = 14, lookback: int = 10) -> DataFrame:
     return _by_symbol(panel, ["high", "low", "close"], run, "symbol string, date date, atr double, velocity double")
 
 
+def _supertrend(h: np.ndarray, l: np.ndarray, c: np.ndarray, a: np.ndarray, multiple: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Direction, line and age of one symbol; bars without a range or a price hold nothing and are passed over."""
+    n = len(c)
+    direction, line, age = np.full(n, np.nan), np.full(n, np.nan), np.full(n, np.nan)
+    state = None  # upper band, lower band, close, direction and age of the last bar that counted
+    for i in np.flatnonzero(np.isfinite(a) & np.isfinite(h) & np.isfinite(l) & np.isfinite(c)).tolist():
+        top, bottom = (h[i] + l[i]) / 2 + multiple * a[i], (h[i] + l[i]) / 2 - multiple * a[i]
+        way, held = -1, 0
+        if state:
+            up, down, before, way, held = state
+            if before <= up:
+                top = min(top, up)
+            if before >= down:
+                bottom = max(bottom, down)
+            now = (1 if c[i] >= bottom else -1) if way == 1 else (1 if c[i] > top else -1)
+            way, held = now, held + 1 if now == way else 0
+        state = top, bottom, c[i], way, held
+        direction[i], line[i], age[i] = way, bottom if way == 1 else top, held
+    return direction, line, age
+
+
 def supertrend(panel: DataFrame, window: int = 10, multiple: float = 3.0) -> DataFrame:
-    """(symbol, date, direction, line, age): bands around the mid price that only tighten until a close breaks them."""
+    """(symbol, date, direction, line, age): bands around the mid price that only tighten until a close breaks them; null before the range is known."""
+    return supertrends(panel, window, {"": multiple})
+
+
+def supertrends(panel: DataFrame, window: int = 10, multiples: dict[str, float] | None = None) -> DataFrame:
+    """Directions, lines and ages for several widths over one range, their names with each width's prefix ("slow_" 3 and "fast_" 2 by default)."""
+    multiples = multiples or {"slow_": 3.0, "fast_": 2.0}
+
+    def run(p):
+        a = _atr(p, window)
+        h, l, c = (p[k].to_numpy(float) for k in ("high", "low", "close"))
+        out = p[["symbol", "date"]].copy()
+        for name, multiple in multiples.items():
+            way, out[f"{name}line"], held = _supertrend(h, l, c, a, multiple)
+            out[f"{name}direction"], out[f"{name}age"] = pd.array(way, dtype="Int64"), pd.array(held, dtype="Int64")
+        return out
+
+    columns = ", ".join(f"{k}direction long, {k}line double, {k}age long" for k in multiples)
+    return _by_symbol(panel, ["high", "low", "close"], run, f"symbol string, date date, {columns}")
+
+
+def trend_direction(panel: DataFrame, window: int = 10, slow: float = 3.0, fast: float = 2.0, hold: int = 2) -> DataFrame:
+    """(symbol, date, direction): where the slow and the fast supertrend agree, else 0; a change counts after ``hold`` equal sessions."""
+    both = supertrends(panel, window, {"slow_": slow, "fast_": fast})
+    raw = both.selectExpr("symbol", "date", "case when slow_direction = fast_direction then slow_direction else 0 end as raw")
+    return hysteresis(raw, "raw", hold).withColumnRenamed("held", "direction")
+
+
+def gap_zones(panel: DataFrame) -> DataFrame:
+    """(symbol, date, imbalance, retest, broken): the side of the open price gap left by three bars, whether today came back into it, and whether a close went through it.
+
+    A gap is known at its third bar and replaces an older one; a bar that fills it wholly without a close beyond ends it.
+    """
 
     def run(p):
-        a, n = _atr(p, window), len(p)
         h, l, c = (p[k].to_numpy(float) for k in ("high", "low", "close"))
-        direction, line, age = np.zeros(n), np.full(n, np.nan), np.zeros(n)
-        up = down = last = np.nan
-        d, held, begun = -1, 0, False
+        n = len(c)
+        out = np.zeros((3, n), np.int64)
+        side, low, high = 0, np.nan, np.nan
         for i in range(n):
-            if np.isfinite(a[i]):
-                mid = (h[i] + l[i]) / 2
-                top, bottom = mid + multiple * a[i], mid - multiple * a[i]
-                if begun:
-                    top = top if top < up or last > up else up
-                    bottom = bottom if bottom > down or last < down else down
-                    now = (-1 if c[i] < bottom else 1) if d == 1 else (1 if c[i] > top else -1)
-                    held = held + 1 if now == d else 0
-                    d = now
-                up, down, last, begun = top, bottom, c[i], True
-            direction[i], age[i] = (d, held) if begun else (0, 0)
-            line[i] = (down if d == 1 else up) if begun else np.nan
-        return p[["symbol", "date"]].assign(direction=direction.astype(np.int64), line=line, age=age.astype(np.int64))
-
-    return _by_symbol(panel, ["high", "low", "close"], run, "symbol string, date date, direction long, line double, age long")
+            if side:
+                near, far, close = (l[i], low, c[i]) if side > 0 else (-h[i], -high, -c[i])
+                edge = high if side > 0 else -low
+                if close < far:
+                    out[2, i], side = 1, 0
+                elif near <= edge and close >= far:
+                    out[1, i] = 1
+                elif near <= far:
+                    side = 0
+            if i > 1 and h[i - 2] < l[i]:
+                side, low, high = 1, h[i - 2], l[i]
+            elif i > 1 and l[i - 2] > h[i]:
+                side, low, high = -1, h[i], l[i - 2]
+            out[0, i] = side
+        return p[["symbol", "date"]].assign(imbalance=out[0], retest=out[1], broken=out[2])
+
+    return _by_symbol(panel, ["high", "low", "close"], run, "symbol string, date date, imbalance long, retest long, broken long")
 
 
 def cusum_events(panel: DataFrame, threshold: float, column: str = "close") -> DataFrame:

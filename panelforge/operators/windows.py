@@ -56,6 +56,13 @@ def distance_to_high(close: Column, w: int = 60) -> Column:
 
 
 
+def stage(close: Column, average: Column, back: int = 20) -> Column:
+    """2 above a rising average, 3 above one that does not rise, 4 below one that does not rise, 1 below a rising one; null where a part is absent."""
+    old = lag(average, back)
+    above, rising = close > average, average > old
+    value = F.when(above & rising, 2).when(above & ~rising, 3).when(~above & ~rising, 4).otherwise(1)
+    return F.when(average.isNotNull() & old.isNotNull() & close.isNotNull(), value)
+
 
 def with_stage(panel, w: int = 200, back: int = 20):
     """Adds ``stage``: 2 above a rising average, 3 above one that does not rise, 4 below one that does not rise, 1 below a rising one."""
@@ -73,6 +80,20 @@ def smooth_momentum(close: Column, seq: Column, w: int = 60) -> Column:
     return full(F.when(flat, 0.0).otherwise((F.exp(252 * slope) - 1) * F.greatest(r2, F.lit(0.0))), y, w)
 
 
+def smooth_fit(close: Column, seq: Column, w: int = 60) -> Column:
+    """The share of variance that a line through log prices explains; a flat window is 0."""
+    y = F.when(close > 0, F.ln(close))
+    flat = F.max(y).over(rows(w)) == F.min(y).over(rows(w))
+    return full(F.when(flat, 0.0).otherwise(F.greatest(F.regr_r2(y, seq).over(rows(w)), F.lit(0.0))), y, w)
+
+
+def rolling_rank(x: Column, w: int = 252) -> Column:
+    """The share of the frame's values that are at most the current one; null below max(20, w / 5) values."""
+    past = F.collect_list(x).over(rows(w))
+    share = F.size(F.filter(past, lambda v: v <= x)) / F.size(past)
+    return F.when(x.isNotNull() & (F.size(past) >= max(20, w // 5)), share)
+
+
 def swing(x: Column, side: int, high: bool) -> Column:
     """The pivot ``side`` rows ago where it is the extreme of its 2 side + 1 rows; known only now."""
     frame = rows(2 * side + 1)
