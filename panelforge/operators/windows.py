@@ -102,6 +102,14 @@ def swing(x: Column, side: int, high: bool) -> Column:
     return F.when((F.count(F.lit(1)).over(frame) == 2 * side + 1) & (mid == edge), mid)
 
 
+def strict_pivot(x: Column, side: int, high: bool) -> Column:
+    """The value ``side`` rows ago where it is beyond all ``side`` rows on either side of it; known only now."""
+    mid, best = lag(x, side), F.max if high else F.min
+    before, after = best(x).over(rows(side, side + 1)), best(x).over(rows(side))
+    beyond = (mid > before) & (mid > after) if high else (mid < before) & (mid < after)
+    return F.when(beyond & (F.count(F.lit(1)).over(rows(2 * side + 1)) == 2 * side + 1), mid)
+
+
 def true_range(high: Column, low: Column, close: Column) -> Column:
     before = lag(close)
     return F.when(before.isNotNull() & high.isNotNull() & low.isNotNull(), F.greatest(F.abs(high - low), F.abs(high - before), F.abs(low - before)))

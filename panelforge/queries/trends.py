@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..catalog import day, query, r6
-from ..operators import paths
+from pyspark.sql import functions as F
+
+from ..catalog import COL, EV, day, past, query, r6
+from ..operators import campaigns, paths
+from ..operators import windows as w
 from ..plans import panels
+from ..session import ship
+from ..sources.market import MarketSource
 
 
 @query()
@@ -20,3 +25,50 @@ def trading_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = panels.event_bars(spark, sf_dir)
     way = paths.structure(bars, 2).select("symbol", "date", "direction")
     return paths.ranges(bars.join(way, ["symbol", "date"])).select("symbol", day(), "ok", "edge", r6("width", "width"))
+
+
+_LAG = "lag({}, 2) OVER (PARTITION BY symbol ORDER BY date)"
+_AROUND = "({m} {c} {f}({x}) " + past(2, 3) + " AND {m} {c} {f}({x}) " + past(2) + f" AND count(*) {past(5)} = 5)"
+
+
+@query(f"WITH {EV} SELECT symbol, CAST(date AS VARCHAR) AS date, CASE WHEN {_AROUND.format(m=_LAG.format('high'), c='>', f='max', x='high')} THEN round({_LAG.format('high')}, 6) END AS pivot_high, CASE WHEN {_AROUND.format(m=_LAG.format('low'), c='<', f='min', x='low')} THEN round({_LAG.format('low')}, 6) END AS pivot_low FROM ev")
+def strict_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pivots beyond two bars on either side, on the bar that confirms them."""
+    p = panels.event_bars(spark, sf_dir)
+    return p.select("symbol", day(), r6(w.strict_pivot(COL("high"), 2, True), "pivot_high"), r6(w.strict_pivot(COL("low"), 2, False), "pivot_low"))
+
+
+def _market(spark: SparkSession) -> DataFrame:
+    """A deterministic market with wide swings; the source tables hold too few bars for campaigns."""
+    return MarketSource(ship(spark), 24, "2020-01-01", "2021-06-30").daily().where("not is_suspended")
+
+
+@query()
+def trend_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gated direction and campaign metrics of a market."""
+    return campaigns.trend_panels(_market(spark)).select("symbol", day(), "direction", "gated", *(r6(n, n) for n in (*campaigns.TREND, "efficiency_rank")))
+
+
+@query()
+def flow_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The book of positions along each campaign."""
+    p = _market(spark)
+    way = campaigns.trend_panels(p).select("symbol", "date", COL("gated").alias("direction"))
+    return campaigns.flow(p.join(way, ["symbol", "date"])).select("symbol", day(), *(r6(n, n) for n in campaigns.FLOW))
+
+
+@query()
+def bull_trend_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return campaigns.bull_trend(campaigns.trend_panels(_market(spark)), 0.3).select("symbol", day(), "ok")
+
+
+@query()
+def trend_flips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return campaigns.flip_rate(paths.trend_direction(_market(spark))).select("symbol", r6("flips", "flips"))
+
+
+@query()
+def trend_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One symbol's last row as text."""
+    rows = campaigns.trend_panels(_market(spark))
+    return campaigns.report(rows, "600005.SH", "2021-03-31").select("symbol", day(), "direction", "summary")
