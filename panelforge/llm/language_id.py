@@ -29,16 +29,23 @@ SAMPLE, GRAMS, CELLS = 8_192, 6_000, 1 << 18
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
+#: Runs of anything but letters, digits of other numeral kinds left in.
+_OTHER = re.compile(r"[\W\d_]+")
+
+
 @lru_cache(maxsize=1)
-def _other() -> re.Pattern:
-    """Runs of anything but letters: ``\\w`` also has numerals that are no digits, such as fractions and circled numbers."""
-    numerals = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
-    return re.compile(rf"[\W\d_{numerals}]+")
+def numerals() -> frozenset[str]:
+    """Signs that ``\\w`` takes in and that are neither letters nor digits, such as fractions and circled numbers."""
+    return frozenset(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
 
 
 def letters(text: str | None) -> bytes:
     """Lower-case letters with single spaces between and around words."""
-    return (" " + _other().sub(" ", (text or "").lower()).strip() + " ").encode("utf-8", "replace")
+    text = (text or "").lower()
+    if not text.isascii():
+        for sign in numerals().intersection(text):
+            text = text.replace(sign, " ")
+    return (" " + _OTHER.sub(" ", text).strip() + " ").encode("utf-8", "replace")
 
 
 def grams(line: bytes) -> np.ndarray:
