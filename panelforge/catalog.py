@@ -438,10 +438,13 @@ def covariance_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def hierarchical_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The matrix is as large as the number of assets squared and goes to the driver, as its linkage is sequential."""
+    """The matrix of at most ``stats.MOST_ASSETS`` assets goes to the driver, as its linkage is sequential."""
     import numpy as np
 
-    m = stats.covariance(_returns(spark, sf_dir)).toPandas()
+    r = _returns(spark, sf_dir)
+    if (n := r.select("symbol").distinct().count()) > stats.MOST_ASSETS:
+        raise ValueError(f"{n} assets; their matrix goes to the driver, so at most {stats.MOST_ASSETS}")
+    m = stats.covariance(r).toPandas()
     names = sorted(set(m["a"]))
     cov, corr = (m.pivot(index="a", columns="b", values=c).loc[names, names].to_numpy() for c in ("cov", "corr"))
     weight = stats.hierarchical_parity(np.nan_to_num(cov), np.nan_to_num(corr))

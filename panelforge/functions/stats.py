@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 EULER = 0.5772156649015329
 _NORMAL = NormalDist()
+#: Assets whose covariances may be collected: 4 million numbers.
+MOST_ASSETS = 2_000
 
 
 def sharpe(returns: DataFrame, by: list[str], r: str = "r", periods: int = 252) -> DataFrame:

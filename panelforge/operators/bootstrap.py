@@ -7,11 +7,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .labels import held_bars
+
 
 def indicator_matrix(events: DataFrame, bars: DataFrame) -> DataFrame:
     """(event_id, symbol, date): a row for each bar that an event (event_id, symbol, event_start, t1) spans, ends included."""
-    b = bars.select(F.col("symbol").alias("_s"), "date")
-    return events.join(b, (F.col("symbol") == F.col("_s")) & F.col("date").between(F.col("event_start"), F.col("t1"))).select("event_id", "symbol", "date")
+    return held_bars(events.where("t1 is not null"), bars.select("symbol", "date")).select("event_id", "symbol", "date")
 
 
 def draw(first: np.ndarray, last: np.ndarray, size: int, rng: np.random.Generator) -> list[int]:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 
 def _shifted(df: DataFrame, coarse: str, fine: list, total: Column, within: Column, name: str) -> DataFrame:
+    if dict(df.dtypes)[coarse].startswith("timestamp"):  # nearly as many values as rows: their days are the coarse key
+        return _shifted(df.withColumn("_day", F.to_date(coarse)), "_day", [coarse, *fine], total, within, name).drop("_day")
     sizes = df.groupBy(coarse).agg(total.alias("_k"))
     before = F.coalesce(F.sum("_k").over(W.orderBy("_c").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     shift = sizes.select(F.col(coarse).alias("_c"), "_k").select("_c", before.alias("_before"))

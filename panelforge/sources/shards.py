@@ -49,7 +49,7 @@ class ShardStore:
             raise
 
     def put(self, rows: DataFrame) -> None:
-        """Merges rows into their shards; of equal keys the newly given row stays, of repeats among those given any one.
+        """Merges rows into their shards; of equal keys the newly given row stays, of repeats among those given the largest by its columns in order.
 
         The merged shards are written aside first, since a job cannot overwrite what it reads; then only they are replaced.
         """
@@ -58,7 +58,8 @@ class ShardStore:
         if held is not None:
             touched = fresh.select("ym", "b").distinct()
             fresh = fresh.unionByName(held.join(touched, ["ym", "b"], "left_semi").withColumn("_age", F.lit(0)), allowMissingColumns=True)
-        merged = keep_last(fresh, self.key, [F.desc("_age")]).drop("_age")
+        others = sorted(c for c in fresh.columns if c not in (*self.key, "_age", "ym", "b"))
+        merged = keep_last(fresh, self.key, [F.desc("_age"), *(F.desc_nulls_last(c) for c in others)]).drop("_age")
         aside = f"{self.path}.aside-{uuid.uuid4().hex}"
         merged.write.parquet(aside)
         out = self.spark.read.parquet(aside).repartition("ym", "b").sortWithinPartitions("ym", "b", "symbol", self.time)
@@ -79,17 +80,26 @@ class ShardStore:
         months = F.explode(F.sequence(F.trunc(F.to_date(F.lit(start)), "month"), F.to_date(F.lit(end)), F.expr("interval 1 month")))
         want = symbols.select("symbol").distinct().select("symbol", months.alias("m")).select("symbol", _month("m").alias("ym"))
         held = self._all()
-        return want if held is None else want.join(held.select("symbol", "ym").distinct(), ["symbol", "ym"], "left_anti")
+        if held is None:
+            return want
+        inside = held.where((F.col("ym") >= start[:7]) & (F.col("ym") <= end[:7]))  # only these months' folders are read
+        return want.join(inside.select("symbol", "ym").distinct(), ["symbol", "ym"], "left_anti")
 
     def invalidate(self, symbols: list[str] | None = None) -> None:
-        """Drops everything, or the rows of some symbols, whose shards are written anew without them."""
+        """Drops everything, or the rows of some symbols: their shards are written aside without them and then replaced, so a crash loses no other row."""
         held = self._all()
         if symbols is None or held is None:
             return _remove(self.spark, self.path)
+        gone = F.col("symbol").isin(symbols)
+        touched = held.where(gone).select("ym", "b").distinct()
+        rest = held.where(~gone).join(touched, ["ym", "b"], "left_semi")
+        empty = [(r["ym"], r["b"]) for r in touched.join(rest.select("ym", "b").distinct(), ["ym", "b"], "left_anti").collect()]  # shards, not rows
         aside = f"{self.path}.aside-{uuid.uuid4().hex}"
-        held.where(~F.col("symbol").isin(symbols)).write.parquet(aside)
-        _remove(self.spark, self.path)
-        self.spark.read.parquet(aside).repartition("ym", "b").sortWithinPartitions("ym", "b", "symbol", self.time).write.partitionBy("ym", "b").parquet(self.path)
+        rest.write.parquet(aside)
+        out = self.spark.read.parquet(aside).repartition("ym", "b").sortWithinPartitions("ym", "b", "symbol", self.time)
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ym", "b").parquet(self.path)
+        for ym, b in empty:
+            _remove(self.spark, f"{self.path}/ym={ym}/b={b}")
         _remove(self.spark, aside)
 
     def read_through(self, symbols: DataFrame, start: str, end: str, fetch) -> DataFrame | None:
