@@ -6,12 +6,11 @@ smaller id, or earlier in the same one.  Passes over bucketed documents (see buc
 1. anchors: the leftmost least q-gram hash of each n-byte window.  Equal windows have equal anchors at equal places, so a
    window whose anchor counts once in the whole corpus occurs once; shards count anchors in a sketch that never
    underestimates;
-2. segments: the windows of one anchor's place, for anchors that count two or more.  A bucket builds suffix arrays by induced
-   sorting (suffix_array.py) over those segments whose anchor it holds twice: places of neighbours whose permuted common
-   prefix is ``n`` or more hold the same window, and the earliest stays.  What stays goes, with its bytes, to the shard
-   of its anchor;
-3. shards do the same with the segments of all buckets, up a tree of groups, so that no group hears an anchor from more
-   than a bounded number of buckets;
+2. segments: the windows of one anchor's place, for anchors that count two or more.  A bucket sends them to the shard of
+   their anchor, the bytes of equal ones once;
+3. shards build suffix arrays by induced sorting (suffix_array.py), up a tree of groups, so that no group hears an anchor
+   from more than a bounded number of buckets: places of neighbours whose permuted common prefix is ``n`` or more hold the
+   same window, and the earliest stays;
 4. buckets cover the bytes of the windows that lost and hash the rest.
 
 Every removed window comes out of a suffix array: anchors only say which segments need one, and segments with the same
@@ -176,16 +175,18 @@ def _lost(s: int, b: int, rows: np.ndarray, late: np.ndarray) -> list:
 
 
 def _bytes(b: int, rows: np.ndarray, place: np.ndarray, data: np.ndarray, n: int, shards: int | None, s: int = 0) -> list:
-    """Segments with their bytes, to their shards (or all to one)."""
+    """Segments to their shards (or all to one), the bytes of each kind once: number of segments, segments in the order of kinds, a mark where a kind begins, bytes."""
     if not len(rows):
         return []
+    order, kind, _ = _kinds(rows, place, data, n)
+    rows, place = rows[order], place[order]
     shard = ((rows["h"] >> U64(34)) % U64(shards)).astype(np.int64) if shards else np.full(len(rows), s)
-    order = np.argsort(shard, kind="stable")
-    rows, place, shard = rows[order], place[order], shard[order]
-    length = rows["windows"].astype(np.int64) + n - 1
-    body = data[_ranges(place, length)]
+    by = np.argsort(shard, kind="stable")  # kinds stay together: their anchors are equal
+    rows, place, kind, shard = rows[by], place[by], kind[by], shard[by]
+    length = (rows["windows"].astype(np.int64) + n - 1) * kind
+    body = data[_ranges(place[kind], length[kind])]
     edge, at = np.flatnonzero(np.diff(shard, prepend=-1)).tolist() + [len(rows)], np.concatenate(([0], np.cumsum(length)))
-    return [(int(shard[x]), b, BYTES, np.uint32(y - x).tobytes() + rows[x:y].tobytes() + body[at[x] : at[y]].tobytes()) for x, y in zip(edge, edge[1:])]
+    return [(int(shard[x]), b, BYTES, np.uint32(y - x).tobytes() + rows[x:y].tobytes() + kind[x:y].tobytes() + body[at[x] : at[y]].tobytes()) for x, y in zip(edge, edge[1:])]
 
 
 def remove_repeats(docs: DataFrame, n: int = LENGTH, q: int = GRAM, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = B.BUCKET_BYTES, with_text: bool = False, row_col: str | None = None, fan: int = B.FAN) -> DataFrame:
@@ -200,11 +201,7 @@ def remove_repeats(docs: DataFrame, n: int = LENGTH, q: int = GRAM, id_col: str
     def segments(b: int, bucket: B.Bucket, told: list) -> list:
         rows = _segments(bucket, n, q)
         rows = rows[B.suspects(rows["h"], shards, told)]
-        if not len(rows):
-            return []
-        late = _late(rows, rows["at"].astype(np.int64), bucket.data, n)
-        stay, _ = _cut(rows, late, False)
-        return _lost(b % shards, b, rows, late) + _bytes(b, stay, stay["at"].astype(np.int64), bucket.data, n, shards)
+        return _bytes(b, rows, rows["at"].astype(np.int64), bucket.data, n, shards)
 
     def arrays(s: int, told: list, root: bool) -> list:
         out = [(s, b, LOST, body) for _, b, kind, body in told if kind == LOST]
@@ -213,11 +210,12 @@ def remove_repeats(docs: DataFrame, n: int = LENGTH, q: int = GRAM, id_col: str
             if kind == BYTES:
                 m = int(np.frombuffer(body, np.uint32, 1)[0])
                 part = np.frombuffer(body, _SEGMENT, m, 4)
-                length = part["windows"].astype(np.int64) + n - 1
-                raw = np.frombuffer(body, np.uint8, offset=4 + part.nbytes)
+                kind = np.frombuffer(body, bool, m, 4 + part.nbytes)
+                length = (part["windows"].astype(np.int64) + n - 1) * kind
+                raw = np.frombuffer(body, np.uint8, offset=4 + part.nbytes + m)
                 rows.append(part)
                 home.append(np.full(m, b))
-                place.append(np.cumsum(length) - length + total)
+                place.append((np.cumsum(length) - length)[np.flatnonzero(kind)][np.cumsum(kind) - 1] + total)
                 data.append(raw)
                 total += len(raw)
         if not rows:
