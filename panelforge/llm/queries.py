@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship, table
-from . import decontaminate, embedding_dedup, language_id, main_text, pieces, simhash, substring_dedup, suffix_dedup, token_counts, toxicity
+from . import decontaminate, embedding_dedup, embedding_whitening, importance_sampling, language_id, main_text, pieces, simhash, substring_dedup, suffix_dedup, token_counts, toxicity
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +57,14 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(ship(spark), sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_whitening.by_component(embedding_whitening.whiten(table(ship(spark), sf_dir, "embeddings")))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_sampling.resample(table(ship(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
@@ -68,6 +76,8 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_html_extraction": op9_html_extraction,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 #: SQL over whole tables; the other queries have none and are tested against brute force, the tokenizers' libraries or held-out rows.
 ORACLES: dict[str, str] = {
@@ -120,5 +130,33 @@ kept AS (
 )
 SELECT w.doc_id, len(w.words)::BIGINT AS n_words, (len(w.words) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
 FROM w LEFT JOIN kept k ON w.doc_id = k.doc_id
+""",
+    "op13_importance_resampling": r"""
+WITH RECURSIVE crc AS (
+  SELECT i, i AS c, 0 AS step FROM range(256) t(i)
+  UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, step + 1 FROM crc WHERE step < 8
+), tab AS (SELECT list(c ORDER BY i) AS t FROM crc WHERE step = 8),
+d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words FROM documents
+), b AS (
+  SELECT unnest(list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS word FROM benchmark
+), each AS (SELECT doc_id, unnest(words) AS word FROM d),
+raw AS (SELECT word, count(*) AS n FROM each GROUP BY word), goal AS (SELECT word, count(*) AS n FROM b GROUP BY word),
+vocabulary AS (SELECT word, hex(encode(word)) AS x FROM (SELECT word FROM raw UNION SELECT word FROM goal)),
+hashed AS (
+  SELECT word, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(generate_series(1, length(x), 2), lambda i: ('0x' || substr(x, i, 2))::BIGINT)), lambda c, y: xor(c // 256, t[xor(c % 256, y) + 1])), 4294967295) % 10000 AS bucket FROM vocabulary, tab
+), counts AS (
+  SELECT h.bucket, sum(coalesce(r.n, 0))::DOUBLE AS s, sum(coalesce(g.n, 0))::DOUBLE AS t FROM hashed h LEFT JOIN raw r ON h.word = r.word LEFT JOIN goal g ON h.word = g.word GROUP BY h.bucket
+), gain AS (SELECT bucket, floor(1000 * ln(((t + 1) * (sum(s) OVER () + 10000)) / ((s + 1) * (sum(t) OVER () + 10000))))::BIGINT AS g FROM counts),
+weights AS (
+  SELECT doc_id, floor(sum(g)::DOUBLE / count(*))::BIGINT AS weight FROM each e JOIN hashed h ON e.word = h.word JOIN gain USING (bucket) GROUP BY doc_id
+), scored AS (
+  SELECT d.doc_id, len(words)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM d LEFT JOIN weights w ON d.doc_id = w.doc_id
+), placed AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_features >= 20
+)
+SELECT s.doc_id, s.n_features, s.weight, s.score, p.rank, s.n_features AS n_words FROM scored s LEFT JOIN placed p ON s.doc_id = p.doc_id AND p.rank <= 10 * p.n // 100
 """,
 }
