@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship, table
-from . import decontaminate, embedding_dedup, embedding_whitening, importance_sampling, language_id, main_text, pieces, simhash, substring_dedup, suffix_dedup, token_counts, toxicity
+from . import decontaminate, embedding_dedup, embedding_whitening, importance_sampling, language_id, language_model, main_text, pieces, simhash, substring_dedup, suffix_dedup, token_counts, toxicity
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_whitening.by_component(embedding_whitening.whiten(table(ship(spark), sf_dir, "embeddings")))
 
 
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.log_probabilities(table(ship(spark), sf_dir, "documents"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_sampling.resample(table(ship(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -77,6 +81,7 @@ QUERIES = {
     "op9_html_extraction": op9_html_extraction,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_lm_scoring": op12_lm_scoring,
     "op13_importance_resampling": op13_importance_resampling,
 }
 #: SQL over whole tables; the other queries have none and are tested against brute force, the tokenizers' libraries or held-out rows.
