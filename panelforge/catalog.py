@@ -466,4 +466,4 @@ def position_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("symbol", day(), r6(stats.discretise(COL("close") / COL("vwap") - 1, 0.25), "size"), stats.target_position(F.lit(100.0), COL("vwap"), COL("close"), 50).alias("position"))
 
 
-from .queries import evaluation, gating, market, research, storage, trends  # noqa: E402,F401
+from .queries import evaluation, gating, market, modelling, research, storage, trends  # noqa: E402,F401

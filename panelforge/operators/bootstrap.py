@@ -51,3 +51,29 @@ def sequential_bootstrap(events: DataFrame, bars: DataFrame, size: int | None =
         return pd.DataFrame({"symbol": pdf["symbol"].iloc[0], "draw": np.arange(len(got)), "event_id": pdf["event_id"].to_numpy()[got]})
 
     return placed.groupBy("symbol").applyInPandas(run, "symbol string, draw long, event_id string")
+
+
+def bags(placed: DataFrame, trees: int, share: float | None = None, seed: int = 0, block: int = 256) -> DataFrame:
+    """(event_id, copies array<int>): how often each of ``trees`` bags holds an event of placed(event_id, symbol, first, last).
+
+    Bags are drawn sequentially by uniqueness inside blocks of ``block`` consecutive events of a symbol, so that a group is bounded
+    whatever a symbol's history; events of two blocks overlap at their edge only.  A bag takes ``share`` of a block's events, or the block's
+    mean uniqueness if not told.
+    """
+    # places in a symbol come from its bars, whose number is known on the row: a block is a span of bars with no more events than bars
+    blocked = placed.withColumn("block", F.floor(F.col("first") / block).cast("long"))
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["first", "event_id"], kind="stable").reset_index(drop=True)
+        low = pdf["first"].to_numpy() - pdf["first"].min()
+        high = pdf["last"].to_numpy() - pdf["first"].min()
+        held = np.bincount(np.concatenate([np.arange(a, b + 1) for a, b in zip(low, high)]), minlength=int(high.max()) + 1)
+        total = np.concatenate(([0.0], np.cumsum(1 / np.maximum(held, 1))))
+        unique = ((total[high + 1] - total[low]) / (high - low + 1)).mean()
+        size = max(1, int(round((share if share is not None else unique) * len(pdf))))
+        rng = np.random.default_rng([seed, int(pdf["own"].iloc[0]), int(key[1])])
+        copies = np.stack([np.bincount(draw(low, high, size, rng), minlength=len(pdf)) for _ in range(trees)], axis=1)
+        return pd.DataFrame({"event_id": pdf["event_id"], "copies": list(copies.astype(np.int32))})
+
+    rows = blocked.withColumn("own", F.abs(F.hash("symbol")))
+    return rows.groupBy("symbol", "block").applyInPandas(lambda key, pdf: run(key, pdf), "event_id string, copies array<int>")
