@@ -16,22 +16,21 @@ batches of its share, adds the gradient of the log-likelihood to its copy of the
 by one outcome drawn from the model's own softmax for each token, which is unbiased), and returns the rows it touched; rows
 are averaged by the tokens that touched them, block by block, up a tree of groups.  A task has about ``TASK_TOKENS`` tokens, so what moves
 follows the input.  Texts are scored in sparse batches: of each token only its rows are gathered.  Counts of words beyond those
-broadcast are joined by word.
+broadcast are joined by word.  Texts become units once, two bytes a token, in a table that training and scoring read.
 
 Defined cases: a null or empty text is its end alone.  A null doc_id is never held out and never trains.  Without training
 texts every base score is 0 and units are uniform over the buckets.  Repeated rows are scored, and train, each for itself.
-Extra columns make no difference.  Long texts are read in pieces that carry their history.
+Extra columns make no difference.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,11 +45,12 @@ SINGLE = UNITS // 2
 #: Rows of the hashed table as a power of two, features of a history, words broadcast at most.
 ROW_BITS, FEATURES, KNOWN = 17, 4, 1 << 18
 ROUNDS, TASK_TOKENS, LEAST_TASKS, BATCH, RATE = 2, 6_000_000, 6, 8_192, 1.0
+#: Bound of an outcome's score, which keeps its exponential within single precision.
+SCORE = 80.0
 #: Rows of a message, partitions that a group adds up, bytes of text handled at once.
-BLOCK, FAN, PIECE = 512, 64, 1 << 20
-#: The end of a text: no word holds white space, and no text the byte 0xFF.
-END, END_BYTES = "\n", b"\xff"
-SPACE = re.compile(rb"[\x20\x09-\x0D]")
+BLOCK, FAN, PIECE = 512, 64, 1 << 24
+#: The end of a text: no word holds white space.
+END = "\n"
 
 
 def bucket(word: bytes) -> int:
@@ -69,49 +69,37 @@ def training(docs: DataFrame, id_col: str) -> DataFrame:
     return docs.where(bucket_of(id_col, 10) != 0)
 
 
-def pieces(texts: list[str | None]) -> Iterator[tuple[bytes, bool]]:
-    """Lower-cased texts, long ones cut at white space; and whether a piece ends its text."""
-    for text in texts:
-        data = (text or "").encode().lower()
-        at = 0
-        while len(data) - at > PIECE and (cut := SPACE.search(data, at + PIECE)):
-            yield data[at : cut.start()], False
-            at = cut.end()
-        yield data[at:], True
-
-
-def word_lists(texts: list[str | None]) -> Iterator[list[bytes]]:
-    """Words of about ``PIECE`` bytes of texts at a time, with END_BYTES after the last word of each text."""
-    held, size = [], 0
-    for data, last in pieces(texts):
-        held.append(data)
-        size += len(data)
-        if last:
-            held.append(END_BYTES)
-        if size >= PIECE:
-            yield b" ".join(held).split()
-            held, size = [], 0
-    if held:
-        yield b" ".join(held).split()
+def runs(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """First and last row of runs of texts of about ``PIECE`` bytes; a longer text is a run of its own."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    a, held = 0, 0
+    for i, n in enumerate(size.tolist()):
+        if held and held + n > PIECE:
+            yield a, i
+            a, held = i, 0
+        held += n
+    if a < len(size):
+        yield a, len(size)
+
+
+def word_arrays(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The lower-cased words of texts end to end, and the text of each."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, doc = lists.flatten(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    solid = pc.greater(pc.binary_length(words), 0)  # white space at an edge of a text leaves an empty word
+    return words.filter(solid), doc[solid.to_numpy(zero_copy_only=False)]
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, n) over all rows; the word "\\n" counts the ends."""
 
     def count(batches):
-        total: Counter = Counter()
-
-        def told():
-            words = [END if w == END_BYTES else w.decode() for w in total]
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(total.values(), pa.int64())], ["word", "n"])
-
         for batch in batches:
-            for words in word_lists(batch.column(0).to_pylist()):
-                total.update(words)
-                if len(total) > 400_000:
-                    yield told()
-                    total.clear()
-        yield told()
+            texts = batch.column(0)
+            for a, b in runs(texts):
+                found = pc.value_counts(word_arrays(texts.slice(a, b - a))[0])
+                yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], ["word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([END]), pa.array([len(texts)], pa.int64())], ["word", "n"])
 
     return docs.select(F.col(text_col).alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -137,23 +125,6 @@ class Vocabulary:
             types[bucket(w)] -= 1
         self.mass = np.where(np.arange(UNITS) < SINGLE, np.concatenate((single, np.zeros(UNITS - SINGLE))), mass + SMOOTH * (types + 1))
         self.base_total = total + SMOOTH * (distinct + 1)
-        self._ids: Ids | None = None
-
-    def __getstate__(self):
-        return self.__dict__ | {"_ids": None}
-
-    @property
-    def ids(self) -> Ids:
-        if self._ids is None:
-            self._ids = Ids({END_BYTES if w == END else w.encode(): i for i, w in enumerate(self.words)})
-        return self._ids
-
-
-class Ids(dict):
-    """The number of a broadcast word; less than 0 for another: its unit is -1 less the number."""
-
-    def __missing__(self, word: bytes) -> int:
-        return -1 - bucket(word)
 
 
 def vocabulary(counts: DataFrame, known: int = KNOWN) -> Vocabulary:
@@ -200,64 +171,136 @@ def rows_of(keys: np.ndarray, classes: np.ndarray | None, bits: int) -> np.ndarr
 
 class Model:
     def __init__(self, vocab: Vocabulary, bits: int = ROW_BITS):
-        self.vocab, self.bits = vocab, bits
+        self.total, self.bits = vocab.total, bits
         self.table = np.zeros((1 << bits, WIDTH), np.float32)
         self.seen = np.zeros(1 << bits, np.float32)
         mass = vocab.mass.reshape(WIDTH, WIDTH)
-        floor = np.log(np.finfo(np.float32).tiny)
         with np.errstate(divide="ignore"):
-            self.class_bias = np.maximum(np.log(mass.sum(axis=1) / mass.sum()), floor).astype(np.float32)
-            self.unit_bias = np.maximum(np.log(mass / np.maximum(mass.sum(axis=1, keepdims=True), 1e-30)), floor).astype(np.float32)
+            self.class_bias = np.maximum(np.log(mass.sum(axis=1) / mass.sum()), -SCORE).astype(np.float32)
+            self.unit_bias = np.maximum(np.log(mass / np.maximum(mass.sum(axis=1, keepdims=True), 1e-30)), -SCORE).astype(np.float32)
 
     def softmax(self, rows: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of each token the exponentials of its outcomes' scores and their sum."""
+        """Of each token the exponentials of its outcomes' scores, which are kept within +-SCORE, and their sum."""
         z = np.take(self.table, rows[0], axis=0)
         for r in rows[1:]:
             z += np.take(self.table, r, axis=0)
         z += bias
-        z -= z.max(axis=1)[:, None]
+        np.clip(z, -SCORE, SCORE, out=z)
         np.exp(z, out=z)
-        return z, z.sum(axis=1)
+        return z, z @ _ONE
 
     def levels(self, units: np.ndarray, keys: np.ndarray):
         """Both softmaxes of tokens: rows, biases, outcome."""
         c, m = units // WIDTH, units % WIDTH
         yield rows_of(keys, None, self.bits), self.class_bias[None, :], c
-        yield rows_of(keys, c, self.bits), self.unit_bias[c], m
+        yield rows_of(keys, c, self.bits), np.take(self.unit_bias, c, axis=0), m
 
     def log10(self, units: np.ndarray, before: np.ndarray) -> np.ndarray:
         """log10 of the probability of each token's unit."""
-        keys, out = histories(units, before), np.zeros(len(units))
-        for a in range(0, len(units), BATCH):
-            part = slice(a, a + BATCH)
-            for rows, bias, y in self.levels(units[part], keys[:, part]):
+        out = np.zeros(len(units))
+        for part, keys in _batches(units, before):
+            for rows, bias, y in self.levels(units[part], keys):
                 z, s = self.softmax(rows, bias)
-                out[part] += np.log10(np.maximum(z[np.arange(len(y)), y], np.finfo(np.float32).tiny) / s)
+                out[part] += np.log10(z[np.arange(len(y)), y] / s)
         return out
 
     def learn(self, units: np.ndarray, before: np.ndarray, rng: np.random.Generator, rate: float) -> None:
         """Gradient steps over batches of tokens; a row's step falls with the root of the tokens that touched it."""
-        keys, flat = histories(units, before), self.table.reshape(-1)
-        for a in range(0, len(units), BATCH):
-            part = slice(a, a + BATCH)
-            for rows, bias, y in self.levels(units[part], keys[:, part]):
+        flat = self.table.reshape(-1)
+        for part, keys in _batches(units, before):
+            for rows, bias, y in self.levels(units[part], keys):
                 z, s = self.softmax(rows, bias)
-                drawn = (np.cumsum(z, axis=1) < (rng.random(len(y), np.float32) * s)[:, None]).sum(axis=1)
-                np.minimum(drawn, WIDTH - 1, out=drawn)
+                drawn = _drawn(z, rng.random(len(y), np.float32) * s)
                 off = np.flatnonzero(drawn != y)
-                all_rows = rows.ravel()
-                np.add.at(self.seen, all_rows, np.float32(1))
-                step = (rate / np.sqrt(self.seen[rows[:, off]] + 8)).astype(np.float32)
-                np.add.at(flat, (rows[:, off] * WIDTH + y[off]).ravel(), step.ravel())
-                np.subtract.at(flat, (rows[:, off] * WIDTH + drawn[off]).ravel(), step.ravel())
+                np.add.at(self.seen, rows.ravel(), np.float32(1))
+                rows = rows[:, off]
+                step = (rate / np.sqrt(self.seen[rows] + 8)).astype(np.float32).ravel()
+                rows *= WIDTH
+                np.add.at(flat, (rows + y[off]).ravel(), step)
+                np.subtract.at(flat, (rows + drawn[off]).ravel(), step)
+
+
+_ONE, _UPPER = np.ones(WIDTH, np.float32), np.triu(np.ones((WIDTH, WIDTH), np.float32))
+
+
+def _drawn(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The outcome of each row whose running sum first exceeds a number, by halving."""
+    running = (z @ _UPPER).ravel()
+    first = np.arange(0, len(running), WIDTH)
+    i, step = first.copy(), WIDTH // 2
+    while step:
+        i += step * (running[i + (step - 1)] <= at)
+        step //= 2
+    return i - first
+
 
+def _batches(units: np.ndarray, before: np.ndarray):
+    """Slices of BATCH tokens and the keys of their histories."""
+    for a in range(0, len(units), BATCH):
+        part = slice(a, min(a + BATCH, len(units)))
+        yield part, histories(units[part], units[a - 3 : a] if a else before)
 
-def _streams(vocab: Vocabulary, texts: list[str | None]):
-    """(words, their numbers, their units) of texts, piece by piece."""
-    look = vocab.ids
-    for words in word_lists(texts):
-        ids = np.fromiter(map(look.__getitem__, words), np.int64, len(words))
-        yield words, ids, np.where(ids >= 0, vocab.unit[np.maximum(ids, 0)], -1 - ids)
+
+# ---- texts as units --------------------------------------------------------------------------------------------
+
+_ENCODED = "row long, doc_id long, held_out boolean, share int, n_tokens long, n_known long, base_score double, own_score double, units binary, rare array<struct<word:string,n:long>>"
+
+
+def encode(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Each text once: its units (two bytes a token, the end last), what its tokens add to both scores apart from the model, its words that are not broadcast, and the round that trains on it (null: none)."""
+    held = docs.sparkSession.sparkContext.broadcast(vocab)  # at most ``known`` words and UNITS numbers
+
+    def run(batches):
+        v = held.value
+        known_words = pa.array(v.words, pa.string())
+        base_of = np.log10((v.counts + SMOOTH) / v.base_total)
+        inside = np.where(v.unit < SINGLE, 0.0, np.log10((v.counts + SMOOTH) / v.mass[v.unit]))  # a word's share of its unit
+        rest, base_rest = -np.log10(v.mass), -np.log10(v.base_total)  # of a word that is not broadcast, but for its count
+        for batch in batches:
+            for a, b in runs(batch.column(3)):
+                part = batch.slice(a, b - a)
+                size = part.num_rows
+                words, doc = word_arrays(part.column(3))
+                ids = pc.fill_null(pc.index_in(words, value_set=known_words), -1).to_numpy(zero_copy_only=False)
+                miss = ids < 0
+                here = np.where(miss, 0, ids)
+                units = v.unit[here]
+                units[miss] = buckets(rare := words.filter(pa.array(miss)))
+                add = lambda x: np.bincount(doc, x, size)  # noqa: B023, E731
+                tokens = np.bincount(doc, minlength=size) + 1  # and the end
+                known = add((v.counts[here] > 0) & ~miss).astype(np.int64) + int(v.counts[0] > 0)
+                base = add(np.where(miss, base_rest, base_of[here])) + base_of[0]
+                own = add(np.where(miss, rest[units], inside[here]))
+                edge = np.concatenate(([0], np.cumsum(tokens)))
+                flat = np.zeros(edge[-1], np.uint16)
+                flat[np.arange(len(doc)) + doc] = units
+                coded = pa.Array.from_buffers(pa.binary(), size, [None, pa.py_buffer((2 * edge).astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), part.column(4), *map(pa.array, (tokens, known, base, own)), coded, counted(rare, doc[miss], size)], ["row", "doc_id", "held_out", "share", "n_tokens", "n_known", "base_score", "own_score", "units", "rare"])
+
+    fold = bucket_of(id_col, 10)
+    share = F.when(fold != 0, F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(rounds)).cast("int"))
+    cols = [F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(fold == 0, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"), share.alias("share")]
+    return docs.select(*cols).mapInArrow(run, _ENCODED)
+
+
+def buckets(words: pa.Array) -> np.ndarray:
+    """The bucket of each word, by its last three bytes."""
+    tails = pc.binary_slice(words.cast(pa.binary()), -3).dictionary_encode()
+    code = np.array([bucket(t) for t in tails.dictionary.to_pylist()], np.int64)
+    return code[tails.indices.to_numpy()] if len(words) else code
+
+
+def counted(words: pa.Array, doc: np.ndarray, size: int) -> pa.Array:
+    """For each of ``size`` texts the list of its different words with their counts."""
+    got = pa.table({"d": pa.array(doc), "word": words}).group_by(["d", "word"]).aggregate([([], "count_all")]).combine_chunks().sort_by("d")
+    edge = np.concatenate(([0], np.cumsum(np.bincount(got["d"].to_numpy(), minlength=size)))).astype(np.int32)
+    flat = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (got["word"], got["count_all"])]
+    return pa.ListArray.from_arrays(pa.array(edge), pa.StructArray.from_arrays(flat, ["word", "n"]))
+
+
+def units_of(column: pa.Array) -> np.ndarray:
+    """The units of a batch's texts end to end."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).astype(np.int64)
 
 
 _TABLE = "block int, part int, body binary"
@@ -283,9 +326,9 @@ def _merge(bodies: list[bytes]) -> bytes:
     return _pack(rows, seen[rows], change[rows] / seen[rows, None])
 
 
-def _round(model: Model, docs: DataFrame, parts: int, text_col: str, rate: float) -> None:
+def _round(model: Model, encoded: DataFrame, parts: int, rate: float) -> None:
     """One round of all tasks over their shares; the model's table takes the averaged changes."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # 2^ROW_BITS rows and at most ``known`` words
+    held = encoded.sparkSession.sparkContext.broadcast(model)  # 2^ROW_BITS rows
 
     def climb(batches):
         from pyspark import TaskContext
@@ -295,9 +338,9 @@ def _round(model: Model, docs: DataFrame, parts: int, text_col: str, rate: float
         own.__dict__.update(held.value.__dict__)
         own.table, own.seen = held.value.table.copy(), held.value.seen.copy()
         for batch in batches:
-            for _, _, units in _streams(own.vocab, batch.column(0).to_pylist()):
-                own.learn(units, before, rng, rate)
-                before = np.concatenate((before, units))[-3:]
+            units = units_of(batch.column(0))
+            own.learn(units, before, rng, rate)
+            before = np.concatenate((before, units))[-3:]
         seen = own.seen - held.value.seen
         for b in range(0, len(seen), BLOCK):
             rows = np.flatnonzero(seen[b : b + BLOCK])
@@ -308,7 +351,7 @@ def _round(model: Model, docs: DataFrame, parts: int, text_col: str, rate: float
     def add(key, t: pa.Table) -> pa.Table:
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int32()), "body": pa.array([_merge(t.column("body").to_pylist())], pa.binary())})
 
-    told = docs.select(F.col(text_col).alias("text")).coalesce(parts).mapInArrow(climb, _TABLE)
+    told = encoded.select("units").coalesce(parts).mapInArrow(climb, _TABLE)
     level = parts
     while level > 1:
         told = told.withColumn("part", F.floor(F.col("part") / FAN).cast("int")).groupBy("block", "part").applyInArrow(lambda key, t: add(key, t), _TABLE)
@@ -321,62 +364,41 @@ def _round(model: Model, docs: DataFrame, parts: int, text_col: str, rate: float
     held.destroy()
 
 
-def train(docs: DataFrame, counts: DataFrame, known: int = KNOWN, bits: int = ROW_BITS, rounds: int = ROUNDS, rate: float = RATE, task_tokens: int = TASK_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def train(encoded: DataFrame, vocab: Vocabulary, bits: int = ROW_BITS, rounds: int = ROUNDS, rate: float = RATE, task_tokens: int = TASK_TOKENS) -> Model:
     """A model of the training texts: each of them in one round, by a hash of its id."""
-    model = Model(vocabulary(counts, known), bits)
-    parts = max(LEAST_TASKS, -(-model.vocab.total // (rounds * task_tokens)))
-    share = F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(rounds))
+    model = Model(vocab, bits)
+    parts = max(LEAST_TASKS, -(-vocab.total // (rounds * task_tokens)))
     for k in range(rounds):
-        _round(model, training(docs, id_col).where(share == k), parts, text_col, rate)
+        _round(model, encoded.where(F.col("share") == k), parts, rate)
     return model
 
 
 # ---- scores ----------------------------------------------------------------------------------------------------
 
-_TOLD = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<struct<word:string,n:long>>"
-
 
-def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+def score(encoded: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of encoded texts."""
+    held = encoded.sparkSession.sparkContext.broadcast(model)  # 2^ROW_BITS rows
+    cols = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score"]
 
     def run(batches):
-        own = held.value
-        v = own.vocab
-        base_of = np.log10((v.counts + SMOOTH) / v.base_total)
-        inside = np.where(v.unit < SINGLE, 0.0, np.log10((v.counts + SMOOTH) / v.mass[v.unit]))  # a word's share of its unit
-        rest = -np.log10(v.mass)  # of a word that is not broadcast, but for its count
-        base_rest = -np.log10(v.base_total)
         for batch in batches:
-            size = batch.num_rows
-            tokens, known, base, total = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size), np.zeros(size)
-            rare: list[dict[str, int]] = [{} for _ in range(size)]
-            doc, before = 0, np.zeros(3, np.int64)
-            for words, ids, units in _streams(v, batch.column(2).to_pylist()):
-                ends = units == 0
-                at = doc + np.concatenate(([0], np.cumsum(ends)[:-1])) if len(ids) else np.zeros(0, np.int64)
-                here, miss = np.maximum(ids, 0), ids < 0
-                tokens += np.bincount(at, minlength=size)
-                known += np.bincount(at, (v.counts[here] > 0) & ~miss, size).astype(np.int64)
-                base += np.bincount(at, np.where(miss, base_rest, base_of[here]), size)
-                total += np.bincount(at, own.log10(units, before) + np.where(miss, rest[units], inside[here]), size)
-                for i, d in zip(np.flatnonzero(miss).tolist(), at[miss].tolist()):
-                    rare[d][w] = rare[d].get(w := words[i].decode(), 0) + 1
-                doc += int(ends.sum())
-                before = np.concatenate((before, units))[-3:]
-            lists = pa.array([[{"word": w, "n": n} for w, n in r.items()] for r in rare], pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(tokens), pa.array(known), pa.array(base), pa.array(total), lists], ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"])
-
-    held_out = F.coalesce(bucket_of(id_col, 10) == 0, F.lit(False))
-    told = written(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), held_out.alias("held_out")).mapInArrow(run, _TOLD))
-    each = told.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.n").alias("k"))
+            units = units_of(batch.column("units"))
+            at = np.repeat(np.arange(batch.num_rows), batch.column("n_tokens").to_numpy())
+            own = np.bincount(at, held.value.log10(units, np.zeros(3, np.int64)), batch.num_rows) + batch.column("own_score").to_numpy()
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in cols), pa.array(own)], [*cols, "score"])
+
+    told = encoded.select(*cols, "own_score", "units").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    each = encoded.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.n").alias("k"))
     # no word among these is frequent: those are broadcast
     found = each.join(counts, "word", "left").groupBy("row").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)).alias("more"), F.sum(F.col("k") * F.log10(F.coalesce("n", F.lit(0)) + SMOOTH)).alias("own"))
     own = F.coalesce("own", F.lit(0.0))
-    return told.join(found, "row", "left").select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(model.vocab.total).cast("long").alias("train_tokens"), (F.col("base_score") + own).alias("base_score"), (F.col("score") + own).alias("score"))
+    return told.join(found, "row", "left").select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), (F.col("base_score") + own).alias("base_score"), (F.col("score") + own).alias("score"))
 
 
 def log_probabilities(docs: DataFrame, known: int = KNOWN, bits: int = ROW_BITS, rounds: int = ROUNDS, rate: float = RATE, task_tokens: int = TASK_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Count, train and score one table."""
+    """Count, encode, train and score one table."""
     counts = written(word_counts(training(docs, id_col), text_col))
-    return score(docs, train(docs, counts, known, bits, rounds, rate, task_tokens, id_col, text_col), counts, id_col, text_col)
+    vocab = vocabulary(counts, known)
+    encoded = written(encode(docs, vocab, rounds, id_col, text_col))
+    return score(encoded, train(encoded, vocab, bits, rounds, rate, task_tokens), counts)

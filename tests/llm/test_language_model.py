@@ -27,10 +27,17 @@ def fold(i):
     return None if i is None else zlib.crc32(str(i).encode()) % 10
 
 
-def by_hand(rows, model):
+def trained(docs, known=1 << 18):
+    counts = lm.written(lm.word_counts(lm.training(docs, "doc_id")))
+    vocab = lm.vocabulary(counts, known)
+    encoded = lm.written(lm.encode(docs, vocab))
+    return counts, vocab, encoded, lm.train(encoded, vocab, bits=10)
+
+
+def by_hand(rows, model, v):
     """The contract's columns, and the model's score word by word from its table."""
     counts = Counter(t for i, text in rows if fold(i) not in (None, 0) for t in tokens(text))
-    total, v = sum(counts.values()), model.vocab
+    total = sum(counts.values())
     assert (v.total, v.distinct) == (total, len(counts))
     single = {w: k for k, w in enumerate(v.words[: lm.SINGLE])}
     unit = lambda w: single.get(w, lm.bucket(w.encode()))
@@ -66,17 +73,16 @@ def odd_rows():
     return rows + [(None, say(30) + " never-trained"), (500, None), (501, ""), (502, " \t\n"), (503, say(4000)), (7, rows[7][1]), (7, "another text"), (600, "a\x00b \x1c    x")]
 
 
-@pytest.mark.parametrize("known,piece", [(1 << 18, 1 << 20), (20, 1 << 20), (1 << 18, 64), (0, 1)])
+@pytest.mark.parametrize("known,piece", [(1 << 18, 1 << 24), (20, 1 << 24), (1 << 18, 64), (0, 1)])
 def test_scores_equal_a_word_by_word_version(spark, monkeypatch, known, piece):
     monkeypatch.setattr(lm, "PIECE", piece)
     rows = odd_rows()
     docs = spark.createDataFrame([(i, t, *FILL) for i, t in rows], f"doc_id long, text string{CLASH}").repartition(3)
-    counts = lm.written(lm.word_counts(lm.training(docs, "doc_id")))
-    model = lm.train(docs, counts, known, bits=10)
-    assert len(model.vocab.words) <= known + 1 and np.abs(model.table).max() > 0
+    counts, vocab, encoded, model = trained(docs, known)
+    assert len(vocab.words) <= known + 1 and np.abs(model.table).max() > 0
     key = lambda r: (str(r[:5]), round(r[5], 4))
-    got = sorted(map(tuple, lm.score(docs, model, counts).collect()), key=key)
-    want = sorted(by_hand(rows, model), key=key)
+    got = sorted(map(tuple, lm.score(encoded, model, counts).collect()), key=key)
+    want = sorted(by_hand(rows, model, vocab), key=key)
     assert [g[:5] for g in got] == [w[:5] for w in want]
     for g, w in zip(got, want):
         assert abs(g[5] - w[5]) < 1e-8 * max(1, abs(w[5])) and abs(g[6] - w[6]) < 1e-4 * max(1, abs(w[6]))
@@ -84,19 +90,18 @@ def test_scores_equal_a_word_by_word_version(spark, monkeypatch, known, piece):
 
 def test_probabilities_of_a_history_add_up_to_one(spark):
     docs = spark.createDataFrame([(i, t) for i, t in odd_rows()], "doc_id long, text string")
-    counts = lm.written(lm.word_counts(lm.training(docs, "doc_id")))
-    model = lm.train(docs, counts, 1 << 18, bits=10)
+    counts, vocab, _, model = trained(docs)
     rng = np.random.default_rng(0)
     for before in ([0, 0, 0], [5, 0, 3], *rng.integers(0, lm.UNITS, (5, 3)).tolist()):
         every = np.array([model.log10(np.array([u]), np.array(before))[0] for u in range(lm.UNITS)])
         assert abs((10**every).sum() - 1) < 1e-5
     share = Counter()
     for r in counts.collect():
-        single = model.vocab.words.index(r["word"]) < lm.SINGLE
-        u = model.vocab.words.index(r["word"]) if single else lm.bucket(r["word"].encode())
-        share[u] += (r["n"] + lm.SMOOTH) / model.vocab.mass[u]
+        single = vocab.words.index(r["word"]) < lm.SINGLE
+        u = vocab.words.index(r["word"]) if single else lm.bucket(r["word"].encode())
+        share[u] += (r["n"] + lm.SMOOTH) / vocab.mass[u]
     for u in range(lm.SINGLE, lm.UNITS):
-        share[u] += lm.SMOOTH / model.vocab.mass[u]
+        share[u] += lm.SMOOTH / vocab.mass[u]
     assert all(abs(x - 1) < 1e-9 for x in share.values())
 
 
