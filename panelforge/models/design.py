@@ -13,13 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.ordering import position
-from ..session import shared_dir
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+from ..session import written
 
 
 @dataclass(frozen=True)

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..catalog import COL, NAT, query, r6
+from ..catalog import COL, NAT, day, query, r6
 from ..models import classifiers, orthogonal, scores, trees
 from ..models import design as designs
-from ..operators import bootstrap, folds
+from ..operators import bootstrap, folds, regimes
 from ..plans import panels
+from ..session import ship, table
 
 FEATURES = ["momentum", "crowding", "jump", "turn"]
 HOLD, FOLDS, EMBARGO = 5, 4, 0.01
@@ -134,8 +135,6 @@ _TRIALS = f"tr AS (SELECT t AS trial, {_LOW} * pow({_HIGH / _LOW}, (('0x' || sub
 @query(f"WITH tr AS (SELECT c_custkey, {_LOW} * pow({_HIGH / _LOW}, (('0x' || substr(md5('9|' || c_custkey || '|smooth'), 1, 8))::BIGINT)::DOUBLE / 4294967296.0::DOUBLE) AS v FROM customer) SELECT c_custkey, round(v, 9) AS v, round(ln(v / {_LOW}) / ln({_HIGH / _LOW}), 9) AS cdf FROM tr")
 def log_uniform_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A draw for each customer, by the quantile function as a column, and where it stands in the distribution."""
-    from ..session import table
-
     drawn = table(spark, sf_dir, "customer").select("c_custkey", scores.LogUniform(_LOW, _HIGH).quantile(scores.uniform(9, COL("c_custkey"), "smooth")).alias("v"))
     return drawn.select("c_custkey", r6("v", "v", 9), r6(F.ln(COL("v") / _LOW) / math.log(_HIGH / _LOW), "cdf", 9))
 
@@ -182,3 +181,17 @@ def orthogonal_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
     got = p.agg(*(F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs))
     return got.select(F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), (F.round(f"{a}|{b}", 6) + 0.0).alias("corr")) for a, b in pairs))).alias("e")).select("e.*")
+
+
+@query()
+def hmm_trend_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days on which a segment's prices enter their trending state, by a model fitted to each day's window."""
+    return regimes.trend_entries(panels.segment_prices(ship(spark), sf_dir)).select("symbol", day())
+
+
+@query()
+def hmm_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filtered probability of the wilder regime of all nations' prices, by a model pooled over them."""
+    returns = regimes.log_returns(panels.nation_flow(ship(spark), sf_dir))
+    model, _ = regimes.fit_pooled(returns)
+    return regimes.filtered(returns, model).select("symbol", day(), r6("p", "p"))

@@ -58,6 +58,12 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the shared checkpoint folder: what rounds read again is made once."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def remove_dir(spark: SparkSession, folder: str) -> None:
     """Delete a folder of the shared store through Spark's own file system."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
