@@ -6,8 +6,8 @@ least count that at most ``KNOWN`` words reach.
 
 The model factors a token into three parts.  Its unit is one of ``WIDTH`` x ``WIDTH``: the end, the most frequent words, and
 for all other words buckets by their last three bytes.  A unit's class and its place in the class each come from a softmax
-over ``WIDTH`` outcomes, whose scores add up rows of one hashed table: a row for each n-gram or skip feature (the units one, two
-and three words back, and the pair of the last two), and for the second softmax each feature joined with the class.  Biases are
+over ``WIDTH`` outcomes, whose scores add up rows of one hashed table: a row for each n-gram or skip feature (the unit before, the pair of
+the last two, and the second last alone), and for the second softmax each feature joined with the class.  Biases are
 the logarithms of the training counts of units.  Inside a bucket a word has its smoothed share (c + 0.1 of the bucket's words
 and one unknown word).  So the probabilities of all words and of an unknown word of each bucket add up to one after any history.
 
@@ -42,8 +42,8 @@ SMOOTH = 0.1
 WIDTH = 32
 UNITS = WIDTH * WIDTH
 SINGLE = UNITS // 2
-#: Rows of the hashed table as a power of two, features of a history, words broadcast at most.
-ROW_BITS, FEATURES, KNOWN = 17, 4, 1 << 18
+#: Rows of the hashed table as a power of two, words broadcast at most.
+ROW_BITS, KNOWN = 17, 1 << 18
 ROUNDS, TASK_TOKENS, LEAST_TASKS, BATCH, RATE = 2, 6_000_000, 6, 8_192, 1.0
 #: Bound of an outcome's score, which keeps its exponential within single precision.
 SCORE = 80.0
@@ -150,13 +150,12 @@ _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD
 
 
 def histories(units: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """A key for each feature (rows) of each token's history; ``before``: the three units ahead of the first.  Nothing is seen beyond an end (unit 0)."""
+    """A key for each feature (rows) of each token's history; ``before``: the two units ahead of the first.  Nothing is seen beyond an end (unit 0)."""
     u = np.concatenate((before, units))
     n = len(units)
-    one = u[2 : 2 + n]
-    two = np.where(one == 0, 0, u[1 : 1 + n])
-    three = np.where(two == 0, 0, u[:n])
-    return np.stack((one, two + UNITS, three + 2 * UNITS, one * UNITS + two + 3 * UNITS)).astype(np.uint64)
+    one = u[1 : 1 + n]
+    two = np.where(one == 0, 0, u[:n])
+    return np.stack((one, two + UNITS, one * UNITS + two + 2 * UNITS)).astype(np.uint64)
 
 
 def rows_of(keys: np.ndarray, classes: np.ndarray | None, bits: int) -> np.ndarray:
@@ -201,7 +200,7 @@ class Model:
         for part, keys in _batches(units, before):
             for rows, bias, y in self.levels(units[part], keys):
                 z, s = self.softmax(rows, bias)
-                out[part] += np.log10(z[np.arange(len(y)), y] / s)
+                out[part] += np.log10(z[np.arange(len(y)), y].astype(float)) - np.log10(s)
         return out
 
     def learn(self, units: np.ndarray, before: np.ndarray, rng: np.random.Generator, rate: float) -> None:
@@ -224,21 +223,16 @@ _ONE, _UPPER = np.ones(WIDTH, np.float32), np.triu(np.ones((WIDTH, WIDTH), np.fl
 
 
 def _drawn(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The outcome of each row whose running sum first exceeds a number, by halving."""
-    running = (z @ _UPPER).ravel()
-    first = np.arange(0, len(running), WIDTH)
-    i, step = first.copy(), WIDTH // 2
-    while step:
-        i += step * (running[i + (step - 1)] <= at)
-        step //= 2
-    return i - first
+    """The outcome of each row whose running sum first exceeds a number: running sums rise, so it is the number of those that do not, by bit counts."""
+    beyond = np.packbits(z @ _UPPER > at[:, None], axis=1).view(np.uint32)
+    return np.minimum(WIDTH - np.bitwise_count(beyond[:, 0]).astype(np.int64), WIDTH - 1)
 
 
 def _batches(units: np.ndarray, before: np.ndarray):
     """Slices of BATCH tokens and the keys of their histories."""
     for a in range(0, len(units), BATCH):
         part = slice(a, min(a + BATCH, len(units)))
-        yield part, histories(units[part], units[a - 3 : a] if a else before)
+        yield part, histories(units[part], units[a - 2 : a] if a else before)
 
 
 # ---- texts as units --------------------------------------------------------------------------------------------
@@ -334,13 +328,13 @@ def _round(model: Model, encoded: DataFrame, parts: int, rate: float) -> None:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        own, rng, before = Model.__new__(Model), np.random.default_rng(part), np.zeros(3, np.int64)
+        own, rng, before = Model.__new__(Model), np.random.default_rng(part), np.zeros(2, np.int64)
         own.__dict__.update(held.value.__dict__)
         own.table, own.seen = held.value.table.copy(), held.value.seen.copy()
         for batch in batches:
             units = units_of(batch.column(0))
             own.learn(units, before, rng, rate)
-            before = np.concatenate((before, units))[-3:]
+            before = np.concatenate((before, units))[-2:]
         seen = own.seen - held.value.seen
         for b in range(0, len(seen), BLOCK):
             rows = np.flatnonzero(seen[b : b + BLOCK])
@@ -385,7 +379,7 @@ def score(encoded: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         for batch in batches:
             units = units_of(batch.column("units"))
             at = np.repeat(np.arange(batch.num_rows), batch.column("n_tokens").to_numpy())
-            own = np.bincount(at, held.value.log10(units, np.zeros(3, np.int64)), batch.num_rows) + batch.column("own_score").to_numpy()
+            own = np.bincount(at, held.value.log10(units, np.zeros(2, np.int64)), batch.num_rows) + batch.column("own_score").to_numpy()
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in cols), pa.array(own)], [*cols, "score"])
 
     told = encoded.select(*cols, "own_score", "units").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")

@@ -50,17 +50,17 @@ def by_hand(rows, model, v):
     out = []
     for i, text in rows:
         base = own = 0.0
-        back = [0, 0, 0]
+        back = [0, 0]
         for t in tokens(text):
             c = counts[t]
             base += math.log10((c + 0.1) / (total + 0.1 * (len(counts) + 1)))
             u = unit(t)
-            keys = np.array([[back[0]], [back[1] + lm.UNITS], [back[2] + 2 * lm.UNITS], [back[0] * lm.UNITS + back[1] + 3 * lm.UNITS]], np.uint64)
+            keys = np.array([[back[0]], [back[1] + lm.UNITS], [back[0] * lm.UNITS + back[1] + 2 * lm.UNITS]], np.uint64)
             for rows_, bias, y in ((lm.rows_of(keys, None, model.bits), model.class_bias, u // lm.WIDTH), (lm.rows_of(keys, np.array([u // lm.WIDTH]), model.bits), model.unit_bias[u // lm.WIDTH], u % lm.WIDTH)):
                 z = bias.astype(float) + model.table[rows_[:, 0]].astype(float).sum(axis=0)
                 own += (z[y] - np.log(np.exp(z - z.max()).sum()) - z.max()) / math.log(10)
             own += math.log10((c + 0.1) / mass[u])
-            back = [u, back[0] if u else 0, back[1] if u and back[0] else 0]
+            back = [u, back[0] if u else 0]
         out.append((i, fold(i) == 0, len(tokens(text)), sum(counts[t] > 0 for t in tokens(text)), total, base, own))
     return out
 
@@ -92,7 +92,7 @@ def test_probabilities_of_a_history_add_up_to_one(spark):
     docs = spark.createDataFrame([(i, t) for i, t in odd_rows()], "doc_id long, text string")
     counts, vocab, _, model = trained(docs)
     rng = np.random.default_rng(0)
-    for before in ([0, 0, 0], [5, 0, 3], *rng.integers(0, lm.UNITS, (5, 3)).tolist()):
+    for before in ([0, 0], [5, 3], [3, 0], *rng.integers(0, lm.UNITS, (5, 2)).tolist()):
         every = np.array([model.log10(np.array([u]), np.array(before))[0] for u in range(lm.UNITS)])
         assert abs((10**every).sum() - 1) < 1e-5
     share = Counter()
@@ -117,7 +117,7 @@ def test_the_step_is_the_gradient_of_the_log_likelihood():
     model = lm.Model(vocab, 8)
     rng = np.random.default_rng(1)
     model.table[:] = rng.normal(0, 0.5, model.table.shape)
-    start, units, before = model.table.copy(), np.array([37]), np.array([4, 9, 2])
+    start, units, before = model.table.copy(), np.array([37]), np.array([4, 9])
     total, n = np.zeros_like(start, float), 4000
     for _ in range(n):
         model.table, model.seen = start.copy(), np.full(1 << 8, 1e6 - 8 - 1, np.float32)
