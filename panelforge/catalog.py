@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .features import library
 from .functions import stats
 from .operators import folds, joins, labels, paths
 from .operators import windows as w
 from .plans import panels
 from .session import ship, table
+from .sources.layer import adjust, factor_from_actions
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -87,17 +89,17 @@ def invariant_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {EV} SELECT symbol, CAST(date AS VARCHAR) AS date, date_part('month', date) AS month, round(close * (1 + volume % 3) / last_value(1 + volume % 3) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 6) AS forward_close, round(close * (1 + volume % 3), 6) AS backward_close FROM ev")
 def adjusted_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Backward and forward adjustment with a factor that stands in for corporate actions."""
-    p = panels.event_bars(spark, sf_dir).withColumn("f", 1 + COL("volume") % 3)
-    last = F.last("f").over(w.by_symbol().rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    return p.select("symbol", day(), F.month("date").cast("long").alias("month"), r6(COL("close") * COL("f") / last, "forward_close"), r6(COL("close") * COL("f"), "backward_close"))
+    p = panels.event_bars(spark, sf_dir).select("symbol", "date", "close", "volume", "amount", (1 + COL("volume") % 3).alias("adj_factor"))
+    both = adjust(p, "forward").withColumnRenamed("close", "forward_close").join(adjust(p, "backward").select("symbol", "date", COL("close").alias("backward_close")), ["symbol", "date"])
+    return both.select("symbol", day(), F.month("date").cast("long").alias("month"), r6("forward_close", "forward_close"), r6("backward_close", "backward_close"))
 
 
 @query(f"WITH {EV}, a AS (SELECT symbol, date, 1 + (volume % 5) / 100.0 AS g FROM ev WHERE day(date) % 7 = 0) SELECT ev.symbol, CAST(ev.date AS VARCHAR) AS date, round(exp(sum(ln(coalesce(g, 1))) OVER (PARTITION BY ev.symbol ORDER BY ev.date)), 8) AS factor FROM ev LEFT JOIN a USING (symbol, date)")
 def action_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cumulative product of share ratios, as a running sum of logarithms."""
     p = panels.event_bars(spark, sf_dir)
-    g = F.when(F.dayofmonth("date") % 7 == 0, 1 + (COL("volume") % 5) / 100.0).otherwise(1.0)
-    return p.select("symbol", day(), r6(F.exp(F.sum(F.ln(g)).over(w.by_symbol().rowsBetween(W.unboundedPreceding, 0))), "factor", 8))
+    actions = p.where(F.dayofmonth("date") % 7 == 0).select("symbol", COL("date").alias("ex_date"), (COL("volume") % 5 / 100.0).alias("bonus"))
+    return factor_from_actions(actions, p).select("symbol", day(), r6("adj_factor", "factor", 8))
 
 
 # ---- windows and features --------------------------------------------------------------------------------------
@@ -208,9 +210,8 @@ def forward_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type AS symbol, CAST(CAST(ts AS DATE) AS VARCHAR) AS date, round(ln(arg_max(value, ts)) - ln(arg_min(value, ts)), 6) AS morning FROM events WHERE hour(ts) < 12 AND value > 0 GROUP BY 1, 2 HAVING count(*) >= 2")
 def morning_return(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where((F.hour("ts") < 12) & (COL("value") > 0))
-    g = e.groupBy(COL("event_type").alias("symbol"), F.to_date("ts").alias("date")).agg(F.count("*").alias("n"), (F.ln(F.max_by("value", "ts")) - F.ln(F.min_by("value", "ts"))).alias("m"))
-    return g.where("n >= 2").select("symbol", day(), r6("m", "morning"))
+    bars = table(spark, sf_dir, "events").select(COL("event_type").alias("symbol"), "ts", COL("value").alias("close"))
+    return library.morning_return(bars).select("symbol", day(), r6("morning", "morning"))
 
 
 # ---- gates -----------------------------------------------------------------------------------------------------
@@ -466,4 +467,4 @@ def position_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("symbol", day(), r6(stats.discretise(COL("close") / COL("vwap") - 1, 0.25), "size"), stats.target_position(F.lit(100.0), COL("vwap"), COL("close"), 50).alias("position"))
 
 
-from .queries import evaluation, gating, market, modelling, research, storage, trends  # noqa: E402,F401
+from .queries import evaluation, gating, market, modelling, research, rules, storage, trends  # noqa: E402,F401

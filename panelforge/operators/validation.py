@@ -38,7 +38,7 @@ LABEL = _schema("label", "event_id:text symbol:text event_start:time t1:time tou
 WEIGHT = _schema("sample_weight", "event_id:text uniqueness:float final_weight:float", "event_id", ("final_weight",), weight_positive="final_weight >= 0", uniqueness_range="uniqueness between 0 and 1 + 1e-6")
 CONCEPT = _schema("concept", "symbol:text concept_code:text effective_date:time expired_date:time", "symbol concept_code effective_date", ("symbol", "effective_date"), ends_after_start="expired_date >= effective_date")
 INDUSTRY = _schema("industry", KEY + "system:text level:int industry_code:text parent_code:text", "symbol date system level", ("symbol", "date"), parent_known="level = 1 or parent_code is not null")
-FUNDAMENTAL = _schema("fundamental", "symbol:text report_period:time announce_date:time available_at:time report_type:text", "", ("symbol", "report_period"), announced_after_period="report_type = 'forecast' or announce_date >= report_period", available_after_announced="available_at >= announce_date")
+FUNDAMENTAL = _schema("fundamental", "symbol:text report_period:time announce_date:time available_at:time report_type:text forecast_min:float forecast_max:float", "", ("symbol", "report_period"), range_order="forecast_min <= forecast_max", announced_after_period="report_type = 'forecast' or announce_date >= report_period", available_after_announced="available_at >= announce_date")
 MARGIN = _schema("margin_trading", KEY + "available_at:time fin_balance:float", "symbol date", ("fin_balance",), balance_positive="fin_balance >= 0", available_later="available_at > date")
 MONEY_FLOW = _schema("money_flow", KEY + "available_at:time net_amount_main:float net_amount_xl:float net_amount_l:float", "symbol date", (), main_is_sum="abs(net_amount_main - net_amount_xl - net_amount_l) <= 1", available_later="available_at > date")
 AUCTION = _schema("call_auction", KEY + "available_at:time auction_volume:float auction_amount:float bid1_price:float ask1_price:float", "symbol date", (), volume_positive="auction_volume >= 0 and auction_amount >= 0", book_order="bid1_price <= ask1_price", available_same_day="to_date(available_at) = to_date(date)")
@@ -84,3 +84,14 @@ def validate(df: DataFrame, schema: Schema) -> DataFrame:
 def weights_sum_to_one(universe: DataFrame, tolerance: float = 1e-3) -> DataFrame:
     """(date, total): dates whose weights do not."""
     return universe.groupBy("date").agg(F.sum("weight").alias("total")).where(F.abs(F.col("total") - 1) > tolerance)
+
+
+def one_factor_a_day(bars: DataFrame) -> DataFrame:
+    """(symbol, date, factors): days whose intraday bars have more than one adjustment factor."""
+    return bars.groupBy("symbol", F.to_date("ts").alias("date")).agg(F.count_distinct("adj_factor").alias("factors")).where("factors > 1")
+
+
+def weights_sum_to_count(weights: DataFrame, slack: float = 0.05) -> DataFrame:
+    """(total, n, fine): whether final weights add up to their number, within ``slack`` of it and one."""
+    one = weights.agg(F.coalesce(F.sum("final_weight"), F.lit(0.0)).alias("total"), F.count("*").alias("n"))
+    return one.withColumn("fine", F.abs(F.col("total") - F.col("n")) <= slack * F.col("n") + 1)

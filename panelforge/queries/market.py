@@ -1,4 +1,4 @@
-"""Queries of market-data sources and of the layer over them, on a deterministic market."""
+"""Queries of a market-data source over the order tables, and of the data layer on it."""
 
 from __future__ import annotations
 
@@ -7,178 +7,189 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..catalog import COL, day, query, r6
-from ..session import shared_dir
+from ..catalog import day, query, r6
+from ..session import shared_dir, ship
 from ..sources import contract
 from ..sources.layer import DataLayer, factor_from_actions
-from ..sources.market import FACTORS, LAGS, PRIME, MarketSource
+from ..sources.trade import LAGS, SIZES, TradeSource
 
-N, START, END = 40, "2020-01-01", "2020-12-31"
 
+def _market(spark: SparkSession, sf_dir: str) -> TradeSource:
+    return TradeSource(ship(spark), sf_dir)
 
-def _market(spark: SparkSession) -> MarketSource:
-    return MarketSource(spark, N, START, END)
-
-
-def _u(salt: int, t: str = "t") -> str:
-    x = f"((i * 7919 + {t} * 104729 + {salt * 1_299_709 + 42}) % {PRIME})"
-    return f"(((({x} * {x} % {PRIME}) * {x} + 12345) % {PRIME} + 0.5) / {PRIME})"
 
+def _r(*names: str, digits: int = 4) -> list:
+    return [r6(n, n, digits) for n in names]
 
-def _z(a: int, b: int, t: str = "t") -> str:
-    return f"(sqrt(-2 * ln({_u(a, t)})) * cos(2 * pi() * {_u(b, t)}))"
 
+def _rs(*names: str, digits: int = 4) -> str:
+    return ", ".join(f"round({n}, {digits}) AS {n}" for n in names)
 
-_S = f"s AS (SELECT range AS i, CASE WHEN range < {N // 10} THEN '688' || lpad(CAST(range AS VARCHAR), 3, '0') || '.SH' WHEN range % 2 = 1 THEN '60' || lpad(CAST(range AS VARCHAR), 4, '0') || '.SH' ELSE '00' || lpad(CAST(range AS VARCHAR), 4, '0') || '.SZ' END AS symbol FROM range({N}))"
-_D = f"dd AS (SELECT CAST(generate_series AS DATE) AS date, row_number() OVER (ORDER BY generate_series) AS seq FROM generate_series(DATE '{START}', DATE '{END}', INTERVAL 1 DAY) WHERE isodow(generate_series) < 6)"
-_G = f"{_S}, {_D}, g AS (SELECT i, symbol, date, seq, CAST(date_diff('day', DATE '1970-01-01', date) AS BIGINT) AS t FROM s CROSS JOIN dd)"
-_BY = "OVER (PARTITION BY symbol ORDER BY date)"
-_DAILY = f"""{_G}, m1 AS (SELECT *, 3e-4 + 0.02 * {_z(1, 2)} + CASE WHEN {_u(3)} < 0.005 THEN 0.09 WHEN {_u(3)} < 0.01 THEN -0.09 ELSE 0 END AS step, {_u(4)} < 0.01 AS halt FROM g),
- m2 AS (SELECT *, 20 * exp(sum(step) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING)) AS walk FROM m1), m3 AS (SELECT *, lag(walk) {_BY} AS last FROM m2),
- m4 AS (SELECT i, symbol, date, t, seq, CASE WHEN NOT halt THEN walk * (1 + 0.01 * ({_u(5)} - 0.5)) END AS open, CASE WHEN NOT halt THEN walk END AS close, halt AS is_suspended, last, CASE WHEN halt THEN 0 ELSE CAST(floor(1e6 * (0.5 + {_u(6)})) AS BIGINT) END AS volume FROM m3),
- daily AS (SELECT i, symbol, date, t, open, CASE WHEN close IS NOT NULL THEN greatest(open, close) * 1.002 END AS high, CASE WHEN close IS NOT NULL THEN least(open, close) * 0.998 END AS low, close, volume, coalesce(close * volume, 0) AS amount, 1 + 0.05 * ((seq - 1) // 60) AS adj_factor, is_suspended, coalesce(close / last - 1 >= 0.08, false) AS is_limit_up, coalesce(close / last - 1 <= -0.08, false) AS is_limit_down, i % 17 = 0 AS is_st, seq + 100 AS days_since_listing FROM m4)"""
 
+def _bound(lo: int | None, hi: int | None) -> str:
+    return " AND ".join(f"l_quantity {sign} {b}" for sign, b in ((">=", lo), ("<", hi)) if b is not None)
 
-def _r(*names: str, digits: int = 5) -> list:
-    return [r6(n, n, digits) for n in names]
 
+_BY = "OVER (PARTITION BY symbol ORDER BY date)"
+_PLACE = "(l_orderkey, l_linenumber, l_extendedprice)"
+_SIGNED = "CASE WHEN l_linestatus = 'O' THEN l_extendedprice ELSE -l_extendedprice END"
+_DAYS = f"""bs AS (SELECT n_name AS symbol, n_nationkey AS i, n_regionkey AS region, CAST(l_shipdate AS DATE) AS date, arg_min(l_extendedprice, {_PLACE}) AS open, max(l_extendedprice) AS high, min(l_extendedprice) AS low, arg_max(l_extendedprice, {_PLACE}) AS close,
+ CAST(sum(l_quantity) AS BIGINT) AS quantity, sum(l_extendedprice) AS amount, count(*) AS lines, avg(l_discount) AS discount, avg(l_tax) AS tax, max(l_tax) AS top_tax, coalesce(sum(l_extendedprice) FILTER (l_returnflag = 'A'), 0) AS kept, coalesce(sum(l_extendedprice) FILTER (l_returnflag = 'R'), 0) AS back,
+ {', '.join(f"coalesce(sum({_SIGNED}) FILTER ({_bound(*b)}), 0) AS {k}" for k, b in SIZES.items())}, coalesce(sum(l_extendedprice) FILTER (l_quantity >= 48 AND l_linestatus = 'O'), 0) AS bought, coalesce(sum(l_extendedprice) FILTER (l_quantity >= 48 AND l_linestatus = 'F'), 0) AS sold, count(*) FILTER (l_quantity >= 48) AS listed
+ FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL)"""
+_CAL = "cal AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem WHERE isodow(l_shipdate) < 6)"
+_NEXT = f"{_CAL}, nx AS (SELECT d.date, min(c.date) AS later FROM (SELECT DISTINCT date FROM bs) d JOIN cal c ON c.date > d.date GROUP BY 1)"
+_KNOWN = "strftime(later + INTERVAL 570 MINUTE, '%Y-%m-%d %H:%M') AS known"
+_ACTIONS = "act AS (SELECT symbol, max(date) AS ex_date, max(date) - 20 AS announce_date, max(top_tax) AS cash, (count(*) % 5) / 50.0::DOUBLE AS bonus FROM bs GROUP BY symbol, date_trunc('quarter', date))"
+_FACTOR = f"{_ACTIONS}, af AS (SELECT b.symbol, b.date, exp(sum(coalesce(ln(1 + a.bonus), 0)) OVER (PARTITION BY b.symbol ORDER BY b.date ROWS UNBOUNDED PRECEDING)) AS adj_factor FROM bs b LEFT JOIN act a ON a.symbol = b.symbol AND a.ex_date = b.date)"
+_DAILY = f"""{_DAYS}, {_FACTOR}, dl AS (SELECT b.i, b.symbol, b.date, quantity % 11 = 0 AS is_suspended, CASE WHEN quantity % 11 <> 0 THEN open END AS open, CASE WHEN quantity % 11 <> 0 THEN high END AS high, CASE WHEN quantity % 11 <> 0 THEN low END AS low, CASE WHEN quantity % 11 <> 0 THEN close END AS close,
+ CASE WHEN quantity % 11 = 0 THEN 0 ELSE quantity END AS volume, CASE WHEN quantity % 11 = 0 THEN 0 ELSE amount END AS amount, adj_factor, coalesce(close / lag(close) OVER w - 1 >= 0.5, false) AS is_limit_up, coalesce(close / lag(close) OVER w - 1 <= -0.5, false) AS is_limit_down, i % 7 = 0 AS is_st, row_number() OVER w AS days_since_listing FROM bs b JOIN af ON af.symbol = b.symbol AND af.date = b.date WINDOW w AS (PARTITION BY b.symbol ORDER BY b.date))"""
+
+
+@query("SELECT n_nationkey AS i, n_name AS symbol, n_regionkey AS region FROM nation")
+def market_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _market(spark, sf_dir).symbols()
 
-def _rs(*names: str, digits: int = 5) -> str:
-    return ", ".join(f"round({n}, {digits}) AS {n}" for n in names)
 
+@query(f"WITH {_CAL} SELECT CAST(date AS VARCHAR) AS date FROM cal")
+def market_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return DataLayer(_market(spark, sf_dir)).rows("calendar").select(day())
 
-@query(f"WITH {_S} SELECT i, symbol FROM s")
-def market_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _market(spark).symbols()
 
-
-@query(f"WITH {_DAILY} SELECT symbol, CAST(date AS VARCHAR) AS date, {_rs('open', 'high', 'low', 'close')}, volume, round(amount, 2) AS amount, round(adj_factor, 4) AS adj_factor, is_suspended, is_limit_up, is_limit_down, is_st, CAST(days_since_listing AS INTEGER) AS days_since_listing FROM daily")
+@query(f"WITH {_DAILY} SELECT symbol, CAST(date AS VARCHAR) AS date, {_rs('open', 'high', 'low', 'close')}, volume, round(amount, 2) AS amount, round(adj_factor, 6) AS adj_factor, is_suspended, is_limit_up, is_limit_down, is_st, CAST(days_since_listing AS INTEGER) AS days_since_listing FROM dl")
 def market_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _market(spark).daily().select("symbol", day(), *_r("open", "high", "low", "close"), "volume", r6("amount", "amount", 2), r6("adj_factor", "adj_factor", 4), "is_suspended", "is_limit_up", "is_limit_down", "is_st", "days_since_listing")
+    return DataLayer(_market(spark, sf_dir)).rows("daily").select("symbol", day(), *_r("open", "high", "low", "close"), "volume", r6("amount", "amount", 2), r6("adj_factor", "adj_factor"), "is_suspended", "is_limit_up", "is_limit_down", "is_st", "days_since_listing")
 
 
-@query(f"WITH {_DAILY} SELECT symbol, strftime(date + to_minutes(CAST(k * 30 + CASE WHEN k <= 4 THEN 570 ELSE 660 END AS BIGINT)), '%Y-%m-%d %H:%M') AS ts, round(open + (close - open) * k / 8, 5) AS close, volume // 8 AS volume, CASE WHEN k <= 4 THEN 'morning' ELSE 'afternoon' END AS session FROM daily, (SELECT unnest(generate_series(1, 8)) AS k) WHERE NOT is_suspended AND date BETWEEN DATE '2020-02-03' AND DATE '2020-02-14'")
+@query("SELECT event_type AS symbol, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, round(value, 5) AS close, CASE WHEN hour(ts) < 12 THEN 'morning' ELSE 'afternoon' END AS session FROM events WHERE ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-20'")
 def market_intraday(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two weeks of half-hour bars; a date as end is the whole day."""
-    b = DataLayer(_market(spark)).rows("intraday", None, "2020-02-03", "2020-02-14")
-    return b.select("symbol", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("ts"), r6("close", "close", 5), "volume", "session")
+    """Minute prices between two dates; a date as end is the whole day."""
+    b = DataLayer(_market(spark, sf_dir)).rows("intraday", None, "2024-01-08", "2024-01-19")
+    return b.select("symbol", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), r6("close", "close", 5), "session")
 
 
-@query(f"WITH {_G} SELECT CAST(date AS VARCHAR) AS date, symbol, true AS in_universe, round(1.0 / count(*) OVER (PARTITION BY date), 8) AS weight FROM g WHERE symbol NOT LIKE '688%' AND i % 17 <> 0")
+@query(f"WITH {_DAYS}, u AS (SELECT date, symbol, amount FROM bs WHERE i % 7 <> 0 QUALIFY row_number() OVER (PARTITION BY date ORDER BY amount DESC, symbol) <= 12) SELECT CAST(date AS VARCHAR) AS date, symbol, true AS in_universe, round(amount / sum(amount) OVER (PARTITION BY date), 8) AS weight FROM u")
 def market_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _market(spark).universe().select(day(), "symbol", "in_universe", r6("weight", "weight", 8))
-
-
-_ACTIONS = f"{_G}, act AS (SELECT i, symbol, date AS ex_date, date - 20 AS announce_date, round(0.1 + {_u(7)}, 4) AS cash, CASE WHEN i % 5 = 0 THEN 0.1 ELSE 0 END AS bonus FROM g WHERE (seq + i) % 60 = 0)"
+    return DataLayer(_market(spark, sf_dir)).rows("universe").select(day(), "symbol", "in_universe", r6("weight", "weight", 8))
 
 
-@query(f"WITH {_ACTIONS} SELECT symbol, 'dividend' AS action_type, CAST(announce_date AS VARCHAR) AS announced, CAST(ex_date AS VARCHAR) AS ex_date, cash, CAST(bonus AS DOUBLE) AS bonus FROM act")
+@query(f"WITH {_DAYS}, {_ACTIONS} SELECT symbol, 'dividend' AS action_type, CAST(announce_date AS VARCHAR) AS announced, CAST(ex_date AS VARCHAR) AS ex_date, round(cash, 4) AS cash, round(bonus, 4) AS bonus FROM act")
 def market_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _market(spark).corporate_actions().select("symbol", "action_type", F.date_format("announce_date", "yyyy-MM-dd").alias("announced"), F.date_format("ex_date", "yyyy-MM-dd").alias("ex_date"), "cash", "bonus")
+    a = DataLayer(_market(spark, sf_dir)).rows("corporate_actions")
+    return a.select("symbol", "action_type", F.date_format("announce_date", "yyyy-MM-dd").alias("announced"), F.date_format("ex_date", "yyyy-MM-dd").alias("ex_date"), *_r("cash", "bonus"))
 
 
-@query(f"WITH {_ACTIONS} SELECT g.symbol, CAST(g.date AS VARCHAR) AS date, round(coalesce((SELECT exp(sum(ln(1 + bonus))) FROM act WHERE act.symbol = g.symbol AND act.ex_date <= g.date), 1), 6) AS adj_factor FROM g")
+@query(f"WITH {_DAYS}, {_FACTOR} SELECT symbol, CAST(date AS VARCHAR) AS date, round(adj_factor, 6) AS adj_factor FROM af")
 def factor_of_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = _market(spark)
-    return factor_from_actions(m.corporate_actions(), m._grid()).select("symbol", day(), r6("adj_factor", "adj_factor"))
+    m = _market(spark, sf_dir)
+    return factor_from_actions(m.corporate_actions(), m._days().select("symbol", "date")).select("symbol", day(), r6("adj_factor", "adj_factor"))
+
+
+@query(f"WITH {_DAYS} SELECT symbol, CAST(date AS VARCHAR) AS date, false AS is_st FROM bs WHERE i % 7 = 0 AND day(date) <= 5")
+def market_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return DataLayer(_market(spark, sf_dir)).rows("status_overrides").select("symbol", day(), "is_st")
 
 
-_FUND = f"""{_S}, qs AS (SELECT last_day(CAST(generate_series + INTERVAL 2 MONTH AS DATE)) AS report_period FROM generate_series(DATE '{START}', DATE '{END}', INTERVAL 3 MONTH)), kd AS (SELECT * FROM (VALUES {', '.join(f"('{k}', {v})" for k, v in LAGS.items())}) AS k(report_type, lag)),
- f0 AS (SELECT i, symbol, report_period, report_type, lag, CAST(date_diff('day', DATE '1970-01-01', report_period) AS BIGINT) AS t FROM s CROSS JOIN qs CROSS JOIN kd),
- fund AS (SELECT i, symbol, report_period, report_type, report_period + lag AS available_at, CASE WHEN report_type = 'official' OR i % 3 <> 0 THEN round(1e6 * (1 + {_u(8)}) * quarter(report_period) * (1 + lag / 1000), 2) END AS net_profit FROM f0)"""
+_LAG = "list_value(" + ", ".join(f"{{'k': '{k}', 'd': {v}}}" for k, v in LAGS.items()) + ")"
+_FUND = f"""qs AS (SELECT n_name AS symbol, last_day(CAST(date_trunc('quarter', o_orderdate) + INTERVAL 2 MONTH AS DATE)) AS report_period, sum(o_totalprice) AS official, sum(o_totalprice) FILTER (o_orderkey % 2 = 0) AS flash, CASE WHEN count(*) % 3 <> 0 THEN sum(o_totalprice) FILTER (o_orderkey % 4 = 0) * 2 END AS forecast FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2),
+ fund AS (SELECT symbol, report_period, k.k AS report_type, report_period + CAST(k.d AS INTEGER) AS available_at, CASE k.k WHEN 'official' THEN official WHEN 'flash' THEN flash ELSE forecast END AS net_profit FROM (SELECT *, unnest({_LAG}) AS k FROM qs))"""
 
 
-@query(f"WITH {_FUND} SELECT symbol, CAST(report_period AS VARCHAR) AS report_period, report_type, CAST(available_at AS VARCHAR) AS available_at, round(net_profit, 1) AS net_profit, round(net_profit * 8, 0) AS total_equity FROM fund WHERE report_type IN ('official', 'flash')")
+@query(f"WITH {_FUND} SELECT symbol, CAST(report_period AS VARCHAR) AS report_period, report_type, CAST(available_at AS VARCHAR) AS available_at, round(net_profit, 2) AS net_profit, round(net_profit * 3, 2) AS total_equity FROM fund WHERE report_type IN ('official', 'flash')")
 def market_fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = DataLayer(_market(spark)).rows("fundamentals", report_type=["official", "flash"])
-    return f.select("symbol", F.date_format("report_period", "yyyy-MM-dd").alias("report_period"), "report_type", F.date_format("available_at", "yyyy-MM-dd").alias("available_at"), r6("net_profit", "net_profit", 1), r6("total_equity", "total_equity", 0))
+    """Two kinds of reports, by an equal value of a column."""
+    f = DataLayer(_market(spark, sf_dir)).rows("fundamentals", report_type=["official", "flash"])
+    return f.select("symbol", F.date_format("report_period", "yyyy-MM-dd").alias("report_period"), "report_type", F.date_format("available_at", "yyyy-MM-dd").alias("available_at"), r6("net_profit", "net_profit", 2), r6("total_equity", "total_equity", 2))
 
 
-@query(f"WITH {_DAILY}, o AS (SELECT symbol, date, CASE WHEN i % 17 = 0 AND day(date) <= 5 THEN false ELSE is_st END AS st, close * adj_factor / last_value(adj_factor) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS close, amount / nullif(volume, 0) AS vwap, 100000000 + i * 1000000 AS float_shares, CAST(floor((100000000 + i * 1000000) * 1.5) AS BIGINT) AS total_shares FROM daily) SELECT symbol, CAST(date AS VARCHAR) AS date, {_rs('close', 'vwap')}, st AS is_st, float_shares, total_shares FROM o")
+@query(f"WITH {_DAILY}, o AS (SELECT symbol, date, CASE WHEN i % 7 = 0 AND day(date) <= 5 THEN false ELSE is_st END AS st, close * adj_factor / last_value(adj_factor) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS close, amount / nullif(volume, 0) AS vwap FROM dl), c AS (SELECT symbol, date, CAST(sum(lines) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING) * 1000 AS BIGINT) AS float_shares FROM bs) SELECT symbol, CAST(date AS VARCHAR) AS date, {_rs('close')}, round(vwap + 1e-8, 4) AS vwap, st AS is_st, float_shares, CAST(floor(float_shares * 1.5) AS BIGINT) AS total_shares FROM o JOIN c USING (symbol, date)")
 def layer_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bars with share capital, overrides that win, and forward adjustment."""
-    return DataLayer(_market(spark)).daily(mode="forward").select("symbol", day(), *_r("close", "vwap"), "is_st", "float_shares", "total_shares")
+    """Bars with share capital, overrides that win, and forward adjustment.  The tiny shift parts quotients that end in 5, which the two sides round apart."""
+    return DataLayer(_market(spark, sf_dir)).daily(mode="forward").select("symbol", day(), *_r("close"), F.round(F.col("vwap") + 1e-8, 4).alias("vwap"), "is_st", "float_shares", "total_shares")
+
+
+@query(f"WITH {_DAILY} SELECT symbol, CAST(date AS VARCHAR) AS date, round(open * adj_factor, 7) AS open, round(close * adj_factor, 7) AS close, round(amount / nullif(volume, 0) * adj_factor, 7) AS vwap FROM dl WHERE symbol IN ('NATION_3', 'NATION_11') AND date BETWEEN DATE '1996-02-01' AND DATE '1997-01-31'")
+def layer_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two symbols' backward-adjusted bars of a year."""
+    return DataLayer(_market(spark, sf_dir)).daily(["NATION_3", "NATION_11"], "1996-02-01", "1997-01-31").select("symbol", day(), *_r("open", "close", "vwap", digits=7))
 
 
 _RANK = "(report_period, CASE report_type WHEN 'official' THEN 3 WHEN 'flash' THEN 2 ELSE 1 END)"
 
 
-@query(f"WITH {_FUND} SELECT symbol, round(arg_max(net_profit, {_RANK}) FILTER (net_profit IS NOT NULL), 1) AS net_profit FROM fund WHERE available_at <= DATE '2020-10-20' GROUP BY 1")
+@query(f"WITH {_FUND} SELECT symbol, round(arg_max(net_profit, {_RANK}) FILTER (net_profit IS NOT NULL), 2) AS net_profit FROM fund WHERE available_at <= DATE '1998-08-20' AND available_at >= DATE '1998-08-20' - 600 GROUP BY 1")
 def layer_fundamental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return DataLayer(_market(spark)).fundamental_as_of(["net_profit"], "2020-10-20").select("symbol", r6("net_profit", "net_profit", 1))
+    return DataLayer(_market(spark, sf_dir)).fundamental_as_of(["net_profit"], "1998-08-20").select("symbol", r6("net_profit", "net_profit", 2))
 
 
-_IND = f"{_S}, ind AS (SELECT symbol, DATE '{START}' AS date, printf('I%02d', i * 31 % 12) AS industry_code, i FROM s UNION ALL SELECT symbol, DATE '2020-07-01', printf('I%02d', (i * 31 + 1) % 12), i FROM s WHERE i % 4 = 0)"
+_IND = f"{_DAYS}, i0 AS (SELECT symbol, any_value(i) AS i, any_value(region) AS region, min(date) AS a, min(date) FILTER (date >= DATE '1997-01-01') AS b FROM bs GROUP BY 1), ind AS (SELECT symbol, a AS date, printf('I%02d', region % 5) AS industry_code FROM i0 UNION ALL SELECT symbol, b, printf('I%02d', (region + 1) % 5) FROM i0 WHERE i % 4 = 0 AND b IS NOT NULL)"
 
 
-@query(f"WITH {_IND} SELECT symbol, arg_max(industry_code, date) AS industry_code FROM ind WHERE date <= DATE '2020-08-03' GROUP BY 1")
+@query(f"WITH {_IND} SELECT symbol, arg_max(industry_code, date) AS industry_code FROM ind WHERE date <= DATE '1997-03-03' GROUP BY 1")
 def layer_industry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return DataLayer(_market(spark)).industry_at("2020-08-03")
+    return DataLayer(_market(spark, sf_dir)).industry_at("1997-03-03")
 
 
-@query(f"WITH {_IND}, {_D} SELECT s.symbol, CAST(dd.date AS VARCHAR) AS date, (SELECT arg_max(industry_code, date) FROM ind WHERE ind.symbol = s.symbol AND ind.date <= dd.date) AS industry_code FROM s CROSS JOIN dd")
+@query(f"WITH {_IND} SELECT bs.symbol, CAST(bs.date AS VARCHAR) AS date, arg_max(industry_code, ind.date) AS industry_code FROM bs LEFT JOIN ind ON ind.symbol = bs.symbol AND ind.date <= bs.date GROUP BY 1, 2")
 def industry_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = _market(spark)
-    return DataLayer(m).industry_on(m._grid()).select("symbol", day(), "industry_code")
+    m = _market(spark, sf_dir)
+    return DataLayer(m).industry_on(m._days().select("symbol", "date")).select("symbol", day(), "industry_code")
 
 
-_CON = f"{_S}, con AS (SELECT symbol, printf('K%02d', (i * 7 + k * 4) % 9) AS concept_code, DATE '{START}' + CAST(k * 30 AS INTEGER) AS a, CASE WHEN (i + k) % 2 = 0 THEN DATE '{START}' + CAST(k * 30 + 90 AS INTEGER) END AS z FROM (SELECT i, symbol, unnest(generate_series(0, i % 3)) AS k FROM s))"
+_CON = "con AS (SELECT n_name AS symbol, c_mktsegment AS concept_code, CAST(min(o_orderdate) AS DATE) AS a, CASE WHEN count(*) % 2 = 0 THEN CAST(max(o_orderdate) AS DATE) END AS z FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderpriority = '1-URGENT' GROUP BY 1, 2)"
+_VALID = "a <= DATE '1999-04-15' AND (z IS NULL OR z > DATE '1999-04-15')"
 
 
-@query(f"WITH {_CON} SELECT DISTINCT symbol, concept_code FROM con WHERE a <= DATE '2020-04-15' AND (z IS NULL OR z > DATE '2020-04-15')")
+@query(f"WITH {_CON} SELECT DISTINCT symbol, concept_code FROM con WHERE {_VALID}")
 def layer_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return DataLayer(_market(spark)).concepts_at("2020-04-15")
+    return DataLayer(_market(spark, sf_dir)).concepts_at("1999-04-15")
 
 
-@query(f"WITH {_CON} SELECT DISTINCT symbol FROM con WHERE concept_code = 'K03' AND a <= DATE '2020-04-15' AND (z IS NULL OR z > DATE '2020-04-15')")
+@query(f"WITH {_CON} SELECT DISTINCT symbol FROM con WHERE concept_code = 'BUILDING' AND {_VALID}")
 def concept_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return DataLayer(_market(spark)).concept_members("K03", "2020-04-15")
-
-
-_NEXT = "strftime((SELECT d2.date FROM dd d2 WHERE d2.seq = g.seq + 1) + INTERVAL 570 MINUTE, '%Y-%m-%d %H:%M') AS known"
+    return DataLayer(_market(spark, sf_dir)).concept_members("BUILDING", "1999-04-15")
 
 
 def _known():
     return F.date_format("available_at", "yyyy-MM-dd HH:mm").alias("known")
 
 
-@query(f"WITH {_G} SELECT symbol, CAST(date AS VARCHAR) AS date, round(1e6 * (1 + {_u(9)}), 2) AS fin_balance, round(1e5 * (1 + {_u(10)}), 2) AS sec_balance, {_NEXT} FROM g")
+@query(f"WITH {_DAYS}, {_NEXT} SELECT symbol, CAST(bs.date AS VARCHAR) AS date, round(kept, 2) AS fin_balance, round(back, 2) AS sec_balance, {_KNOWN} FROM bs LEFT JOIN nx ON nx.date = bs.date")
 def market_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return DataLayer(_market(spark)).rows("margin_trading").select("symbol", day(), *_r("fin_balance", "sec_balance", digits=2), _known())
+    return DataLayer(_market(spark, sf_dir)).rows("margin_trading").select("symbol", day(), *_r("fin_balance", "sec_balance", digits=2), _known())
 
 
-@query(f"WITH {_G}, x AS (SELECT *, round(1e6 * ({_u(11)} - 0.5), 2) AS xl, round(5e5 * ({_u(12)} - 0.5), 2) AS l FROM g) SELECT symbol, CAST(date AS VARCHAR) AS date, round(xl, 2) AS net_xl, round(xl + l, 2) AS net_main FROM x WHERE date BETWEEN DATE '2020-03-02' AND DATE '2020-04-30'")
+@query(f"WITH {_DAYS}, {_NEXT} SELECT symbol, CAST(bs.date AS VARCHAR) AS date, {', '.join(f'round({k}, 2) AS net_{k}' for k in SIZES)}, round(xl + l, 2) AS net_main, {_KNOWN} FROM bs LEFT JOIN nx ON nx.date = bs.date")
 def market_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return DataLayer(_market(spark)).rows("money_flow", None, "2020-03-02", "2020-04-30").select("symbol", day(), *_r("net_xl", "net_main", digits=2))
+    return DataLayer(_market(spark, sf_dir)).rows("money_flow").select("symbol", day(), *(r6(f"net_{k}", f"net_{k}", 2) for k in (*SIZES, "main")), _known())
 
 
-@query(f"WITH {_DAILY} SELECT symbol, CAST(date AS VARCHAR) AS date, round(open, 5) AS auction_price, volume // 20 AS auction_volume, round(open - 0.05, 4) AS bid5, round(open + 0.01, 4) AS ask1, CAST(date AS VARCHAR) || ' 09:30' AS known FROM daily WHERE NOT is_suspended")
+@query(f"WITH {_DAILY} SELECT symbol, CAST(date AS VARCHAR) AS date, round(open, 4) AS auction_price, volume // 20 AS auction_volume, round(open - 0.05, 4) AS bid5, round(open + 0.01, 4) AS ask1, CAST(date AS VARCHAR) || ' 09:30' AS known FROM dl WHERE NOT is_suspended")
 def market_auction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return DataLayer(_market(spark)).rows("call_auction").select("symbol", day(), r6("auction_price", "auction_price", 5), "auction_volume", r6("bid5", "bid5", 4), r6("ask1", "ask1", 4), _known())
+    return DataLayer(_market(spark, sf_dir)).rows("call_auction").select("symbol", day(), *_r("auction_price"), "auction_volume", *_r("bid5", "ask1"), _known())
 
 
-@query(f"WITH {_G}, l AS (SELECT date FROM dd WHERE date <= DATE '2020-06-10' ORDER BY date DESC LIMIT 5) SELECT symbol, CAST(g.date AS VARCHAR) AS date, direction, round({_u(15)} * 1e5 - {_u(16)} * 1e5, 0) AS net FROM g JOIN l USING (date), (SELECT unnest(['BUY', 'SELL']) AS direction) WHERE (i + t) % 7 = 0")
+@query(f"WITH {_DAYS}, {_CAL}, l AS (SELECT date FROM cal WHERE date <= DATE '1998-06-10' ORDER BY date DESC LIMIT 5) SELECT symbol, CAST(bs.date AS VARCHAR) AS date, CASE WHEN bought >= sold THEN 'BUY' ELSE 'SELL' END AS direction, round(bought - sold, 2) AS net FROM bs JOIN l ON l.date = bs.date WHERE listed > 0")
 def market_billboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last five sessions up to a date."""
-    return DataLayer(_market(spark)).billboard("2020-06-10", 5).select("symbol", day(), "direction", r6("net", "net", 0))
+    return DataLayer(_market(spark, sf_dir)).billboard("1998-06-10", 5).select("symbol", day(), "direction", r6("net", "net", 2))
 
 
-@query(f"WITH {_G} SELECT symbol, CAST(date AS VARCHAR) AS date, " + ", ".join(f"round({_z(17, 18, f'(t + {k * 1000})')}, 5) AS {n}" for k, n in enumerate(FACTORS) if n != "value") + " FROM g WHERE date <= DATE '2020-02-28'")
+@query(f"WITH {_DAYS} SELECT symbol, CAST(date AS VARCHAR) AS date, round(ln(amount), 5) AS size, round(tax, 5) AS beta FROM bs")
 def market_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The long table pivoted over the factors asked for."""
-    names = [n for n in FACTORS if n != "value"]
-    return DataLayer(_market(spark)).factors(names, None, START, "2020-02-28").select("symbol", day(), *_r(*names))
+    return DataLayer(_market(spark, sf_dir)).factors(["size", "beta"]).select("symbol", day(), *_r("size", "beta", digits=5))
 
 
-@query(f"WITH {_D} SELECT '000300.SH' AS symbol, CAST(date AS VARCHAR) AS date, round(0.01 + 0.005 * sin(date_diff('day', DATE '1970-01-01', date) / 20), 8) AS turnover FROM dd")
+@query(f"WITH {_DAYS} SELECT 'ALL' AS symbol, CAST(date AS VARCHAR) AS date, round(sum(lines) / 1000.0, 6) AS turnover, round(sum(amount), 2) AS amount FROM bs GROUP BY date")
 def market_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return DataLayer(_market(spark)).rows("index_valuation", ["000300.SH"]).select("symbol", day(), r6("turnover", "turnover", 8))
+    return DataLayer(_market(spark, sf_dir)).rows("index_valuation", ["ALL"]).select("symbol", day(), r6("turnover", "turnover"), r6("amount", "amount", 2))
 
 
-@query(f"WITH {_DAILY} SELECT symbol, CAST(date AS VARCHAR) AS date, round(close, 5) AS close, volume FROM daily WHERE i IN (1, 7, 12) AND date BETWEEN DATE '2020-05-01' AND DATE '2020-07-31'")
+@query(f"WITH {_DAILY} SELECT symbol, CAST(date AS VARCHAR) AS date, round(close, 4) AS close, volume FROM dl WHERE symbol IN ('NATION_1', 'NATION_7', 'NATION_12') AND date BETWEEN DATE '1996-05-01' AND DATE '1996-07-31'")
 def landed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same contract over landed Parquet: symbols and dates are pushed into the scan."""
     root = f"{shared_dir(spark)}/landed-{uuid.uuid4().hex}"
-    contract.LandedSource.land(_market(spark), root, ["daily"])
-    got = DataLayer(contract.LandedSource(spark, root)).rows("daily", ["688001.SH", "600007.SH", "000012.SZ"], "2020-05-01", "2020-07-31")
-    return got.select("symbol", day(), r6("close", "close", 5), "volume")
+    contract.LandedSource.land(_market(spark, sf_dir), root, ["daily"])
+    got = DataLayer(contract.LandedSource(spark, root)).rows("daily", ["NATION_1", "NATION_7", "NATION_12"], "1996-05-01", "1996-07-31")
+    return got.select("symbol", day(), *_r("close"), "volume")

@@ -148,9 +148,15 @@ def ttm_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- features ---------------------------------------------------------------------------------------------------
 
 
-@query("SELECT * FROM (VALUES ('today_open', 'open', 0), ('today_close', 'open', 1), ('next_open', 'open', 1), ('today_open', 'close', 0), ('today_close', 'close', 0), ('next_open', 'close', 1)) AS t(known, entry, shift)")
+_KINDS = "list_value('today_open', 'today_close', 'next_open')[volume % 3 + 1]"
+
+
+@query(f"WITH {EV}, k AS (SELECT symbol, date, {_KINDS} AS known FROM ev) SELECT symbol, CAST(date AS VARCHAR) AS date, known, CASE WHEN known = 'today_open' THEN 0 ELSE 1 END AS shift_open, CASE WHEN known = 'next_open' THEN 1 ELSE 0 END AS shift_close FROM k")
 def feature_shift_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(k, e, registry.shift_days(k, e)) for e in registry.ENTRY for k in registry.KNOWN], "known string, entry string, shift int")
+    """By how many bars a value known at its time is moved for an entry at the open and at the close."""
+    known = F.element_at(F.array(*map(F.lit, registry.KNOWN)), (COL("volume") % 3 + 1).cast("int"))
+    moved = lambda entry: F.coalesce(*(F.when(COL("known") == k, registry.shift_days(k, entry)) for k in registry.KNOWN)).alias(f"shift_{entry}")
+    return panels.event_bars(spark, sf_dir).select("symbol", "date", known.alias("known")).select("symbol", day(), "known", *map(moved, registry.ENTRY))
 
 
 _WIDE = """g AS (SELECT s.symbol, d.date, p.close, p.volume, p.amount FROM (SELECT DISTINCT symbol FROM seg) s CROSS JOIN (SELECT DISTINCT date FROM seg) d LEFT JOIN seg p ON p.symbol = s.symbol AND p.date = d.date),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..catalog import COL, EV, day, past, query, r6
@@ -11,7 +11,7 @@ from ..operators import campaigns, paths
 from ..operators import windows as w
 from ..plans import panels
 from ..session import ship
-from ..sources.market import MarketSource
+from ..sources.trade import TradeSource
 
 
 @query()
@@ -38,37 +38,42 @@ def strict_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("symbol", day(), r6(w.strict_pivot(COL("high"), 2, True), "pivot_high"), r6(w.strict_pivot(COL("low"), 2, False), "pivot_low"))
 
 
-def _market(spark: SparkSession) -> DataFrame:
-    """A deterministic market with wide swings; the source tables hold too few bars for campaigns."""
-    return MarketSource(ship(spark), 24, "2020-01-01", "2021-06-30").daily().where("not is_suspended")
+def _market(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weekly bars of an index for each nation that moves by a tenth of what its prices gain from a week's first trade to its last."""
+    d = TradeSource(ship(spark), sf_dir)._days().withColumn("week", F.to_date(F.date_trunc("week", "date")))
+    g = d.groupBy("symbol", COL("week").alias("date")).agg((F.ln(F.max_by("close", "date") / F.min_by("open", "date")) / 10).alias("step"), F.sum("quantity").alias("volume"), F.sum("lines").alias("lines"))
+    g = g.withColumn("close", 100 * F.exp(F.sum("step").over(w.by_symbol().rowsBetween(W.unboundedPreceding, 0))))
+    g = g.withColumn("open", COL("close") / F.exp("step"))
+    out = COL("lines") % 5 / 500.0
+    return g.select("symbol", "date", "open", (F.greatest("open", "close") * (1 + out)).alias("high"), (F.least("open", "close") * (1 - out)).alias("low"), "close", "volume")
 
 
 @query()
 def trend_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gated direction and campaign metrics of a market."""
-    return campaigns.trend_panels(_market(spark)).select("symbol", day(), "direction", "gated", *(r6(n, n) for n in (*campaigns.TREND, "efficiency_rank")))
+    """Gated direction and campaign metrics of each nation."""
+    return campaigns.trend_panels(_market(spark, sf_dir)).select("symbol", day(), "direction", "gated", *(r6(n, n) for n in (*campaigns.TREND, "efficiency_rank")))
 
 
 @query()
 def flow_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The book of positions along each campaign."""
-    p = _market(spark)
+    p = _market(spark, sf_dir)
     way = campaigns.trend_panels(p).select("symbol", "date", COL("gated").alias("direction"))
     return campaigns.flow(p.join(way, ["symbol", "date"])).select("symbol", day(), *(r6(n, n) for n in campaigns.FLOW))
 
 
 @query()
 def bull_trend_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return campaigns.bull_trend(campaigns.trend_panels(_market(spark)), 0.3).select("symbol", day(), "ok")
+    return campaigns.bull_trend(campaigns.trend_panels(_market(spark, sf_dir)), 0.3).select("symbol", day(), "ok")
 
 
 @query()
 def trend_flips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return campaigns.flip_rate(paths.trend_direction(_market(spark))).select("symbol", r6("flips", "flips"))
+    return campaigns.flip_rate(paths.trend_direction(_market(spark, sf_dir))).select("symbol", r6("flips", "flips"))
 
 
 @query()
 def trend_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One symbol's last row as text."""
-    rows = campaigns.trend_panels(_market(spark))
-    return campaigns.report(rows, "600005.SH", "2021-03-31").select("symbol", day(), "direction", "summary")
+    rows = campaigns.trend_panels(_market(spark, sf_dir))
+    return campaigns.report(rows, "NATION_5", "1999-03-31").select("symbol", day(), "direction", "summary")
