@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .boosting import Trees
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
-SAMPLE = 800
+SAMPLE = 1_600
 TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|=(?!\s*[\"'])|[^=>])*)(>?)", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 SIGNS = re.compile(r"[a-z]+")
@@ -49,6 +49,7 @@ TAGS = ("article", "main", "section", "div", "p", "h1", "h2", "h3", "h4", "ul",
 #: Names that authors of pages give to articles and to what surrounds them; only the training pages are made with them.
 GOOD = "article main content post entry body story text page blog news detail".split()
 BAD = "nav menu header footer sidebar side aside ad ads advert advertisement banner promo sponsor sponsored cookie consent notice popup modal related share social subscribe newsletter widget breadcrumb breadcrumbs comment comments reply disqus form search login pagination toolbar tags meta".split()
+PLAIN = "wrap wrapper row column container inner box grid layout site theme open wide section block item left right top".split()
 NAME_BITS = 12
 
 
@@ -68,6 +69,16 @@ def parse(page: str) -> list[Node]:
     root = Node("body", frozenset(), None)
     nodes, stack, at, size, link = [root], [root], 0, len(page), 0
     bare = None  # the implied block of the present run of text directly in the body
+    held: list[int] = []  # places in the stack of open p and of elements that a p does not reach out of
+
+    opened: dict[str, int] = {}  # open elements by tag
+
+    def cut(i: int) -> None:
+        for x in stack[i:]:
+            opened[x.tag] -= 1
+        del stack[i:]
+        while held and held[-1] >= i:
+            held.pop()
 
     def text(a: int, b: int) -> None:
         nonlocal bare
@@ -117,11 +128,11 @@ def parse(page: str) -> list[Node]:
                 link = 0
             if tag in INLINE:
                 continue
-            if tag == "p" and not any(x.tag == "p" for x in stack):
+            if not opened.get(tag):  # nothing to close
                 continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    cut(i)
                     link = 0
                     break
             continue
@@ -150,18 +161,14 @@ def parse(page: str) -> list[Node]:
             bare = bare if len(stack) > 1 else None
             continue
         if tag in CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    del stack[i:]
-                    break
-                if stack[i].tag in ("td", "th", "li", "button"):
-                    break
+            if held and stack[held[-1]].tag == "p":
+                cut(held[-1])
         if tag in IMPLIED:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in SCOPE[tag]:
                     break
                 if stack[i].tag in IMPLIED[tag]:
-                    del stack[i:]
+                    cut(i)
                     break
         tokens = frozenset()
         if signs:
@@ -171,6 +178,9 @@ def parse(page: str) -> list[Node]:
         stack[-1].children.append(node)
         stack[-1].items.append(node)
         nodes.append(node)
+        if tag in ("p", "td", "th", "li", "button"):
+            held.append(len(stack))
+        opened[tag] = opened.get(tag, 0) + 1
         stack.append(node)
     return nodes
 
@@ -291,10 +301,17 @@ def compose(rng: random.Random) -> tuple[str, set[str]]:
         number[0] += 1
         return f' data-own="{int(own)}"'
 
-    def named(good: bool, words) -> str:
-        return rng.choice(["", f' class="{rng.choice(words)}"', f' id="{rng.choice(words)}"', f' class="{rng.choice(words)} box{rng.randint(1, 9)}"'])
+    def compound(*kinds) -> str:
+        """A token, or two in one name, of the kinds given."""
+        return rng.choice(["", "", "no-", "has-", "with-"]) + "-".join(rng.choice(rng.choice(kinds)) for _ in range(rng.choice([1, 1, 2])))
+
+    def named(words) -> str:
+        """Names of a node: mostly of its own kind, and at a fair rate of the other, of any, or none."""
+        if rng.random() < 0.25:
+            return ""
+        tokens = [compound(words) if rng.random() < 0.6 else compound(GOOD, BAD, PLAIN) for _ in range(rng.choice([1, 1, 2, 3]))]
+        return f' {rng.choice(["class", "class", "id"])}="{" ".join(tokens)}"'
 
-    bad_words = BAD
     lorem = lambda lo, hi, own, tag="p": f"<{tag}{mark(own)}>{prose(lo, hi)}</{tag}>"
     links = lambda n, own=False: f"<ul{mark(own)}>" + "".join(f'<li{mark(own)}><a href="/{i}">{prose(1, 3)}</a></li>' for i in range(n)) + "</ul>"
 
@@ -303,22 +320,22 @@ def compose(rng: random.Random) -> tuple[str, set[str]]:
         if kind == 0:
             return f"<nav{mark(False)}>{links(rng.randint(3, 9))}</nav>"
         if kind == 1:
-            return f"<div{mark(False)} class=\"{rng.choice(['ad', 'ads', 'advert', 'banner', 'promo', 'sponsored'])}\">{prose(3, 30)}</div>"
+            return f"<div{mark(False)}{named(BAD)}>{prose(3, 30)}</div>"
         if kind == 2:
-            return f"<aside{mark(False)}{named(False, bad_words)}>{lorem(4, 40, False)}{links(3) if rng.random() < 0.5 else ''}</aside>"
+            return f"<aside{mark(False)}{named(BAD)}>{lorem(4, 40, False)}{links(3) if rng.random() < 0.5 else ''}</aside>"
         if kind == 3:
-            return f"<div{mark(False)} class=\"{rng.choice(['cookie', 'cookie-notice', 'consent', 'notice', 'popup'])}\">{lorem(5, 40, False)}<button{mark(False)}>ok</button></div>"
+            return f"<div{mark(False)}{named(BAD)}>{lorem(5, 40, False)}<button{mark(False)}>ok</button></div>"
         if kind == 4:
             return f"<form{mark(False)} action=\"/s\"><label>{prose(1, 3)}</label><input name=q>{lorem(1, 8, False)}</form>"
         if kind == 5:
-            return f"<div{mark(False)} class=\"{rng.choice(['share', 'social', 'related', 'subscribe', 'newsletter', 'breadcrumb', 'pagination', 'widget'])}\">{links(rng.randint(2, 5)) if rng.random() < 0.6 else prose(2, 20)}</div>"
+            return f"<div{mark(False)}{named(BAD)}>{links(rng.randint(2, 5)) if rng.random() < 0.6 else prose(2, 20)}</div>"
         if kind == 6:
-            body = "".join(f"<div{mark(False)} class=\"comment\">{lorem(5, 60, False)}</div>" for _ in range(rng.randint(1, 5)))
-            tag = rng.choice(["section", "div"])
-            return f"<{tag}{mark(False)} {rng.choice(['id', 'class'])}=\"comments\">{body}</{tag}>"
+            tag, each = rng.choice(["section", "div"]), rng.choice(["comment", "comment", "reply", "response", "user-note"])
+            head = f"<{tag}{mark(False)} {rng.choice(['id', 'class'])}=\"{each}s{rng.choice(['', ' list', ' thread-body'])}\">"
+            return head + "".join(f"<div{mark(False)} class=\"{each}\">{lorem(5, 60, False)}</div>" for _ in range(rng.randint(1, 5))) + f"</{tag}>"
         if kind == 7:
-            return f"<div{mark(False)} class=\"{rng.choice(['sidebar', 'side', 'menu', 'nav', 'toolbar'])}\">{links(4)}{lorem(3, 20, False)}</div>"
-        return f"<p{mark(False)} class=\"{rng.choice(['meta', 'tags', 'notice'])}\">{prose(2, 12)}</p>"
+            return f"<div{mark(False)}{named(BAD)}>{links(4)}{lorem(3, 20, False)}</div>"
+        return f"<p{mark(False)}{named(BAD) or ' class=meta'}>{prose(2, 12)}</p>"
 
     def article() -> str:
         parts = [f"<h1{mark(True)}>{prose(2, 12)}</h1>"] if rng.random() < 0.9 else []
@@ -340,10 +357,10 @@ def compose(rng: random.Random) -> tuple[str, set[str]]:
         return "".join(parts)
 
     tag = rng.choice(["article", "article", "main", "div", "section"])
-    name = "" if tag in ("article", "main") and rng.random() < 0.6 else f" class=\"{rng.choice(GOOD)}\""
+    name = "" if tag in ("article", "main") and rng.random() < 0.5 else named(GOOD)
     body = f"<{tag}{mark(True)}{name}>{article()}</{tag}>" if rng.random() > 0.02 else ""
     if rng.random() < 0.4:
-        body = f"<div{mark(True)} class=\"{rng.choice(['content', 'main', 'wrap', 'page'])}\">{junk() if rng.random() < 0.3 else ''}{body}{junk() if rng.random() < 0.5 else ''}</div>"
+        body = f"<div{mark(True)}{named(GOOD + PLAIN)}>{junk() if rng.random() < 0.3 else ''}{body}{junk() if rng.random() < 0.5 else ''}</div>"
     if rng.random() < 0.2:  # an old page, or one whose article ends too early
         loose = "<hr>".join(f'<!--{mark(True)}-->' + rng.choice(["<br><br>", "<br>", " "]).join(prose(4, 120) for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 3)))
         body = body + "</div>" * 3 + "<hr>" + loose + "<hr>" if rng.random() < 0.3 else "<hr>" + loose + "<hr>"
@@ -354,7 +371,11 @@ def compose(rng: random.Random) -> tuple[str, set[str]]:
     before = "".join(junk() for _ in range(rng.randint(0, 2)))
     after = "".join(junk() for _ in range(rng.randint(0, 3)))
     foot = f"<footer{mark(False)}>{rng.choice(['&copy; ', ''])}{prose(2, 25)}{links(3) if rng.random() < 0.3 else ''}</footer>" if rng.random() < 0.8 else f"<div{mark(False)} class=\"footer\">{prose(2, 25)}</div>"
-    return f"<html><head><title>t</title></head><body>{head}{before}{body}{after}{foot}</body></html>", set()
+    inside = f"{head}{before}{body}{after}{foot}"
+    while "<hr>" not in inside and rng.random() < 0.25:  # around the whole page, unless text stands in its body
+        tag = rng.choice(["div", "form", "form", "main", "section"])
+        inside = f"<{tag}{mark(True)}{named(GOOD + PLAIN)}>{inside}</{tag}>"
+    return f"<html><head><title>t</title></head><body>{inside}</body></html>", set()
 
 
 class Model:

@@ -77,3 +77,39 @@ def test_text_directly_in_the_body_is_a_block():
     page = f'<nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></nav><div class="content"><h1>Title</h1><p>{story}</p></div></div>{more}<footer>&copy; me</footer>'
     got = main_text.extract(page, trees)
     assert story in got and more in got and "Home" not in got and "me" not in got.split()
+
+
+SHAPES = ["<div>", "<div class=entry-content>", "<article>", "<div class='entry-content no-sidebar'>", "<article class='post category-news tag-menu'>", "<div class='ad-free layout'>", "<div id=widget-content>", "<main id=page-menu-open>", "<div class=social-story>", "<form>", "<form id=aspnetForm>", "<section class='share comment-count-3'>", "<div class='header-image sidebar-left'>"]
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_names_do_not_decide_over_an_article(shape):
+    rng = random.Random(len(shape))
+    words = "the old mill stood by a river that no one had named and people of the village went there in summer to swim".split()
+    one, two = (" ".join(rng.choice(words) for _ in range(160))[:700].strip() for _ in range(2))
+    inner = f"{shape}<h1>A title of it</h1><p>{one}</p><p>{two}</p></{shape[1:].split()[0].rstrip('>')}>"
+    trees = main_text.fitted()
+    for page in (inner, f"<html><body><nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></nav>{inner}<footer>&copy; 2020 All rights</footer></body></html>"):
+        got = main_text.extract(page, trees)
+        assert one in got and two in got and "Home" not in got and "rights" not in got
+        assert shape == "<form>" or "A title of it" in got
+
+
+def test_readers_comments_without_a_telling_section_go():
+    words = "I was there last year and it was cold but we swam all the same".split()
+    rng = random.Random(2)
+    note = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    page = f"<article><h1>Title</h1><p>{note(150)}</p><p>{note(120)} the end.</p></article><section class='discussion'><div class=comment>{note(40)} zebra</div><div class=comment>{note(30)} zebra</div></section>"
+    got = main_text.extract(page, main_text.fitted())
+    assert got.endswith("the end.") and "zebra" not in got
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    began = time.time()
+    n = 20_000
+    assert len(main_text.parse("<div>" * n + "<p>x" * 50)) == n + 51
+    main_text.parse("<div>" * n + "</p></section></table>" * n)
+    main_text.parse("<p>a<b>" * n)
+    assert time.time() - began < 5
