@@ -74,6 +74,6 @@ def trend_flips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def trend_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One symbol's last row as text."""
+    """Each nation's last row up to a date as text."""
     rows = campaigns.trend_panels(_market(spark, sf_dir))
-    return campaigns.report(rows, "NATION_5", "1999-03-31").select("symbol", day(), "direction", "summary")
+    return campaigns.report(rows, when="1999-03-31").select("symbol", day(), "direction", "summary")
