@@ -25,8 +25,18 @@ ROW = "_row_key"
 SHINGLE = 5
 
 
-def _named(docs: DataFrame) -> DataFrame:
-    return docs.withColumn(ROW, F.xxhash64(*docs.columns))
+def _free(docs: DataFrame, name: str) -> str:
+    """The name, longer where a column has it already."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _named(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a hash of all their columns, and its name."""
+    row = _free(docs, ROW)
+    return docs.withColumn(row, F.xxhash64(*docs.columns)), row
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,30 +47,36 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SimHash of 5-word shingles links what lies within its radius; the rest of the links of similarity 0.8 or more, for which that radius is too tight, come from the shingle sets themselves."""
-    rows = _named(docs)
-    near = simhash.near_duplicates(rows, k=SHINGLE, id_col=ROW), shingle_dedup.near_duplicates(rows, k=SHINGLE, id_col=ROW)
+    rows, row = _named(docs)
+    near = simhash.near_duplicates(rows, k=SHINGLE, id_col=row), shingle_dedup.near_duplicates(rows, k=SHINGLE, id_col=row)
     edges = [g.where("doc_id <> component_id").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v")) for g in near]
-    groups = components(edges[0].union(edges[1])).withColumnRenamed("vertex", ROW)
-    ranked = rows.select(ROW, "doc_id").join(groups, ROW, "left").withColumn("component", F.coalesce("component", ROW))
-    first = ranked.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("first"))
-    return rows.dropDuplicates([ROW]).join(first.select(F.col(f"first.{ROW}").alias(ROW)), ROW, "left_semi").select(*docs.columns)
+    groups = components(edges[0].union(edges[1])).withColumnRenamed("vertex", row)
+    ranked = rows.select(row, "doc_id").join(groups, row, "left").withColumn("component", F.coalesce("component", row))
+    first = ranked.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row)).alias("first"))
+    # rows that differ and yet share a hash are told apart by a second one, and all of them stay
+    check = _free(rows, "_row_check")
+    told = rows.withColumn(check, F.xxhash64(F.lit(7), *docs.columns))
+    twins = told.groupBy(row).agg(F.min(check).alias("lo"), F.max(check).alias("hi")).where("lo <> hi").select(row)
+    kept = first.select(F.col(f"first.{row}").alias(row)).union(twins)
+    return told.dropDuplicates([row, check]).join(kept, row, "left_semi").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = _named(docs)
-    kept = suffix_dedup.remove_repeats(rows, with_text=True, row_col=ROW).where("n_removed > 0").select(F.col("row").alias(ROW), F.col("text").alias("_kept_text")).dropDuplicates([ROW])
-    joined = rows.join(kept, ROW, "left")
-    cut = F.col("_kept_text").isNotNull()
-    own = {"text": F.when(cut, F.col("_kept_text")).otherwise(F.col("text"))}
+    row, new = _free(docs, ROW), _free(docs, "_kept_text")
+    rows = docs.withColumn(row, F.struct(F.xxhash64(*docs.columns).alias("a"), F.xxhash64(F.lit(7), *docs.columns).alias("b")))  # 128 bits
+    kept = suffix_dedup.remove_repeats(rows, with_text=True, row_col=row).where("n_removed > 0").select(F.col("row").alias(row), F.col("text").alias(new)).dropDuplicates([row])
+    joined = rows.join(kept, row, "left")
+    cut = F.col(new).isNotNull()
+    own = {"text": F.when(cut, F.col(new)).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        own["n_chars"] = F.when(cut, F.length("_kept_text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars"))
+        own["n_chars"] = F.when(cut, F.length(new).cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars"))
     return joined.select(*(own.get(c, F.col(c)).alias(c) for c in docs.columns))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = _named(docs)
-    leaks = decontaminate.find_leaks(rows, table(spark, sf_dir, "benchmark"), id_col=ROW).select(F.col("doc_id").alias(ROW)).distinct()
-    return rows.join(leaks, ROW, "left_anti").select(*docs.columns)
+    rows, row = _named(docs)
+    leaks = decontaminate.find_leaks(rows, table(spark, sf_dir, "benchmark"), id_col=row).select(F.col("doc_id").alias(row)).distinct()
+    return rows.join(leaks, row, "left_anti").select(*docs.columns)
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
