@@ -113,3 +113,15 @@ def test_deep_pages_take_linear_time():
     main_text.parse("<div>" * n + "</p></section></table>" * n)
     main_text.parse("<p>a<b>" * n)
     assert time.time() - began < 5
+
+
+def test_pipeline_stages_keep_columns_named_like_their_own(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").selectExpr("*", "doc_id * 3 as _row_key", "'mine' as _kept_text", "lang as _row_check")
+    plain = docs.drop("_row_key", "_kept_text", "_row_check")
+    for stage in (corpus_pipeline.drop_near_copies, corpus_pipeline.cut_repeats, corpus_pipeline.drop_leaks):
+        got, want = stage(spark, docs, DIR), stage(spark, plain, DIR)
+        assert got.columns == docs.columns
+        rows = {r["doc_id"]: r for r in got.collect()}
+        assert {i: r["text"] for i, r in rows.items()} == {r["doc_id"]: r["text"] for r in want.collect()}
+        assert all(r["_row_key"] == 3 * i and r["_kept_text"] == "mine" and r["_row_check"] == r["lang"] for i, r in rows.items())
