@@ -63,7 +63,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     row, new = _free(docs, ROW), _free(docs, "_kept_text")
-    rows = docs.withColumn(row, F.struct(F.xxhash64(*docs.columns).alias("a"), F.xxhash64(F.lit(7), *docs.columns).alias("b")))  # 128 bits
+    rows = docs.withColumn(row, F.concat(*(F.lpad(F.hex(F.xxhash64(F.lit(seed), *docs.columns)), 16, "0") for seed in (1, 2))))  # 128 bits
     kept = suffix_dedup.remove_repeats(rows, with_text=True, row_col=row).where("n_removed > 0").select(F.col("row").alias(row), F.col("text").alias(new)).dropDuplicates([row])
     joined = rows.join(kept, row, "left")
     cut = F.col(new).isNotNull()
