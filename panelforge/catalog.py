@@ -307,6 +307,14 @@ def cusum_sampler(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.cusum_events(panels.event_bars(ship(spark), sf_dir), 0.5).select("symbol", day())
 
 
+@query(
+    f"WITH RECURSIVE {EV}, x AS (SELECT symbol, date, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i, coalesce(ln(volume) - lag(ln(volume)) OVER (PARTITION BY symbol ORDER BY date), 0) AS d FROM ev WHERE volume > 0), c AS (SELECT symbol, date, i, greatest(0, d) AS p, least(0, d) AS n, false AS f FROM x WHERE i = 1 UNION ALL SELECT x.symbol, x.date, x.i, CASE WHEN least(0, n + d) >= -0.3 AND greatest(0, p + d) > 0.3 THEN 0 ELSE greatest(0, p + d) END, CASE WHEN least(0, n + d) < -0.3 THEN 0 ELSE least(0, n + d) END, least(0, n + d) < -0.3 OR greatest(0, p + d) > 0.3 FROM c JOIN x ON x.symbol = c.symbol AND x.i = c.i + 1) SELECT symbol, CAST(date AS VARCHAR) AS date FROM c WHERE f"
+)
+def volume_cusum_sampler(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same filter on changes of volume."""
+    return paths.cusum_events(panels.event_bars(ship(spark), sf_dir), 0.3, "volume").select("symbol", day())
+
+
 @query()
 def entropy_sampler(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.entropy_events(panels.segment_prices(ship(spark), sf_dir)).select("symbol", day())

@@ -101,7 +101,7 @@ def universe_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     return universe.span(_universe(spark, sf_dir)[0]).select(dated("first", "first"), dated("last", "last"), "symbols")
 
 
-@query(f"WITH {NAT}, {_UNI} SELECT symbol, CAST(date AS VARCHAR) AS date, round(amount, 4) AS amount FROM nat SEMI JOIN u USING (symbol, date)")
+@query(f"WITH {NAT} SELECT symbol, CAST(date AS VARCHAR) AS date, round(amount, 4) AS amount FROM nat QUALIFY row_number() OVER (PARTITION BY date ORDER BY amount DESC, symbol) <= 12")
 def universe_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     u, nat = _universe(spark, sf_dir)
     return universe.only_members(nat, u).select("symbol", day(), r6("amount", "amount", 4))

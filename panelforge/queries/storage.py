@@ -62,3 +62,19 @@ def streamed_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming.bars import stream_thresholds
 
     return stream_thresholds(spark, sf_dir, _root(spark), 500.0)
+
+
+_WAITED = "WITH RECURSIVE m AS (SELECT event_type AS symbol, ts, value, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS i, lag(value) OVER (PARTITION BY event_type ORDER BY ts) AS before FROM events WHERE value > 0), x AS (SELECT *, coalesce(ln(value / before), 0) AS d FROM m)"
+_STEP = "c AS (SELECT symbol, ts, i, greatest(0, d) AS p, least(0, d) AS n, false AS f FROM x WHERE i = 1 UNION ALL SELECT x.symbol, x.ts, x.i, CASE WHEN least(0, n + d) >= -{0} AND greatest(0, p + d) > {0} THEN 0 ELSE greatest(0, p + d) END, CASE WHEN least(0, n + d) < -{0} THEN 0 ELSE least(0, n + d) END, least(0, n + d) < -{0} OR greatest(0, p + d) > {0} FROM c JOIN x ON x.symbol = c.symbol AND x.i = c.i + 1)"
+
+
+@query(f"{_WAITED}, {_STEP.format(4.0)} SELECT symbol, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM c WHERE f AND ts <= (SELECT max(ts) FROM events) - INTERVAL 3 DAY")
+def streamed_cusum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CUSUM events of the stream of events by type, each given out once the watermark has passed it."""
+    from ..streaming import machines
+    from ..streaming.bars import events
+
+    e = events(spark, sf_dir)
+    v = lambda n: COL("value").alias(n)
+    got = machines.drain(e.select(COL("event_type").alias("symbol"), "ts", v("high"), v("low"), v("close")), "cusum", (4.0,), None, _root(spark))
+    return got.where("fired and not late").select("symbol", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
