@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..catalog import day, query, r6
 from ..session import shared_dir, ship
 from ..sources import contract
-from ..sources.layer import DataLayer, factor_from_actions
+from ..sources.layer import DataLayer, adjust, factor_from_actions
 from ..sources.trade import LAGS, SIZES, TradeSource
 
 
@@ -193,3 +193,9 @@ def landed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     contract.LandedSource.land(_market(spark, sf_dir), root, ["daily"])
     got = DataLayer(contract.LandedSource(spark, root)).rows("daily", ["NATION_1", "NATION_7", "NATION_12"], "1996-05-01", "1996-07-31")
     return got.select("symbol", day(), *_r("close"), "volume")
+
+
+@query(f"WITH {_DAILY}, r AS (SELECT symbol, arg_max(adj_factor, date) AS f FROM dl WHERE date <= DATE '1997-06-30' GROUP BY 1) SELECT dl.symbol, CAST(date AS VARCHAR) AS date, round(close * adj_factor / f, 4) AS close FROM dl JOIN r ON r.symbol = dl.symbol")
+def reference_adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forward adjustment to the factor known at a reference date."""
+    return adjust(_market(spark, sf_dir).daily(), "forward", "1997-06-30").select("symbol", day(), *_r("close"))

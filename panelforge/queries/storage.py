@@ -78,3 +78,48 @@ def streamed_cusum(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = lambda n: COL("value").alias(n)
     got = machines.drain(e.select(COL("event_type").alias("symbol"), "ts", v("high"), v("low"), v("close")), "cusum", (4.0,), None, _root(spark))
     return got.where("fired and not late").select("symbol", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
+
+
+_FIXED = "CASE WHEN month(date) % 2 = 0 THEN close * 2 ELSE close END"
+
+
+@query(f"WITH {SEG}, k AS (SELECT * FROM seg WHERE date < DATE '2001-03-01') SELECT 'first' AS known, symbol, CAST(date AS VARCHAR) AS date, round(close, 4) AS close FROM seg UNION ALL SELECT 'second', symbol, CAST(date AS VARCHAR), round({_FIXED}, 4) FROM seg UNION ALL SELECT 'pruned', symbol, CAST(date AS VARCHAR), round({_FIXED}, 4) FROM k")
+def commit_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices, their corrections and a pruning of stale months, each read as known at its time; the last after folding."""
+    from ..sources.ledger import CommitStore
+
+    p = panels.segment_prices(spark, sf_dir).select("symbol", "date", "close")
+    store = CommitStore(spark, _root(spark), "daily")
+    store.put(p, 1.0)
+    store.put(p.where(F.month("date") % 2 == 0).withColumn("close", COL("close") * 2), 2.0)
+    store.prune("2001-03", 3.0)
+    store.compact(4.0)
+    out = [store.get(known_at=t).select(F.lit(name).alias("known"), "symbol", day(), r6("close", "close", 4)) for name, t in (("first", 1.0), ("second", 2.5), ("pruned", 5.0))]
+    return out[0].union(out[1]).union(out[2])
+
+
+_GAPS = f"""{SEG}, cv AS (SELECT symbol, strftime(date, '%Y-%m') AS ym FROM seg GROUP BY 1, 2 HAVING count(*) % 3 <> 0), mo AS (SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '2001-12-01', INTERVAL 1 MONTH)) AS DATE) AS m),
+ ls AS (SELECT symbol, strftime(m, '%Y-%m') AS ym, year(m) * 12 + month(m) - row_number() OVER (PARTITION BY symbol ORDER BY m) AS run FROM (SELECT DISTINCT symbol FROM seg) q, mo WHERE NOT EXISTS (SELECT 1 FROM cv WHERE cv.symbol = q.symbol AND cv.ym = strftime(m, '%Y-%m') AND cv.ym < '2001-06')),
+ rg AS (SELECT symbol, min(ym) AS first, max(ym) AS last, count(*) AS n FROM ls GROUP BY symbol, run)"""
+
+
+def _gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources import ledger
+
+    p = panels.segment_prices(spark, sf_dir).select("symbol", F.date_format("date", "yyyy-MM").alias("ym"))
+    covered = p.groupBy("symbol", "ym").count().where("count % 3 <> 0")
+    return ledger.ranges(ledger.missing(ledger.months(p, "1995-01-01", "2001-12-31"), covered, "2001-06-15"))
+
+
+@query(f"WITH {_GAPS} SELECT symbol, first, last, n FROM rg")
+def gap_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Months not covered, and all from the current one on, as ranges."""
+    return _gaps(spark, sf_dir)
+
+
+@query(f"WITH {_GAPS}, d AS (SELECT *, (row_number() OVER (PARTITION BY first, last ORDER BY symbol) - 1) // greatest(1, least(2, 6 // n)) AS call FROM rg) SELECT first, last, CAST(call AS INTEGER) AS call, string_agg(symbol, ',' ORDER BY symbol) AS symbols, CAST(sum(n) AS BIGINT) AS months FROM d GROUP BY 1, 2, 3")
+def fetch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols of the same range share a call, up to a workload."""
+    from ..sources import ledger
+
+    return ledger.plan(_gaps(spark, sf_dir), 2, 6).withColumn("symbols", F.array_join("symbols", ","))

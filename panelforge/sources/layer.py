@@ -13,15 +13,16 @@ from . import contract
 PRICES = ("open", "high", "low", "close")
 
 
-def adjust(bars: DataFrame, mode: str = "backward") -> DataFrame:
-    """Adds ``vwap`` and adjusts prices: "none" as traded, "backward" times the factor, "forward" times the factor over the symbol's last one (vwap as traded then)."""
+def adjust(bars: DataFrame, mode: str = "backward", reference: str | None = None) -> DataFrame:
+    """Adds ``vwap`` and adjusts prices: "none" as traded, "backward" times the factor, "forward" times the factor over the symbol's last one (vwap as traded then), of those up to the ``reference`` date if one is given."""
     raw = F.col("amount") / F.nullif(F.col("volume").cast("double"), F.lit(0.0))
     if mode == "none":
         return bars.withColumn("vwap", raw)
     if mode == "backward":
         ratio, vwap = F.col("adj_factor"), raw * F.col("adj_factor")
     elif mode == "forward":
-        ratio, vwap = F.col("adj_factor") / F.last("adj_factor", ignorenulls=True).over(w.by_symbol().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)), raw
+        known = F.col("adj_factor") if reference is None else F.when(F.col("date") <= F.lit(reference).cast("date"), F.col("adj_factor"))
+        ratio, vwap = F.col("adj_factor") / F.last(known, ignorenulls=True).over(w.by_symbol().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)), raw
     else:
         raise ValueError(mode)
     own = bars.withColumn("_ratio", ratio).withColumn("vwap", vwap)
