@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 
 def _by_symbol(panel: DataFrame, columns: list[str], run, schema: str) -> DataFrame:
@@ -207,7 +209,7 @@ def hysteresis(panel: DataFrame, column: str, hold: int = 3) -> DataFrame:
 
 
 def structure(panel: DataFrame, side: int = 3) -> DataFrame:
-    """(symbol, date, direction, breaks, reversal, swing_high, swing_low, age): market structure from confirmed swings.
+    """(symbol, date, direction, breaks, reversal, swing_high, swing_low, age, broke): market structure from confirmed swings.
 
     Higher highs with higher lows set direction 1, lower ones with lower ones -1.  A close that newly passes the last swing in
     the direction is a break; one that newly passes the opposite swing is a reversal and ends the direction.
@@ -234,19 +236,43 @@ def structure(panel: DataFrame, side: int = 3) -> DataFrame:
             rise = (np.sign(tops[1] - tops[0]), np.sign(bottoms[1] - bottoms[0]))
             if rise[0] == rise[1] and rise[0] in (1, -1) and way != rise[0]:
                 way, breaks = int(rise[0]), 0
-            reversal = 0
+            reversal = broke = 0
             if way and tops[1] == tops[1] and bottoms[1] == bottoms[1] and c[i] == c[i]:
                 ahead, behind = (tops[1], bottoms[1]) if way == 1 else (bottoms[1], tops[1])
                 before = c[i - 1] if i else np.nan
                 if way * (c[i] - ahead) > 0 and not way * (before - ahead) > 0:
-                    breaks += 1
+                    breaks, broke = breaks + 1, way
                 elif way * (c[i] - behind) < 0 and not way * (before - behind) < 0:
                     way, breaks, reversal = 0, 0, 1
-            rows.append((way, breaks, reversal, tops[1], bottoms[1], np.nan if seen is None else i - seen))
-        out = pd.DataFrame(rows, columns=["direction", "breaks", "reversal", "swing_high", "swing_low", "age"])
+            rows.append((way, breaks, reversal, tops[1], bottoms[1], np.nan if seen is None else i - seen, broke))
+        out = pd.DataFrame(rows, columns=["direction", "breaks", "reversal", "swing_high", "swing_low", "age", "broke"])
         return pd.concat([p[["symbol", "date"]], out], axis=1)
 
-    return _by_symbol(panel, ["high", "low", "close"], run, "symbol string, date date, direction long, breaks long, reversal long, swing_high double, swing_low double, age double")
+    return _by_symbol(panel, ["high", "low", "close"], run, "symbol string, date date, direction long, breaks long, reversal long, swing_high double, swing_low double, age double, broke long")
+
+
+def structure_ratios(panel: DataFrame, side: int = 3) -> DataFrame:
+    """(symbol, date, direction, impulse, pullback, extension): how far the present leg has gone, what its last swing gave back, and the one over the other.
+
+    A leg runs between the last two swings and grows by closes that break out of it, until the next swing is known.  The ratio lies between 0
+    and 10; a leg that gave nothing back is measured against five hundredths.  All are null where the structure has no direction.
+    """
+    number = lambda c: F.nanvl(c, F.lit(None))
+    order = W.partitionBy("symbol").orderBy("date")
+    st = structure(panel, side).join(panel.select("symbol", "date", "close"), ["symbol", "date"])
+    st = st.withColumn("_leg", F.count_if(F.col("age") == 0).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    inside = W.partitionBy("symbol", "_leg").orderBy("date").rowsBetween(W.unboundedPreceding, 0)
+    swing_high, swing_low = number(F.col("swing_high")), number(F.col("swing_low"))
+    top = F.greatest(swing_high, F.max(F.when(F.col("broke") == 1, F.col("close"))).over(inside))
+    bottom = F.least(swing_low, F.min(F.when(F.col("broke") == -1, F.col("close"))).over(inside))
+    st = st.withColumns({"top": F.when(swing_low.isNotNull() & swing_high.isNotNull(), top), "bottom": F.when(swing_low.isNotNull() & swing_high.isNotNull(), bottom), "_high": swing_high, "_low": swing_low})
+    up, down = (F.col("direction") == 1) & (F.col("bottom") > 0), (F.col("direction") == -1) & (F.col("top") > 0)
+    gone = F.when(up, F.col("top") / F.col("bottom") - 1).when(down, 1 - F.col("bottom") / F.col("top"))
+    back = F.when(up & (F.col("top") > 0), 1 - F.col("_low") / F.col("top")).when(down & (F.col("bottom") > 0), F.col("_high") / F.col("bottom") - 1)
+    st = st.withColumn("impulse", gone).withColumn("pullback", F.when(back.isNotNull(), F.greatest(back, F.lit(0.0))))
+    ratio = F.col("impulse") / F.when(F.col("pullback") > 1e-6, F.col("pullback")).otherwise(0.05)
+    bounded = F.greatest(F.lit(0.0), F.least(F.lit(10.0), ratio))
+    return st.select("symbol", "date", "direction", "impulse", "pullback", F.when(F.col("impulse").isNotNull(), bounded).alias("extension"))
 
 
 def ranges(panel: DataFrame, least: int = 10, most: int = 40) -> DataFrame:

@@ -19,6 +19,12 @@ def market_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.structure(panels.event_bars(spark, sf_dir), 2).select("symbol", day(), "direction", "breaks", "reversal", r6("swing_high", "swing_high"), r6("swing_low", "swing_low"), "age")
 
 
+@query()
+def structure_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Impulse, pullback and their ratio of each nation's weekly legs."""
+    return paths.structure_ratios(_market(spark, sf_dir), 3).select("symbol", day(), "direction", *(r6(n, n) for n in ("impulse", "pullback", "extension")))
+
+
 @query()
 def trading_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes of the spells in which the structure has no direction."""
