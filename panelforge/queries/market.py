@@ -61,11 +61,11 @@ def market_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return DataLayer(_market(spark, sf_dir)).rows("daily").select("symbol", day(), *_r("open", "high", "low", "close"), "volume", r6("amount", "amount", 2), r6("adj_factor", "adj_factor"), "is_suspended", "is_limit_up", "is_limit_down", "is_st", "days_since_listing")
 
 
-@query("SELECT event_type AS symbol, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, round(value, 5) AS close, CASE WHEN hour(ts) < 12 THEN 'morning' ELSE 'afternoon' END AS session FROM events WHERE ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-20'")
+@query("SELECT event_type AS symbol, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, round(value, 5) AS close, CAST(1 AS BIGINT) AS volume, CASE WHEN hour(ts) < 12 THEN 'morning' ELSE 'afternoon' END AS session FROM events")
 def market_intraday(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Minute prices between two dates; a date as end is the whole day."""
-    b = DataLayer(_market(spark, sf_dir)).rows("intraday", None, "2024-01-08", "2024-01-19")
-    return b.select("symbol", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), r6("close", "close", 5), "session")
+    """Minute prices of every day."""
+    b = DataLayer(_market(spark, sf_dir)).rows("intraday")
+    return b.select("symbol", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), r6("close", "close", 5), "volume", "session")
 
 
 @query(f"WITH {_DAYS}, u AS (SELECT date, symbol, amount FROM bs WHERE i % 7 <> 0 QUALIFY row_number() OVER (PARTITION BY date ORDER BY amount DESC, symbol) <= 12) SELECT CAST(date AS VARCHAR) AS date, symbol, true AS in_universe, round(amount / sum(amount) OVER (PARTITION BY date), 8) AS weight FROM u")
