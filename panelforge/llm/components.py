@@ -2,7 +2,8 @@
 
 The table form alternates large and small stars (Kiveris et al., 2014) until nothing changes: each round is two
 aggregations with partial sums and two joins whose hot keys adaptive execution can split.  Rounds are written to the
-shared checkpoint folder, so a lost executor costs no earlier round and the plan stays short.
+shared checkpoint folder, so a lost executor costs no earlier round and the plan stays short.  Stages of a round have as many
+tasks as its edges ask for, since every task leaves files for each shuffle, and these stay through all rounds.
 """
 
 from __future__ import annotations
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 
 from ..session import shared_dir
 
+#: Edges that make a task of a round.
+TASK_EDGES = 1 << 16
+
 
 def written(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared checkpoint folder."""
@@ -38,15 +42,15 @@ def local_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, tasks: int) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    joined = both.join(least, "u")
+    joined = both.join(least, "u").coalesce(tasks)
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        out = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-    return out.where("u <> v").distinct()
+        out = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")).coalesce(tasks))
+    return out.where("u <> v").distinct().coalesce(tasks)
 
 
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
@@ -56,12 +60,13 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     def state(df: DataFrame):
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    seen = state(now)
+    seen, tasks = state(now), 1
     while seen[0]:
-        now = written(_star(_star(now, True), False))
+        tasks = -(-seen[0] // TASK_EDGES)
+        now = written(_star(_star(now.coalesce(tasks), True, tasks), False, tasks))
         got = state(now)
         if got == seen:
             break
         seen = got
     roots = now.select(F.col("v").alias("vertex"), F.col("v").alias("component"))
-    return now.select(F.col("u").alias("vertex"), F.col("v").alias("component")).union(roots.distinct())
+    return now.select(F.col("u").alias("vertex"), F.col("v").alias("component")).union(roots.distinct().coalesce(tasks))
