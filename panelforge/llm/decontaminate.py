@@ -31,9 +31,13 @@ SCHEMA = "doc_id long, item_id long, begin int, end int, edits int, budget int"
 #: Characters of documents searched at once.
 RUN = 1 << 20
 _SIGN, _SPACES = re.compile(r"[^\w ]|_"), re.compile(" {2,}")
+#: The same for ASCII alone, byte by byte.
+_ASCII = bytes(ord(chr(i).lower()) if chr(i).isalnum() and i < 128 else 32 for i in range(256))
 
 
 def normalise(text: str | None) -> str:
+    if text and text.isascii():
+        return b" ".join(text.encode().translate(_ASCII).split()).decode()
     return _SPACES.sub(" ", _SIGN.sub(" ", (text or "").lower())).strip()
 
 
@@ -67,31 +71,51 @@ def banded(item: np.ndarray, text: np.ndarray, centre: int, half: int, budget: i
     far = m + width + 1
     cols = np.arange(width)
     start = centre - half + cols  # column of the text for row 0
-    cost = np.where((start >= 0) & (start <= len(text)), 0, far)
+    # what the band meets of the text, row by row one place further: letters (outside of it one that equals none), and columns inside it
+    first, last = centre - half, centre + half + m
+    letters = np.full(last - first, 0xFFFFFFFF, np.uint32)
+    lo, hi = max(first, 0), min(last, len(text))
+    if lo < hi:
+        letters[lo - first : hi - first] = text[lo:hi]
+    place = np.arange(first, last + 1)
+    outside = (place < 0) | (place > len(text))
+    bounded = bool(outside.any())
+    cost = np.where(outside[:width], far, 0)
     origin = start.copy()
-    padded = np.concatenate((np.full(half + m + abs(centre) + 2, 0xFFFFFFFF, np.uint32), text.astype(np.uint32), np.full(half + m + abs(centre) + 2, 0xFFFFFFFE, np.uint32)))
-    shift = half + m + abs(centre) + 2
     for i in range(1, m + 1):
-        place = start + i  # text columns of this row; the letter before each is text[place - 1]
-        same = padded[np.clip(place - 1 + shift, 0, len(padded) - 1)] != item[i - 1]
-        best = cost + same
-        frm = origin
-        up = np.append(cost[1:], far) + 1  # the item's letter left out
-        take = up < best
-        best = np.where(take, up, best)
-        frm = np.where(take, np.append(origin[1:], 0), frm)
-        best = np.where((place >= 0) & (place <= len(text)), best, far)
+        best = cost + (letters[i - 1 : i - 1 + width] != item[i - 1])
+        up = cost[1:] + 1  # the item's letter left out
+        take = up < best[:-1]
+        frm = origin.copy()
+        np.copyto(best[:-1], up, where=take)
+        np.copyto(frm[:-1], origin[1:], where=take)
+        if bounded:
+            best[outside[i : i + width]] = far
         # letters of the text left out: a running minimum along the row
-        run = best - cols
-        least = np.minimum.accumulate(run)
-        at = np.maximum.accumulate(np.where(run == least, cols, 0))
-        cost, origin = least + cols, frm[at]
+        best -= cols
+        least = np.minimum.accumulate(best)
+        at = np.maximum.accumulate(np.where(best == least, cols, 0))
+        least += cols
+        cost, origin = least, frm[at]
         if cost.min() > budget:
             return None
     end = int(np.argmin(cost))
     return int(cost[end]), int(origin[end]), int(start[end] + m)
 
 
+def verbatim(item: np.ndarray, text: np.ndarray, centre: int, half: int) -> tuple[int, int, int] | None:
+    """What ``banded`` finds where the whole item stands in the text on a diagonal of the band, without an alignment."""
+    first = max(centre - half, 0)
+    part, width = text[first : max(centre + half + len(item), 0)], text.dtype.itemsize
+    if item.dtype.itemsize > width:  # letters that the text has none of
+        return None
+    body, own, at = part.tobytes(), item.astype(text.dtype).tobytes(), -1
+    while (at := body.find(own, at + 1)) >= 0:
+        if at % width == 0:
+            return 0, first + at // width, first + at // width + len(item)
+    return None
+
+
 class Items:
     """A block of benchmark items: their q-grams in a sorted table."""
 
@@ -176,7 +200,7 @@ class Items:
                 i, b = k >> 40, k & ((1 << 40) - 1)
                 wi = int(width[i])
                 centre = b * wi - half * wi // 2 + wi // 2 - int(self.size.max())
-                got = banded(self.codes[i], codes, centre, wi, int(self.budget[i]))
+                got = verbatim(self.codes[i], codes, centre, wi) or banded(self.codes[i], codes, centre, wi, int(self.budget[i]))
                 if got and got[0] <= self.budget[i] and (i not in found or got < found[i]):
                     found[i] = got
         return [(self.ids[i], b, e, d, int(self.budget[i])) for i, (d, b, e) in sorted(found.items())]

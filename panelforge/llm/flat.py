@@ -8,6 +8,8 @@ U64 = np.uint64
 #: Odd multipliers of the polynomial hashes (fixed values; any odd 64-bit numbers do).
 BASE_A, BASE_B = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
 _GAMMA = 0x9E3779B97F4A7C15
+#: Values worked on at once, so that what is between two steps stays in a core's cache.
+PIECE = 1 << 15
 #: ASCII space and 0x09 to 0x0D, the separators of words.
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -47,6 +49,11 @@ def gram_hashes(data: np.ndarray, q: int, codes: np.ndarray = CODES_A, base: np.
     n = len(data) - q + 1
     if n <= 0:
         return np.zeros(0, U64)
+    if n > 2 * PIECE > 4 * q:
+        whole = np.empty(n, U64)
+        for a in range(0, n, PIECE):
+            whole[a : a + PIECE] = gram_hashes(data[a : a + PIECE + q - 1], q, codes, base)
+        return whole
     with np.errstate(over="ignore"):
         c = codes[data]
         # doubling: hash of length 2k from two hashes of length k
@@ -87,6 +94,25 @@ def sliding_argmin(values: np.ndarray, w: int) -> np.ndarray:
     return np.where(left.ravel()[:n] <= right.ravel()[w - 1 : w - 1 + n], first[:n], last[w - 1 : w - 1 + n])
 
 
+def sliding_argmin_high(values: np.ndarray, w: int) -> np.ndarray:
+    """The index of the leftmost value that is least in its high 48 bits, in each window of ``w`` values."""
+    n = len(values) - w + 1
+    if n <= 0 or w > PIECE:
+        return sliding_argmin(values >> U64(16), w)
+    out = np.empty(n, np.int64)
+    for a in range(0, n, PIECE):
+        part = values[a : a + PIECE + w - 1]
+        least = (part & U64(0xFFFFFFFFFFFF0000)) | np.arange(len(part), dtype=U64)  # the place below: ties go to the left
+        size = 1
+        while 2 * size <= w:
+            least = np.minimum(least[:-size], least[size:])
+            size *= 2
+        if size < w:
+            least = np.minimum(least[: size - w], least[w - size :])
+        out[a : a + PIECE] = (least & U64(0xFFFF)).astype(np.int64) + a
+    return out
+
+
 def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of each maximal run of bytes that are no separators."""
     solid = np.zeros(len(data) + 2, np.int8)
