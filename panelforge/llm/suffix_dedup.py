@@ -51,7 +51,7 @@ def _segments(bucket: B.Bucket, n: int, q: int) -> np.ndarray:
         if len(data) < n:
             continue
         grams = flat.gram_hashes(data, q)
-        least = flat.sliding_argmin(grams, n - q + 1)
+        least = flat.sliding_argmin_high(grams, n - q + 1)
         offset = bucket.offset[a : z + 1] - at
         doc = np.repeat(np.arange(z - a), np.diff(offset))[: len(least)]
         inside = np.arange(len(least)) + n <= offset[doc + 1]
