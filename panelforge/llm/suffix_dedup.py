@@ -9,7 +9,8 @@ smaller id, or earlier in the same one.  Passes over bucketed documents (see buc
 2. segments: the windows of one anchor's place, for anchors that count two or more.  A bucket sends them to the shard of
    their anchor, the bytes of equal ones once;
 3. shards build suffix arrays by induced sorting (suffix_array.py), up a tree of groups, so that no group hears an anchor
-   from more than a bounded number of buckets: places of neighbours whose permuted common prefix is ``n`` or more hold the
+   from more than a bounded number of buckets, and of segments that share neither half around the anchor with another
+   none: places of neighbours whose permuted common prefix is ``n`` or more hold the
    same window, and the earliest stays;
 4. buckets cover the bytes of the windows that lost and hash the rest.
 
@@ -39,8 +40,8 @@ LENGTH, GRAM = 100, 20
 #: Bytes in one suffix array; more only where one anchor has more.
 ARRAY_BYTES = 1 << 21
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-#: A segment: its anchor, the document's id, its start in the document and in the bucket, and its windows.
-_SEGMENT = np.dtype([("h", "<u8"), ("key", "<i8"), ("off", "<u4"), ("at", "<u4"), ("windows", "<u4")])
+#: A segment: its anchor, the document's id, its start in the document and in the bucket, its windows, and its anchor's place in it.
+_SEGMENT = np.dtype([("h", "<u8"), ("key", "<i8"), ("off", "<u4"), ("at", "<u4"), ("windows", "<u4"), ("inner", "<u4")])
 #: Kinds of messages: segments with their bytes, and windows that lost (starts and lengths of runs).
 BYTES, LOST = 0, 1
 
@@ -63,7 +64,7 @@ def _segments(bucket: B.Bucket, n: int, q: int) -> np.ndarray:
         end = np.append(edge[1:], len(least))[np.searchsorted(edge, first)]
         end = np.minimum(end, offset[doc[first] + 1] - n + 1)
         rows = np.empty(len(first), _SEGMENT)
-        rows["h"], rows["key"], rows["off"], rows["at"], rows["windows"] = grams[least[first]], bucket.key[doc[first] + a], first - offset[doc[first]], first + at, end - first
+        rows["h"], rows["key"], rows["off"], rows["at"], rows["windows"], rows["inner"] = grams[least[first]], bucket.key[doc[first] + a], first - offset[doc[first]], first + at, end - first, least[first] - first
         out.append(rows)
     return np.concatenate(out)
 
@@ -86,6 +87,32 @@ def _kinds(rows: np.ndarray, place: np.ndarray, data: np.ndarray, n: int) -> tup
     return order, kind, anchor
 
 
+def _alone(rows: np.ndarray, place: np.ndarray, data: np.ndarray, n: int, q: int, order: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Segments none of whose windows occurs elsewhere among ``rows``.
+
+    Equal windows have their anchor at the same place, and each holds the anchor with the half of the rest to its left or the
+    half to its right.  So a kind of one segment, both of whose halves no other kind of the anchor has, shares no window.
+    """
+    lead = order[kind]
+    copies = np.diff(np.append(np.flatnonzero(kind), len(order)))
+    half, part = (n - q) // 2, rows[lead]
+    inner, size = part["inner"].astype(np.int64), part["windows"].astype(np.int64) + n - 1
+    power = flat.powers(flat.BASE_B, half + q)
+    lone = copies == 1
+    for begin in (inner - half, inner):
+        there = (begin >= 0) & (begin + half + q <= size)
+        at = place[lead[there]] + begin[there]
+        with np.errstate(over="ignore"):
+            value = flat.mix(part["h"][there] * flat.BASE_A)
+            for i in range(half + q):
+                value += flat.CODES_B[data[at + i]] * power[i]
+        _, which, count = np.unique(value, return_inverse=True, return_counts=True)
+        lone[np.flatnonzero(there)[count[which] > 1]] = False
+    out = np.zeros(len(rows), bool)
+    out[lead[lone]] = True
+    return out
+
+
 def _classes(part: np.ndarray, place: np.ndarray, data: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The windows of the segments ``part`` in the order of their suffix array, and where a window begins that differs from the one before."""
     windows = part["windows"].astype(np.int64)
@@ -107,7 +134,7 @@ def _classes(part: np.ndarray, place: np.ndarray, data: np.ndarray, n: int) -> t
     return number[sa[mine]], ~alike[mine]
 
 
-def _late(rows: np.ndarray, place: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
+def _late(rows: np.ndarray, place: np.ndarray, data: np.ndarray, n: int, q: int) -> np.ndarray:
     """Of each window of the segments, in their order, whether an equal window starts earlier; ``place``: where a segment's bytes begin in ``data``.
 
     The suffix arrays hold each kind of segment once; a class of equal windows takes its earliest start from all
@@ -122,6 +149,15 @@ def _late(rows: np.ndarray, place: np.ndarray, data: np.ndarray, n: int) -> np.n
         return late
     own, place = rows[many], place[many]
     order, kind, anchor = _kinds(own, place, data, n)
+    stay = ~_alone(own, place, data, n, q, order, kind)
+    if not stay.any():
+        return late
+    if not stay.all():
+        held = stay[order]
+        order, kind = (np.cumsum(stay) - 1)[order[held]], kind[held]
+        many, own, place = many[stay], own[stay], place[stay]
+        h = own["h"][order]
+        anchor = np.append(True, h[1:] != h[:-1])
     lead = order[kind]  # of each kind its earliest segment
     whose = np.empty(len(own), np.int64)
     whose[order] = np.cumsum(kind) - 1
@@ -165,6 +201,7 @@ def _cut(rows: np.ndarray, late: np.ndarray, want: bool) -> tuple[np.ndarray, np
     out = rows[seg[start]].copy()
     out["off"] += off[start].astype(np.uint32)
     out["at"] += off[start].astype(np.uint32)
+    out["inner"] -= off[start].astype(np.uint32)
     out["windows"] = count
     return out, seg[start]
 
@@ -221,7 +258,7 @@ def remove_repeats(docs: DataFrame, n: int = LENGTH, q: int = GRAM, id_col: str
         if not rows:
             return out
         rows, home, place, data = map(np.concatenate, (rows, home, place, data))
-        late = _late(rows, place, data, n)
+        late = _late(rows, place, data, n, q)
         edge = np.flatnonzero(np.diff(home, prepend=-1)).tolist() + [len(home)]
         window = np.concatenate(([0], np.cumsum(rows["windows"], dtype=np.int64)))
         for x, y in zip(edge, edge[1:]):

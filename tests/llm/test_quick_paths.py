@@ -3,9 +3,11 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from panelforge.llm import decontaminate, flat
+from panelforge.llm import decontaminate, flat, suffix_dedup
+from panelforge.llm.buckets import Bucket
 
 ITEM = "the quick brown fox jumps over the lazy dog while seven wizards mix a very odd potion"
 
@@ -65,3 +67,43 @@ def test_gram_hashes_by_pieces(monkeypatch):
     got = flat.gram_hashes(data, 20)
     monkeypatch.setattr(flat, "PIECE", 1 << 40)
     assert (got == flat.gram_hashes(data, 20)).all()
+
+
+def _segments(texts, n, q):
+    bucket = Bucket(pa.table({"doc_id": list(range(len(texts))), "text": texts}))
+    rows = suffix_dedup._segments(bucket, n, q)
+    return bucket, rows, rows["at"].astype(np.int64)
+
+
+@pytest.mark.parametrize("n, q", [(10, 3), (11, 4), (12, 12), (9, 1)])
+def test_late_windows_against_a_dictionary(n, q):
+    draw = np.random.default_rng(n * q)
+    for _ in range(40):
+        stock = ["".join(draw.choice(list("abc"), int(draw.integers(3, 30)))) for _ in range(6)]
+        texts = ["".join(stock[i] for i in draw.integers(0, 6, int(draw.integers(0, 5)))) for _ in range(12)]
+        bucket, rows, place = _segments(texts, n, q)
+        if not len(rows):
+            continue
+        seen, want = {}, []
+        for key, off in sorted((int(r["key"]), int(r["off"]) + i) for r in rows for i in range(r["windows"])):
+            seen.setdefault(texts[key][off : off + n], (key, off))
+        for r in rows:
+            want += [seen[texts[r["key"]][o : o + n]] != (r["key"], o) for o in range(int(r["off"]), int(r["off"]) + int(r["windows"]))]
+        late = suffix_dedup._late(rows, place, bucket.data, n, q)
+        assert late.tolist() == want
+        stay, whose = suffix_dedup._cut(rows, late, False)
+        moved = stay["off"].astype(np.int64) - rows["off"][whose]
+        assert not suffix_dedup._late(stay, place[whose] + moved, bucket.data, n, q).any()
+
+
+def test_segments_that_share_an_anchor_alone_need_no_suffix_array(monkeypatch):
+    def refuse(*_):
+        raise AssertionError("sorted")
+
+    letters = np.random.default_rng(4)
+    own = ["".join(letters.choice(list("abcdefghij"), 200)) for _ in range(4)]
+    same = "".join(letters.choice(list("abcdefghij"), 59))  # shorter than a half with its anchor
+    bucket, rows, place = _segments([own[0] + same + own[1], own[2] + same + own[3]], 100, 20)
+    assert len(np.unique(rows["h"])) < len(rows)
+    monkeypatch.setattr(suffix_dedup, "suffix_array", refuse)
+    assert not suffix_dedup._late(rows, place, bucket.data, 100, 20).any()
