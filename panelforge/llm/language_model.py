@@ -45,6 +45,8 @@ SINGLE = UNITS // 2
 #: Rows of the hashed table as a power of two, words broadcast at most.
 ROW_BITS, KNOWN = 17, 1 << 18
 ROUNDS, TASK_TOKENS, LEAST_TASKS, BATCH, RATE = 2, 6_000_000, 6, 8_192, 1.0
+#: Rows of a matrix product at once, below what the library deals to threads.
+TILE = 256
 #: Bound of an outcome's score, which keeps its exponential within single precision.
 SCORE = 80.0
 #: Rows of a message, partitions that a group adds up, bytes of text handled at once.
@@ -186,7 +188,7 @@ class Model:
         z += bias
         np.clip(z, -SCORE, SCORE, out=z)
         np.exp(z, out=z)
-        return z, z @ _ONE
+        return z, _times(z, _ONE)
 
     def levels(self, units: np.ndarray, keys: np.ndarray):
         """Both softmaxes of tokens: rows, biases, outcome."""
@@ -222,9 +224,18 @@ class Model:
 _ONE, _UPPER = np.ones(WIDTH, np.float32), np.triu(np.ones((WIDTH, WIDTH), np.float32))
 
 
+def _times(z: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """z @ m by tiles of rows so small that each is multiplied in the calling thread: the library's own threads spin against those of other tasks."""
+    n = len(z) - len(z) % TILE
+    out = np.empty((len(z), *m.shape[1:]), z.dtype)
+    np.matmul(z[:n].reshape(-1, TILE, len(m)), m, out=out[:n].reshape(-1, TILE, *m.shape[1:]))
+    np.matmul(z[n:], m, out=out[n:])
+    return out
+
+
 def _drawn(z: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The outcome of each row whose running sum first exceeds a number: running sums rise, so it is the number of those that do not, by bit counts."""
-    beyond = np.packbits(z @ _UPPER > at[:, None], axis=1).view(np.uint32)
+    beyond = np.packbits(_times(z, _UPPER) > at[:, None], axis=1).view(np.uint32)
     return np.minimum(WIDTH - np.bitwise_count(beyond[:, 0]).astype(np.int64), WIDTH - 1)
 
 

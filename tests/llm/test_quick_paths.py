@@ -1,12 +1,13 @@
 """Quick paths against plain definitions."""
 
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from panelforge.llm import decontaminate, flat, suffix_dedup
+from panelforge.llm import decontaminate, flat, language_model, suffix_dedup
 from panelforge.llm.buckets import Bucket
 
 ITEM = "the quick brown fox jumps over the lazy dog while seven wizards mix a very odd potion"
@@ -107,3 +108,24 @@ def test_segments_that_share_an_anchor_alone_need_no_suffix_array(monkeypatch):
     assert len(np.unique(rows["h"])) < len(rows)
     monkeypatch.setattr(suffix_dedup, "suffix_array", refuse)
     assert not suffix_dedup._late(rows, place, bucket.data, 100, 20).any()
+
+
+@pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 8_192, 8_200])
+def test_products_by_tiles(n):
+    z = np.random.default_rng(n).random((n, language_model.WIDTH), np.float32)
+    for m in (language_model._ONE, language_model._UPPER):
+        assert np.allclose(language_model._times(z, m), z @ m, rtol=1e-5)
+
+
+def test_products_stay_in_the_calling_thread():
+    """Threads of the library spin against those of other tasks, so a task takes up several times its own work."""
+    z = np.random.default_rng(1).random((language_model.BATCH, language_model.WIDTH), np.float32)
+    at = np.full(len(z), 3, np.float32)
+    language_model._drawn(z, at)
+    time.sleep(1)  # threads of tests before come to rest
+    own, every = time.thread_time(), time.process_time()
+    for _ in range(300):
+        language_model._drawn(z, at)
+    time.sleep(1)  # threads of tests before come to rest
+    own, every = time.thread_time() - own, time.process_time() - every
+    assert every < 1.3 * own + 0.02
