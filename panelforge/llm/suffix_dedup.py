@@ -40,6 +40,8 @@ LENGTH, GRAM = 100, 20
 #: Bytes in one suffix array; more only where one anchor has more.
 ARRAY_BYTES = 1 << 21
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+#: Segments whose windows are looked up at once.
+PIECE = 1 << 12
 #: A segment: its anchor, the document's id, its start in the document and in the bucket, its windows, and its anchor's place in it.
 _SEGMENT = np.dtype([("h", "<u8"), ("key", "<i8"), ("off", "<u4"), ("at", "<u4"), ("windows", "<u4"), ("inner", "<u4")])
 #: Kinds of messages: segments with their bytes, and windows that lost (starts and lengths of runs).
@@ -123,6 +125,7 @@ def _classes(part: np.ndarray, place: np.ndarray, data: np.ndarray, n: int) -> t
     text[inner] = data[_ranges(place, length)]
     t = np.zeros(len(text), np.uint16)
     t[inner] = text[inner].astype(np.uint16) + 1
+    del inner
     sa = suffix_array(t, 257)
     lcp = permuted_lcp(text, sa)
     room = np.repeat((head + length).astype(np.int32), length + 1) - np.arange(len(t), dtype=np.int32)
@@ -181,10 +184,12 @@ def _late(rows: np.ndarray, place: np.ndarray, data: np.ndarray, n: int, q: int)
         group = np.cumsum(new) - 1
         soonest = np.minimum.reduceat(np.where(k == least[group], at, np.iinfo(np.int64).max), opens)
         key[window[x] + which], start[window[x] + which] = least[group], soonest[group]
-    w = windows[many]
-    at = _ranges(window[whose], w)
-    mine, here = np.repeat(own["key"], w), _ranges(own["off"].astype(np.int64), w)
-    late[_ranges(first[many], w)] = (mine > key[at]) | ((mine == key[at]) & (here > start[at]))
+    for x in range(0, len(many), PIECE):
+        part, part_of = own[x : x + PIECE], many[x : x + PIECE]
+        w = windows[part_of]
+        at = _ranges(window[whose[x : x + PIECE]], w)
+        mine, here = np.repeat(part["key"], w), _ranges(part["off"].astype(np.int64), w)
+        late[_ranges(first[part_of], w)] = (mine > key[at]) | ((mine == key[at]) & (here > start[at]))
     return late
 
 
@@ -221,9 +226,9 @@ def _bytes(b: int, rows: np.ndarray, place: np.ndarray, data: np.ndarray, n: int
     by = np.argsort(shard, kind="stable")  # kinds stay together: their anchors are equal
     rows, place, kind, shard = rows[by], place[by], kind[by], shard[by]
     length = (rows["windows"].astype(np.int64) + n - 1) * kind
-    body = data[_ranges(place[kind], length[kind])]
-    edge, at = np.flatnonzero(np.diff(shard, prepend=-1)).tolist() + [len(rows)], np.concatenate(([0], np.cumsum(length)))
-    return [(int(shard[x]), b, BYTES, np.uint32(y - x).tobytes() + rows[x:y].tobytes() + kind[x:y].tobytes() + body[at[x] : at[y]].tobytes()) for x, y in zip(edge, edge[1:])]
+    edge = np.flatnonzero(np.diff(shard, prepend=-1)).tolist() + [len(rows)]
+    # places are made a shard at a time: those of a whole bucket are eight times its segments' bytes
+    return [(int(shard[x]), b, BYTES, np.uint32(y - x).tobytes() + rows[x:y].tobytes() + kind[x:y].tobytes() + data[_ranges(place[x:y][kind[x:y]], length[x:y][kind[x:y]])].tobytes()) for x, y in zip(edge, edge[1:])]
 
 
 def remove_repeats(docs: DataFrame, n: int = LENGTH, q: int = GRAM, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = B.BUCKET_BYTES, with_text: bool = False, row_col: str | None = None, fan: int = B.FAN) -> DataFrame:

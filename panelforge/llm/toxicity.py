@@ -31,6 +31,8 @@ SAMPLE, PRIOR, DRIFT, SIGNIFICANT, ODDS = 20_000, 500.0, 0.05, 0.0, 2.0
 #: Thresholds of the z-score, one of which the folds of the training rows choose, and those folds.
 Z, FOLDS = (1.5, 2.0, 2.5, 3.0, 4.0), 3
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
+#: Words whose weights a worker keeps, which the tables of all trials share, and counts that a task holds before it passes them on.
+CACHED, COUNTS = 200_000, 1 << 17
 WORD = re.compile(r"\w+")
 
 
@@ -42,11 +44,11 @@ def forms(word: str) -> list[str]:
 class Weights(dict):
     """Weights of words, from those of their tokens; a bounded table."""
 
-    def __init__(self, tokens: dict[str, float]):
-        self.tokens = tokens
+    def __init__(self, tokens: dict[str, float], cached: int = CACHED):
+        self.tokens, self.cached = tokens, cached
 
     def __missing__(self, word: str) -> float:
-        if len(self) > 200_000:
+        if len(self) >= self.cached:
             self.clear()
         got = max(self.tokens.get(t, 0.0) for t in forms(word))
         if len(word) < 64:
@@ -54,7 +56,7 @@ class Weights(dict):
         return got
 
     def __reduce__(self):
-        return Weights, (self.tokens,)
+        return Weights, (self.tokens, self.cached)
 
 
 def segments(scores: np.ndarray, drift: float) -> list[tuple[int, int, float]]:
@@ -81,8 +83,8 @@ def segments(scores: np.ndarray, drift: float) -> list[tuple[int, int, float]]:
 
 
 class Scorer:
-    def __init__(self, weights: dict[str, float], rate: float, drift: float = DRIFT, curve=(0.0, 0.0, 0.0)):
-        self.weights, self.rate, self.drift, self.curve = Weights(weights), rate, drift, curve
+    def __init__(self, weights: dict[str, float], rate: float, drift: float = DRIFT, curve=(0.0, 0.0, 0.0), cached: int = CACHED):
+        self.weights, self.rate, self.drift, self.curve = Weights(weights, cached), rate, drift, curve
 
     def passages(self, text: str | None) -> list[tuple[int, int, float]]:
         """Significant passages: first word, last word, normalised score."""
@@ -115,7 +117,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     return tuple(map(float, w))
 
 
-def _scorer(words: list[str], n1: np.ndarray, n0: np.ndarray, z: float) -> Scorer:
+def _scorer(words: list[str], n1: np.ndarray, n0: np.ndarray, z: float, cached: int = CACHED) -> Scorer:
     """Weights and the scale of extreme values, from the tokens' counts in toxic and other texts."""
     t1, t0 = float(n1.sum()), float(n0.sum())
     prior = 0.5 + PRIOR * (n1 + n0) / max(1.0, t1 + t0)
@@ -128,7 +130,13 @@ def _scorer(words: list[str], n1: np.ndarray, n0: np.ndarray, z: float) -> Score
         mid = (lo + hi) / 2
         over = len(s) == 0 or (p * np.exp(mid * s)).sum() + (1 - p.sum()) * math.exp(-mid * DRIFT) > 1
         lo, hi = (lo, mid) if over else (mid, hi)
-    return Scorer({words[i]: float(x) for i, x in zip(keep.tolist(), s)}, hi)
+    return Scorer({words[i]: float(x) for i, x in zip(keep.tolist(), s)}, hi, cached=cached)
+
+
+def _trials(words: list[str], n: np.ndarray) -> list[list[Scorer]]:
+    """For each fold the scorers of the others' counts, one for each threshold; a worker holds all of them."""
+    cached = CACHED // (FOLDS * len(Z))
+    return [[_scorer(words, n[1::2].sum(0) - n[2 * f + 1], n[::2].sum(0) - n[2 * f], z, cached) for z in Z] for f in range(FOLDS)]
 
 
 def _loss(x: np.ndarray, y: np.ndarray, w: tuple[float, ...]) -> float:
@@ -136,6 +144,25 @@ def _loss(x: np.ndarray, y: np.ndarray, w: tuple[float, ...]) -> float:
     return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
 
 
+def _count(batches):
+    """Texts that have a token, by fold and label; a token may come several times, to be added up."""
+
+    def rows() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in held]), pa.array([k[1] for k in held], pa.int32()), pa.array(held.values(), pa.int64())], ["word", "c", "n"])
+
+    held: dict[tuple[str, int], int] = {}
+    for batch in batches:
+        for y, fold, text in zip(*batch.columns):
+            column = 2 * fold.as_py() + (y.as_py() > 0)
+            for token in {t for w in set(WORD.findall(text.as_py().lower())) for t in forms(w)}:
+                held[token, column] = held.get((token, column), 0) + 1
+            if len(held) >= COUNTS:
+                yield rows()
+                held.clear()
+    if held:
+        yield rows()
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Scorer:
     from .components import written
 
@@ -145,23 +172,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     rows = pairs.groupBy("id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
     texts = written(rows.groupBy("text").agg(F.max("y").alias("y")).withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int")))
 
-    def count(batches):
-        for batch in batches:
-            held: dict[tuple[str, int], int] = {}
-            for y, fold, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                column = 2 * fold + (y > 0)
-                for token in {t for w in set(WORD.findall(text.lower())) for t in forms(w)}:
-                    held[token, column] = held.get((token, column), 0) + 1
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in held]), pa.array([k[1] for k in held], pa.int32()), pa.array(held.values(), pa.int64())], ["word", "c", "n"])
-
-    counted = texts.select("y", "fold", "text").mapInArrow(count, "word string, c int, n long").groupBy("word").agg(*(F.sum(F.when(F.col("c") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in range(2 * FOLDS)))
+    counted = texts.select("y", "fold", "text").mapInArrow(_count, "word string, c int, n long").groupBy("word").agg(*(F.sum(F.when(F.col("c") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in range(2 * FOLDS)))
     table = counted.orderBy("word").toArrow()  # the vocabulary of a bounded number of texts
     words = table["word"].to_pylist()
     n = np.stack([table[f"n{c}"].to_numpy() for c in range(2 * FOLDS)]).astype(float) if words else np.zeros((2 * FOLDS, 0))
     if not n[1::2].sum() or not n[::2].sum():
         return Scorer({}, 1.0, curve=(30.0 if n[1::2].sum() else -30.0, 0.0, 0.0))
-    trial = [[_scorer(words, n[1::2].sum(0) - n[2 * f + 1], n[::2].sum(0) - n[2 * f], z) for z in Z] for f in range(FOLDS)]
+    trial = _trials(words, n)
     held = docs.sparkSession.sparkContext.broadcast(trial)
 
     def measure(batches):
