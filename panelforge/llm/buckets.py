@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .flat import U64, mix
+from .memory import begin_task
 
 MESSAGE = "s int, b int, kind int, body binary"
 _TYPE = pa.schema([("s", pa.int32()), ("b", pa.int32()), ("kind", pa.int32()), ("body", pa.binary())])
@@ -45,6 +46,7 @@ class Bucket:
     """The documents of a bucket in the order of (doc_id, text), nulls last, with their bytes end to end."""
 
     def __init__(self, table: pa.Table):
+        begin_task()
         table = table.select([c for c in ("doc_id", "text", "row") if c in table.column_names])
         order = pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("text", "ascending")], null_placement="at_end")
         table = table.take(order)
@@ -81,6 +83,7 @@ def messages(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
 
 
 def rows_of(table: pa.Table) -> list[tuple[int, int, int, bytes]]:
+    begin_task()
     return sorted(zip(table.column("s").to_pylist(), table.column("b").to_pylist(), table.column("kind").to_pylist(), table.column("body").to_pylist()), key=lambda r: r[:3])
 
 

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .flat import U64, gram_hashes, mix
+from .memory import slices
 
 RATE, GRAM = 0.08, 8
 BLOCK_BYTES = 16 << 20
@@ -218,7 +219,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, q: int
         held = spark.sparkContext.broadcast(Items([(r[0], r[1]) for r in rows], rate, q))
 
         def run(batches, held=held):
-            for batch in batches:
+            for batch in slices(batches):
                 ids, rows = batch.column(0).to_pylist(), []
                 for at in range(0, len(ids), 256):
                     rows += [(ids[at + hit[0]], *hit[1:]) for hit in held.value.find(batch.column(1)[at : at + 256].to_pylist())]

@@ -16,7 +16,7 @@ from __future__ import annotations
 import math
 import re
 import struct
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Merger, PrefixProgram
+from .memory import slices
 
 MARK = "▁"
 KEPT_WORDS, KEPT_SEGMENTS = 500_000, 300_000
@@ -235,12 +236,28 @@ def transducer(path: str, kind: str | None = None) -> Transducer:
     return Transducer(path, kind)
 
 
+class Held:
+    """A transducer that a worker makes for itself.  Broadcast, so that its tables of words go with the first task that is not of its query, instead of staying in the worker."""
+
+    def __init__(self, path: str, kind: str | None = None):
+        self.path, self.kind = path, kind
+
+    @cached_property
+    def transducer(self) -> Transducer:
+        return Transducer(self.path, self.kind)
+
+    def __reduce__(self):
+        return Held, (self.path, self.kind)
+
+
 def encode(docs: DataFrame, path: str, kind: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_pieces, ids, round_trip): round_trip says that the ids decode to the text, but for marks in it."""
 
+    held = docs.sparkSession.sparkContext.broadcast(Held(path, kind))
+
     def run(batches):
-        own = transducer(path, kind)
-        for batch in batches:
+        own = held.value.transducer
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             ids = [own.encode(t) for t in texts]
             n = [len(x) for x in ids]
@@ -254,9 +271,11 @@ def encode(docs: DataFrame, path: str, kind: str | None = None, id_col: str = "d
 def decode(encoded: DataFrame, path: str, kind: str | None = None) -> DataFrame:
     """(doc_id, text) from ids; null ids decode to the empty string."""
 
+    held = encoded.sparkSession.sparkContext.broadcast(Held(path, kind))
+
     def run(batches):
-        own = transducer(path, kind)
-        for batch in batches:
+        own = held.value.transducer
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.decode(x or []) for x in batch.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from .components import components, written
+from .memory import begin_task, slices
 
 U64 = np.uint64
 SHINGLE, SIMILARITY = 5, 0.8
@@ -105,7 +106,7 @@ def linked(sets: list[np.ndarray], similarity: float = SIMILARITY) -> np.ndarray
 
 def _signed(docs: DataFrame, k: int) -> DataFrame:
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingles(t.as_py(), k) for t in batch.column(1)]
             keys = pa.array([set_key(s) for s in sets], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), keys, pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], ["doc_id", "key", "bands"])
@@ -145,7 +146,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, similarity: float = SIMIL
     held = docs.sparkSession.sparkContext.broadcast(_slots(members))
 
     def sets(batches):
-        for batch in batches:
+        for batch in slices(batches):
             batch = batch.filter(batch.column(0).is_valid())
             s = _slot(batch.column(0).to_numpy())
             go = (held.value[s >> 6] >> (s & 63).astype(U64) & U64(1)).astype(bool)
@@ -154,6 +155,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, similarity: float = SIMIL
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_key(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], ["doc_id", "key", "body"])
 
     def search(t: pa.Table) -> pa.Table:
+        begin_task()
         key = t["key"].to_numpy()
         key, first = np.unique(key, return_index=True)
         label = linked([np.frombuffer(t["body"][i].as_buffer(), U64) for i in first.tolist()], similarity)

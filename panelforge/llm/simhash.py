@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from .components import components, local_labels, written
+from .memory import begin_task, slices
 
 U64 = np.uint64
 SEED, SHINGLE, RADIUS = 42, 3, 3
@@ -52,7 +53,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, fp) with the fingerprint's bits as a long."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             fp = np.array([fingerprint(t.as_py(), k) for t in batch.column(1)], U64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
 
@@ -92,6 +93,7 @@ def links(left: np.ndarray, right: np.ndarray, radius: int = RADIUS):
 
 def _forest(table: pa.Table, radius: int) -> pa.Table:
     """A spanning forest of the links between the two sides of a pair of blocks."""
+    begin_task()
     fp = table.column("fp").to_numpy().view(U64)
     side = table.column("side").to_numpy()
     left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memory import slices
 from .sampling import bounded, bucket_of
 
 SAMPLE, PRIOR, DRIFT, SIGNIFICANT, ODDS = 20_000, 500.0, 0.05, 0.0, 2.0
@@ -151,7 +152,7 @@ def _count(batches):
         return pa.RecordBatch.from_arrays([pa.array([k[0] for k in held]), pa.array([k[1] for k in held], pa.int32()), pa.array(held.values(), pa.int64())], ["word", "c", "n"])
 
     held: dict[tuple[str, int], int] = {}
-    for batch in batches:
+    for batch in slices(batches):
         for y, fold, text in zip(*batch.columns):
             column = 2 * fold.as_py() + (y.as_py() > 0)
             for token in {t for w in set(WORD.findall(text.as_py().lower())) for t in forms(w)}:
@@ -182,7 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     held = docs.sparkSession.sparkContext.broadcast(trial)
 
     def measure(batches):
-        for batch in batches:
+        for batch in slices(batches):
             f = [[x for scorer in held.value[fold] for x in scorer.features(t)] for fold, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f, pa.list_(pa.float64()))], ["y", "x"])
 
@@ -201,7 +202,7 @@ def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str
     held = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             s = [held.value.score(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
@@ -214,7 +215,7 @@ def flag_rows(docs: DataFrame, scorer: Scorer, text_col: str = "text") -> DataFr
     place = docs.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array([held.value.score(t) < 0.5 for t in batch.column(place).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -10,7 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from panelforge.llm import suffix_dedup, toxicity
+from panelforge.llm import memory, pieces, suffix_dedup, toxicity
+from panelforge.llm.queries import tokenizer_path
 
 
 def peak(f) -> tuple[object, int]:
@@ -87,3 +88,30 @@ def test_late_windows_are_the_same_in_any_pieces(monkeypatch, piece):
     for r in rows:
         want += [(int(r["key"]), int(r["off"]) + i) > first[data[r["at"] + i : r["at"] + i + n].tobytes()] for i in range(9)]
     assert got.tolist() == want and any(want) and not all(want)
+
+
+def test_a_transducer_goes_with_its_query(spark):
+    """Workers outlive a query, and its tables of words must not stay in them for the next one."""
+    docs = spark.createDataFrame([(i, f"some words {i}") for i in range(64)], "doc_id long, text string").repartition(16)
+    assert pieces.encode(docs, tokenizer_path("piece_bpe_32k.model")).where("round_trip").count() == 64
+
+    def held(batches):
+        import gc
+        import time
+
+        time.sleep(0.05)  # so that each worker gets a task
+        for batch in batches:
+            n = sum(type(x).__name__ == "Transducer" for x in gc.get_objects())
+            yield pa.RecordBatch.from_arrays([pa.array([n] * batch.num_rows, pa.int64())], ["n"])
+
+    assert spark.range(0, 64, 1, 64).mapInArrow(held, "n long").agg({"n": "max"}).first()[0] == 0
+
+
+def test_batches_go_by_slices():
+    """All rows in their order, whatever their sizes; a batch of 40 MB never as a whole."""
+    batch = pa.RecordBatch.from_pydict({"i": list(range(10_000)), "text": ["x" * 4_000] * 10_000})
+    got = list(memory.slices([batch, batch.slice(0, 0), batch.slice(9_990)]))
+    assert [x for b in got for x in b.column(0).to_pylist()] == [*range(10_000), *range(9_990, 10_000)]
+    assert max(b.nbytes for b in got) <= memory.SLICE_BYTES + 10_000
+    one = pa.RecordBatch.from_pydict({"i": [0, 1], "text": ["x" * (memory.SLICE_BYTES * 3), None]})  # a row larger than a slice
+    assert [b.num_rows for b in memory.slices([one])] == [1, 1]
