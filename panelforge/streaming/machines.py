@@ -4,6 +4,8 @@ A symbol's state is its machine's numbers; bars that arrive wait in the state un
 then taken in order of time, so a result does not depend on how arrivals were cut into batches, and equals the batch's row by
 row.  A timer at the earliest waiting bar releases what the watermark frees where no further bar of the symbol comes.  Bars behind
 what was released already cannot be taken any more: they come out marked ``late``, so that they are counted and can be mended.
+Waiting bars lie in the state store by day and piece; a worker holds ``HELD`` of them at a time, however many wait (more only
+where more have the very same time).  Bars of the same time are taken by close, high and low.
 """
 
 from __future__ import annotations
@@ -104,58 +106,137 @@ def run(name: str, params: tuple, bars: list[dict], state=None):
 # ---- the stream --------------------------------------------------------------------------------------------------
 
 
-def _clean(v) -> float | None:
-    return None if v is None or pd.isna(v) else float(v)
+#: A bar as it waits: microseconds and prices, absent ones NaN.
+KEPT = np.dtype([("ts", "i8"), ("high", "f8"), ("low", "f8"), ("close", "f8")])
+#: Bars that a worker holds at a time, bars to a piece, bars that a machine is given at a time, and microseconds to a slot.
+HELD, PIECE, STEP, SLOT = 1 << 19, 1 << 16, 10_000, 86_400_000_000
+
+
+def _packed(pdf: pd.DataFrame) -> np.ndarray:
+    out = np.empty(len(pdf), KEPT)
+    out["ts"] = pd.to_datetime(pdf["ts"], utc=True).astype("datetime64[us, UTC]").astype("int64")
+    for c in ("high", "low", "close"):
+        out[c] = pd.to_numeric(pdf[c]).astype(float)
+    return out
+
+
+def _in_order(bars: np.ndarray) -> np.ndarray:
+    return bars[np.lexsort([bars[c] for c in ("low", "high", "close", "ts")])]
+
+
+def _told(name: str, params: tuple, symbol: str, bars: np.ndarray, state) -> Iterator[tuple]:
+    """(state, rows of OUT) of bars in order, a step of them at a time."""
+    for i in range(0, len(bars), STEP):
+        some = bars[i : i + STEP]
+        prices = ([None if v != v else v for v in some[c].tolist()] for c in ("high", "low", "close"))
+        state, told = run(name, params, [{"high": h, "low": l, "close": c} for h, l, c in zip(*prices)], state)
+        yield state, _out(symbol, some["ts"], False, [v for v, _ in told], [f for _, f in told])
+
+
+def _out(symbol: str, ts: np.ndarray, late: bool, value, fired) -> pd.DataFrame:
+    out = pd.DataFrame({"ts": pd.to_datetime(ts, unit="us", utc=True), "late": late, "value": value, "fired": fired}).astype({"value": float})
+    out.insert(0, "symbol", symbol)
+    return out
 
 
 class _Processor(StatefulProcessor):
-    """Keeps the machine's state, the waiting bars and the time of the last bar released."""
+    """Keeps the machine's state, the time of the last bar released and, by slot, how many pieces and bars wait and the earliest one's time; the waiting bars lie beside it, a piece a key."""
 
     def __init__(self, name: str, params: tuple):
         self.name, self.params = name, params
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.kept = handle.getValueState("kept", "state string, waiting string, released long")
+        self.kept = handle.getValueState("kept", "state string, slots string, released long")
+        self.waiting = handle.getMapState("waiting", "slot long, piece long", "bars binary")
 
     def _load(self):
         got = self.kept.get() if self.kept.exists() else None
         if got is None:
-            return None, [], -(1 << 62)
-        return json.loads(got[0]), json.loads(got[1]), int(got[2])
-
-    def _release(self, symbol: str, state, waiting: list, released: int, mark: int, late: list) -> Iterator[pd.DataFrame]:
-        waiting.sort(key=lambda b: (b["ts"], json.dumps(b, sort_keys=True)))
-        ready = [b for b in waiting if b["ts"] <= mark]
-        waiting = waiting[len(ready) :]
-        state, told = run(self.name, self.params, ready, state)
-        if ready:
-            released = ready[-1]["ts"]
+            return None, {}, -(1 << 62)
+        return json.loads(got[0]), {int(k): v for k, v in json.loads(got[1]).items()}, int(got[2])
+
+    def _piece(self, slot: int, k: int) -> np.ndarray:
+        return np.frombuffer(bytes(self.waiting.getValue((slot, k))[0]), KEPT)
+
+    def _keep(self, slots: dict, bars: np.ndarray) -> None:
+        """Adds bars to their slots, in pieces."""
+        bars = bars[np.argsort(bars["ts"], kind="stable")]
+        of = bars["ts"] // SLOT
+        for part in np.split(bars, np.flatnonzero(np.diff(of)) + 1):
+            for i in range(0, len(part), PIECE):
+                piece, slot = part[i : i + PIECE], int(part["ts"][0] // SLOT)
+                pieces, n, first = slots.get(slot, (0, 0, int(piece["ts"][0])))
+                self.waiting.updateValue((slot, pieces), (piece.tobytes(),))
+                slots[slot] = (pieces + 1, n + len(piece), min(first, int(piece["ts"][0])))
+
+    def _drop(self, slots: dict, slot: int, mark: int) -> None:
+        """Takes a slot's bars up to the mark out of it."""
+        pieces, left, n, first = slots.pop(slot)[0], 0, 0, None
+        if (slot + 1) * SLOT > mark + 1:
+            for k in range(pieces):
+                piece = self._piece(slot, k)
+                piece = piece[piece["ts"] > mark]
+                if len(piece):
+                    self.waiting.updateValue((slot, left), (piece.tobytes(),))
+                    left, n, least = left + 1, n + len(piece), int(piece["ts"].min())
+                    first = least if first is None else min(first, least)
+        for k in range(left, pieces):
+            self.waiting.removeKey((slot, k))
+        if left:
+            slots[slot] = (left, n, first)
+
+    def _ready(self, slots: dict, mark: int) -> Iterator[np.ndarray]:
+        """Bars up to the mark in order; a slot of too many is read a stretch of time at a time."""
+        for slot in sorted(slots):
+            pieces, n, first = slots[slot]
+            if first > mark:
+                return
+            cuts = [(slot * SLOT, (slot + 1) * SLOT, n)]
+            while cuts:
+                low, high, n = cuts.pop()
+                if n > HELD and high - low > 1:
+                    parts, wide = min(-(-n // HELD) * 2, high - low), high - low
+                    inside = ((p["ts"][(p["ts"] >= low) & (p["ts"] < high)] - low) * parts // wide for p in (self._piece(slot, k) for k in range(pieces)))
+                    count = sum(np.bincount(x, minlength=parts) for x in inside)
+                    cuts += [(low - -i * wide // parts, low - -(i + 1) * wide // parts, int(c)) for i, c in enumerate(count) if c][::-1]
+                    continue
+                got = [p[(p["ts"] >= low) & (p["ts"] < high) & (p["ts"] <= mark)] for p in (self._piece(slot, k) for k in range(pieces))]
+                bars = _in_order(np.concatenate(got))
+                if len(bars):
+                    yield bars
+            self._drop(slots, slot, mark)
+
+    def _release(self, symbol: str, state, slots: dict, released: int, mark: int) -> Iterator[pd.DataFrame]:
+        for bars in self._ready(slots, mark):
+            for state, out in _told(self.name, self.params, symbol, bars, state):  # noqa: B020
+                yield out
+            released = int(bars["ts"][-1])
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
-        if waiting:
-            self.handle.registerTimer(waiting[0]["ts"] // 1000 + 1)
-        self.kept.update((json.dumps(state), json.dumps(waiting), released))
-        rows = [(symbol, b["ts"], True, None, False) for b in late] + [(symbol, b["ts"], False, v, f) for b, (v, f) in zip(ready, told)]
-        if rows:
-            out = pd.DataFrame(rows, columns=["symbol", "ts", "late", "value", "fired"])
-            out["ts"] = pd.to_datetime(out["ts"], unit="us", utc=True)
-            out["value"] = out["value"].astype(float)
-            yield out
+        if slots:
+            self.handle.registerTimer(slots[min(slots)][2] // 1000 + 1)
+        self.kept.update((json.dumps(state), json.dumps(slots), released))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        state, waiting, released = self._load()
-        late = []
+        state, slots, released = self._load()
+        held, n = [], 0
         for batch in rows:
-            stamps = pd.to_datetime(batch["ts"], utc=True).astype("datetime64[us, UTC]").astype("int64")
-            for ts, h, l, c in zip(stamps, batch["high"], batch["low"], batch["close"]):
-                bar = {"ts": int(ts), "high": _clean(h), "low": _clean(l), "close": _clean(c)}
-                (late if bar["ts"] <= released else waiting).append(bar)
-        yield from self._release(key[0], state, waiting, released, timerValues.getCurrentWatermarkInMs() * 1000, late)
+            bars = _packed(batch)
+            late = bars["ts"] <= released
+            if late.any():
+                yield _out(key[0], bars["ts"][late], True, None, False)
+            held, n = [*held, bars[~late]], n + len(bars)
+            if n >= HELD:
+                self._keep(slots, np.concatenate(held))
+                held, n = [], 0
+        if sum(map(len, held)):
+            self._keep(slots, np.concatenate(held))
+        yield from self._release(key[0], state, slots, released, timerValues.getCurrentWatermarkInMs() * 1000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        state, waiting, released = self._load()
-        yield from self._release(key[0], state, waiting, released, timerValues.getCurrentWatermarkInMs() * 1000, [])
+        state, slots, released = self._load()
+        yield from self._release(key[0], state, slots, released, timerValues.getCurrentWatermarkInMs() * 1000)
 
     def close(self) -> None:
         pass
@@ -173,11 +254,7 @@ def batch(bars: DataFrame, name: str, params: tuple) -> DataFrame:
     """The same over bars that are all there."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        stamps = pd.to_datetime(pdf["ts"], utc=True).astype("datetime64[us, UTC]").astype("int64")
-        rows = [{"ts": int(t), "high": _clean(h), "low": _clean(l), "close": _clean(c)} for t, h, l, c in zip(stamps, pdf["high"], pdf["low"], pdf["close"])]
-        rows.sort(key=lambda b: (b["ts"], json.dumps(b, sort_keys=True)))
-        told = run(name, params, rows)[1]
-        return pd.DataFrame({"symbol": pdf["symbol"].iloc[0], "ts": pd.to_datetime([b["ts"] for b in rows], unit="us", utc=True), "late": False, "value": [v for v, _ in told], "fired": [f for _, f in told]}).astype({"value": float})
+        return pd.concat([out for _, out in _told(name, params, pdf["symbol"].iloc[0], _in_order(_packed(pdf)), None)])
 
     return bars.select("symbol", "ts", "high", "low", "close").groupBy("symbol").applyInPandas(one, OUT)
 
